@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +102,24 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 def local_path(path: str) -> str:
     return path.removeprefix("file://") if path.startswith("file://") else os.path.abspath(path)
+
+
+def slices(batches, text_col: str, limit: int = 4 << 20):
+    """Record batches cut so that each holds about `limit` text bytes at most, or one row; nothing larger is held at once."""
+    for batch in batches:
+        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0))
+        start, held = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > start and held + n > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if len(sizes) > start:
+            yield batch.slice(start)
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start+1, ... for each (start, length), one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)

@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, secrets, shards
+from . import common, decontaminate, packing, secrets, shards
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(common.table(spark, sf_dir, "documents"))
 
 
-def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.query(spark, sf_dir)
-
-
 def queries():
-    return {"op3_shards": op3_shards, "op6_secrets": op6_secrets}
+    return {"op3_shards": op3_shards, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query}
 
 
 def oracle_sql() -> dict[str, str]:
