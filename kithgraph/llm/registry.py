@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, packing, secrets, shards
+from . import bpe, common, decontaminate, language, packing, secrets, shards, toxicity
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,7 +12,7 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op3_shards": op3_shards, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query, "op10_bpe": bpe.query}
+    return {"op2_toxicity": toxicity.query, "op3_shards": op3_shards, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query, "op9_language": language.query, "op10_bpe": bpe.query}
 
 
 def oracle_sql() -> dict[str, str]:
