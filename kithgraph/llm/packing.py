@@ -89,17 +89,60 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     return x.ravel()[:end]
 
 
+#: A private-use character that parts words within one call of the tokenizer.
+PARTING = "\ue000"
+_ENCODERS: dict = {}
+
+
+def encoder(model: str) -> WordEncoder:
+    """The process's encoder for a model; a worker that runs many tasks loads it once."""
+    key = zlib.crc32(model.encode())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(model)
+    return _ENCODERS[key]
+
+
 class WordEncoder:
     """Encodes texts piece by piece at ASCII white space, each distinct piece once.
 
     The tokenizer must drop white space and never join pieces across it, as one does whose pre-tokenizer's pattern
-    excludes white space.
+    excludes white space. Pieces go to it in runs parted by PARTING, whose own ids then show where each piece ends; a run
+    whose pieces don't come out one by one is encoded piece by piece.
     """
 
-    def __init__(self, model: str, most: int = 300_000):
+    def __init__(self, model: str, most: int = 120_000):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a task
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_str(model), {}, most
+        self.parting = np.array(self._ids(PARTING), np.uint32)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        n = len(self.parting)
+        words = [v.decode("utf-8", "surrogatepass") for v in new]
+        runs = [(new[a : a + 500], words[a : a + 500]) for a in range(0, len(new), 500)]
+        for a in range(0, len(runs), 40):
+            part = runs[a : a + 40]
+            found = self.tokenizer.encode_batch_fast([f" {PARTING} ".join(w) + f" {PARTING}" for _, w in part], add_special_tokens=False)
+            for (keys, w), e in zip(part, found, strict=True):
+                ids = np.array(e.ids, np.uint32)
+                same = np.ones(max(0, len(ids) - n + 1), bool)
+                for i, t in enumerate(self.parting):
+                    same &= ids[i : len(ids) - n + 1 + i] == t
+                ends = np.flatnonzero(same).tolist()
+                if len(ends) != len(w) or any(PARTING in x for x in w):
+                    self.known.update((k, np.array(self._ids(x), np.uint32).tobytes()) for k, x in zip(keys, w, strict=True))
+                    continue
+                raw, at = ids.tobytes(), 0
+                for k, end in zip(keys, ends, strict=True):
+                    self.known[k] = raw[4 * at : 4 * end]
+                    at = end + n
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, `end` after each text, and the number of ids of each text."""
@@ -108,14 +151,10 @@ class WordEncoder:
         del words
         if len(self.known) > self.most:
             self.known.clear()
-        new = [v for v in values if v not in self.known]
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for v, e in zip(part, self.tokenizer.encode_batch([v.decode("utf-8", "surrogatepass") for v in part], add_special_tokens=False), strict=True):
-                self.known[v] = np.array(e.ids, np.uint32)
+        self._learn([v for v in values if v not in self.known])
         parts = [self.known[v] for v in values]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), np.uint32)
         sizes, starts = np.append(sizes, 1), np.append(np.cumsum(sizes) - sizes, len(flat))
         flat = np.append(flat, np.uint32(end))
         at = np.cumsum(counts + 1)  # an end after each text
@@ -140,7 +179,7 @@ def write(docs: DataFrame, path: str, model: str, end: int = 2, id_col: str = "d
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part = WordEncoder(text_model.value), TaskContext.get().partitionId()
+        encode, part = encoder(text_model.value), TaskContext.get().partitionId()
         offset, ids, sizes, doc_ids, held = 0, [], [], [], 0
 
         def segment():
@@ -150,7 +189,7 @@ def write(docs: DataFrame, path: str, model: str, end: int = 2, id_col: str = "d
             return row
 
         for batch in common.slices(batches, "text", 1 << 20):
-            new, n = encoder(batch.column(1), end)
+            new, n = encode(batch.column(1), end)
             ids, sizes, held = [*ids, new], [*sizes, n], held + len(new)
             doc_ids += batch.column(0).to_pylist()
             if held >= SEGMENT_IDS:
