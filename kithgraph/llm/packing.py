@@ -8,6 +8,7 @@ Segments are rows of a Parquet table, so Spark's committer writes them and any s
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -103,46 +104,88 @@ def encoder(model: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
+def byte_letters() -> str:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(i if i in plain else next(rest)) for i in range(256))
+
+
 class WordEncoder:
     """Encodes texts piece by piece at ASCII white space, each distinct piece once.
 
-    The tokenizer must drop white space and never join pieces across it, as one does whose pre-tokenizer's pattern
-    excludes white space. Pieces go to it in runs parted by PARTING, whose own ids then show where each piece ends; a run
-    whose pieces don't come out one by one is encoded piece by piece.
+    The tokenizer must lower-case, drop white space, never join pieces across it and part letters from punctuation, as one
+    does whose pre-tokenizer matches runs of letters. So a piece of letters and marks is its letters, then its marks. New
+    pieces go to the library in runs parted by PARTING, whose own ids then show where each piece ends; a run whose pieces
+    don't come out one by one is encoded piece by piece. Pieces of letters that no normalisation changes go straight to
+    the model, without normaliser and pattern.
     """
 
-    def __init__(self, model: str, most: int = 120_000):
+    MARKS = b".,;:!?"
+
+    def __init__(self, model: str, most: int = 200_000):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a task
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_str(model), {}, most
-        self.parting = np.array(self._ids(PARTING), np.uint32)
+        form = json.loads(model)
+        form |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(form))
+        self.letters = {i: c for i, c in enumerate(byte_letters())}
+        self.parting = self._ids(PARTING)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _parts(self, piece: bytes) -> tuple[bytes, ...]:
+        if b"<" in piece:  # a special token's string is one only as it is written
+            return (piece,)
+        piece = piece.translate(common.LOWER)
+        base = piece.rstrip(self.MARKS)
+        if base and len(base) < len(piece) and (base[-1:].isalpha() or base[-1] >= 128 and base.decode("utf-8", "replace")[-1].isalpha()):
+            return base, piece[len(base) :]
+        return (piece,)
+
+    def _bare(self, piece: bytes) -> str | None:
+        """The piece as the model takes it, if it is letters that stay as they are."""
+        if piece.isalpha():
+            return piece.decode()
+        s = piece.decode("utf-8", "surrogatepass")
+        if s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s):
+            return piece.decode("latin-1").translate(self.letters)
+        return None
+
     def _learn(self, new: list[bytes]) -> None:
+        bare, full = [], []
+        for piece in new:
+            if (s := self._bare(piece)) is not None:
+                bare.append((piece, s))
+            else:
+                full.append((piece, piece.decode("utf-8", "surrogatepass")))
+        mark = PARTING.encode().decode("latin-1").translate(self.letters)
+        for tokenizer, some, parting in ((self.bare, bare, mark), (self.tokenizer, full, PARTING)):
+            for a in range(0, len(some), 8000):
+                runs = [some[b : b + 200] for b in range(a, min(a + 8000, len(some)), 200)]
+                found = tokenizer.encode_batch_fast([f" {parting} ".join([s for _, s in run]) + f" {parting}" for run in runs], add_special_tokens=False)
+                for run, e in zip(runs, found, strict=True):
+                    self._keep(run, np.array(e.ids, np.uint32))
+
+    def _keep(self, run: list[tuple[bytes, str]], ids: np.ndarray) -> None:
         n = len(self.parting)
-        words = [v.decode("utf-8", "surrogatepass") for v in new]
-        runs = [(new[a : a + 500], words[a : a + 500]) for a in range(0, len(new), 500)]
-        for a in range(0, len(runs), 40):
-            part = runs[a : a + 40]
-            found = self.tokenizer.encode_batch_fast([f" {PARTING} ".join(w) + f" {PARTING}" for _, w in part], add_special_tokens=False)
-            for (keys, w), e in zip(part, found, strict=True):
-                ids = np.array(e.ids, np.uint32)
-                same = np.ones(max(0, len(ids) - n + 1), bool)
-                for i, t in enumerate(self.parting):
-                    same &= ids[i : len(ids) - n + 1 + i] == t
-                ends = np.flatnonzero(same).tolist()
-                if len(ends) != len(w) or any(PARTING in x for x in w):
-                    self.known.update((k, np.array(self._ids(x), np.uint32).tobytes()) for k, x in zip(keys, w, strict=True))
-                    continue
-                raw, at = ids.tobytes(), 0
-                for k, end in zip(keys, ends, strict=True):
-                    self.known[k] = raw[4 * at : 4 * end]
-                    at = end + n
+        same = np.ones(max(0, len(ids) - n + 1), bool)
+        for i, t in enumerate(self.parting):
+            same &= ids[i : len(ids) - n + 1 + i] == t
+        ends = np.flatnonzero(same).tolist()
+        if len(ends) != len(run) or any(PARTING.encode() in k for k, _ in run):
+            self.known.update((k, np.array(self._ids(k.decode("utf-8", "surrogatepass")), np.uint32).tobytes()) for k, _ in run)
+            return
+        raw, at = ids.tobytes(), 0
+        for (k, _), end in zip(run, ends, strict=True):
+            self.known[k] = raw[4 * at : 4 * end]
+            at = end + n
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, `end` after each text, and the number of ids of each text."""
@@ -151,8 +194,10 @@ class WordEncoder:
         del words
         if len(self.known) > self.most:
             self.known.clear()
-        self._learn([v for v in values if v not in self.known])
-        parts = [self.known[v] for v in values]
+        split = [self._parts(v) for v in values]
+        self._learn(list({p for parts in split for p in parts if p not in self.known}))
+        known = self.known
+        parts = [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in split]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), np.uint32)
         sizes, starts = np.append(sizes, 1), np.append(np.cumsum(sizes) - sizes, len(flat))
@@ -188,7 +233,7 @@ def write(docs: DataFrame, path: str, model: str, end: int = 2, id_col: str = "d
             offset, ids, sizes, doc_ids, held = offset + held, [], [], [], 0
             return row
 
-        for batch in common.slices(batches, "text", 1 << 20):
+        for batch in common.slices(batches, "text", 2 << 20):
             new, n = encode(batch.column(1), end)
             ids, sizes, held = [*ids, new], [*sizes, n], held + len(new)
             doc_ids += batch.column(0).to_pylist()
