@@ -1,9 +1,9 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the byte arrays of distinct words.
 
-A text is cut at the public pattern; of each slice of texts only the distinct words go through the fold, whose rank map is
-a literal: for every pair of token ids whose bytes together are a token, that token's id, which is its rank. Words that a
-bounded sample of texts repeats are folded once beforehand and sent to all tasks; that only saves time. Words longer than
-LONG bytes, for which a fold of arrays would be quadratic, are merged with a heap. Decoding concatenates the ids' bytes.
+A text is cut at the public pattern. Slices of texts are written as codes, with their distinct words dealt to buckets by
+hash; each bucket folds every distinct word of the corpus once and replies to the slices that asked. The fold's rank map is
+a literal: for every pair of token ids whose bytes together are a token, that token's id, which is its rank. Words longer
+than LONG bytes, for which a fold of arrays would be quadratic, are merged with a heap. Decoding concatenates the ids' bytes.
 """
 
 from __future__ import annotations
@@ -27,9 +27,7 @@ NEVER = 2**31 - 1
 KEY = 1 << 40  # keeps keys apart from ids within a bucket
 SPREAD = 50021
 #: Text bytes, and distinct words, of one slice of texts.
-SLICE_BYTES, SLICE_WORDS = 24 << 20, 400_000
-#: Documents of the sample from which repeated words are taken, and how many of these are kept at most.
-SAMPLE_DOCS, HEAD_WORDS = 30_000, 400_000
+SLICE_BYTES, SLICE_WORDS = 12 << 20, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -142,22 +140,66 @@ class Cutter:
         return np.concatenate(parts)
 
 
-SLICED = "doc_ids array<long>, sizes array<int>, codes binary, words array<binary>, new array<array<int>>"
-OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_ok boolean"
+def pack_words(words: list[bytes]) -> bytes:
+    import zstandard
 
+    return zstandard.compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words), 1)
 
-def _slicer(pattern: str, ranks_b, head_b):
+
+def unpack_words(blob: bytes) -> list[bytes]:
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
+
+
+def pack_ids(ids: list[bytes]) -> bytes:
+    """Each word's ids are little-endian u32 bytes."""
+    import zstandard
+
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    return zstandard.compress(np.array([len(ids), *[len(i) // 4 for i in ids]], "<u4").tobytes() + flat.astype("<u4").tobytes(), 1)
+
+
+def unpack_ids(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all ids."""
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), np.frombuffer(raw, "<u4", -1, 4 + 4 * n)
+
+
+#: One row a slice (bucket -1) with its documents and codes; one row a slice and bucket with the words it asks for.
+SLICED = "slice long, bucket int, doc_ids array<long>, sizes array<int>, packed binary"
+GATHERED = "bucket int, slices array<long>, asked array<binary>, words binary, units array<array<int>>"
+REPLIES = "slice long, bucket int, ids binary"
+
+
+def _slicer(pattern: str, buckets: int):
     def run(batches):
-        ranks, head = ranks_b.value, head_b.value if head_b is not None else {}
-        single = [ranks[bytes([i])] for i in range(256)]
-        cutter = Cutter(pattern)
+        import xxhash
+        import zstandard
+        from pyspark import TaskContext
+
+        cutter, mark = Cutter(pattern), TaskContext.get().partitionId() << 32
 
         def emit(ids, parts):
-            sizes = np.array([len(p) for p in parts], np.int32)
             words = [w.encode("utf-8", "surrogatepass") for w in cutter.words]
-            new = [None if len(w) > LONG or w in head or w in ranks else [single[c] for c in w] for w in words]
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            codes = place[np.concatenate(parts)].astype("<u4")
             cutter.clear()
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([np.concatenate(parts).astype("<i4").tobytes()], pa.binary()), pa.array([words], pa.list_(pa.binary())), pa.array([new], pa.list_(pa.list_(pa.int32())))], ["doc_ids", "sizes", "codes", "words", "new"])
+            present, first = np.unique(bucket[order], return_index=True)
+            ends = [*first[1:].tolist(), len(words)]
+            order = order.tolist()
+            asked = [pack_words([words[i] for i in order[a:b]]) for a, b in zip(first.tolist(), ends, strict=True)]
+            k = len(asked)
+            return pa.RecordBatch.from_arrays([pa.array([mark] * (k + 1), pa.int64()), pa.array([-1, *present.tolist()], pa.int32()), pa.array([ids] + [None] * k, pa.list_(pa.int64())), pa.array([[len(p) for p in parts]] + [None] * k, pa.list_(pa.int32())), pa.array([zstandard.compress(codes.tobytes(), 3), *asked], pa.binary())], ["slice", "bucket", "doc_ids", "sizes", "packed"])
 
         ids, parts, held = [], [], 0
         for batch in common.slices(batches, "text", 1 << 20):
@@ -167,50 +209,98 @@ def _slicer(pattern: str, ranks_b, head_b):
                 held += len(text or "")
             if held >= SLICE_BYTES or len(cutter.words) >= SLICE_WORDS:
                 yield emit(ids, parts)
-                ids, parts, held = [], [], 0
+                ids, parts, held, mark = [], [], 0, mark + 1
         if ids:
             yield emit(ids, parts)
 
     return run
 
 
-def _assembler(ranks_b, pairs_b, head_b, with_ids: bool):
+def _gatherer(ranks_b):
+    """The rows of a bucket become one: who asked what, and the distinct words as arrays of byte ids, ready for the fold."""
+
+    def run(batches):
+        ranks = ranks_b.value
+        single = [ranks[bytes([i])] for i in range(256)]
+
+        def emit(bucket, slices, asked):
+            words = list(dict.fromkeys(w for blob in asked for w in unpack_words(blob)))
+            units = [[single[c] for c in w] for w in words if len(w) <= LONG and w not in ranks]
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([slices], pa.list_(pa.int64())), pa.array([asked], pa.list_(pa.binary())), pa.array([pack_words(words)], pa.binary()), pa.array([units], pa.list_(pa.list_(pa.int32())))], ["bucket", "slices", "asked", "words", "units"])
+
+        now, slices, asked = None, [], []
+        for batch in batches:
+            for b, s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if b != now and slices:
+                    yield emit(now, slices, asked)
+                    slices, asked = [], []
+                now = b
+                slices.append(s)
+                asked.append(blob)
+        if slices:
+            yield emit(now, slices, asked)
+
+    return run
+
+
+def _replier(ranks_b, pairs_b):
+    def run(batches):
+        ranks = ranks_b.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                folded = one.column(4)[0].values
+                ends = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(folded)), dtype=np.int64)]).tolist()
+                flat = np.asarray(folded.flatten()).astype("<u4").tobytes()
+                known, k = {}, 0
+                for w in unpack_words(one.column(3)[0].as_py()):
+                    if w in ranks:
+                        known[w] = np.array([ranks[w]], "<u4").tobytes()
+                    elif len(w) > LONG:
+                        known[w] = np.array(merge_long([ranks[bytes([c])] for c in w], pairs_b.value), "<u4").tobytes()
+                    else:
+                        known[w] = flat[4 * ends[k] : 4 * ends[k + 1]]
+                        k += 1
+                bucket, slices = one.column(0)[0].as_py(), one.column(1)[0].values.to_pylist()
+                for s, blob in zip(slices, one.column(2)[0].values, strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([bucket], pa.int32()), pa.array([pack_ids([known[w] for w in unpack_words(blob.as_py())])], pa.binary())], ["slice", "bucket", "ids"])
+
+    return run
+
+
+def _assembler(ranks_b, with_ids: bool):
     def run(batches):
-        ranks, head = ranks_b.value, head_b.value if head_b is not None else {}
+        import zstandard
+
+        ranks = ranks_b.value
         size = max(ranks.values()) + 1
         bytes_of = [b""] * size
         for token, rank in ranks.items():
             bytes_of[rank] = token
-        single = [ranks[bytes([i])] for i in range(256)]
         told = [b"%d" % i for i in range(size)]
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                words = one.column(3).flatten().to_pylist()
-                folded = one.column(4).flatten().to_pylist()
-                texts, raws, counts, lists = [], [], np.zeros(len(words), np.int64), []
-                for k, (w, ids) in enumerate(zip(words, folded, strict=True)):
-                    if ids is None:
-                        ids = head.get(w)
-                    if ids is None:
-                        ids = [ranks[w]] if w in ranks else merge_long([single[c] for c in w], pairs_b.value)
-                    counts[k] = len(ids)
-                    texts.append(b" ".join([told[i] for i in ids]))
-                    raws.append(b"".join([bytes_of[i] for i in ids]))
-                    if with_ids:
-                        lists.append(ids)
-                codes = np.frombuffer(one.column(2)[0].as_py(), "<i4")
-                sizes, doc_ids = one.column(1).flatten().to_numpy(), one.column(0).flatten()
+                blobs = [unpack_ids(b["ids"]) for b in one.column(3)[0].as_py() or []]
+                counts = np.concatenate([b[0] for b in blobs]) if blobs else np.zeros(0, np.int64)
+                ids = np.concatenate([b[1] for b in blobs]).tolist() if blobs else []
+                ends = np.cumsum(counts).tolist()
+                lists = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                texts = [b" ".join([told[i] for i in x]) for x in lists]
+                raws = [b"".join([bytes_of[i] for i in x]) for x in lists]
+                codes = np.frombuffer(zstandard.decompress(one.column(2)[0].as_py()), "<u4")
                 out, at = [[], [], [], []], 0
-                for n in sizes.tolist():
-                    c = codes[at : at + n].tolist()
+                sizes = one.column(1)[0].values.to_pylist()
+                for n in sizes:
+                    c = codes[at : at + n]
                     at += n
                     out[0].append(int(counts[c].sum()) if n else 0)
+                    c = c.tolist()
                     out[1].append(hashlib.sha256(b" ".join([texts[i] for i in c])).hexdigest())
                     out[2].append(hashlib.sha256(b"".join([raws[i] for i in c])).hexdigest())
                     if with_ids:
                         out[3].append([x for i in c for x in lists[i]])
-                cols = [doc_ids, pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])]
+                cols = [one.column(0)[0].values, pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     cols.append(pa.array(out[3], pa.list_(pa.int32())))
@@ -220,56 +310,25 @@ def _assembler(ranks_b, pairs_b, head_b, with_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) for every row; a null or empty text has no tokens.
 
-    Ranks must hold every single byte. Repeated rows each give a row; other columns are not read. Nothing is shuffled.
+    Ranks must hold every single byte. Repeated rows each give a row; other columns are not read. The texts' codes are
+    written once and joined to the replies by slice; a slice and a bucket's share of a slice are bounded, and common
+    words are asked once a slice, so no word or source makes a task large.
     """
     spark = docs.sparkSession
     pairs = pair_ranks(ranks)
     ranks_b, pairs_b = spark.sparkContext.broadcast(ranks), spark.sparkContext.broadcast(pairs)
-    literal = rank_literal(pairs)
+    literal, n = rank_literal(pairs), common.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def folded(df: DataFrame) -> DataFrame:
-        return df.withColumn("new", F.transform("new", lambda w: F.when(w.isNotNull(), fold(w, literal))))
-
-    head_b = None
-    n = rows.count() if sample_docs else 0
-    if n > sample_docs:
-        share = int(sample_docs / n * (1 << 20))
-        cut = _counter(pattern, ranks_b)
-        seen = rows.where(F.xxhash64("doc_id").bitwiseAND((1 << 20) - 1) < share).mapInArrow(cut, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-        single = [ranks[bytes([i])] for i in range(256)]
-        found = common.kept(seen.select("word"), "bpe-head").repartition(common.partitions(spark)).mapInArrow(_as_units(single), "word binary, units array<int>").select("word", fold(F.col("units"), literal).alias("ids")).toArrow()
-        head_b = spark.sparkContext.broadcast(dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)))
+    sliced = common.kept(rows.mapInArrow(_slicer(pattern, n), SLICED), "bpe-slices")
+    asked = sliced.where("bucket >= 0").select("bucket", "slice", "packed").repartitionById(n, "bucket").sortWithinPartitions("bucket")
+    folded = asked.mapInArrow(_gatherer(ranks_b), GATHERED).withColumn("units", F.transform("units", lambda w: fold(w, literal)))
+    replies = folded.mapInArrow(_replier(ranks_b, pairs_b), REPLIES).groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("replies"))
+    joined = sliced.where("bucket = -1").select("slice", "doc_ids", "sizes", "packed").join(replies, "slice", "left")
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return folded(rows.mapInArrow(_slicer(pattern, ranks_b, head_b), SLICED)).mapInArrow(_assembler(ranks_b, pairs_b, head_b, with_ids), out)
-
-
-def _counter(pattern: str, ranks_b):
-    def run(batches):
-        from collections import Counter
-
-        cutter, ranks = Cutter(pattern), ranks_b.value
-        for batch in common.slices(batches, "text", 8 << 20):
-            seen: Counter = Counter()
-            for text in batch.column(1).to_pylist():
-                seen.update(cutter(text).tolist())
-            words = [w.encode("utf-8", "surrogatepass") for w in cutter.words]
-            keep = [(words[k], n) for k, n in seen.items() if len(words[k]) <= LONG and words[k] not in ranks]
-            cutter.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.binary()), pa.array([n for _, n in keep], pa.int64())], ["word", "n"])
-
-    return run
-
-
-def _as_units(single: list[int]):
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[single[c] for c in w] for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "units"])
-
-    return run
+    return joined.select("doc_ids", "sizes", "packed", "replies").mapInArrow(_assembler(ranks_b, with_ids), out)
 
 
 def decode(ids: DataFrame, ranks: dict[bytes, int], col: str = "ids") -> DataFrame:
