@@ -123,3 +123,33 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def drop(df_path: str, spark: SparkSession) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(df_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob."""
+    import io
+
+    import zstandard
+
+    out = io.BytesIO()
+    for a in arrays:
+        np.save(out, a, allow_pickle=False)
+    return zstandard.compress(out.getvalue(), 1)
+
+
+def unpack_arrays(blob: bytes) -> list[np.ndarray]:
+    import io
+
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    held, out = io.BytesIO(raw), []
+    while held.tell() < len(raw):
+        out.append(np.load(held, allow_pickle=False))
+    return out
