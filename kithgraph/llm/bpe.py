@@ -341,7 +341,11 @@ def decode(ids: DataFrame, ranks: dict[bytes, int], col: str = "ids") -> DataFra
     return ids.withColumn("decoded", F.unhex(F.aggregate(F.col(col), F.lit(""), lambda s, i: F.concat(s, F.get(table, i)))))
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def encode_public(docs: DataFrame) -> DataFrame:
     import public_tokenizers as public
 
-    return encode(common.table(spark, sf_dir, "documents"), load_ranks(public.path("byte_bpe_50k.tiktoken")), public.PATTERN)
+    return encode(docs, load_ranks(public.path("byte_bpe_50k.tiktoken")), public.PATTERN)
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    return encode_public(common.table(spark, sf_dir, "documents"))

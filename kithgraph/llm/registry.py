@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, jaccard, language, packing, pitman_yor, secrets, shards, toxicity
+from . import bpe, chroma, common, decontaminate, jaccard, language, packing, pitman_yor, secrets, shards, toxicity
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,7 +12,7 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_pitman_yor": pitman_yor.query, "op2_toxicity": toxicity.query, "op3_shards": op3_shards, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query, "op8_jaccard": jaccard.query, "op9_language": language.query, "op10_bpe": bpe.query}
+    return {"op1_pitman_yor": pitman_yor.query, "op2_toxicity": toxicity.query, "op3_shards": op3_shards, "op4_chroma": chroma.query, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query, "op8_jaccard": jaccard.query, "op9_language": language.query, "op10_bpe": bpe.query}
 
 
 def oracle_sql() -> dict[str, str]:
