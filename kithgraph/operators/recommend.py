@@ -11,7 +11,7 @@ from .metrics import ratio
 PAIR = ["user_id", "item_id"]
 
 
-def recent(df: DataFrame, days: int, as_of: str, at: str = "at") -> DataFrame:
+def recent(df: DataFrame, days: int, as_of: str, at: str = "shipped") -> DataFrame:
     return df.where(F.to_date(at) >= F.date_sub(F.to_date(F.lit(as_of)), days))
 
 

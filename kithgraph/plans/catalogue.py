@@ -1,9 +1,486 @@
-"""All queries over the relational tables, and their SQL."""
+"""All queries over the relational tables, and the DuckDB SQL that checks each.
+
+A query takes (spark, folder). Ids of the operators it stands for are in its comment line. Doubles are rounded to 6 places
+in the outermost select on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scalars as fn
+from ..operators import exposure, features, graph, metrics, recommend, sampling
+from ..sources.tables import Relations, with_relations
+
+AS_OF = "2001-11-04"
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+PAIR = ["user_id", "item_id"]
+KINDS = ("click", "purchase", "error", "signup", "view")
+COMPOUND = {"REAL": ["purchase", "signup"], "ALL": list(KINDS), "LOOKS": ["click", "view"]}
+
+
+def q(sql: str | None = None, *relations: str, name: str | None = None, recursive: bool = False):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, root: f(Relations(spark, root))
+        if sql:
+            ORACLES[key] = with_relations(sql, *relations, recursive=recursive)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles to 6 places; a negative zero becomes zero."""
+    names = columns or [c for c, t in df.dtypes if t == "double"]
+    return df.withColumns({c: F.round(F.col(c), 6) + 0.0 for c in names})
+
+
+def R(x: str) -> str:
+    return f"(round({x}, 6) + 0.0)"
+
+
+# --- exposure (C11, C27, D1-D5, B7, B17, B18, B21, D17, A15, A16) --------------------------------------------------------
+
+
+def exposure_sql(edges: str, by: str = "", most: int = 10) -> str:
+    """edges: a select of (by,) ego, alter_id, distinct."""
+    b, bc = (f"{by}, ", f"{by}, ") if by else ("", "")
+    return f"""edges AS ({edges}),
+      c AS (SELECT {b}ego, item_id, COUNT(*) AS n FROM edges JOIN likes ON likes.user_id = alter_id GROUP BY ALL),
+      ks AS (SELECT UNNEST(range(1, {most + 1})) AS k),
+      p AS (SELECT {b}k, c.ego, SUM(CASE WHEN l.user_id IS NULL THEN 0 ELSE 1 END) * 1.0 / COUNT(*) AS p FROM c JOIN ks ON c.n >= k
+            LEFT JOIN likes l ON l.user_id = c.ego AND l.item_id = c.item_id GROUP BY ALL)
+      SELECT {bc}CAST(k AS INTEGER) AS k, COUNT(*) AS n_egos, CASE WHEN COUNT(*) > 10 THEN {R("AVG(p)")} END AS mean,
+        CASE WHEN COUNT(*) > 10 THEN {R(f"({metrics.t95_sql('COUNT(*)')}) * STDDEV_SAMP(p) / SQRT(COUNT(*))")} END AS se95,
+        {R("MIN(p)")} AS least, {R("MAX(p)")} AS greatest FROM p GROUP BY ALL"""
+
+
+@q(exposure_sql("SELECT ego, alter_id FROM friends"), "likes", "friends")
+def exposure_by_k(t):
+    return rounded(exposure.curve(graph.closure(t.friends), t.likes))
+
+
+DIRECTED = "SELECT {d} AS direction, {k}{a} AS ego, {b} AS alter_id FROM contacts WHERE target <> actor"
+
+
+def directed_sql(keep: str = "kind, ") -> str:
+    parts = [("'INCOMING'", "target", "actor"), ("'OUTGOING'", "actor", "target"), ("'BIDIR'", "target", "actor"), ("'BIDIR'", "actor", "target")]
+    return " UNION ".join(DIRECTED.format(d=d, k=keep, a=a, b=b) for d, a, b in parts)
+
+
+@q(exposure_sql(directed_sql(), "kind, direction"), "likes", "contacts")
+def exposure_by_event_type(t):
+    return rounded(exposure.curve(graph.all_directions(t.contacts, "kind"), t.likes, 10, "kind", "direction"))
+
+
+@q(exposure_sql("""SELECT DISTINCT ub, s.ego, s.alter_id FROM (SELECT UNNEST([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) AS ub) u
+     JOIN (SELECT f.ego, a.group_id, f.alter_id, COUNT(*) OVER (PARTITION BY f.ego, a.group_id) AS n FROM friends f JOIN grp a ON a.user_id = f.ego JOIN grp b ON b.user_id = f.alter_id AND a.group_id = b.group_id) s ON s.n BETWEEN 2 AND ub""", "ub", 5), "likes", "friends", "grp")
+def exposure_by_group_size(t):
+    """Sizes are counted once; each tie joins the bounds that hold it."""
+    m = t.groups
+    sized = t.friends.join(m.select(F.col("user_id").alias("alter"), "group_id"), "alter").join(m.select(F.col("user_id").alias("ego"), "group_id"), ["ego", "group_id"])
+    n = sized.groupBy("ego", "group_id").agg(F.count("*").alias("n")).where("n >= 2")
+    least = sized.join(n, ["ego", "group_id"]).groupBy("ego", "alter").agg(F.min("n").alias("n"))
+    bounds = F.filter(F.array(*[F.lit(2**i) for i in range(1, 11)]), lambda b: b >= F.col("n"))
+    return rounded(exposure.curve(least.select("ego", "alter", F.explode(bounds).alias("ub")), t.likes, 5, "ub"))
+
+
+@q(exposure_sql("SELECT e.gender AS ego_bucket, a.gender AS alter_bucket, f.ego, f.alter_id FROM friends f JOIN users e ON e.user_id = f.ego JOIN users a ON a.user_id = f.alter_id", "ego_bucket, alter_bucket", 5), "likes", "friends")
+def exposure_by_demographic(t):
+    g = t.users.select("user_id", "gender")
+    e = t.friends.join(g.select(F.col("user_id").alias("ego"), F.col("gender").alias("ego_bucket")), "ego").join(g.select(F.col("user_id").alias("alter"), F.col("gender").alias("alter_bucket")), "alter")
+    return rounded(exposure.curve(e, t.likes, 5, "ego_bucket", "alter_bucket"))
+
+
+WORDS = ("the", "and", "die", "que", "pour")
+
+
+@q(exposure_sql(f"SELECT DISTINCT w AS word, a.user_id AS ego, b.user_id AS alter_id FROM (SELECT UNNEST({list(WORDS)}) AS w) x JOIN ev a ON a.kind = 'click' JOIN ev b ON a.item_id = b.item_id AND b.kind = 'view' AND a.user_id <> b.user_id JOIN (SELECT conv_id, text FROM conversations) c ON c.conv_id = a.item_id AND contains(c.text, w)", "word", 3), "likes", "ev")
+def exposure_by_word(t):
+    """Ties through an item whose conversation holds the word."""
+    spoken = t.messages.select(F.col("conv_id").alias("item_id"), F.explode(F.filter(F.array(*[F.lit(w) for w in WORDS]), lambda w: F.contains(F.col("text"), w))).alias("word")).distinct()
+    e = t.events
+    edges = e.where("kind = 'click'").select("item_id", F.col("user_id").alias("ego")).distinct().join(spoken, "item_id").join(e.where("kind = 'view'").select("item_id", F.col("user_id").alias("alter")).distinct(), "item_id").where("ego <> alter").select("word", "ego", "alter").distinct()
+    return rounded(exposure.curve(edges, t.likes, 3, "word"))
+
+
+# --- graphs (M1-M5, G1-G5, C14, D13, A20) ----------------------------------------------------------------------------------
+
+for _d in ("INCOMING", "OUTGOING", "BIDIR"):
+    q(f"SELECT kind, ego, alter_id AS alter FROM ({directed_sql()}) x WHERE direction = '{_d}'", "contacts", name=f"interactions_{_d.lower()}")(lambda t, d=_d: graph.edges(t.contacts, d, "kind"))
+
+
+def _kind(t, kind):
+    return graph.edges(t.contacts.where(F.col("kind") == kind), graph.BIDIR)
+
+
+def _set_sql(op: str) -> str:
+    side = "SELECT target AS ego, actor AS alter FROM contacts WHERE kind = '{0}' UNION SELECT actor, target FROM contacts WHERE kind = '{0}'"
+    return f"a AS ({side.format('click')}), b AS ({side.format('view')}) {op}"
+
+
+@q(_set_sql("SELECT * FROM a UNION SELECT * FROM b"), "contacts")
+def interactions_union(t):
+    return graph.union(_kind(t, "click"), _kind(t, "view"))
+
+
+@q(_set_sql("SELECT * FROM a EXCEPT SELECT * FROM b"), "contacts")
+def interactions_minus(t):
+    return graph.minus(_kind(t, "click"), _kind(t, "view"))
+
+
+@q(_set_sql("SELECT * FROM a INTERSECT SELECT * FROM b"), "contacts")
+def interactions_intersect(t):
+    return graph.intersect(_kind(t, "click"), _kind(t, "view"))
+
+
+@q(_set_sql("SELECT * FROM a INTERSECT SELECT * FROM b UNION SELECT * FROM a WHERE ego NOT IN (SELECT ego FROM b)"), "contacts")
+def interactions_intersect_keeping(t):
+    return graph.intersect(_kind(t, "click"), _kind(t, "view"), keep_missing_egos=True)
+
+
+@q("""m(kind, class) AS (VALUES ('purchase','REAL'),('signup','REAL'),('click','ALL'),('purchase','ALL'),('error','ALL'),('signup','ALL'),('view','ALL'),('click','LOOKS'),('view','LOOKS')),
+  e AS (SELECT class, target AS ego, actor AS alter FROM contacts JOIN m USING (kind) UNION SELECT class, actor, target FROM contacts JOIN m USING (kind)),
+  v AS (SELECT ego, alter FROM e WHERE class = 'ALL' EXCEPT SELECT ego, alter FROM e WHERE class = 'REAL')
+  SELECT class, ego, alter FROM e UNION ALL SELECT 'VIRTUAL', ego, alter FROM v""", "contacts")
+def interactions_compound(t):
+    e = graph.compound(t.contacts, COMPOUND)
+    virtual = graph.minus(e.where("class = 'ALL'"), e.where("class = 'REAL'"))
+    return e.select("class", "ego", "alter").unionByName(virtual.select(F.lit("VIRTUAL").alias("class"), "ego", "alter"))
+
+
+@q("""s AS (SELECT DISTINCT kind, item_id, user_id FROM ev WHERE kind = 'purchase') SELECT x.item_id, x.user_id AS a, y.user_id AS b FROM s x JOIN s y ON x.item_id = y.item_id AND x.user_id < y.user_id""", "ev")
+def co_tag_pairs(t):
+    return graph.co_pairs(t.events.where("kind = 'purchase'"))
+
+
+@q(f"""parts AS (SELECT DISTINCT LEAST(ego, alter_id) AS a, GREATEST(ego, alter_id) AS b FROM friends
+    UNION ALL SELECT LEAST(target, actor), GREATEST(target, actor) FROM contacts
+    UNION ALL SELECT x.user_id, y.user_id FROM (SELECT DISTINCT item_id, user_id FROM ev WHERE kind = 'purchase') x JOIN (SELECT DISTINCT item_id, user_id FROM ev WHERE kind = 'purchase') y ON x.item_id = y.item_id AND x.user_id < y.user_id),
+  c AS (SELECT a, b, COUNT(*) AS strength FROM parts WHERE a <> b GROUP BY 1, 2), m AS (SELECT AVG(strength) AS mean FROM c)
+  SELECT a, b, strength, {R('strength / mean')} AS relative, {R('LN(strength / mean)')} AS log, {R('LN(1 + strength / mean)')} AS log1p FROM c, m""", "friends", "contacts", "ev")
+def interaction_strength(t):
+    return rounded(graph.strength(t.friends, t.contacts, graph.co_pairs(t.events.where("kind = 'purchase'"))))
+
+
+@q("SELECT ego, alter_id AS alter FROM friends", "friends")
+def friend_closure(t):
+    return graph.closure(t.friends.where("ego < alter"))
+
+
+@q("SELECT ego, COUNT(DISTINCT alter_id) AS degree, MIN(alter_id) AS least, MAX(alter_id) AS greatest FROM friends GROUP BY 1", "friends")
+def friend_degree(t):
+    return graph.degrees(t.friends)
+
+
+@q("SELECT ego, array_to_string(list_sort(list(DISTINCT alter_id)), ',') AS alters FROM (SELECT target AS ego, actor AS alter_id FROM contacts UNION SELECT actor, target FROM contacts) x GROUP BY 1", "contacts")
+def neighbour_lists(t):
+    return graph.neighbours(graph.edges(t.contacts, graph.BIDIR)).select("ego", F.concat_ws(",", F.col("alters").cast("array<string>")).alias("alters"))
+
+
+@q("SELECT DISTINCT f.ego, f.alter_id AS alter FROM (SELECT f.ego, a.group_id, f.alter_id, COUNT(*) OVER (PARTITION BY f.ego, a.group_id) AS n FROM friends f JOIN grp a ON a.user_id = f.ego JOIN grp b ON b.user_id = f.alter_id AND a.group_id = b.group_id) f WHERE n BETWEEN 2 AND 4", "friends", "grp")
+def co_members_among_friends(t):
+    return graph.shared_groups(t.friends, t.groups, 4)
+
+
+# --- scans, filters, sets (A2, A21, B1-B6, B8-B11, B23, B24, C1, C3-C7, G4, G6-G8) -------------------------------------------
+
+
+@q("SELECT user_id, item_id FROM likes", "likes")
+def likes_all(t):
+    return t.likes
+
+
+@q("SELECT user_id, COUNT(*) AS n_likes FROM likes GROUP BY 1", "likes")
+def likes_by_user(t):
+    return t.likes.groupBy("user_id").agg(F.count("*").alias("n_likes"))
+
+
+@q("SELECT user_id, gender, segment FROM users WHERE segment = 'BUILDING' AND gender = 1", "users")
+def flagged_users(t):
+    return t.users.where("segment = 'BUILDING' and gender = 1").select("user_id", "gender", "segment")
+
+
+@q("SELECT DISTINCT user_id FROM ev WHERE kind = 'click'", "ev")
+def distinct_actors(t):
+    return t.events.where("kind = 'click'").select("user_id").distinct()
+
+
+@q("SELECT user_id, item_id, label, CAST(2 - label AS INTEGER) AS rating FROM ratings", "ratings")
+def active_ratings(t):
+    return t.ratings.select(*PAIR, "label", (2 - F.col("label")).cast("int").alias("rating")).where(F.col("rating").isin(1, 2))
+
+
+@q("SELECT DISTINCT e.user_id, e.item_id, 1 AS label FROM ev e WHERE e.kind = 'view' AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = e.user_id AND r.item_id = e.item_id)", "ev", "ratings")
+def clicks_not_rated(t):
+    return t.events.where("kind = 'view'").select(*PAIR).distinct().join(t.ratings.select(*PAIR), PAIR, "left_anti").withColumn("label", F.lit(1))
+
+
+for _n, _days in (("recent_items_train", 30), ("recent_items_rec", 14)):
+    q(f"SELECT DISTINCT item_id FROM purchases WHERE CAST(shipped AS DATE) >= DATE '{AS_OF}' - {_days}", "purchases", name=_n)(lambda t, d=_days: recommend.recent(t.purchases, d, AS_OF).select("item_id").distinct())
+
+
+@q("SELECT item_id, brand, size FROM items WHERE item_id IN (SELECT item_id FROM likes)", "items", "likes")
+def liked_item_rows(t):
+    return t.items.join(t.likes.select("item_id"), "item_id", "left_semi").select("item_id", "brand", "size")
+
+
+@q(f"SELECT r.user_id, r.item_id, r.label FROM ratings r WHERE EXISTS (SELECT 1 FROM items i WHERE i.item_id = r.item_id AND i.size > 25) AND EXISTS (SELECT 1 FROM users u WHERE u.user_id = r.user_id AND u.balance > 0)", "ratings", "items", "users")
+def rows_with_features(t):
+    return t.ratings.select(*PAIR, "label").join(t.items.where("size > 25"), "item_id", "left_semi").join(t.users.where("balance > 0"), "user_id", "left_semi")
+
+
+@q("SELECT r.user_id, r.item_id, r.label FROM ratings r WHERE user_id IN (SELECT user_id FROM ratings GROUP BY 1 HAVING SUM(label) > 0 AND SUM(1 - label) > 0)", "ratings")
+def both_class_users(t):
+    return sampling.both_classes(t.ratings.select(*PAIR, "label"))
+
+
+@q("SELECT user_id, item_id FROM likes WHERE user_id IN (SELECT user_id FROM likes GROUP BY 1 HAVING COUNT(*) >= 2)", "likes")
+def active_likers(t):
+    n = t.likes.groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 2")
+    return t.likes.join(n, "user_id", "left_semi")
+
+
+for _w, _op in (("FRIEND", ""), ("NON_FRIEND", "NOT ")):
+    q(f"SELECT r.user_id, r.item_id, r.label, r.poster FROM ratings r WHERE {_op}EXISTS (SELECT 1 FROM friends f WHERE (f.ego = r.user_id AND f.alter_id = r.poster) OR (f.alter_id = r.user_id AND f.ego = r.poster))", "ratings", "friends", name=f"ratings_{_w.lower()}")(lambda t, w=_w: sampling.restricted(t.ratings.select(*PAIR, "label", "poster"), t.friends, w))
+
+
+@q("SELECT user_id, locale FROM users WHERE gender = 1 AND user_id IN (SELECT user_id FROM likes)", "users", "likes")
+def demographic_subset(t):
+    return t.users.where("gender = 1").join(t.likes.select("user_id"), "user_id", "left_semi").select("user_id", "locale")
+
+
+@q("SELECT item_id, COUNT(*) AS n_likes, MAX(kind) AS kind FROM likes JOIN items USING (item_id) GROUP BY 1", "likes", "items")
+def likes_with_info(t):
+    return t.likes.join(t.items, "item_id").groupBy("item_id").agg(F.count("*").alias("n_likes"), F.max("kind").alias("kind"))
+
+
+@q("SELECT DISTINCT b.user_id FROM grp a JOIN grp b USING (group_id) WHERE a.user_id < 3", "grp")
+def two_hop_members(t):
+    return t.groups.join(t.groups.where("user_id < 3").select("group_id"), "group_id", "left_semi").select("user_id").distinct()
+
+
+@q("SELECT 'buy' AS item_type, item_id, user_id FROM likes UNION ALL SELECT DISTINCT 'seen', item_id, user_id FROM ev WHERE kind = 'view'", "likes", "ev")
+def likes_merged_types(t):
+    return t.likes.select(F.lit("buy").alias("item_type"), "item_id", "user_id").unionByName(t.events.where("kind = 'view'").select(F.lit("seen").alias("item_type"), "item_id", "user_id").distinct())
+
+
+@q("SELECT user_id, item_id, MAX(label) AS label FROM (SELECT user_id, item_id, label FROM ratings UNION ALL SELECT user_id, item_id, 1 FROM ev WHERE kind = 'view') x GROUP BY 1, 2", "ratings", "ev")
+def training_union(t):
+    return t.ratings.select(*PAIR, "label").unionByName(t.events.where("kind = 'view'").select(*PAIR, F.lit(1).alias("label"))).groupBy(*PAIR).agg(F.max("label").alias("label"))
+
+
+@q("SELECT item_id FROM items WHERE item_id NOT IN (SELECT item_id FROM likes)", "items", "likes")
+def never_liked_items(t):
+    return t.items.select("item_id").join(t.likes, "item_id", "left_anti")
+
+
+@q("SELECT a.user_id AS u1, b.user_id AS u2, COUNT(*) AS n FROM likes a JOIN likes b ON a.item_id = b.item_id AND a.user_id < b.user_id GROUP BY 1, 2 HAVING COUNT(*) >= 2", "likes")
+def co_likes(t):
+    a = t.likes
+    return a.select("item_id", F.col("user_id").alias("u1")).join(a.select("item_id", F.col("user_id").alias("u2")), "item_id").where("u1 < u2").groupBy("u1", "u2").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+# --- counts and tops (D6-D12, D31, D33, D34, F5-F7, H6, H7, A17, A18) --------------------------------------------------------
+
+
+@q("SELECT item_id, COUNT(*) AS n FROM likes GROUP BY 1 HAVING COUNT(*) >= 12", "likes")
+def popular_items(t):
+    return t.likes.groupBy("item_id").agg(F.count("*").alias("n")).where("n >= 12").orderBy(F.desc("n"), "item_id")
+
+
+@q("SELECT item_id, COUNT(*) AS n FROM purchases WHERE liked = 1 AND poster IN (SELECT user_id FROM users WHERE segment = 'BUILDING') GROUP BY 1 HAVING COUNT(*) >= 4", "purchases", "users")
+def popular_items_owner_in(t):
+    return t.purchases.where("liked = 1").join(t.users.where("segment = 'BUILDING'").select(F.col("user_id").alias("poster")), "poster", "left_semi").groupBy("item_id").agg(F.count("*").alias("n")).where("n >= 4")
+
+
+@q("SELECT p_name AS name, MIN(p_partkey) AS id, COUNT(*) AS size FROM part GROUP BY 1 HAVING COUNT(*) > 1")
+def group_sizes(t):
+    return t.raw("part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"), F.count("*").alias("size")).where("size > 1")
+
+
+@q("SELECT group_id, COUNT(*) AS n FROM grp GROUP BY 1 HAVING COUNT(*) > 100", "grp")
+def group_sizes_above(t):
+    return t.groups.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 100")
+
+
+@q("SELECT group_id, COUNT(*) AS n FROM grp GROUP BY 1 ORDER BY n DESC, group_id LIMIT 10", "grp")
+def top_groups(t):
+    return features.top(t.groups, "group_id", 10)
+
+
+@q("SELECT group_id, COUNT(*) AS n FROM pg GROUP BY 1 ORDER BY n DESC, group_id LIMIT 3", "pg")
+def top_pages(t):
+    return features.top(t.pages, "group_id", 3)
+
+
+@q("SELECT item_id, COUNT(*) AS n FROM likes GROUP BY 1 ORDER BY n DESC, item_id LIMIT 25", "likes")
+def top_liked_items(t):
+    return features.top(t.likes, "item_id", 25)
+
+
+@q("SELECT CAST(FLOOR((YEAR(o_orderdate) + 4) / 5) * 5 AS BIGINT) AS band, COUNT(*) AS n FROM orders GROUP BY 1")
+def birth_band_hist(t):
+    return t.raw("orders").groupBy(fn.birth_band(F.year("o_orderdate")).cast("bigint").alias("band")).agg(F.count("*").alias("n"))
+
+
+@q("SELECT CAST(FLOOR((2012 - YEAR(o_orderdate)) / 5) AS BIGINT) AS bucket, COUNT(*) AS n FROM orders GROUP BY 1")
+def demographic_age(t):
+    return t.raw("orders").groupBy(fn.age_bucket(F.year("o_orderdate")).cast("bigint").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@q("SELECT o_custkey AS user_id, MAX(CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 0 END) AS degree FROM orders GROUP BY 1")
+def degree_max(t):
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "Graduate School").when(F.col("o_orderpriority") == "2-HIGH", "College").when(F.col("o_orderpriority") == "3-MEDIUM", "High School")
+    return t.raw("orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.max(fn.degree(kind)).alias("degree"))
+
+
+TOKENS = "SELECT conv_id, turn, role, UNNEST(string_split(lower(text), ' ')) AS raw FROM conversations"
+STOP = ("the", "de", "la")
+
+
+@q(f"w AS (SELECT translate(raw, '!.,-', '') AS word FROM ({TOKENS}) x) SELECT word, COUNT(*) AS n FROM w WHERE word <> '' AND word NOT IN {STOP} GROUP BY 1 HAVING COUNT(*) > 20")
+def word_frequency(t):
+    return t.messages.select(F.explode(fn.tokens(F.col("text"))).alias("word")).where(~F.col("word").isin(*STOP)).groupBy("word").agg(F.count("*").alias("n")).where("n > 20")
+
+
+@q(f"w AS (SELECT translate(raw, '!.,-', '') AS word FROM ({TOKENS}) x) SELECT word || '<>' || COUNT(*) AS line FROM w WHERE word <> '' GROUP BY word ORDER BY COUNT(*) DESC, word LIMIT 100")
+def top_words(t):
+    return features.top(t.messages.select(F.explode(fn.tokens(F.col("text"))).alias("word")), "word", 100).select(F.concat_ws("<>", "word", "n").alias("line"))
+
+
+@q("SELECT role, COUNT(*) AS n, SUM(CASE WHEN contains(text, 'tion') THEN 1 ELSE 0 END)::BIGINT AS n_word FROM conversations GROUP BY 1")
+def word_flags(t):
+    return t.messages.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.contains("text", F.lit("tion")).cast("int")).cast("bigint").alias("n_word"))
+
+
+@q("""SELECT conv_id, turn, len(list_filter(string_split_regex(translate(text, chr(10) || chr(13) || '.!,?"-', '        '), '\\s+'), lambda x: x <> '')) AS n_words FROM conversations""")
+def cleaned_messages(t):
+    return t.messages.select("conv_id", "turn", F.size(fn.cleaned_words(F.col("text"))).cast("bigint").alias("n_words"))
+
+
+@q("SELECT 'conversation' AS kind, conv_id AS id, text FROM conversations WHERE turn = 0 UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
+def message_dump(t):
+    return t.messages.where("turn = 0").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "text").unionByName(t.raw("benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), "text"))
+
+
+@q("SELECT doc_id, lang FROM documents WHERE NOT (text IS NULL OR text = '') AND lang = 'en'")
+def doc_filter(t):
+    return t.raw("documents").where("text is not null and text <> '' and lang = 'en'").select("doc_id", "lang")
+
+
+@q("SELECT doc_id FROM documents WHERE lang = 'en' OR (lang IS NULL AND NOT starts_with(text, 'http:'))")
+def language_keep(t):
+    return t.raw("documents").where("lang = 'en' or (lang is null and not startswith(text, 'http:'))").select("doc_id")
+
+
+# --- features (B12-B14, B16, C16-C26, A19, D32-D34) ------------------------------------------------------------------------
+
+ISAF = "e AS (SELECT DISTINCT kind, target AS ego, actor AS alter_id FROM contacts UNION SELECT kind, actor, target FROM contacts), f AS (SELECT DISTINCT e.ego AS user_id, l.item_id, e.kind FROM e JOIN likes l ON l.user_id = e.alter_id JOIN ratings r ON r.user_id = e.ego AND r.item_id = l.item_id)"
+
+
+def _isaf(t):
+    return features.by_contact(t.ratings, graph.edges(t.contacts, graph.BIDIR, "kind"), t.likes, "kind")
+
+
+@q(f"{ISAF} SELECT user_id, item_id, kind FROM f", "contacts", "likes", "ratings")
+def isaf_features(t):
+    return _isaf(t)
+
+
+@q(f"{ISAF} SELECT r.user_id, r.item_id, r.label, " + ", ".join(f"MAX(CASE WHEN f.kind = '{k}' THEN 1 ELSE 0 END) AS {k}" for k in KINDS) + " FROM ratings r LEFT JOIN f USING (user_id, item_id) GROUP BY 1, 2, 3", "contacts", "likes", "ratings")
+def isaf_wide(t):
+    return features.wide(t.ratings.select(*PAIR, "label"), _isaf(t), "kind", list(KINDS))
+
+
+def _asaf_sql(members: str, select: str) -> str:
+    return f"n AS (SELECT l.item_id, m.group_id, COUNT(DISTINCT l.user_id) AS n FROM likes l JOIN {members} m ON m.user_id = l.user_id GROUP BY 1, 2), a AS (SELECT r.user_id, r.item_id, m.group_id, n.n - CASE WHEN l.user_id IS NULL THEN 0 ELSE 1 END AS n_likers FROM ratings r JOIN {members} m ON m.user_id = r.user_id JOIN n ON n.item_id = r.item_id AND n.group_id = m.group_id LEFT JOIN likes l ON l.user_id = r.user_id AND l.item_id = r.item_id) SELECT {select} FROM a WHERE n_likers > 0"
+
+
+@q(_asaf_sql("grp", "user_id, item_id, group_id"), "likes", "grp", "ratings")
+def asaf_brand(t):
+    return features.by_group(t.ratings, t.groups, t.likes)
+
+
+@q(_asaf_sql("pg", "user_id, item_id, group_id"), "likes", "pg", "ratings")
+def asaf_type(t):
+    return features.by_group(t.ratings, t.pages, t.likes)
+
+
+@q(_asaf_sql("pg", "user_id, item_id, group_id, n_likers"), "likes", "pg", "ratings")
+def asaf_counts_url(t):
+    return features.by_group(t.ratings, t.pages, t.likes, counts=True)
+
+
+@q("tr AS (SELECT user_id, 'segment' AS trait, segment AS value FROM users UNION ALL SELECT user_id, 'locale', CAST(locale AS VARCHAR) FROM users) SELECT DISTINCT r.user_id, r.item_id, a.trait FROM ratings r JOIN tr a ON a.user_id = r.user_id JOIN likes l ON l.item_id = r.item_id AND l.user_id <> r.user_id JOIN tr b ON b.user_id = l.user_id AND a.trait = b.trait AND a.value = b.value", "users", "ratings", "likes")
+def trait_overlap(t):
+    u = t.users
+    traits = u.select("user_id", F.lit("segment").alias("trait"), F.col("segment").alias("value")).unionByName(u.select("user_id", F.lit("locale").alias("trait"), F.col("locale").cast("string").alias("value")))
+    return features.trait_overlap(t.ratings, traits, t.likes)
+
+
+@q("SELECT r.user_id, r.item_id, MAX(CASE WHEN a.gender = b.gender THEN 1 ELSE 0 END) AS same_gender, MAX(CASE WHEN a.locale = b.locale THEN 1 ELSE 0 END) AS same_locale, MAX(CASE WHEN FLOOR((a.locale + 4) / 5) = FLOOR((b.locale + 4) / 5) THEN 1 ELSE 0 END) AS same_band FROM ratings r JOIN users a ON a.user_id = r.user_id JOIN likes l ON l.item_id = r.item_id AND l.user_id <> r.user_id JOIN users b ON b.user_id = l.user_id GROUP BY 1, 2", "ratings", "users", "likes")
+def demographic_match(t):
+    u = t.users.select("user_id", "gender", "locale")
+    v = t.likes.join(u, "user_id").select("item_id", F.col("user_id").alias("liker"), F.col("gender").alias("g"), F.col("locale").alias("l"))
+    x = t.ratings.select(*PAIR).join(u, "user_id").join(v, "item_id").where("user_id <> liker")
+    return x.groupBy(*PAIR).agg(F.max((F.col("gender") == F.col("g")).cast("int")).alias("same_gender"), F.max((F.col("locale") == F.col("l")).cast("int")).alias("same_locale"), F.max(fn.same_band(F.col("locale"), F.col("l")).cast("int")).alias("same_band"))
+
+
+FRIENDLY = "fl AS (SELECT r.user_id, r.item_id, COUNT(DISTINCT f.alter_id) AS n FROM ratings r JOIN friends f ON f.ego = r.user_id JOIN likes l ON l.user_id = f.alter_id AND l.item_id = r.item_id GROUP BY 1, 2)"
+
+
+@q(f"{FRIENDLY} SELECT r.user_id, r.item_id, r.label, COALESCE(n, 0) AS n_friends FROM ratings r LEFT JOIN fl USING (user_id, item_id)", "ratings", "friends", "likes")
+def friend_liked_count(t):
+    return features.friend_likes(t.ratings.select(*PAIR, "label"), t.friends, t.likes)
+
+
+@q(f"{FRIENDLY}, x AS (SELECT r.label, COALESCE(n, 0) AS n FROM ratings r LEFT JOIN fl USING (user_id, item_id)) SELECT k, COUNT(*) AS n_rows, SUM(label)::BIGINT AS n_likes FROM x JOIN (SELECT UNNEST(range(0, 11)) AS k) g ON n >= k GROUP BY 1", "ratings", "friends", "likes")
+def friend_threshold_sizes(t):
+    x = friend_liked_count(t).groupBy(F.least("n_friends", F.lit(10)).alias("n")).agg(F.count("*").alias("r"), F.sum("label").alias("l"))
+    return x.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint"))).alias("k"), "r", "l").groupBy("k").agg(F.sum("r").alias("n_rows"), F.sum("l").cast("bigint").alias("n_likes"))
+
+
+@q("SELECT r.user_id, r.item_id, r.poster, a.group_id FROM ratings r JOIN grp a ON a.user_id = r.user_id JOIN grp b ON b.user_id = r.poster AND a.group_id = b.group_id", "ratings", "grp")
+def poster_membership(t):
+    return features.both_members(t.ratings.select(*PAIR, "poster"), t.groups).select(*PAIR, "poster", "group_id")
+
+
+@q(f"{ISAF}, {FRIENDLY}, w AS (SELECT r.user_id, r.item_id, r.label, " + ", ".join(f"MAX(CASE WHEN f.kind = '{k}' THEN 1 ELSE 0 END) AS {k}" for k in KINDS) + " FROM ratings r LEFT JOIN f USING (user_id, item_id) GROUP BY 1, 2, 3) SELECT w.*, COALESCE(fl.n, 0) AS n_friends FROM w LEFT JOIN fl USING (user_id, item_id)", "contacts", "likes", "ratings", "friends")
+def features_merged(t):
+    return features.merged(isaf_wide(t), friend_liked_count(t))
+
+
+@q(f"{ISAF}, w AS (SELECT r.user_id, r.item_id, r.label, " + ", ".join(f"MAX(CASE WHEN f.kind = '{k}' THEN 1 ELSE 0 END) AS {k}" for k in KINDS) + " FROM ratings r LEFT JOIN f USING (user_id, item_id) GROUP BY 1, 2, 3) SELECT * FROM w WHERE NOT (label = 1 AND click + purchase + error + signup + view = 0)", "contacts", "likes", "ratings")
+def drop_no_signal(t):
+    return features.drop_no_signal(isaf_wide(t), list(KINDS))
+
+
+@q(f"{ISAF}, w AS (SELECT r.user_id, r.item_id, r.label, " + ", ".join(f"MAX(CASE WHEN f.kind = '{k}' THEN 1 ELSE 0 END) AS {k}" for k in KINDS) + " FROM ratings r LEFT JOIN f USING (user_id, item_id) GROUP BY 1, 2, 3) SELECT user_id, item_id, label, click, purchase FROM w WHERE click + purchase + error + signup + view >= 2", "contacts", "likes", "ratings")
+def arff_threshold_rows(t):
+    return features.column_group(features.at_least_flags(isaf_wide(t), list(KINDS), 2), [*PAIR, "label"], {"click": None, "purchase": 1})
+
+
+@q(f"{ISAF} SELECT kind AS feature, COUNT(*) AS n_true FROM f GROUP BY 1", "contacts", "likes", "ratings")
+def true_counts(t):
+    return features.true_counts(isaf_wide(t), list(KINDS)).where("n_true > 0")
+
+
+@q("SELECT item_id, a.user_id AS u1, b.user_id AS u2, CAST(a.label = b.label AS INTEGER) AS value FROM ratings a JOIN ratings b USING (item_id) WHERE a.user_id < b.user_id", "ratings")
+def copreference_pairs(t):
+    return recommend.copreference(t.ratings)
 
 
 def queries():
-    return {}
+    from . import evaluation  # noqa: F401  registers its queries
+
+    return dict(QUERIES)
+
 
+def oracle_sql() -> dict[str, str]:
+    from . import evaluation  # noqa: F401
 
-def oracle_sql():
-    return {}
+    return dict(ORACLES)

@@ -27,12 +27,12 @@ class Relations:
     def purchases(self) -> DataFrame:
         lines = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
         orders = self.raw("orders").select("o_orderkey", "o_custkey")
-        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("poster"), F.col("l_quantity").alias("quantity"), (F.col("l_returnflag") == "R").cast("int").alias("liked"), F.col("l_shipdate").alias("at"))
+        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("poster"), F.col("l_quantity").alias("quantity"), (F.col("l_returnflag") == "R").cast("int").alias("liked"), F.col("l_shipdate").alias("shipped"))
 
     @property
     def ratings(self) -> DataFrame:
         """One row for each (user, item); a like wins over dislikes."""
-        return self.purchases.groupBy("user_id", "item_id").agg(F.max("liked").alias("label"), F.max("quantity").alias("quantity"), F.max("at").alias("at"), F.min("poster").alias("poster"))
+        return self.purchases.groupBy("user_id", "item_id").agg(F.max("liked").alias("label"), F.max("quantity").alias("quantity"), F.max("shipped").alias("shipped"), F.min("poster").alias("poster"))
 
     @property
     def likes(self) -> DataFrame:
@@ -72,8 +72,8 @@ class Relations:
 SQL = {
     "users": "users AS (SELECT c_custkey AS user_id, CAST(c_custkey % 2 AS INTEGER) AS gender, c_nationkey AS locale, c_mktsegment AS segment, c_acctbal AS balance FROM customer)",
     "items": "items AS (SELECT p_partkey AS item_id, p_brand AS brand, p_type AS kind, p_size AS size, p_retailprice AS price FROM part)",
-    "purchases": "purchases AS (SELECT o_custkey AS user_id, l_partkey AS item_id, l_suppkey AS poster, l_quantity AS quantity, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS liked, l_shipdate AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
-    "ratings": "ratings AS (SELECT user_id, item_id, MAX(liked) AS label, MAX(quantity) AS quantity, MAX(at) AS at, MIN(poster) AS poster FROM purchases GROUP BY 1, 2)",
+    "purchases": "purchases AS (SELECT o_custkey AS user_id, l_partkey AS item_id, l_suppkey AS poster, l_quantity AS quantity, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS liked, l_shipdate AS shipped FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "ratings": "ratings AS (SELECT user_id, item_id, MAX(liked) AS label, MAX(quantity) AS quantity, MAX(shipped) AS shipped, MIN(poster) AS poster FROM purchases GROUP BY 1, 2)",
     "likes": "likes AS (SELECT DISTINCT user_id, item_id FROM purchases WHERE liked = 1)",
     "friends": "friends AS (SELECT a.user_id AS ego, b.user_id AS alter_id FROM users a JOIN users b ON a.locale = b.locale AND a.segment = b.segment AND a.user_id <> b.user_id)",
     "ev": "ev AS (SELECT event_id, ts, user_id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, value FROM events)",
@@ -98,4 +98,6 @@ def with_relations(sql: str, *names: str, recursive: bool = False) -> str:
         add(n)
     sql = sql.strip()
     more = not sql.upper().startswith("SELECT")
+    if not order and not more:
+        return sql
     return f"WITH {'RECURSIVE ' * recursive}{', '.join(SQL[n] for n in order)}{', ' * (more and bool(order))}{' ' * (not more)}{sql}"
