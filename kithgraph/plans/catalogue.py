@@ -332,10 +332,10 @@ def demographic_age(t):
     return t.raw("orders").groupBy(fn.age_bucket(F.year("o_orderdate")).cast("bigint").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@q("SELECT o_custkey AS user_id, MAX(CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 0 END) AS degree FROM orders GROUP BY 1")
+@q("SELECT o_custkey AS user_id, MAX(CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 0 ELSE -1 END) AS degree FROM orders GROUP BY 1")
 def degree_max(t):
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "Graduate School").when(F.col("o_orderpriority") == "2-HIGH", "College").when(F.col("o_orderpriority") == "3-MEDIUM", "High School")
-    return t.raw("orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.max(fn.degree(kind)).alias("degree"))
+    return t.raw("orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.max(F.coalesce(fn.degree(kind), F.lit(-1))).alias("degree"))
 
 
 TOKENS = "SELECT conv_id, turn, role, UNNEST(string_split(lower(text), ' ')) AS raw FROM conversations"

@@ -82,12 +82,12 @@ def permutation(t):
 
 # --- candidates and top-k (C8, C9, F2, F8, A14) ---------------------------------------------------------------------------
 
-POSTS = f"posts AS (SELECT DISTINCT item_id, poster AS owner, poster + 1 AS poster FROM purchases WHERE CAST(shipped AS DATE) >= DATE '{AS_OF}' - 60)"
+POSTS = f"posts AS (SELECT DISTINCT item_id, poster AS owner, poster + poster % 2 AS poster FROM purchases WHERE CAST(shipped AS DATE) >= DATE '{AS_OF}' - 60)"
 SEEN = "NOT EXISTS (SELECT 1 FROM likes l WHERE l.user_id = c.user_id AND l.item_id = c.item_id) AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.user_id = c.user_id AND e.item_id = c.item_id)"
 
 
 def _posts(t):
-    return recommend.recent(t.purchases, 60, AS_OF).select("item_id", F.col("poster").alias("owner"), (F.col("poster") + 1).alias("poster")).distinct()
+    return recommend.recent(t.purchases, 60, AS_OF).select("item_id", F.col("poster").alias("owner"), (F.col("poster") + F.col("poster") % 2).alias("poster")).distinct()
 
 
 def _seen(t):
