@@ -130,7 +130,7 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a task
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_str(model), {}, most
+        self.tokenizer, self.known, self.whole, self.most = Tokenizer.from_str(model), {}, {}, most
         form = json.loads(model)
         form |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.bare = Tokenizer.from_str(json.dumps(form))
@@ -179,7 +179,7 @@ class WordEncoder:
         for i, t in enumerate(self.parting):
             same &= ids[i : len(ids) - n + 1 + i] == t
         ends = np.flatnonzero(same).tolist()
-        if len(ends) != len(run) or any(PARTING.encode() in k for k, _ in run):
+        if len(ends) != len(run) or PARTING.encode() in b"".join([k for k, _ in run]):
             self.known.update((k, np.array(self._ids(k.decode("utf-8", "surrogatepass")), np.uint32).tobytes()) for k, _ in run)
             return
         raw, at = ids.tobytes(), 0
@@ -194,10 +194,14 @@ class WordEncoder:
         del words
         if len(self.known) > self.most:
             self.known.clear()
-        split = [self._parts(v) for v in values]
-        self._learn(list({p for parts in split for p in parts if p not in self.known}))
-        known = self.known
-        parts = [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in split]
+        if len(self.whole) > self.most:
+            self.whole.clear()
+        whole, known = self.whole, self.known
+        new = {v: self._parts(v) for v in values if v not in whole}
+        self._learn([p for p in dict.fromkeys(p for parts in new.values() for p in parts) if p not in known])
+        for v, p in new.items():
+            whole[v] = known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]
+        parts = [whole[v] for v in values]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), np.uint32)
         sizes, starts = np.append(sizes, 1), np.append(np.cumsum(sizes) - sizes, len(flat))
@@ -233,7 +237,7 @@ def write(docs: DataFrame, path: str, model: str, end: int = 2, id_col: str = "d
             offset, ids, sizes, doc_ids, held = offset + held, [], [], [], 0
             return row
 
-        for batch in common.slices(batches, "text", 2 << 20):
+        for batch in common.slices(batches, "text", 6 << 20):
             new, n = encode(batch.column(1), end)
             ids, sizes, held = [*ids, new], [*sizes, n], held + len(new)
             doc_ids += batch.column(0).to_pylist()
