@@ -55,8 +55,10 @@ def lbfgs(f: Function, x: np.ndarray, memory: int = 5, tolerance: float = 1e-2,
         s, y = step * way, new_g - g
         if y @ s > 1e-12:
             pairs = [*pairs, (s, y)][-memory:]
-        x, g, change, loss = x + s, new_g, loss - new, new
-        trace.append(loss)
+        change = loss - new
+        if change > 0:
+            x, g, loss = x + s, new_g, new
+            trace.append(loss)
         if change < tolerance:
             break
     return x, trace
