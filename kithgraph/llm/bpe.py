@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -98,12 +99,16 @@ def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 
 
 #: White space beside ASCII's: texts with it are cut by the pattern as a whole.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = re.compile("[\x00\x01\x1c-\x1f\x85\xa0  -     　]")
 DOUBLE_SPACE = re.compile(" [ \t\n\r\f\v]|[\t\n\r\f\v] | $")
 
 
 class Cutter:
-    """Cuts texts into pattern matches and codes them; each distinct run between single spaces is cut once."""
+    """Cuts texts into pattern matches and codes them; each distinct run between single spaces is cut once a slice.
+
+    A space after a non-space always begins a match, so runs can be cut alone. A text's first run is marked by \\0; a text
+    that can't be cut at spaces is one run of its own, marked by \\1.
+    """
 
     def __init__(self, pattern: str):
         import regex
@@ -112,32 +117,50 @@ class Cutter:
         self.clear()
 
     def clear(self) -> None:
-        self.units: dict[str, np.ndarray] = {}
+        self.runs: dict[str, int] = {}
         self.words: dict[str, int] = {}
+        self.flat: list[int] = []
+        self.ends: list[int] = [0]
+        self.held: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
 
-    def codes(self, found: list[str]) -> list[int]:
+    def _learn(self, run: str) -> int:
+        found = self.cut(run[1:]) if run[:1] in ("\0", "\1") else self.cut(" " + run)
         words = self.words
-        return [words.setdefault(w, len(words)) for w in found]
-
-    def unit(self, unit: str) -> np.ndarray:
-        got = self.units.get(unit)
-        if got is None:
-            got = self.units[unit] = np.array(self.codes(self.cut(unit)), np.int32)
-        return got
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The codes of the text's matches. A space after a non-space always begins a match, so runs can be cut alone."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if ODD_SPACE.search(text) or DOUBLE_SPACE.search(text):
-            return np.array(self.codes(self.cut(text)), np.int32)
-        first, *rest = text.split(" ")
-        parts = [self.unit(first)] if first else []
-        if first == "" and not rest:
-            return np.zeros(0, np.int32)
-        get, unit = self.units.get, self.unit
-        parts += [u if (u := get(x := " " + y)) is not None else unit(x) for y in rest]
-        return np.concatenate(parts)
+        self.flat += [words.setdefault(w, len(words)) for w in found]
+        self.ends.append(len(self.flat))
+        k = self.runs[run] = len(self.runs)
+        return k
+
+    def add(self, texts: list[str | None]) -> None:
+        pieces, counts = [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if ODD_SPACE.search(text) or DOUBLE_SPACE.search(text):
+                pieces.append("\1" + text)
+                counts[i] = 1
+            else:
+                own = text.split(" ")
+                own[0] = "\0" + own[0]
+                pieces += own
+                counts[i] = len(own)
+        self.counts.append(counts)
+        if pieces:
+            d = pa.array(pieces, pa.large_string()).dictionary_encode()
+            get, learn = self.runs.get, self._learn
+            own = np.fromiter((k if (k := get(v)) is not None else learn(v) for v in d.dictionary.to_pylist()), np.int64, len(d.dictionary))
+            self.held.append(own[d.indices.to_numpy(zero_copy_only=False)])
+
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' codes so far and how many each text has."""
+        runs = np.concatenate(self.held) if self.held else np.zeros(0, np.int64)
+        counts = np.concatenate(self.counts)
+        ends, flat = np.array(self.ends, np.int64), np.array(self.flat, np.int64)
+        sizes = np.diff(ends)[runs]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.cumsum(counts)
+        return flat[common.ranges(ends[runs], sizes)], total[at] - total[at - counts]
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -172,6 +195,32 @@ def unpack_ids(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), np.frombuffer(raw, "<u4", -1, 4 + 4 * n)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """u32 numbers, lowest bytes first, then the next: most numbers are small, so the later planes are nearly empty."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _unplanes(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
+def pack_codes(codes: np.ndarray, place: np.ndarray) -> bytes:
+    """Codes in order of first appearance (so frequent words' are small), with each code's place among the dealt words."""
+    a, b = _planes(codes), _planes(place)
+    return len(a).to_bytes(8, "little") + a + b
+
+
+def unpack_codes(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    codes, place = _unplanes(blob[8 : 8 + n]), _unplanes(blob[8 + n :])
+    return place[codes] if len(codes) else codes
+
+
 #: One row a slice (bucket -1) with its documents and codes; one row a slice and bucket with the words it asks for.
 SLICED = "slice long, bucket int, doc_ids array<long>, sizes array<int>, packed binary"
 GATHERED = "bucket int, slices array<long>, asked array<binary>, words binary, units array<array<int>>"
@@ -181,37 +230,36 @@ REPLIES = "slice long, bucket int, ids binary"
 def _slicer(pattern: str, buckets: int):
     def run(batches):
         import xxhash
-        import zstandard
         from pyspark import TaskContext
 
         cutter, mark = Cutter(pattern), TaskContext.get().partitionId() << 32
 
-        def emit(ids, parts):
+        def emit(ids):
+            codes, sizes = cutter.codes()
             words = [w.encode("utf-8", "surrogatepass") for w in cutter.words]
+            cutter.clear()
             bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            codes = place[np.concatenate(parts)].astype("<u4")
-            cutter.clear()
             present, first = np.unique(bucket[order], return_index=True)
             ends = [*first[1:].tolist(), len(words)]
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
             order = order.tolist()
             asked = [pack_words([words[i] for i in order[a:b]]) for a, b in zip(first.tolist(), ends, strict=True)]
             k = len(asked)
-            return pa.RecordBatch.from_arrays([pa.array([mark] * (k + 1), pa.int64()), pa.array([-1, *present.tolist()], pa.int32()), pa.array([ids] + [None] * k, pa.list_(pa.int64())), pa.array([[len(p) for p in parts]] + [None] * k, pa.list_(pa.int32())), pa.array([zstandard.compress(codes.tobytes(), 3), *asked], pa.binary())], ["slice", "bucket", "doc_ids", "sizes", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array([mark] * (k + 1), pa.int64()), pa.array([-1, *present.tolist()], pa.int32()), pa.array([ids] + [None] * k, pa.list_(pa.int64())), pa.array([sizes.tolist()] + [None] * k, pa.list_(pa.int32())), pa.array([pack_codes(codes, place), *asked], pa.binary())], ["slice", "bucket", "doc_ids", "sizes", "packed"])
 
-        ids, parts, held = [], [], 0
+        ids, held = [], 0
         for batch in common.slices(batches, "text", 1 << 20):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(doc)
-                parts.append(cutter(text))
-                held += len(text or "")
+            texts = batch.column(1).to_pylist()
+            ids += batch.column(0).to_pylist()
+            cutter.add(texts)
+            held += sum(len(t) for t in texts if t)
             if held >= SLICE_BYTES or len(cutter.words) >= SLICE_WORDS:
-                yield emit(ids, parts)
-                ids, parts, held, mark = [], [], 0, mark + 1
+                yield emit(ids)
+                ids, held, mark = [], 0, mark + 1
         if ids:
-            yield emit(ids, parts)
+            yield emit(ids)
 
     return run
 
@@ -270,8 +318,6 @@ def _replier(ranks_b, pairs_b):
 
 def _assembler(ranks_b, with_ids: bool):
     def run(batches):
-        import zstandard
-
         ranks = ranks_b.value
         size = max(ranks.values()) + 1
         bytes_of = [b""] * size
@@ -288,7 +334,7 @@ def _assembler(ranks_b, with_ids: bool):
                 lists = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                 texts = [b" ".join([told[i] for i in x]) for x in lists]
                 raws = [b"".join([bytes_of[i] for i in x]) for x in lists]
-                codes = np.frombuffer(zstandard.decompress(one.column(2)[0].as_py()), "<u4")
+                codes = unpack_codes(one.column(2)[0].as_py())
                 out, at = [[], [], [], []], 0
                 sizes = one.column(1)[0].values.to_pylist()
                 for n in sizes:
@@ -310,6 +356,13 @@ def _assembler(ranks_b, with_ids: bool):
     return run
 
 
+def _bucketed(df: DataFrame, n: int) -> DataFrame:
+    """df as a table bucketed by slice, so that the later join moves the replies only. It is in the warehouse, which all share."""
+    name = f"bpe_slices_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, "slice").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) for every row; a null or empty text has no tokens.
 
@@ -322,7 +375,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     ranks_b, pairs_b = spark.sparkContext.broadcast(ranks), spark.sparkContext.broadcast(pairs)
     literal, n = rank_literal(pairs), common.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sliced = common.kept(rows.mapInArrow(_slicer(pattern, n), SLICED), "bpe-slices")
+    sliced = _bucketed(rows.mapInArrow(_slicer(pattern, n), SLICED), n)
     asked = sliced.where("bucket >= 0").select("bucket", "slice", "packed").repartitionById(n, "bucket").sortWithinPartitions("bucket")
     folded = asked.mapInArrow(_gatherer(ranks_b), GATHERED).withColumn("units", F.transform("units", lambda w: fold(w, literal)))
     replies = folded.mapInArrow(_replier(ranks_b, pairs_b), REPLIES).groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("replies"))
