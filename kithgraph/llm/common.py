@@ -153,3 +153,10 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
     while held.tell() < len(raw):
         out.append(np.load(held, allow_pickle=False))
     return out
+
+
+def bucketed(df: DataFrame, name: str, n: int, column: str) -> DataFrame:
+    """df as a table of the warehouse, which all share, bucketed by a column: a later join on it moves only the other side."""
+    name = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, column).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
