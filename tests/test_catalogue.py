@@ -35,7 +35,7 @@ def test_all_have_sql():
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
-    found = duck.execute(f"select {', '.join(columns)} from ({ORACLES[name]}) t").fetchall()
+    found = duck.execute(f"select {', '.join(f'"{c}"' for c in columns)} from ({ORACLES[name]}) t").fetchall()
     assert plain(df.select(*columns).collect()) == plain(found)
 
 
