@@ -79,6 +79,11 @@ def fold(units: Column, ranks: Column) -> Column:
     return F.when(F.size(units) < 2, units).otherwise(F.aggregate(F.slice(units, 2, F.size(units)), F.struct(units.alias("p"), first.alias("r")), step, lambda s: s["p"]))
 
 
+def fold_all(words: Column, ranks: Column) -> Column:
+    """fold() of each word of an array. The literal stands once in the plan, whose text the driver keeps for each update."""
+    return _let(ranks, lambda m: F.transform(words, lambda w: fold(w, m)))
+
+
 def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     """The same merges for a long word, with a heap."""
     n = len(ids)
@@ -377,7 +382,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sliced = _bucketed(rows.mapInArrow(_slicer(pattern, n), SLICED), n)
     asked = sliced.where("bucket >= 0").select("bucket", "slice", "packed").repartitionById(n, "bucket").sortWithinPartitions("bucket")
-    folded = asked.mapInArrow(_gatherer(ranks_b), GATHERED).withColumn("units", F.transform("units", lambda w: fold(w, literal)))
+    folded = asked.mapInArrow(_gatherer(ranks_b), GATHERED).withColumn("units", fold_all(F.col("units"), literal))
     replies = folded.mapInArrow(_replier(ranks_b, pairs_b), REPLIES).groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("replies"))
     joined = sliced.where("bucket = -1").select("slice", "doc_ids", "sizes", "packed").join(replies, "slice", "left")
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
