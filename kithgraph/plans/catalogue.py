@@ -475,9 +475,9 @@ def copreference_pairs(t):
 
 
 def queries():
-    from . import evaluation  # noqa: F401  registers its queries
+    from . import evaluation, fitted  # noqa: F401  evaluation registers its queries
 
-    return dict(QUERIES)
+    return QUERIES | fitted.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,10 +28,12 @@ def plain(rows):
 
 
 def test_all_have_sql():
-    assert set(QUERIES) == set(ORACLES) and len(QUERIES) > 120
+    from kithgraph.plans import fitted
 
+    assert set(QUERIES) == set(ORACLES) | set(fitted.QUERIES) and len(ORACLES) > 120
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
@@ -77,3 +79,8 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("seen").agg({"n": "sum"}).first()[0] == spark.read.parquet(str(src)).count()
+
+
+@pytest.mark.parametrize("name", ["spectral_mf_fit", "lr_fit"])
+def test_fitted(spark, name):
+    assert QUERIES[name](spark, DATA).count() > 0
