@@ -64,7 +64,7 @@ def test_stages():
 
 def test_entry_without_text_operators(tmp_path):
     shutil.copytree(REPO, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'exposure_by_k' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) == set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'exposure_by_k' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) < set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={**os.environ, "PYTHONPATH": ""})
 
 
