@@ -20,9 +20,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays. Rows that repeat an id become one."""
+    """Of each group of near copies the document with the least id stays; rows that repeat its id and text become one."""
     gone = jaccard.join(docs).where("group_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
