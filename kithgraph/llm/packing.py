@@ -8,11 +8,11 @@ Segments are rows of a Parquet table, so Spark's committer writes them and any s
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,91 +117,79 @@ class WordEncoder:
     The tokenizer must lower-case, drop white space, never join pieces across it and part letters from punctuation, as one
     does whose pre-tokenizer matches runs of letters. So a piece of letters and marks is its letters, then its marks. New
     pieces go to the library in runs parted by PARTING, whose own ids then show where each piece ends; a run whose pieces
-    don't come out one by one is encoded piece by piece. Pieces of letters that no normalisation changes go straight to
-    the model, without normaliser and pattern.
+    don't come out one by one is encoded piece by piece. Pieces of Latin-1 letters, which no normalisation but lower-casing
+    changes, go straight to the model, without normaliser and pattern. At most `most` pieces and those of one call are held.
     """
 
-    MARKS = b".,;:!?"
+    MARKS = ".,;:!?"
+    LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
-    def __init__(self, model: str, most: int = 200_000):
+    def __init__(self, model: str, most: int = 400_000):
         import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a task
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.whole, self.most = Tokenizer.from_str(model), {}, {}, most
+        self.tokenizer, self.known, self.most = Tokenizer.from_str(model), {}, most
         form = json.loads(model)
         form |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.bare = Tokenizer.from_str(json.dumps(form))
-        self.letters = {i: c for i, c in enumerate(byte_letters())}
+        self.letters = {i: c for i, c in enumerate(byte_letters())} | {32: " "}
         self.parting = self._ids(PARTING)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _parts(self, piece: bytes) -> tuple[bytes, ...]:
-        if b"<" in piece:  # a special token's string is one only as it is written
-            return (piece,)
-        piece = piece.translate(common.LOWER)
-        base = piece.rstrip(self.MARKS)
-        if base and len(base) < len(piece) and (base[-1:].isalpha() or base[-1] >= 128 and base.decode("utf-8", "replace")[-1].isalpha()):
-            return base, piece[len(base) :]
-        return (piece,)
-
-    def _bare(self, piece: bytes) -> str | None:
-        """The piece as the model takes it, if it is letters that stay as they are."""
-        if piece.isalpha():
-            return piece.decode()
-        s = piece.decode("utf-8", "surrogatepass")
-        if s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s):
-            return piece.decode("latin-1").translate(self.letters)
-        return None
-
-    def _learn(self, new: list[bytes]) -> None:
-        bare, full = [], []
-        for piece in new:
-            if (s := self._bare(piece)) is not None:
-                bare.append((piece, s))
-            else:
-                full.append((piece, piece.decode("utf-8", "surrogatepass")))
-        mark = PARTING.encode().decode("latin-1").translate(self.letters)
-        for tokenizer, some, parting in ((self.bare, bare, mark), (self.tokenizer, full, PARTING)):
-            for a in range(0, len(some), 8000):
-                runs = [some[b : b + 200] for b in range(a, min(a + 8000, len(some)), 200)]
-                found = tokenizer.encode_batch_fast([f" {parting} ".join([s for _, s in run]) + f" {parting}" for run in runs], add_special_tokens=False)
-                for run, e in zip(runs, found, strict=True):
-                    self._keep(run, np.array(e.ids, np.uint32))
-
-    def _keep(self, run: list[tuple[bytes, str]], ids: np.ndarray) -> None:
+    def _learn(self, new: pa.Array) -> None:
+        known = self.known
+        base = pc.ascii_rtrim(new, characters=self.MARKS)
+        plain = pc.match_substring_regex(base, self.LETTERS)
+        whole, base = new.filter(plain).to_pylist(), pc.utf8_lower(base.filter(plain)).to_pylist()
+        tails = [v[len(b) :] for v, b in zip(whole, base, strict=True)]
+        self._encode(self.bare, [b for b in dict.fromkeys(base) if b not in known])
+        self._encode(self.tokenizer, [v for v in dict.fromkeys([*new.filter(pc.invert(plain)).to_pylist(), *tails]) if v not in known])
+        known.update((v, known[b] + known[t] if t else known[b]) for v, b, t in zip(whole, base, tails, strict=True))
+
+    def _encode(self, tokenizer, some: list[str]) -> None:
+        for a in range(0, len(some), 8000):
+            runs = [some[b : b + 200] for b in range(a, min(a + 8000, len(some)), 200)]
+            texts = [f" {PARTING} ".join(run) + f" {PARTING}" for run in runs]
+            if tokenizer is self.bare:
+                texts = [t.encode().decode("latin-1").translate(self.letters) for t in texts]
+            for run, e in zip(runs, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                self._keep(run, np.array(e.ids, np.uint32))
+
+    def _keep(self, run: list[str], ids: np.ndarray) -> None:
         n = len(self.parting)
         same = np.ones(max(0, len(ids) - n + 1), bool)
         for i, t in enumerate(self.parting):
             same &= ids[i : len(ids) - n + 1 + i] == t
         ends = np.flatnonzero(same).tolist()
-        if len(ends) != len(run) or PARTING.encode() in b"".join([k for k, _ in run]):
-            self.known.update((k, np.array(self._ids(k.decode("utf-8", "surrogatepass")), np.uint32).tobytes()) for k, _ in run)
+        if len(ends) != len(run) or PARTING in "".join(run):
+            self.known.update((k, np.array(self._ids(k), np.uint32).tobytes()) for k in run)
             return
         raw, at = ids.tobytes(), 0
-        for (k, _), end in zip(run, ends, strict=True):
+        for k, end in zip(run, ends, strict=True):
             self.known[k] = raw[4 * at : 4 * end]
             at = end + n
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, `end` after each text, and the number of ids of each text."""
-        words, counts = common.flat_words(texts, bytes(range(256)))
-        values, codes = common.coded(words)
-        del words
+        # a special token's string is one only as it is written
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts)))
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        del lists
         if len(self.known) > self.most:
             self.known.clear()
-        if len(self.whole) > self.most:
-            self.whole.clear()
-        whole, known = self.whole, self.known
-        new = {v: self._parts(v) for v in values if v not in whole}
-        self._learn([p for p in dict.fromkeys(p for parts in new.values() for p in parts) if p not in known])
-        for v, p in new.items():
-            whole[v] = known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]
-        parts = [whole[v] for v in values]
+        known = self.known
+        known[""] = b""
+        values = words.dictionary.to_pylist()
+        new = np.fromiter((v not in known for v in values), bool, len(values))
+        if new.any():
+            self._learn(words.dictionary.filter(pa.array(new)))
+        parts = [known[v] for v in values]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), np.uint32)
         sizes, starts = np.append(sizes, 1), np.append(np.cumsum(sizes) - sizes, len(flat))
@@ -210,7 +198,7 @@ class WordEncoder:
         stream = np.full(int(at[-1]) if len(at) else 0, len(sizes) - 1, np.int64)
         inside = np.ones(len(stream), bool)
         inside[at - 1] = False
-        stream[inside] = codes
+        stream[inside] = words.indices.to_numpy(zero_copy_only=False)
         n = sizes[stream]
         return flat[common.ranges(starts[stream], n)], np.add.reduceat(n, at - counts - 1) if len(at) else np.zeros(0, np.int64)
 
