@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC, BLOCK, SEGMENT_IDS = b"PFR1", 128, 1 << 19
+#: Text bytes encoded at once, in whole rows: the more, the more words repeat.
+SLICE_BYTES = 12 << 20
 
 
 def pack(ids: np.ndarray, percentile: float = 0.9) -> bytes:
@@ -111,6 +113,11 @@ def byte_letters() -> str:
     return "".join(chr(i if i in plain else next(rest)) for i in range(256))
 
 
+def strings(x: pa.Array) -> list[str]:
+    """to_pylist() without a scalar for each value."""
+    return x.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Encodes texts piece by piece at ASCII white space, each distinct piece once.
 
@@ -145,10 +152,10 @@ class WordEncoder:
         known = self.known
         base = pc.ascii_rtrim(new, characters=self.MARKS)
         plain = pc.match_substring_regex(base, self.LETTERS)
-        whole, base = new.filter(plain).to_pylist(), pc.utf8_lower(base.filter(plain)).to_pylist()
+        whole, base = strings(new.filter(plain)), strings(pc.utf8_lower(base.filter(plain)))
         tails = [v[len(b) :] for v, b in zip(whole, base, strict=True)]
         self._encode(self.bare, [b for b in dict.fromkeys(base) if b not in known])
-        self._encode(self.tokenizer, [v for v in dict.fromkeys([*new.filter(pc.invert(plain)).to_pylist(), *tails]) if v not in known])
+        self._encode(self.tokenizer, [v for v in dict.fromkeys([*strings(new.filter(pc.invert(plain))), *tails]) if v not in known])
         known.update((v, known[b] + known[t] if t else known[b]) for v, b, t in zip(whole, base, tails, strict=True))
 
     def _encode(self, tokenizer, some: list[str]) -> None:
@@ -185,22 +192,20 @@ class WordEncoder:
             self.known.clear()
         known = self.known
         known[""] = b""
-        values = words.dictionary.to_pylist()
-        new = np.fromiter((v not in known for v in values), bool, len(values))
-        if new.any():
-            self._learn(words.dictionary.filter(pa.array(new)))
-        parts = [known[v] for v in values]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), np.uint32)
-        sizes, starts = np.append(sizes, 1), np.append(np.cumsum(sizes) - sizes, len(flat))
-        flat = np.append(flat, np.uint32(end))
+        values = strings(words.dictionary)
+        parts = pa.array(map(known.get, values), pa.large_binary())
+        if parts.null_count:
+            self._learn(words.dictionary.filter(parts.is_null()))
+            parts = pa.array(map(known.__getitem__, values), pa.large_binary())
+        parts = pa.concat_arrays([parts, pa.array([np.array([end], np.uint32).tobytes()], pa.large_binary())])
         at = np.cumsum(counts + 1)  # an end after each text
-        stream = np.full(int(at[-1]) if len(at) else 0, len(sizes) - 1, np.int64)
+        stream = np.full(int(at[-1]) if len(at) else 0, len(values), np.int32)
         inside = np.ones(len(stream), bool)
         inside[at - 1] = False
         stream[inside] = words.indices.to_numpy(zero_copy_only=False)
-        n = sizes[stream]
-        return flat[common.ranges(starts[stream], n)], np.add.reduceat(n, at - counts - 1) if len(at) else np.zeros(0, np.int64)
+        _, ends, raw = parts.take(pa.array(stream)).buffers()
+        ends = np.frombuffer(ends, np.int64, len(stream) + 1) // 4
+        return np.frombuffer(raw, np.uint32, int(ends[-1])), np.diff(ends[np.append(0, at)])
 
 
 def write(docs: DataFrame, path: str, model: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -225,7 +230,7 @@ def write(docs: DataFrame, path: str, model: str, end: int = 2, id_col: str = "d
             offset, ids, sizes, doc_ids, held = offset + held, [], [], [], 0
             return row
 
-        for batch in common.slices(batches, "text", 6 << 20):
+        for batch in common.slices(batches, "text", SLICE_BYTES):
             new, n = encode(batch.column(1), end)
             ids, sizes, held = [*ids, new], [*sizes, n], held + len(new)
             doc_ids += batch.column(0).to_pylist()
