@@ -118,6 +118,15 @@ def slices(batches, text_col: str, limit: int = 4 << 20):
             yield batch.slice(start)
 
 
+def release() -> None:
+    """Hand freed memory back to the system: workers are kept for many tasks, and two share an executor's memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start+1, ... for each (start, length), one after the other."""
     ends = np.cumsum(lengths)
