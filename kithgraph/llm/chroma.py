@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RATE, FRAME, HOP, WIDTH = 8000, 512, 64, 16
-#: An aligned pair: at most this bit error over at least OVERLAP integers, found by at least VOTES equal integers at one offset.
+#: A recording of FRAME + (WIDTH - 1) * HOP = 704 bytes fills one integer, each HOP more gives another.
+RATE, FRAME, HOP, WIDTH = 8000, 512, 64, 4
+#: An aligned pair: at most this bit error over at least OVERLAP integers, found by at least VOTES equal integers at one offset (or as
+#: many as the shorter recording has).
 ERROR, OVERLAP, VOTES = 0.3, 12, 3
 #: Bytes of query fingerprints in one broadcast block.
 BLOCK_BYTES = 8 << 20
@@ -24,7 +26,7 @@ BLOCK_BYTES = 8 << 20
 
 def filters() -> list[tuple[int, int, int, int]]:
     """(kind, first pitch class, pitch classes, frames) of the 16 filters, by rule: every kind at growing sizes."""
-    return [(i % 6, (5 * i) % 8, 3 + i % 3 * (4 - (5 * i) % 8 // 4) // 2 + 1, (4, 8, 16)[i // 6]) for i in range(16)]
+    return [(i % 6, (5 * i) % 8, 3 + i % 3 * (4 - (5 * i) % 8 // 4) // 2 + 1, (2, 3, 4)[i // 6]) for i in range(16)]
 
 
 LIMITS = np.log([0.8, 1.0, 1.25])
@@ -137,7 +139,7 @@ class Queries:
         pair, votes = np.unique(np.stack([who, offset]), axis=1, return_counts=True)
         best: dict[int, tuple[int, int]] = {}
         for (q, o), n in zip(pair.T.tolist(), votes.tolist(), strict=True):
-            if n >= min(VOTES, len(self.prints[q])) and (n, -abs(o)) > (best.get(q, (0, 0))[1], -abs(best.get(q, (0, 0))[0])):
+            if n >= min(VOTES, len(p), len(self.prints[q])) and (n, -abs(o)) > (best.get(q, (0, 0))[1], -abs(best.get(q, (0, 0))[0])):
                 best[q] = (o, n)
         out = []
         for q, (o, n) in best.items():

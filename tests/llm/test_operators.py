@@ -375,3 +375,14 @@ def test_search(spark, docs, nothing):
         assert got[i].n_queries == len(found) + len(copy)
         assert got[i].best_query == (copy[0] if copy else min(found)[1] if found else None)
     assert chroma.search(nothing, query, "doc_id", "text").count() == 0
+
+
+def test_short_recordings():
+    """Exact excerpts of 720 to 1,500 bytes, which are shorter than the vote floor of long recordings, are aligned with their source."""
+    rng = np.random.default_rng(3)
+    x = (128 + 60 * np.sin(2 * np.pi * np.cumsum(rng.choice([220, 262, 330, 392, 440, 550], 60).repeat(150)) / 8000)).astype(np.uint8).tobytes()
+    q = chroma.Queries([7], [chroma.fingerprint(x).tobytes()])
+    for n in (720, 800, 1000, 1500):
+        p = chroma.fingerprint(x[64 * 30 : 64 * 30 + n])
+        assert len(p) == 1 + (n - 704) // 64
+        assert [(k, o, e) for k, o, _, e in q.align(p)] == [(0, -30, 0.0)]
