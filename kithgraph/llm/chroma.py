@@ -3,7 +3,7 @@
 A recording is a binary column of 8-bit PCM. Frames of FRAME samples every HOP are taken to the energy of the 12 pitch
 classes, each frame to unit length. Sixteen filters over an integral image of WIDTH frames compare areas of that image; two
 bits each (Gray coded) make one packed 32-bit integer a frame. Two recordings are aligned by the histogram of offsets
-between equal integers; the best offset's bit error over the whole overlap decides.
+between equal integers, every occurrence of each; the bit error of the matching run at each well-voted offset decides.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from . import common
 
 #: A recording of FRAME + (WIDTH - 1) * HOP = 704 bytes fills one integer, each HOP more gives another.
 RATE, FRAME, HOP, WIDTH = 8000, 512, 64, 4
-#: An aligned pair: at most this bit error over at least OVERLAP integers, found by at least VOTES equal integers at one offset (or as
+#: An aligned pair: a run of at least OVERLAP integers at one offset with at most this bit error, at least VOTES of them equal (or as
 #: many as the shorter recording has).
 ERROR, OVERLAP, VOTES = 0.3, 12, 3
 #: Bytes of query fingerprints in one broadcast block.
 BLOCK_BYTES = 8 << 20
+#: Equal pairs expanded at once; an integer that makes more of them by itself is counted by correlation.
+PAIRS = 1 << 20
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -112,49 +114,118 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(a[lo:hi] ^ b[lo + offset : hi + offset]).sum()) / (32 * (hi - lo)), hi - lo
 
 
+def matching_run(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int, float] | None:
+    """(equal integers, length, bit error) of the run of a against b at an offset, or None.
+
+    The run is the stretch of at least OVERLAP integers that gains most, where each integer gains ERROR less its bit error; what
+    differs around a shared passage loses and stays outside. A run with too few equal integers is cut out and both sides are tried.
+    """
+    lo, hi = max(0, -offset), min(len(a), len(b) - offset)
+    short = min(len(a), len(b))
+    least, votes = min(OVERLAP, short), min(VOTES, short)
+    if hi - lo < least:
+        return None
+    wrong = np.bitwise_count(a[lo:hi] ^ b[lo + offset : hi + offset]).astype(np.int64)
+    gain = np.concatenate([[0], np.cumsum(round(320 * ERROR) - 10 * wrong)])
+    equal = np.concatenate([[0], np.cumsum(wrong == 0)])
+    todo = [(0, hi - lo)]
+    while todo:
+        i, j = todo.pop()
+        if j - i < least or equal[j] - equal[i] < votes:
+            continue
+        low = np.minimum.accumulate(gain[i : j - least + 1])
+        rise = gain[i + least : j + 1] - low
+        k = int(rise.argmax())
+        if rise[k] < 0:
+            continue
+        begin, end = i + int(gain[i : i + k + 1].argmin()), i + k + least
+        if equal[end] - equal[begin] >= votes:
+            return int(equal[end] - equal[begin]), end - begin, float(wrong[begin:end].sum()) / (32 * (end - begin))
+        todo += [(i, begin), (end, j)]
+    return None
+
+
 class Queries:
-    """A block of query fingerprints, by integer. Each integer votes once a recording, at its first place."""
+    """A block of query fingerprints, by integer. Every occurrence of an integer votes."""
 
     def __init__(self, ids: list[int], prints: list[bytes]):
         self.ids, self.prints = ids, [np.frombuffer(p, np.uint32) for p in prints]
-        value, owner, place = [], [], []
-        for i, p in enumerate(self.prints):
-            v, at = np.unique(p, return_index=True)
-            value.append(v)
-            owner.append(np.full(len(v), i))
-            place.append(at)
-        value = np.concatenate(value) if value else np.zeros(0, np.uint32)
+        self.sizes = np.array([len(p) for p in self.prints], np.int64)
+        value = np.concatenate(self.prints) if self.prints else np.zeros(0, np.uint32)
         order = np.argsort(value, kind="stable")
-        self.owner, self.place = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (owner, place))
+        self.owner = np.repeat(np.arange(len(self.prints), dtype=np.int32), self.sizes)[order]
+        self.place = common.ranges(np.zeros(len(self.prints), np.int64), self.sizes).astype(np.int32)[order]
         self.values, self.first, self.count = np.unique(value[order], return_index=True, return_counts=True)
 
+    def votes(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, offset, equal integers) of each query and offset where p and the query have any."""
+        none = np.zeros(0, np.int64)
+        if not len(self.values) or not len(p):
+            return none, none, none
+        k = np.minimum(np.searchsorted(self.values, p), len(self.values) - 1)
+        at = np.flatnonzero(self.values[k] == p)
+        k = k[at]
+        kinds, which, own = np.unique(k, return_inverse=True, return_counts=True)
+        heavy = own * self.count[kinds] > PAIRS
+        span = 1 << 32
+        found, counts = [none], [none]
+
+        def add(key: np.ndarray, n: np.ndarray) -> None:
+            found.append(key)
+            counts.append(n)
+
+        for v in np.flatnonzero(heavy).tolist():
+            rows = slice(self.first[kinds[v]], self.first[kinds[v]] + self.count[kinds[v]])
+            owner, place = self.owner[rows], self.place[rows]
+            mine = np.zeros(len(p))
+            mine[at[which == v]] = 1
+            for q, a, n in zip(*np.unique(owner, return_index=True, return_counts=True), strict=True):
+                size = int(self.sizes[q])
+                other = np.zeros(size)
+                other[size - 1 - place[a : a + n]] = 1
+                width = 1 << int(len(p) + size - 1).bit_length()
+                hist = np.rint(np.fft.irfft(np.fft.rfft(mine, width) * np.fft.rfft(other, width), width)[: len(p) + size - 1]).astype(np.int64)
+                o = np.flatnonzero(hist)
+                add(int(q) * span + (o - (size - 1)) + (span >> 1), hist[o])
+        light = ~heavy[which]
+        k, at = k[light], at[light]
+        part = np.cumsum(self.count[k]) // PAIRS
+        for c in np.unique(part).tolist():
+            i, j = np.searchsorted(part, [c, c + 1])
+            rows = common.ranges(self.first[k[i:j]], self.count[k[i:j]])
+            offset = np.repeat(at[i:j], self.count[k[i:j]]) - self.place[rows]
+            add(*np.unique(self.owner[rows].astype(np.int64) * span + offset + (span >> 1), return_counts=True))
+        key, back = np.unique(np.concatenate(found), return_inverse=True)
+        n = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+        return key // span, key % span - (span >> 1), n
+
     def align(self, p: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(query, offset of p against it, votes, bit error) of each query that is aligned with p."""
-        v, at = np.unique(p, return_index=True)
-        k = np.minimum(np.searchsorted(self.values, v), max(0, len(self.values) - 1))
-        got = self.values[k] == v if len(self.values) else np.zeros(len(v), bool)
-        k, at = k[got], at[got]
-        rows = common.ranges(self.first[k], self.count[k])
-        who, offset = self.owner[rows], np.repeat(at, self.count[k]) - self.place[rows]
-        pair, votes = np.unique(np.stack([who, offset]), axis=1, return_counts=True)
-        best: dict[int, tuple[int, int]] = {}
-        for (q, o), n in zip(pair.T.tolist(), votes.tolist(), strict=True):
-            if n >= min(VOTES, len(p), len(self.prints[q])) and (n, -abs(o)) > (best.get(q, (0, 0))[1], -abs(best.get(q, (0, 0))[0])):
-                best[q] = (o, n)
-        out = []
-        for q, (o, n) in best.items():
-            e, met = bit_error(self.prints[q], p, o)
-            if e <= ERROR and met >= min(OVERLAP, len(p), len(self.prints[q])):
-                out.append((q, o, n, e))
+        """(query, offset of p against it, votes, bit error) of each query that is aligned with p.
+
+        Offsets are tried from the most votes on (ties: the nearest to 0) and the first with a matching run is given, with the
+        run's equal integers and bit error.
+        """
+        who, offset, n = self.votes(p)
+        use = n >= np.minimum(VOTES, np.minimum(len(p), self.sizes[who]))
+        who, offset, n = who[use], offset[use], n[use]
+        out, done = [], -1
+        for i in np.lexsort((offset, np.abs(offset), -n, who)).tolist():
+            q, o = int(who[i]), int(offset[i])
+            if q != done and (run := matching_run(self.prints[q], p, o)):
+                out.append((q, o, run[0], run[2]))
+                done = q
         return out
 
 
+LINKS = "array<struct<query: bigint, offset: bigint, votes: bigint, bit_error: double>>"
+
+
 def search(recordings: DataFrame, is_query, id_col: str, pcm_col: str) -> DataFrame:
-    """One row for each recording: doc_id, class_id, n_prints, n_queries, best_query, best_offset, votes, bit_error.
+    """One row for each recording: doc_id, class_id, n_prints, n_queries, best_query, best_offset, votes, bit_error, links.
 
     Recordings with equal fingerprints are one class (class_id: its least id) and are aligned once. n_queries counts the
     query classes aligned with the recording, its own copies' query included, itself not; best_query is the one of least
-    bit error (ties: least id), null if none. Null and empty recordings have no prints and align with nothing. Queries go
+    bit error (ties: least id), null if none. links are all of them: (query, offset, votes, bit_error), the best first. Null and empty recordings have no prints and align with nothing. Queries go
     to the tasks in blocks of at most BLOCK_BYTES; every recording meets every block.
     """
     spark = recordings.sparkSession
@@ -179,10 +250,12 @@ def search(recordings: DataFrame, is_query, id_col: str, pcm_col: str) -> DataFr
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).orderBy("query_id").select("query_id", "prints").collect()
         blocks.append(spark.sparkContext.broadcast(([r[0] for r in part], [bytes(r[1]) for r in part])))
 
+    link = pa.list_(pa.struct([("query", pa.int64()), ("offset", pa.int64()), ("votes", pa.int64()), ("bit_error", pa.float64())]))
+
     def align(batches):
         made_of: dict = {}
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = []
             for own, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 p, found = np.frombuffer(raw, np.uint32), []
                 for b, block in enumerate(blocks):
@@ -191,18 +264,19 @@ def search(recordings: DataFrame, is_query, id_col: str, pcm_col: str) -> DataFr
                             made_of.clear()
                         made_of[b] = Queries(*block.value)
                     found += [(e, made_of[b].ids[q], o, n) for q, o, n, e in made_of[b].align(p) if made_of[b].ids[q] != own]
-                best = min(found, default=(None, None, None, None))
-                for x, y in zip(out, (len(found), best[1], best[2], best[3], best[0]), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.float64())], ["class_id", "n", "bq", "bo", "bv", "be"])
+                out.append([{"query": q, "offset": o, "votes": n, "bit_error": e} for e, q, o, n in sorted(found)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, link)], ["class_id", "found"])
 
-    found = held.select("class_id", "query_id", "prints").repartition(common.partitions(spark)).mapInArrow(align, "class_id long, n long, bq long, bo long, bv long, be double")
+    found = held.select("class_id", "query_id", "prints").repartition(common.partitions(spark)).mapInArrow(align, f"class_id long, found {LINKS}")
     known = held.select("class_id", "query_id", "k1", "k2").join(found, "class_id")
     copy = F.col("query_id").isNotNull() & (F.col("query_id") != F.col("doc_id"))
-    return made.select("doc_id", "n_prints", "k1", "k2").join(known, ["k1", "k2"], "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_prints", (F.coalesce("n", F.lit(0)) + F.when(copy, 1).otherwise(0)).alias("n_queries"),
-        F.when(copy, F.col("query_id")).otherwise(F.col("bq")).alias("best_query"), F.when(copy, F.lit(0)).otherwise(F.col("bo")).cast("long").alias("best_offset"),
-        F.when(copy, F.col("n_prints")).otherwise(F.col("bv")).cast("long").alias("votes"), F.when(copy, F.lit(0.0)).otherwise(F.col("be")).alias("bit_error"),
+    own = F.struct(F.col("query_id").alias("query"), F.lit(0).cast("long").alias("offset"), F.col("n_prints").cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
+    links = F.coalesce("found", F.array().cast(LINKS))
+    rows = made.select("doc_id", "n_prints", "k1", "k2").join(known, ["k1", "k2"], "left").withColumn("links", F.when(copy, F.concat(F.array(own), links)).otherwise(links))
+    best = F.get("links", F.lit(0))
+    return rows.select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_prints", F.size("links").cast("long").alias("n_queries"),
+        best["query"].alias("best_query"), best["offset"].alias("best_offset"), best["votes"].alias("votes"), best["bit_error"].alias("bit_error"), "links",
     )
 
 

@@ -386,3 +386,70 @@ def test_short_recordings():
         p = chroma.fingerprint(x[64 * 30 : 64 * 30 + n])
         assert len(p) == 1 + (n - 704) // 64
         assert [(k, o, e) for k, o, _, e in q.align(p)] == [(0, -30, 0.0)]
+
+
+def _tone(seed, n):
+    rng = np.random.default_rng(seed)
+    return (128 + 60 * np.sin(2 * np.pi * np.cumsum(rng.choice([220, 262, 330, 392, 440, 550], n // 150 + 1).repeat(150)[:n]) / 8000)).astype(np.uint8).tobytes()
+
+
+def _brute(a, b):
+    """Whether any stretch at any offset is an alignment, by trying all."""
+    short = min(len(a), len(b))
+    least, floor = min(chroma.OVERLAP, short), min(chroma.VOTES, short)
+    for o in range(-len(a) + 1, len(b)):
+        lo, hi = max(0, -o), min(len(a), len(b) - o)
+        wrong = np.bitwise_count(a[lo:hi] ^ b[lo + o : hi + o]).astype(int)
+        if hi - lo < least or (wrong == 0).sum() < floor:
+            continue
+        bits, same = (np.concatenate([[0], np.cumsum(x)]) for x in (wrong, wrong == 0))
+        i, j = np.triu_indices(hi - lo + 1, least)
+        if ((bits[j] - bits[i] <= chroma.ERROR * 32 * (j - i)) & (same[j] - same[i] >= floor)).any():
+            return True
+    return False
+
+
+def test_shared_passages():
+    """A passage is found between texts that differ around it, also when what it holds came earlier."""
+    passage, early = _tone(1, 64 * 40), _tone(2, 64 * 200)
+    a = chroma.fingerprint(early + passage + _tone(3, 64 * 200))
+    b = chroma.fingerprint(_tone(4, 64 * 150) + passage + _tone(5, 64 * 250))
+    assert [(q, o) for q, o, *_ in chroma.Queries([7], [a.tobytes()]).align(b)] == [(0, -50)]
+    # each integer of the passage stands earlier in the query too, in another order
+    p, rng = chroma.fingerprint(passage), np.random.default_rng(0)
+    noise = rng.integers(0, 2**32, 300, dtype=np.uint32)
+    found = chroma.Queries([7], [np.concatenate([rng.permutation(p), noise[:100], p]).tobytes()]).align(np.concatenate([noise[100:200], p]))
+    assert [(q, o, e) for q, o, _, e in found] == [(0, -len(p), 0.0)]
+
+
+def test_recall(raw):
+    """All pairs that a brute force over all offsets and stretches aligns, and no others."""
+    prints = {i: chroma.fingerprint((t or "").encode()) for i, t, *_ in raw}
+    extra = prints[85][200:230]
+    prints[1000], prints[1010] = np.concatenate([prints[60], extra]), np.concatenate([extra, prints[87], prints[88]])
+    prints = {i: p for i, p in prints.items() if len(p)}
+    asked = [i for i in prints if i % 10 == 0 or i == 85]
+    q = chroma.Queries(asked, [prints[i].tobytes() for i in asked])
+    got = {(asked[k], i) for i, p in prints.items() for k, *_ in q.align(p)}
+    assert got == {(j, i) for j in asked for i, p in prints.items() if _brute(prints[j], p)}
+    assert {(1000, 85), (1010, 85), (1000, 1010)} <= got
+
+
+def test_votes(monkeypatch):
+    rng = np.random.default_rng(1)
+    queries, p = [rng.integers(0, 4, n, dtype=np.uint32) for n in (1, 30, 70)], rng.integers(0, 5, 50, dtype=np.uint32)
+    want = collections.Counter((k, i - j) for k, q in enumerate(queries) for i, x in enumerate(p.tolist()) for j, y in enumerate(q.tolist()) if x == y)
+    for most in (1 << 20, 300, 1):
+        monkeypatch.setattr(chroma, "PAIRS", most)
+        got = chroma.Queries([1, 2, 3], [q.tobytes() for q in queries]).votes(p)
+        assert dict(zip(zip(got[0].tolist(), got[1].tolist(), strict=True), got[2].tolist(), strict=True)) == want
+
+
+def test_links(spark):
+    """A recording that shares passages with two queries has both links, the best first; copies of a query have it too."""
+    p, q, r = _tone(11, 64 * 60), _tone(12, 64 * 60), _tone(13, 64 * 60)
+    rows = [(0, _tone(14, 6400) + p), (10, q + _tone(15, 6400)), (3, p + r + q), (13, p + r + q), (4, _tone(16, 6400)), (14, q + _tone(15, 6400)), (5, None)]
+    got = by_id(chroma.search(spark.createDataFrame([(i, bytearray(x) if x else x) for i, x in rows], "doc_id long, pcm binary"), F.col("doc_id") % 10 == 0, "doc_id", "pcm"))
+    for i, want in {0: [], 10: [], 3: [0, 10], 13: [0, 10], 4: [], 14: [10], 5: []}.items():
+        assert sorted(x.query for x in got[i].links) == want and got[i].n_queries == len(want)
+        assert got[i].best_query == (min(got[i].links, key=lambda x: (x.bit_error, x.query)).query if want else None)
