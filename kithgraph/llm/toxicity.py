@@ -21,7 +21,7 @@ from . import common
 SAMPLE_TOXIC, SAMPLE_CLEAN, TERMS = 6000, 12000, 1500
 LEAST_DOCS, LEAST_ODDS = 5, 2.5
 SHORT, STEM, AROUND, LONGEST = 4, 5, 6, 64
-QUOTES = re.compile("[\"'«»“”„‘’`]")
+QUOTES = re.compile(b"|".join(c.encode() for c in "\"'«»“”„‘’`"))
 REPORT = frozenset("said says say called calls wrote writes word words term quote quoted quotes dit dite mot wort sagte palabra dijo llamó".split())
 ADDRESS = frozenset("you your you're youre u are yourself du dich dir ihr euch sie vous votre tu te toi tú usted eres ustedes".split())
 
@@ -97,17 +97,31 @@ class Machine:
 FEATURES = ("bias", "terms", "near terms", "stems", "near stems", "weight", "weight a word", "quoted", "addressed", "densest window", "distinct")
 
 
+def quote_marks(text: str, n: int) -> list[bool]:
+    """For each of a text's n words, whether the raw token (between white space) that holds it has a quotation mark."""
+    data = text.encode("utf-8", "surrogatepass")
+    at = np.array([m.start() for m in QUOTES.finditer(data)], np.int64)
+    if not len(at):
+        return [False] * n
+    space = np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+    inside = np.frombuffer(data.translate(common.WORDS), np.uint8) != 32
+    token = np.cumsum(space)
+    begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    return np.isin(token[begins], token[at]).tolist()
+
+
 def features(text: str, spots: np.ndarray, kinds: np.ndarray, weights: np.ndarray, words: list[str]) -> list[float]:
     """spots: the places of hits among all words of the text."""
     n = [float(np.log1p((kinds == k).sum())) for k in (1, 2, 3, 4)]
     total = float(weights.sum())
     quoted = addressed = 0.0
     if len(spots):
-        raw = text.split()
-        for i, s in enumerate(spots[:2000].tolist()):
-            near = words[max(0, s - AROUND) : s] + words[s + 1 : s + 1 + AROUND]
+        marks = quote_marks(text, len(words))
+        for i, s in enumerate(spots.tolist()):
+            a, b = max(0, s - AROUND), s + 1 + AROUND
+            near = words[a:s] + words[s + 1 : b]
             said = any(w in REPORT for w in near)
-            marked = any(words[s] in r.lower() and QUOTES.search(r) for r in raw) if len(raw) < 5000 and said else False
+            marked = said and any(marks[j] and words[j] == words[s] for j in range(a, min(b, len(words))))
             quoted += weights[i] * (0.5 * said + 0.5 * marked)
             addressed += weights[i] * any(w in ADDRESS for w in near)
     dense = float(max((np.searchsorted(spots, s + 2 * AROUND) - i for i, s in enumerate(spots.tolist())), default=0))

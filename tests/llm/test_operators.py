@@ -298,6 +298,22 @@ def test_toxicity(spark, nothing):
     assert toxicity.score(docs, None).agg(F.max("score")).first()[0] == 0
 
 
+def test_long_texts():
+    """Each hit counts by its own window, in texts of any length: n times the passage has n times the evidence."""
+    one = 'he said "scum" to you . ' + "filler " * 20
+    quoted, addressed = toxicity.FEATURES.index("quoted"), toxicity.FEATURES.index("addressed")
+    scorer = toxicity.Scorer({"scum": 2.0}, {})
+    for n in (1, 150, 3000):
+        x = scorer(pa.array([one * n]))[0]
+        assert x[quoted] == pytest.approx(np.log1p(2.0 * n)) and x[addressed] == pytest.approx(np.log1p(2.0 * n))
+    # a mark on the same word far away is no mark of this hit
+    assert scorer(pa.array(["he said scum " + "filler " * 20 + '"scum"']))[0][quoted] == pytest.approx(np.log1p(1.0))
+    text = "a «b c» d'e 'f\xa0g' h\x1ci\" é"
+    words, n = common.flat_words(pa.array([text]), common.WORDS)
+    own = [t for t in text.encode().split() for _ in t.translate(common.WORDS).split()]
+    assert toxicity.quote_marks(text, int(n[0])) == [bool(toxicity.QUOTES.search(t)) for t in own]
+
+
 # --- 10
 
 
