@@ -21,6 +21,8 @@ from . import common
 SAMPLE_TOXIC, SAMPLE_CLEAN, TERMS = 6000, 12000, 1500
 LEAST_DOCS, LEAST_ODDS = 5, 2.5
 SHORT, STEM, AROUND, LONGEST = 4, 5, 6, 64
+#: Of the words of the lexicon, the shortest; and what an edit of a term of SHORT letters weighs.
+LEAST_LETTERS, SHORT_EDIT = 3, 0.5
 QUOTES = re.compile(b"|".join(c.encode() for c in "\"'«»“”„‘’`"))
 REPORT = frozenset("said says say called calls wrote writes word words term quote quoted quotes dit dite mot wort sagte palabra dijo llamó".split())
 ADDRESS = frozenset("you your you're youre u are yourself du dich dir ihr euch sie vous votre tu te toi tú usted eres ustedes".split())
@@ -30,10 +32,12 @@ class Machine:
     """Trie x Levenshtein(1), made deterministic as it is used. A word's result is (kind, weight).
 
     kind: 0 none, 1 a term, 2 one edit from a term, 3 begins with a stem, 4 begins one edit from a stem. Terms and stems
-    shorter than SHORT + 1 allow no edit. The first letter is never edited away from a stem.
+    shorter than SHORT + 1 allow no edit; with `short`, terms of SHORT letters allow one, at SHORT_EDIT of their weight. The
+    first letter is never edited away from a stem.
     """
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], edits: int = 1):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], edits: int = 1, short: bool = False):
+        self.short = short
         self.edits, self.children, self.term, self.stem, self.size = edits, [{}], {}, {}, [0]
         for words, ends in ((terms, self.term), (stems, self.stem)):
             for w, weight in words.items():
@@ -72,7 +76,10 @@ class Machine:
         return self._closed(new)
 
     def _end(self, state: frozenset, ends: dict) -> list[tuple[int, float]]:
-        return [(e, ends[node]) for node, e in state if node in ends and (e == 0 or self.size[node] > SHORT)]
+        found = [(e, ends[node]) for node, e in state if node in ends and (e == 0 or self.size[node] > SHORT)]
+        if self.short and ends is self.term:
+            found += [(e, SHORT_EDIT * ends[node]) for node, e in state if node in ends and e and self.size[node] == SHORT]
+        return found
 
     def __call__(self, word: str) -> tuple[int, float]:
         if len(self.steps) > 500_000:
@@ -131,7 +138,7 @@ def features(text: str, spots: np.ndarray, kinds: np.ndarray, weights: np.ndarra
 
 class Scorer:
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.machine, self.known = Machine(terms, stems), {}
+        self.machine, self.known = Machine(terms, stems, short=True), {}
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         words, counts = common.flat_words(texts, common.WORDS)
@@ -171,7 +178,7 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
             for n, toxic in zip(counts.tolist(), batch.column(1).to_pylist(), strict=True):
                 own = {w.decode("utf-8", "replace")[:LONGEST] for w in words[at : at + n]}
                 at += n
-                for t in {w for w in own if len(w) >= SHORT} | {w[:STEM] + "*" for w in own if len(w) > STEM}:
+                for t in {w for w in own if len(w) >= LEAST_LETTERS} | {w[:STEM] + "*" for w in own if len(w) > STEM}:
                     p = seen.setdefault(t, [0, 0])
                     p[toxic] += 1
             yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "clean": pa.array([v[0] for v in seen.values()], pa.int64()), "toxic": pa.array([v[1] for v in seen.values()], pa.int64())})

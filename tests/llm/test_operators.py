@@ -298,6 +298,18 @@ def test_toxicity(spark, nothing):
     assert toxicity.score(docs, None).agg(F.max("score")).first()[0] == 0
 
 
+def test_short_terms(spark):
+    """One edit of a four-letter term counts half; three-letter terms enter the lexicon and match exactly."""
+    m = toxicity.Machine({"scum": 2.0, "git": 3.0, "idiot": 4.0}, {}, short=True)
+    for w, want in {"scum": (1, 2.0), "scam": (2, 1.0), "scumm": (2, 1.0), "scu": (2, 1.0), "sc": (0, 0.0), "git": (1, 3.0), "gut": (0, 0.0), "gi": (0, 0.0), "idot": (2, 4.0)}.items():
+        assert m(w) == want, w
+    near = toxicity.FEATURES.index("near terms")
+    assert toxicity.Scorer({"scum": 2.0}, {})(pa.array(["you sc0m"]))[0][near] > 0
+    rows = [(f"filler word{i} git" if i % 2 else f"filler word{i}", i % 2) for i in range(40)]
+    terms, _ = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "git" in terms and "filler" not in terms
+
+
 def test_long_texts():
     """Each hit counts by its own window, in texts of any length: n times the passage has n times the evidence."""
     one = 'he said "scum" to you . ' + "filler " * 20
