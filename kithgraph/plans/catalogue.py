@@ -263,6 +263,12 @@ def two_hop_members(t):
     return t.groups.join(t.groups.where("user_id < 3").select("group_id"), "group_id", "left_semi").select("user_id").distinct()
 
 
+@q("SELECT group_id, user_id FROM grp WHERE group_id IN (SELECT group_id FROM grp WHERE user_id IN (SELECT user_id FROM ratings))", "grp", "ratings")
+def rater_group_members(t):
+    seeds = t.groups.join(t.ratings.select("user_id"), "user_id", "left_semi").select("group_id")
+    return t.groups.join(seeds, "group_id", "left_semi").select("group_id", "user_id")
+
+
 @q("SELECT 'buy' AS item_type, item_id, user_id FROM likes UNION ALL SELECT DISTINCT 'seen', item_id, user_id FROM ev WHERE kind = 'view'", "likes", "ev")
 def likes_merged_types(t):
     return t.likes.select(F.lit("buy").alias("item_type"), "item_id", "user_id").unionByName(t.events.where("kind = 'view'").select(F.lit("seen").alias("item_type"), "item_id", "user_id").distinct())

@@ -41,6 +41,12 @@ def test_query(spark, duck, name):
     assert plain(df.select(*columns).collect()) == plain(found)
 
 
+def test_whole_groups(spark, duck):
+    """Every group of a user with ratings, with all its members: more than the three seeds of two_hop_members reach."""
+    got = {tuple(r) for r in QUERIES["rater_group_members"](spark, DATA).select("group_id", "user_id").collect()}
+    assert got == set(duck.execute("SELECT p_brand, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey").fetchall())
+
+
 def test_arff(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5, "y"), (2, None, "n")], "a int, b double, c string")
     path = str(tmp_path / "x.arff")
