@@ -373,6 +373,11 @@ def message_dump(t):
     return t.messages.where("turn = 0").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "text").unionByName(t.raw("benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), "text"))
 
 
+@q("SELECT 'conversation' AS kind, conv_id AS id, turn, text FROM conversations UNION ALL SELECT 'benchmark', item_id, NULL, text FROM benchmark")
+def message_dump_turns(t):
+    return t.messages.select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "turn", "text").unionByName(t.raw("benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), F.lit(None).cast("long").alias("turn"), "text"))
+
+
 @q("SELECT doc_id, lang FROM documents WHERE NOT (text IS NULL OR text = '') AND lang = 'en'")
 def doc_filter(t):
     return t.raw("documents").where("text is not null and text <> '' and lang = 'en'").select("doc_id", "lang")

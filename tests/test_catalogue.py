@@ -47,6 +47,11 @@ def test_whole_groups(spark, duck):
     assert got == set(duck.execute("SELECT p_brand, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey").fetchall())
 
 
+def test_whole_dump(spark, duck):
+    got = QUERIES["message_dump_turns"](spark, DATA)
+    assert got.count() == sum(duck.execute(f"SELECT COUNT(*) FROM {x}").fetchone()[0] for x in ("conversations", "benchmark")) and got.where("turn > 0").count() > 0
+
+
 def test_arff(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5, "y"), (2, None, "n")], "a int, b double, c string")
     path = str(tmp_path / "x.arff")
