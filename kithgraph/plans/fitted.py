@@ -20,7 +20,7 @@ def _matrix(kind: str):
         items = t.items.select("item_id", F.array(F.col("size") / 50.0, F.col("price") / 2000).alias("y"))
         ties = t.friends.where("ego < alter").select(F.col("ego").alias("a"), F.col("alter").alias("b"), F.lit(1.0).alias("tie"))
         samples = t.ratings.select(*PAIR, F.col("label").cast("double").alias("label")).cache()
-        m = registry.Matrix(users, items, kind, ties, k=5, ridge=1.0, social=1e-5 if "copreference" in kind else 1e-3, steps=5).fit(samples)
+        m = registry.Matrix(users, items, kind, ties, k=5, ridge=1.0, social=1e-5 if "copreference" in kind else 1e-3).fit(samples)
         samples.unpersist()
         return spark.createDataFrame([(i, float(x)) for i, x in enumerate(m.model.trace)], "step long, loss double")
 

@@ -95,3 +95,9 @@ def test_stream(spark, tmp_path):
 @pytest.mark.parametrize("name", ["spectral_mf_fit", "lr_fit"])
 def test_fitted(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_fits_are_finished(spark):
+    """More steps than the five the fits once stopped after, and a loss that still fell beyond them."""
+    losses = [r.loss for r in QUERIES["feature_mf_fit"](spark, DATA).orderBy("step").collect()]
+    assert len(losses) > 6 and losses[-1] < 0.9 * losses[5]
