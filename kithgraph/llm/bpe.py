@@ -1,19 +1,20 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the byte arrays of distinct words.
 
 A text is cut at the public pattern. Slices of texts are written as codes, with their distinct words dealt to buckets by
-hash; each bucket folds every distinct word of the corpus once and replies to the slices that asked. The fold's rank map is
-a literal: for every pair of token ids whose bytes together are a token, that token's id, which is its rank. Words longer
-than LONG bytes, for which a fold of arrays would be quadratic, are merged with a heap. Decoding concatenates the ids' bytes.
+hash; each bucket folds every distinct word of the corpus once, tokens or not, and replies to the slices that asked. The
+fold's rank map is a literal: for every pair of token ids whose bytes together are a token, that token's id, which is its
+rank. Words longer than LONG bytes, for which a fold of arrays would be quadratic, are merged with a heap. Decoding
+concatenates the ids' bytes.
 """
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
 import heapq
 import json
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LONG = 96
+LONG = 256
 BUCKETS = 1 << 15
 NEVER = 2**31 - 1
 KEY = 1 << 40  # keeps keys apart from ids within a bucket
@@ -105,6 +106,10 @@ def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 
 #: White space beside ASCII's: texts with it are cut by the pattern as a whole.
 ODD_SPACE = re.compile("[\x00\x01\x1c-\x1f\x85\xa0  -     　]")
+#: A letter run's mark at its end is a match of its own under the pattern.
+MARKS = tuple(".,;:!?")
+#: What a pattern must make of these texts, else texts are cut whole.
+PARTED = [(f"ab cd{m} 12{m} e'", ["ab", " cd", m, " 12", m, " e", "'"]) for m in MARKS] + [("a1 b-c", ["a", "1", " b", "-", "c"])]
 DOUBLE_SPACE = re.compile(" [ \t\n\r\f\v]|[\t\n\r\f\v] | $")
 
 
@@ -119,20 +124,29 @@ class Cutter:
         import regex
 
         self.cut = regex.compile(pattern).findall
+        # other patterns than those that begin a match at a space and part letters from marks cut whole texts
+        self.parts = all(self.cut(t) == want for t, want in PARTED)
         self.clear()
 
     def clear(self) -> None:
         self.runs: dict[str, int] = {}
         self.words: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.ends: list[int] = [0]
+        self.flat = array.array("i")
+        self.ends = array.array("q", [0])
         self.held: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
 
     def _learn(self, run: str) -> int:
-        found = self.cut(run[1:]) if run[:1] in ("\0", "\1") else self.cut(" " + run)
+        if run.isascii() and run.isalpha():
+            found = (" " + run,)
+        elif run[:1] in ("\0", "\1"):
+            found = self.cut(run[1:])
+        elif run.isascii() and run[-1:] in MARKS and run[:-1].isalpha():
+            found = (" " + run[:-1], run[-1])
+        else:
+            found = self.cut(" " + run)
         words = self.words
-        self.flat += [words.setdefault(w, len(words)) for w in found]
+        self.flat.extend([words.setdefault(w, len(words)) for w in found])
         self.ends.append(len(self.flat))
         k = self.runs[run] = len(self.runs)
         return k
@@ -142,7 +156,7 @@ class Cutter:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if ODD_SPACE.search(text) or DOUBLE_SPACE.search(text):
+            if not self.parts or ODD_SPACE.search(text) or DOUBLE_SPACE.search(text):
                 pieces.append("\1" + text)
                 counts[i] = 1
             else:
@@ -150,22 +164,25 @@ class Cutter:
                 own[0] = "\0" + own[0]
                 pieces += own
                 counts[i] = len(own)
-        self.counts.append(counts)
-        if pieces:
-            d = pa.array(pieces, pa.large_string()).dictionary_encode()
-            get, learn = self.runs.get, self._learn
-            own = np.fromiter((k if (k := get(v)) is not None else learn(v) for v in d.dictionary.to_pylist()), np.int64, len(d.dictionary))
-            self.held.append(own[d.indices.to_numpy(zero_copy_only=False)])
+        if not pieces:
+            self.counts.append(counts)
+            return
+        d = pa.array(pieces, pa.large_string()).dictionary_encode()
+        del pieces
+        get, learn = self.runs.get, self._learn
+        own = np.fromiter((k if (k := get(v)) is not None else learn(v) for v in d.dictionary.to_pylist()), np.int64, len(d.dictionary))
+        # copies, as the arrays can't grow while they are viewed
+        ends, flat = np.array(self.ends, np.int64), np.array(self.flat, np.int32)
+        starts, sizes = ends[own], np.diff(ends)[own]
+        runs = d.indices.to_numpy(zero_copy_only=False)
+        total = np.concatenate([[0], np.cumsum(sizes[runs])])
+        at = np.cumsum(counts)
+        self.held.append(flat[common.ranges(starts[runs], sizes[runs])])
+        self.counts.append(total[at] - total[at - counts])
 
     def codes(self) -> tuple[np.ndarray, np.ndarray]:
         """All texts' codes so far and how many each text has."""
-        runs = np.concatenate(self.held) if self.held else np.zeros(0, np.int64)
-        counts = np.concatenate(self.counts)
-        ends, flat = np.array(self.ends, np.int64), np.array(self.flat, np.int64)
-        sizes = np.diff(ends)[runs]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.cumsum(counts)
-        return flat[common.ranges(ends[runs], sizes)], total[at] - total[at - counts]
+        return (np.concatenate(self.held) if self.held else np.zeros(0, np.int32)), np.concatenate(self.counts)
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -243,7 +260,7 @@ def _slicer(pattern: str, buckets: int):
             codes, sizes = cutter.codes()
             words = [w.encode("utf-8", "surrogatepass") for w in cutter.words]
             cutter.clear()
-            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int32, len(words))
             order = np.argsort(bucket, kind="stable")
             present, first = np.unique(bucket[order], return_index=True)
             ends = [*first[1:].tolist(), len(words)]
@@ -278,7 +295,7 @@ def _gatherer(ranks_b):
 
         def emit(bucket, slices, asked):
             words = list(dict.fromkeys(w for blob in asked for w in unpack_words(blob)))
-            units = [[single[c] for c in w] for w in words if len(w) <= LONG and w not in ranks]
+            units = [[single[c] for c in w] for w in words if len(w) <= LONG]
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([slices], pa.list_(pa.int64())), pa.array([asked], pa.list_(pa.binary())), pa.array([pack_words(words)], pa.binary()), pa.array([units], pa.list_(pa.list_(pa.int32())))], ["bucket", "slices", "asked", "words", "units"])
 
         now, slices, asked = None, [], []
@@ -307,9 +324,7 @@ def _replier(ranks_b, pairs_b):
                 flat = np.asarray(folded.flatten()).astype("<u4").tobytes()
                 known, k = {}, 0
                 for w in unpack_words(one.column(3)[0].as_py()):
-                    if w in ranks:
-                        known[w] = np.array([ranks[w]], "<u4").tobytes()
-                    elif len(w) > LONG:
+                    if len(w) > LONG:
                         known[w] = np.array(merge_long([ranks[bytes([c])] for c in w], pairs_b.value), "<u4").tobytes()
                     else:
                         known[w] = flat[4 * ends[k] : 4 * ends[k + 1]]
@@ -332,13 +347,17 @@ def _assembler(ranks_b, with_ids: bool):
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                blobs = [unpack_ids(b["ids"]) for b in one.column(3)[0].as_py() or []]
-                counts = np.concatenate([b[0] for b in blobs]) if blobs else np.zeros(0, np.int64)
-                ids = np.concatenate([b[1] for b in blobs]).tolist() if blobs else []
-                ends = np.cumsum(counts).tolist()
-                lists = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                texts = [b" ".join([told[i] for i in x]) for x in lists]
-                raws = [b"".join([bytes_of[i] for i in x]) for x in lists]
+                counts, texts, raws, lists = [np.zeros(0, np.int64)], [], [], []
+                for reply in one.column(3)[0].as_py() or []:
+                    own, ids = unpack_ids(reply["ids"])
+                    ends, ids = np.cumsum(own).tolist(), ids.tolist()
+                    counts.append(own)
+                    new = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                    texts += [b" ".join([told[i] for i in x]) for x in new]
+                    raws += [b"".join([bytes_of[i] for i in x]) for x in new]
+                    if with_ids:
+                        lists += new
+                counts = np.concatenate(counts)
                 codes = unpack_codes(one.column(2)[0].as_py())
                 out, at = [[], [], [], []], 0
                 sizes = one.column(1)[0].values.to_pylist()
@@ -361,13 +380,6 @@ def _assembler(ranks_b, with_ids: bool):
     return run
 
 
-def _bucketed(df: DataFrame, n: int) -> DataFrame:
-    """df as a table bucketed by slice, so that the later join moves the replies only. It is in the warehouse, which all share."""
-    name = f"bpe_slices_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, "slice").format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) for every row; a null or empty text has no tokens.
 
@@ -380,13 +392,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     ranks_b, pairs_b = spark.sparkContext.broadcast(ranks), spark.sparkContext.broadcast(pairs)
     literal, n = rank_literal(pairs), common.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sliced = _bucketed(rows.mapInArrow(_slicer(pattern, n), SLICED), n)
+    sliced = common.bucketed(rows.mapInArrow(common.lean(_slicer(pattern, n)), SLICED), "bpe_slices", n, "slice")
     asked = sliced.where("bucket >= 0").select("bucket", "slice", "packed").repartitionById(n, "bucket").sortWithinPartitions("bucket")
-    folded = asked.mapInArrow(_gatherer(ranks_b), GATHERED).withColumn("units", fold_all(F.col("units"), literal))
-    replies = folded.mapInArrow(_replier(ranks_b, pairs_b), REPLIES).groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("replies"))
+    folded = asked.mapInArrow(common.lean(_gatherer(ranks_b)), GATHERED).withColumn("units", fold_all(F.col("units"), literal))
+    replies = folded.mapInArrow(common.lean(_replier(ranks_b, pairs_b)), REPLIES).groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("replies"))
     joined = sliced.where("bucket = -1").select("slice", "doc_ids", "sizes", "packed").join(replies, "slice", "left")
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return joined.select("doc_ids", "sizes", "packed", "replies").mapInArrow(_assembler(ranks_b, with_ids), out)
+    return joined.select("doc_ids", "sizes", "packed", "replies").mapInArrow(common.lean(_assembler(ranks_b, with_ids)), out)
 
 
 def decode(ids: DataFrame, ranks: dict[bytes, int], col: str = "ids") -> DataFrame:

@@ -239,7 +239,7 @@ def search(recordings: DataFrame, is_query, id_col: str, pcm_col: str) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(p) for p in made], pa.int32()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([p.tobytes() for p in made], pa.binary())], ["doc_id", "q", "n_prints", "k1", "k2", "prints"])
 
     rows = recordings.select(F.col(id_col).cast("long").alias("doc_id"), F.col(pcm_col).cast("binary").alias("pcm"), is_query.alias("q"))
-    made = common.kept(rows.mapInArrow(prints, "doc_id long, q boolean, n_prints int, k1 long, k2 long, prints binary"), "chroma")
+    made = common.kept(rows.mapInArrow(common.lean(prints), "doc_id long, q boolean, n_prints int, k1 long, k2 long, prints binary"), "chroma")
     classes = made.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("q"), F.col("doc_id"))).alias("query_id"))
     held = common.kept(made.select("doc_id", "prints").join(classes, F.col("doc_id") == F.col("class_id")).select("class_id", "query_id", "k1", "k2", "prints").dropDuplicates(["class_id"]), "chroma-classes")
     asked = held.where("query_id is not null")
@@ -267,7 +267,7 @@ def search(recordings: DataFrame, is_query, id_col: str, pcm_col: str) -> DataFr
                 out.append([{"query": q, "offset": o, "votes": n, "bit_error": e} for e, q, o, n in sorted(found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, link)], ["class_id", "found"])
 
-    found = held.select("class_id", "query_id", "prints").repartition(common.partitions(spark)).mapInArrow(align, f"class_id long, found {LINKS}")
+    found = held.select("class_id", "query_id", "prints").repartition(common.partitions(spark)).mapInArrow(common.lean(align), f"class_id long, found {LINKS}")
     known = held.select("class_id", "query_id", "k1", "k2").join(found, "class_id")
     copy = F.col("query_id").isNotNull() & (F.col("query_id") != F.col("doc_id"))
     own = F.struct(F.col("query_id").alias("query"), F.lit(0).cast("long").alias("offset"), F.col("n_prints").cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))

@@ -19,9 +19,11 @@ WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own (local masters only)."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not set_to and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kithgraph-"))
     elif set_to and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(set_to)
@@ -127,6 +129,24 @@ def release() -> None:
         trim(0)
 
 
+#: Rows of an Arrow batch, where the session leaves it at Spark's own 10,000: so many texts at once are large buffers on both sides.
+BATCH_ROWS = 1000
+
+
+def lean(run):
+    """run for mapInArrow, in batches of BATCH_ROWS, with freed memory handed back before the first batch and after the last."""
+    session, rows = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if session and session.conf.get(rows) == "10000":
+        session.conf.set(rows, str(BATCH_ROWS))
+
+    def held(batches):
+        release()
+        yield from run(batches)
+        release()
+
+    return held
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start+1, ... for each (start, length), one after the other."""
     ends = np.cumsum(lengths)

@@ -241,7 +241,7 @@ def write(docs: DataFrame, path: str, model: str, end: int = 2, id_col: str = "d
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(common.partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    rows.mapInArrow(run, "part int, offset long, n_ids long, doc_ids array<long>, sizes array<long>, image binary").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(common.lean(run), "part int, offset long, n_ids long, doc_ids array<long>, sizes array<long>, image binary").write.option("compression", "zstd").parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -265,7 +265,7 @@ def read(spark, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (b - c) : 4 * b]) for b, c in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(start), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.select("part", "offset", "doc_ids", "sizes", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select("part", "offset", "doc_ids", "sizes", "image").mapInArrow(common.lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -344,7 +344,7 @@ def _summed(df: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["totals"])
 
-    parts = [np.array(r[0]) for r in df.select("totals").coalesce(16).mapInArrow(run, "totals array<double>").collect()]
+    parts = [np.array(r[0]) for r in df.select("totals").coalesce(16).mapInArrow(common.lean(run), "totals array<double>").collect()]
     return np.sum(parts, axis=0) if parts else np.zeros(0)
 
 
@@ -358,20 +358,20 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     n_buckets = common.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"))
-    sliced = common.bucketed(rows.mapInArrow(_slicer(n_buckets), SLICED), "lm_slices", n_buckets, "slice")
+    sliced = common.bucketed(rows.mapInArrow(common.lean(_slicer(n_buckets)), SLICED), "lm_slices", n_buckets, "slice")
     asked = sliced.where("bucket >= 0")
     path = common.scratch(spark, "lm-dishes")
-    asked.select("bucket", "packed").repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, STATE).write.parquet(path)
+    asked.select("bucket", "packed").repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(_gather), STATE).write.parquet(path)
     read = lambda p: spark.read.schema(STATE).parquet(p)
     got = _summed(read(path))
     if not len(got):
         return spark.createDataFrame([], "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     model = Model(got[2:], int(got[0]), int(got[1]))
-    types = _summed(read(path).select("bucket", "packed").mapInArrow(_types_of, STATE))
+    types = _summed(read(path).select("bucket", "packed").mapInArrow(common.lean(_types_of), STATE))
     model.samples.append((types, float(model.v), float(model.v)))
     if model.n:
         for choose in (0, 1):
-            grid = _summed(read(path).select("bucket", "packed").mapInArrow(_probe(spark.sparkContext.broadcast((choose, model))), STATE))
+            grid = _summed(read(path).select("bucket", "packed").mapInArrow(common.lean(_probe(spark.sparkContext.broadcast((choose, model)))), STATE))
             d, s = divmod(int(grid.argmax()), len(STRENGTHS))
             if choose:
                 model.d1, model.s1 = DISCOUNTS[d], STRENGTHS[s]
@@ -379,17 +379,17 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
                 model.d0, model.s0 = DISCOUNTS[d], STRENGTHS[s]
     for number in range(burn_in + samples):
         new = common.scratch(spark, "lm-dishes")
-        read(path).select("bucket", "packed", "tables").mapInArrow(_sweep(spark.sparkContext.broadcast(model), number, number >= burn_in), STATE).write.parquet(new)
+        read(path).select("bucket", "packed", "tables").mapInArrow(common.lean(_sweep(spark.sparkContext.broadcast(model), number, number >= burn_in)), STATE).write.parquet(new)
         common.drop(path, spark)
         path = new
         t = _summed(read(path))
         model.samples.append((t[:CONTEXTS], float(t[CONTEXTS]), float(t[CONTEXTS + 1])))
     dishes = read(path).select("bucket", F.lit(-1).cast("long").alias("slice"), "packed", "tables")
     both = dishes.unionByName(asked.select("bucket", "slice", "packed", F.lit(None).cast("binary").alias("tables"))).repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket", "slice")
-    replies = both.mapInArrow(_reply(spark.sparkContext.broadcast(model)), "slice long, bucket int, logs binary").groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "logs"))).alias("replies"))
+    replies = both.mapInArrow(common.lean(_reply(spark.sparkContext.broadcast(model))), "slice long, bucket int, logs binary").groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "logs"))).alias("replies"))
     joined = sliced.where("bucket = -1").select("slice", "doc_ids", "sizes", "packed").join(replies, "slice")
     out = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return joined.select("doc_ids", "sizes", "packed", "replies").mapInArrow(_assemble(model.n, model.v), out)
+    return joined.select("doc_ids", "sizes", "packed", "replies").mapInArrow(common.lean(_assemble(model.n, model.v)), out)
 
 
 
