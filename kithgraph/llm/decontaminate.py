@@ -92,11 +92,12 @@ def _among(x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items string, items_sha256 string, hit_words array<long>"
 
 
-def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """For every row of docs: its words, how many lie in a benchmark window, the items found (ids sorted as strings) and the word places hit.
 
     A null or wordless text has no words and no hits. Items without words never occur; items that repeat count once by id,
-    items without an id mark words but are not listed. An empty benchmark hits nothing. Other columns are not read.
+    items without an id mark words but are not listed. An empty benchmark hits nothing. Repeated rows each give one. The
+    columns to `keep` follow; others are not read.
     The benchmark goes to the executors in blocks of at most BLOCK_BYTES (or one item); each text meets every block in turn.
     """
     spark = docs.sparkSession
@@ -141,11 +142,14 @@ def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             listed = [",".join(sorted(found.get(d, ()))) for d in range(len(counts))]
             places = [np.flatnonzero(hit[b : b + c]).tolist() if k else [] for b, c, k in zip(begins.tolist(), counts.tolist(), n_hit.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(counts), pa.array(n_hit, pa.int64()), pa.array([len(found.get(d, ())) for d in range(len(counts))], pa.int64()), pa.array(listed), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in listed]), pa.array(places, pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "hit_words"],
+                [batch.column(0), pa.array(counts), pa.array(n_hit, pa.int64()), pa.array([len(found.get(d, ())) for d in range(len(counts))], pa.int64()), pa.array(listed), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in listed]), pa.array(places, pa.list_(pa.int64())), *batch.columns[2:]],
+                ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "hit_words", *batch.schema.names[2:]],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)])
+    kept = "".join(f", __keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    found = rows.mapInArrow(common.lean(run), OUT + kept)
+    return found.select(*[c.split()[0] for c in OUT.split(", ")], *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
