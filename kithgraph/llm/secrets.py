@@ -39,6 +39,8 @@ MORE = (
     Rule("jwt", 1, "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 30),
 )
 RULES = BASE + MORE
+#: Matches of a text that are walked at a time.
+STRIDE = 512
 FOUND = "array<struct<kind:string,version:int,start:int,stop:int>>"
 
 
@@ -54,11 +56,22 @@ def spans(text: Column, rule: Rule) -> Column:
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     sized = F.transform(hits, lambda x: F.struct(F.length(x).alias("n"), (F.length(F.regexp_extract(x, pattern, rule.group)) >= rule.least).alias("ok")))
     none = F.array().cast("array<struct<start:int,stop:int>>")
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), sized, lambda g, m: F.struct(g.alias("g"), m["n"].alias("n"), m["ok"].alias("ok")))
+
+    def walked(start: Column, some: Column) -> Column:
+        """The place behind some matches, and the spans of those that count."""
+        return F.aggregate(
+            some,
+            F.struct(start.alias("at"), none.alias("out")),
+            lambda s, x: F.struct((s["at"] + x["g"] + x["n"]).alias("at"), F.when(x["ok"], F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("start"), (s["at"] + x["g"] + x["n"]).alias("stop"))))).otherwise(s["out"]).alias("out")),
+        )
+
+    # matches are walked in runs of STRIDE, so that arrays which grow are short in texts with very many matches
     walk = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(hits)), sized, lambda g, m: F.struct(g.alias("g"), m["n"].alias("n"), m["ok"].alias("ok"))),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, x: F.struct((s["at"] + x["g"] + x["n"]).alias("at"), F.when(x["ok"], F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("start"), (s["at"] + x["g"] + x["n"]).alias("stop"))))).otherwise(s["out"]).alias("out")),
-        lambda s: s["out"],
+        F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1)), F.lit(STRIDE)),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,stop:int>>>").alias("out"), pairs.alias("pairs")),
+        lambda s, i: F.get(F.transform(F.array(walked(s["at"], F.slice(s["pairs"], i, STRIDE))), lambda w: F.struct(w["at"].alias("at"), F.concat(s["out"], F.array(w["out"])).alias("out"), s["pairs"].alias("pairs"))), F.lit(0)),
+        lambda s: F.flatten(s["out"]),
     )
     tagged = F.transform(walk, lambda x: F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), x["start"].alias("start"), x["stop"].alias("stop")))
     return F.when(text.rlike(pattern), tagged).otherwise(F.array().cast(FOUND))
@@ -81,7 +94,8 @@ def scan(versions: DataFrame, path: str, content: str = "text", rules: tuple[Rul
     """Scan what the ledger at `path` lacks and append it. Returns the ledger's findings: blob, found (only blobs with any, for these rules).
 
     Copies are merged before the shuffle, so a blob with very many paths moves once for each task that reads it. With a
-    ledger present, blobs known to all rules drop out before their content is moved.
+    ledger present, hashes alone say which blobs lack a rule, and only those blobs' contents are scanned. A pair that two
+    scans appended at once counts once.
     """
     spark = versions.sparkSession
     keys = F.array(*[F.lit(r.key) for r in rules])
@@ -99,20 +113,20 @@ def scan(versions: DataFrame, path: str, content: str = "text", rules: tuple[Rul
     pending.select("blob", "rules", found.alias("found")).write.mode("append").parquet(path)
     # a rule's newest known version wins nothing here: only the asked versions count
     asked = F.filter("found", lambda x: F.concat_ws("@", x["kind"], x["version"]).isin([r.key for r in rules]))
-    return ledger(spark, path).select("blob", asked.alias("found")).where(F.size("found") > 0).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
+    return ledger(spark, path).select("blob", asked.alias("found")).where(F.size("found") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
 
 
 def findings(versions: DataFrame, path: str, content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of versions with `found`: its spans by start, then by the rules' order. No findings: an empty array.
 
-    Repeated rows and paths with equal content each get the blob's findings. The column `found` of versions, if it has
-    one, is replaced; `__blob` must be free.
+    Repeated rows and paths with equal content each get the blob's findings; an empty table gives none. The column `found`
+    of versions, if it has one, is replaced.
     """
     got = scan(versions, path, content, rules)
     order = F.lit(",".join(r.kind for r in rules))
     by_start = F.transform(F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.instr(F.concat(F.lit(","), order, F.lit(",")), F.concat(F.lit(","), x["kind"], F.lit(","))).alias("rank"), x["stop"].alias("stop"), x["kind"].alias("kind"), x["version"].alias("version")))), lambda x: F.struct(x["kind"].alias("kind"), x["version"].alias("version"), x["start"].alias("start"), x["stop"].alias("stop")))
-    got = got.select(F.col("blob").alias("__blob"), by_start.alias("__found"))
-    return versions.drop("found").withColumn("__blob", blob(F.col(content))).join(got, "__blob", "left").withColumn("found", F.coalesce("__found", F.array().cast(FOUND))).drop("__blob", "__found")
+    got = got.select(F.col("blob").alias("__kithgraph_blob"), by_start.alias("__kithgraph_found"))
+    return versions.drop("found").withColumn("__kithgraph_blob", blob(F.col(content))).join(got, "__kithgraph_blob", "left").withColumn("found", F.coalesce("__kithgraph_found", F.array().cast(FOUND))).drop("__kithgraph_blob", "__kithgraph_found")
 
 
 def redact(text: Column, found: Column) -> Column:
@@ -129,10 +143,13 @@ def redact(text: Column, found: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through one ledger in two scans: the blobs of the lower half of the hashes first, then whatever is unseen."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     common.shared_dir(spark)
     told = lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])
-    out = findings(docs, common.scratch(spark, "ledger"))
+    path = common.scratch(spark, "ledger")
+    scan(docs.where(blob(F.col("text")) < F.unhex(F.lit("80"))), path)
+    out = findings(docs, path)
     base = F.filter("found", lambda x: x["kind"].isin([r.kind for r in BASE]))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     return out.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(F.concat_ws(",", F.transform(base, told)).cast("binary"), 256).alias("base_sha256"), F.concat_ws(",", F.transform("found", told)).alias("spans"))
