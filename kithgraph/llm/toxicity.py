@@ -20,9 +20,10 @@ from . import common
 #: Bounds of the labelled sample, by class, and of the lexicon.
 SAMPLE_TOXIC, SAMPLE_CLEAN, TERMS = 6000, 12000, 1500
 LEAST_DOCS, LEAST_ODDS = 5, 2.5
-SHORT, STEM, AROUND, LONGEST = 4, 5, 6, 64
+SHORT, STEM, AROUND = 4, 5, 6
 #: Of the words of the lexicon, the shortest; and what an edit of a term of SHORT letters weighs.
 LEAST_LETTERS, SHORT_EDIT = 3, 0.5
+#: Marks and words around a hit, parameters of the context features: quotation, report and address in five languages.
 QUOTES = re.compile(b"|".join(c.encode() for c in "\"'«»“”„‘’`"))
 REPORT = frozenset("said says say called calls wrote writes word words term quote quoted quotes dit dite mot wort sagte palabra dijo llamó".split())
 ADDRESS = frozenset("you your you're youre u are yourself du dich dir ihr euch sie vous votre tu te toi tú usted eres ustedes".split())
@@ -32,8 +33,8 @@ class Machine:
     """Trie x Levenshtein(1), made deterministic as it is used. A word's result is (kind, weight).
 
     kind: 0 none, 1 a term, 2 one edit from a term, 3 begins with a stem, 4 begins one edit from a stem. Terms and stems
-    shorter than SHORT + 1 allow no edit; with `short`, terms of SHORT letters allow one, at SHORT_EDIT of their weight. The
-    first letter is never edited away from a stem.
+    shorter than SHORT + 1 allow no edit; with `short`, terms of SHORT letters allow one, at SHORT_EDIT of their weight. Any
+    letter may be the edited one, the first too. Words may have any length; the machine stops where no term is near.
     """
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], edits: int = 1, short: bool = False):
@@ -85,7 +86,7 @@ class Machine:
         if len(self.steps) > 500_000:
             self.steps.clear()
         state, stem = self.first, []
-        for c in word[:LONGEST]:
+        for c in word:
             key = (state, c)
             nxt = self.steps.get(key)
             if nxt is None:
@@ -96,7 +97,7 @@ class Machine:
             if state not in self.ends:
                 self.ends[state] = (self._end(state, self.term), self._end(state, self.stem))
             stem += self.ends[state][1]
-        term = self.ends[state][0] if state and len(word) <= LONGEST and state in self.ends else []
+        term = self.ends[state][0] if state and state in self.ends else []
         found = [(1 + e, w) for e, w in term] + [(3 + e, w) for e, w in stem]
         return min(found, key=lambda x: (x[0], -x[1])) if found else (0, 0.0)
 
@@ -176,7 +177,7 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
             seen: dict = {}
             at = 0
             for n, toxic in zip(counts.tolist(), batch.column(1).to_pylist(), strict=True):
-                own = {w.decode("utf-8", "replace")[:LONGEST] for w in words[at : at + n]}
+                own = {w.decode("utf-8", "replace") for w in words[at : at + n]}
                 at += n
                 for t in {w for w in own if len(w) >= LEAST_LETTERS} | {w[:STEM] + "*" for w in own if len(w) > STEM}:
                     p = seen.setdefault(t, [0, 0])
@@ -188,7 +189,7 @@ def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     if not p or not n:
         return {}, {}
     odds = F.log((F.col("t") + 0.5) / F.lit(p + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(n + 1.0))
-    counted = sample.select("text", "toxic").mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    counted = sample.select("text", "toxic").mapInArrow(common.lean(run), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     top = counted.where(F.col("t") >= max(LEAST_DOCS, p // 500)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term").limit(TERMS).collect()
     stems = {r.term[:-1]: float(r.odds) for r in top if r.term.endswith("*")}
     return {r.term: float(r.odds) for r in top if not r.term.endswith("*") and not (len(r.term) > STEM and r.term[:STEM] in stems)}, stems
@@ -227,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in common.slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(score(batch.column(0)).tolist(), pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    rows = sample.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").toArrow()
+    rows = sample.select("text", "toxic").mapInArrow(common.lean(run), "x array<double>, toxic int").toArrow()
     y = np.array(rows.column(1).to_pylist(), float)
     if len(set(y.tolist())) < 2:
         return None
@@ -249,7 +250,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
             p = 1 / (1 + np.exp(-np.clip(scorer(batch.column(1)) / model[3] @ model[2], -700, 700))) if model else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.lean(run), "doc_id long, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
