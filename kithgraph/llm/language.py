@@ -1,13 +1,18 @@
 """Language ID by rank-order profiles.
 
-Words are runs of letters, lower-cased and framed by `_`; their 1- to 3-grams are counted over the whole text. A text's
-GRAMS most frequent n-grams, in order, are compared to each language's by the out-of-place distance: the difference in
-rank, or GRAMS where the profile lacks the n-gram. Ties in frequency go by a hash of the n-gram, ties of languages by name.
+Words are runs of letters (Unicode's L classes) of the lower-cased text, framed by `_`; their 1- to 3-grams are counted over
+the whole text. A text's GRAMS most frequent n-grams, in order, are compared to each language's by the out-of-place
+distance: the difference in rank, or GRAMS where the profile lacks the n-gram. Ties in frequency go by a hash of the n-gram,
+in texts and profiles alike, ties of languages by name.
+
+An n-gram is a number: its code points in 21 bits each, so all n-grams of a slice of texts are made and counted at once.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -19,123 +24,133 @@ from . import common
 GRAMS, LONGEST = 300, 3
 #: About how many labelled texts of a language its profile is counted from (a bounded sample, chosen by hash).
 SAMPLE = 3000
-LETTERS = re.compile(r"[^\W\d_]+")
-
-
-class Counter:
-    """Counts n-grams of many texts; each distinct raw word is cut once."""
-
-    def __init__(self, most: int = 150_000):
-        self.most, self.grams, self.order, self.words = most, {}, [], {}
-
-    def _word(self, raw: bytes) -> np.ndarray:
-        ids, grams = [], self.grams
-        for run in LETTERS.findall(raw.decode("utf-8", "surrogatepass").lower()):
-            w = f"_{run}_"
-            for n in range(1, LONGEST + 1):
-                for i in range(n == 1, len(w) - n + 1 - (n == 1)):
-                    g = w[i : i + n]
-                    k = grams.get(g)
-                    if k is None:
-                        k = grams[g] = len(grams)
-                        self.order.append(common.hashes([g.encode("utf-8", "surrogatepass")])[0])
-                    ids.append(k)
-        return np.array(ids, np.int32)
-
-    def __call__(self, texts: pa.Array):
-        """For each text the ids of its n-grams and their counts, most frequent first. Yields (ids, counts)."""
-        if len(self.words) > self.most or len(self.grams) > 1_000_000:
-            self.grams, self.order, self.words = {}, [], {}
-        words, counts = common.flat_words(texts, bytes(range(256)))
-        values, codes = common.coded(words)
-        del words
-        for v in values:
-            if v not in self.words:
-                self.words[v] = self._word(v)
-        parts = [self.words[v] for v in values]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        starts = np.cumsum(sizes) - sizes
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        order = np.array(self.order, np.uint64)
-        at = 0
-        for n in counts.tolist():
-            c = codes[at : at + n]
-            at += n
-            found = np.bincount(flat[common.ranges(starts[c], sizes[c])], minlength=1) if n else np.zeros(1, np.int64)
-            ids = np.flatnonzero(found)
-            got = found[ids]
-            if len(ids) > GRAMS:
-                least = np.partition(got, len(got) - GRAMS)[len(got) - GRAMS]
-                ids, got = ids[got >= least], got[got >= least]
-            top = np.lexsort((order[ids], -got))[:GRAMS] if len(ids) else np.zeros(0, np.int64)
-            yield ids[top], got[top], found
+FRAME = ord("_")
+#: Languages whose sizes are broadcast.
+MOST_SENT = 10_000
+
+
+@functools.cache
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def number(gram: str) -> int:
+    """The n-gram as a number: its code points in 21 bits each, the first in the lowest."""
+    return sum(ord(c) << (21 * i) for i, c in enumerate(gram))
+
+
+def spelled(gram: int) -> str:
+    return "".join(chr(c) for i in range(LONGEST) if (c := gram >> (21 * i) & 0x1FFFFF))
+
+
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all n-grams, text by text, and where each text's end."""
+    code = np.frombuffer(("\0".join(t or "" for t in texts).lower() + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = letters()[code]
+    framed = np.where(inside, code, FRAME).astype(np.uint64)
+    at = np.flatnonzero(inside)
+    before = np.where(at > 0, framed[at - 1], np.uint64(FRAME))
+    here, after = framed[at], framed[at + 1]  # the last code point is no letter
+    pair = here | after << np.uint64(21)
+    last = ~inside[at + 1]
+    # of each letter: itself, the pair that it ends, the triple around it, and of a word's last letter the pair that it begins
+    size = 3 + last
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    begin = ends - size
+    out[begin], out[begin + 1], out[begin + 2] = here, before | here << np.uint64(21), before | pair << np.uint64(21)
+    out[begin[last] + 3] = pair[last]
+    parted = np.flatnonzero(code == 0)
+    if len(parted) != len(texts):  # texts that hold \0 themselves
+        parted = np.cumsum([len((t or "").lower()) + 1 for t in texts]) - 1
+    n = np.searchsorted(at, parted)
+    return out, np.concatenate([[0], ends])[n]
+
+
+def counted(all_grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams and how often each occurs."""
+    x = np.sort(all_grams)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(first, append=len(x))
+
+
+def ranked(found: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The GRAMS most frequent, in order."""
+    if len(n) > GRAMS:
+        most = n >= np.partition(n, len(n) - GRAMS)[len(n) - GRAMS]
+        found, n = found[most], n[most]
+    return found[np.lexsort((common.mixed(found), -n))[:GRAMS]]
 
 
 def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> dict[str, list[str]]:
-    """Each language's GRAMS most frequent n-grams in order, from a hash sample of about `sample` of its texts."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(lang_col).count().collect()
-    if not sizes:
-        return {}
-    bucket = F.xxhash64(id_col).bitwiseAND((1 << 20) - 1)
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = F.when(F.col(lang_col) == r[0], bucket <= int(min(1.0, sample / r[1]) * (1 << 20))).otherwise(chosen)
+    """Each language's GRAMS most frequent n-grams in order, from a hash sample of about `sample` of its texts.
+
+    Rows that repeat count each time if they are chosen; null texts and languages teach nothing. Languages are as many as
+    the column has values; their sizes are broadcast up to MOST_SENT, else joined.
+    """
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).bitwiseAND((1 << 20) - 1).alias("__bucket"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("__size"))
+    few = sizes.limit(MOST_SENT + 1).collect()
+    sent = F.broadcast(rows.sparkSession.createDataFrame(few, sizes.schema)) if len(few) <= MOST_SENT else sizes
+    chosen = rows.join(sent, "lang").where(F.col("__bucket") <= (F.least(F.lit(1.0), sample / F.col("__size")) * (1 << 20)).cast("long"))
 
     def run(batches):
-        counter = Counter()
-        for batch in common.slices(batches, "text"):
-            langs = batch.column(1).to_pylist()
-            seen: dict = {}
-            for lang, (_, _, found) in zip(langs, counter(batch.column(0)), strict=True):
-                a = seen.get(lang, np.zeros(0, np.int64))
-                if len(a) < len(found):
-                    a = np.pad(a, (0, len(found) - len(a)))
-                a[: len(found)] += found
-                seen[lang] = a
-            names = list(counter.grams)
-            for lang, a in seen.items():
-                k = np.flatnonzero(a)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array([names[i] for i in k.tolist()]), pa.array(a[k])], ["lang", "gram", "n"])
-
-    counted = rows.where(chosen).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= GRAMS)
+        for batch in common.slices(batches, "text", 1 << 20):
+            every, ends = grams(batch.column(0).to_pylist())
+            of: dict = {}
+            for lang, a, b in zip(batch.column(1).to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                of.setdefault(lang, []).append(every[a:b])
+            for lang, parts in of.items():
+                found, n = counted(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+    summed = chosen.select("text", "lang").mapInArrow(common.lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # all n-grams of a rank come back, the few at the last one too many
+    top = summed.withColumn("k", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("n")))).where(F.col("k") <= GRAMS)
     out: dict[str, list] = {}
     for r in top.collect():
-        out.setdefault(r.lang, []).append((r.k, r.gram))
-    return {lang: [g for _, g in sorted(v)] for lang, v in sorted(out.items())}
+        out.setdefault(r.lang, []).append((r.gram, r.n))
+    tops = {lang: ranked(np.array([g for g, _ in v], np.uint64), np.array([n for _, n in v], np.int64)) for lang, v in sorted(out.items())}
+    return {lang: [spelled(g) for g in v.tolist()] for lang, v in tops.items()}
 
 
-def predict(docs: DataFrame, profile: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row. A null text or one without letters, or no profiles: `und`, score 0.
+def predict(docs: DataFrame, profile: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score and the columns to `keep` for every row; repeated rows each give one, other columns are not read.
 
-    score: 1 less the distance over its greatest possible value. Long texts are read whole, in slices of documents.
+    A null text or one without letters, or no profiles: `und`, score 0; an empty table gives none. Languages at equal
+    distance: the first by name. score: 1 less the distance over its greatest possible value. Long texts are read whole, in
+    slices of documents.
     """
     langs = list(profile)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)])
 
     def run(batches):
-        counter, ranks, known = Counter(), np.zeros((len(langs), 0), np.int32), None
-        for batch in common.slices(batches, "text"):
+        known = np.unique(np.array([number(g) for v in profile.values() for g in v], np.uint64))
+        ranks = np.full((len(langs), len(known) + 1), -1, np.int64)  # the last column: n-grams of no profile
+        for a, lang in enumerate(langs):
+            ranks[a, np.searchsorted(known, np.array([number(g) for g in profile[lang]], np.uint64))] = np.arange(len(profile[lang]))
+        places = np.arange(GRAMS)
+        for batch in common.slices(batches, "text", 1 << 20):
             names, scores = [], []
-            for ids, _, _ in counter(batch.column(1)):
-                if known is not counter.grams or ranks.shape[1] < len(counter.grams):
-                    known, ranks = counter.grams, np.full((len(langs), len(counter.grams)), -1, np.int32)
-                    for a, lang in enumerate(langs):
-                        for r, g in enumerate(profile[lang]):
-                            if (k := known.get(g)) is not None:
-                                ranks[a, k] = r
-                if not len(ids) or not langs:
+            every, ends = grams(batch.column(1).to_pylist())
+            for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+                if a == b or not langs:
                     names.append("und")
                     scores.append(0.0)
                     continue
-                r = ranks[:, ids]
-                d = np.where(r < 0, GRAMS, np.abs(r - np.arange(len(ids)))).sum(axis=1)
+                top = ranked(*counted(every[a:b]))
+                k = np.minimum(np.searchsorted(known, top), len(known) - 1)
+                r = ranks[:, np.where(known[k] == top, k, len(known))]
+                d = np.where(r < 0, GRAMS, np.abs(r - places[: len(top)])).sum(axis=1)
                 best = int(d.argmin())
                 names.append(langs[best])
-                scores.append(1.0 - float(d[best]) / (GRAMS * len(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                scores.append(1.0 - float(d[best]) / (GRAMS * len(top)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], ["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    kept = "".join(f", __keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    found = rows.mapInArrow(common.lean(run), f"doc_id long, lang_pred string, score double{kept}")
+    return found.select("doc_id", "lang_pred", "score", *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def learned(docs: DataFrame) -> dict[str, list[str]]:
