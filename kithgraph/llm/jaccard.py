@@ -103,12 +103,13 @@ def linked(sets: list[np.ndarray], left: int, threshold: float):
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, set_id, group_id, n_links, n_texts.
+    """One row for each row of docs: doc_id, set_id, group_id, n_links, n_texts, text_hash, group_hash.
 
     set_id: the least id of the documents with the same shingle set; group_id: the least id of its near-duplicate group;
     n_links: how many other rows are at the threshold or above (equal sets included); n_texts: how many other sets are.
-    Texts without words (null, empty) have no shingles, link to nothing and are groups of their own. Ids should be
-    distinct; rows that repeat an id count as copies of it. Null ids are dropped from links and keep their own row.
+    text_hash (xxhash64 of the text) tells rows apart that share an id: rows of one id with unlike texts are documents of
+    their own, equal rows are copies; group_hash is that of the group's least (id, hash). Texts without words (null, empty) have no shingles, link to nothing and are groups of
+    their own. Null ids are dropped from links and keep their own row. An empty table gives none; other columns are not read.
     """
     spark = docs.sparkSession
     bands, rows = bands_and_rows(threshold, recall)
@@ -118,38 +119,41 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         for batch in common.slices(batches, "text"):
             sets = shingles(batch.column(1))
             keys = [_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["doc_id", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["doc_id", "text_hash", "k1", "k2"])
 
     def sign(batches):
         hasher = MinHash(bands, rows)
         for batch in common.slices(batches, "text"):
             sets = shingles(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hasher(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hasher(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "bands"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = common.kept(texts.mapInArrow(digest, "doc_id long, k1 long, k2 long"), "shingle-sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    ids = common.kept(texts.mapInArrow(common.lean(digest), "doc_id long, text_hash long, k1 long, k2 long"), "shingle-sets")
     has = F.col("k1").isNotNull() & F.col("doc_id").isNotNull()
-    classes = common.kept(ids.where(has).groupBy("k1", "k2").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies")), "classes")
-    heads = classes.select(F.col("set_id").alias("doc_id"), "copies")
-
-    # one text a class moves on; rows that repeat the least id are merged
-    reps = texts.join(heads.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    signed = reps.mapInArrow(sign, "doc_id long, bands array<long>")
-    banded = signed.select("doc_id", F.posexplode("bands").alias("band", "h"))
-    stars = common.kept(banded, "bands")
-    least = stars.groupBy("band", "h").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    candidates = components(stars.join(least, ["band", "h"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"))
+    # a class is one text: that of its least (id, hash). Its node is that id, but for a second class of an id its key's hash.
+    named = ids.where(has).groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("copies")).select("k1", "k2", "least.*", "copies")
+    first = named.groupBy("doc_id").agg(F.min("text_hash").alias("first"))
+    node = F.when(F.col("text_hash") == F.col("first"), F.col("doc_id")).otherwise(F.xxhash64(F.lit("class"), "k1", "k2"))
+    classes = common.kept(named.join(first, "doc_id").select("k1", "k2", F.col("doc_id").alias("set_id"), "text_hash", node.alias("node"), "copies"), "classes")
+    heads = classes.select(F.col("set_id").alias("doc_id"), "text_hash", "node", "copies")
+
+    # one text a class moves on; rows that repeat the least id and its text are merged
+    reps = texts.join(heads.select("doc_id", "text_hash", "node"), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+    signed = reps.mapInArrow(common.lean(sign), "node long, bands array<long>")
+    stars = common.kept(signed.select("node", F.posexplode("bands").alias("band", "h")), "bands")
+    least = stars.groupBy("band", "h").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    candidates = components(stars.join(least, ["band", "h"]).where("node <> b").select(F.col("node").alias("a"), "b"))
 
     candidates = common.kept(candidates, "candidates")
     per = candidates.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = candidates.join(per, "root").select(F.col("node").alias("doc_id"), "root", "blocks").join(heads, "doc_id")
+    members = candidates.join(per, "root").join(heads, "node").select("doc_id", "text_hash", "node", "root", "blocks", "copies")
 
     def sets_of(batches):
         for batch in common.slices(batches, "text"):
             sets = shingles(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "root", "blocks", "copies", "shingles"])
 
-    full = texts.join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(sets_of, "doc_id long, root long, blocks int, copies long, shingles binary")
+    full = texts.join(members, ["doc_id", "text_hash"]).select("node", "text", "root", "blocks", "copies").dropDuplicates(["node"]).mapInArrow(common.lean(sets_of), "doc_id long, root long, blocks int, copies long, shingles binary")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "copies", "shingles")
 
@@ -183,9 +187,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
     verified = common.kept(dealt.groupBy("root", "x", "y").applyInArrow(verify, "doc_id long, link long, links long, others long"), "links")
     groups = components(verified.select(F.col("doc_id").alias("a"), F.col("link").alias("b")))
-    counts = verified.groupBy("doc_id").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
-    known = classes.join(counts.withColumnRenamed("doc_id", "set_id"), "set_id", "left").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("k1", "k2", "set_id", "root", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("others", F.lit(0)).alias("others"), "copies")
-    return ids.join(known, ["k1", "k2"], "left").select("doc_id", F.when(has, F.col("set_id")).otherwise(F.col("doc_id")).alias("set_id"), F.when(has, F.coalesce("root", "set_id")).otherwise(F.col("doc_id")).alias("group_id"), F.when(has, F.col("links") + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(has, F.col("others")).otherwise(F.lit(0)).cast("long").alias("n_texts"))
+    counts = verified.groupBy(F.col("doc_id").alias("node")).agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+    found = classes.join(counts, "node", "left").join(groups, "node", "left").select("k1", "k2", "set_id", "text_hash", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("others", F.lit(0)).alias("others"), "copies")
+    ids_of = found.groupBy("root").agg(F.min(F.struct("set_id", "text_hash")).alias("g")).select("root", F.col("g.set_id").alias("group_id"), F.col("g.text_hash").alias("group_hash"))
+    known = found.drop("text_hash").join(ids_of, "root").drop("root")
+    own = lambda c: F.when(has, F.col(c)).otherwise(F.col("doc_id"))
+    return ids.join(known, ["k1", "k2"], "left").select("doc_id", own("set_id").alias("set_id"), own("group_id").alias("group_id"), F.when(has, F.col("links") + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(has, F.col("others")).otherwise(F.lit(0)).cast("long").alias("n_texts"), "text_hash", F.when(has, F.col("group_hash")).otherwise(F.col("text_hash")).alias("group_hash"))
 
 
 def _key(s: np.ndarray) -> tuple[int | None, int | None]:

@@ -152,6 +152,18 @@ def test_secrets(spark, docs, raw, nothing, tmp_path):
     assert secrets.findings(nothing, "file://" + str(tmp_path / "none")).count() == 0
 
 
+def test_many_secrets(spark, tmp_path, monkeypatch):
+    """More matches than are walked at a time, and a batch that was appended twice."""
+    monkeypatch.setattr(secrets, "STRIDE", 7)
+    text = " é ".join(("deadbeef" * 3, "token=abc", "token=abcdefg")[i % 3] for i in range(50))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    path = "file://" + str(tmp_path / "ledger")
+    want = [(a, b, n) for a, _, b, n in expected_spans(text)]
+    assert [(f.start, f.stop, f.kind) for f in secrets.findings(df, path).first().found] == want and len(want) > 30
+    spark.read.parquet(path).coalesce(1).write.mode("append").parquet(path)
+    assert [(f.start, f.stop, f.kind) for f in secrets.findings(df, path).first().found] == want
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("ab secret=abcdefgh é password=12345678",)], "text string").withColumn("doc_id", F.lit(1))
     found = secrets.findings(df, common.scratch(spark, "ledger"))
@@ -225,6 +237,18 @@ def test_jaccard(docs, raw, nothing):
     assert jaccard.join(nothing).count() == 0
 
 
+def test_repeated_ids(spark):
+    """Rows of one id with unlike texts are documents of their own."""
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(5, x), (5, y), (1, x), (5, y), (7, y + " more"), (None, x), (8, None), (8, "")]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    h = {r.t: r.h for r in spark.createDataFrame([(t,) for t in (x, y, y + " more")], "t string").withColumn("h", F.xxhash64("t")).collect()}
+    told = collections.Counter((r.doc_id, r.text_hash, r.group_id, r.group_hash, r.n_links, r.n_texts) for r in got if r.doc_id not in (None, 8))
+    assert told == {(5, h[x], 1, h[x], 1, 0): 1, (1, h[x], 1, h[x], 1, 0): 1, (5, h[y], 5, h[y], 2, 1): 2, (7, h[y + " more"], 5, h[y], 2, 1): 1}
+    assert all(r.group_id == r.doc_id and r.n_links == 0 for r in got if r.doc_id in (None, 8))
+
+
 def test_blocks_of_a_large_group(docs, monkeypatch):
     whole = {i: tuple(r) for i, r in by_id(jaccard.join(docs)).items()}
     monkeypatch.setattr(jaccard, "BLOCK", 4)
@@ -259,6 +283,45 @@ def test_language(spark, nothing):
     assert {r.lang_pred for r in language.predict(docs, {}).collect()} == {"und"}
 
 
+def test_letters(spark):
+    """Numbers that are no letters leave a text without a language; marks beside letters do not."""
+    rows = [(1, "½ ² Ⅷ ③"), (2, "½ a"), (3, "a" * 30_000), (3, "a" * 30_000), (4, "é" + "\u0301")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("lang", F.lit("clash"))
+    got = language.predict(docs, {"aa": ["a", "aa"], "bb": ["b"]}, keep=("lang", "score")).collect()
+    assert sorted((r[0], r[1]) for r in got) == [(1, "und"), (2, "aa"), (3, "aa"), (3, "aa"), (4, "aa")]
+    assert {r[3] for r in got} == {"clash"} and {r[4] for r in got} == {"clash"}
+
+
+def test_out_of_place(spark, docs, raw):
+    """Profiles and distances against plain counting."""
+    import regex
+
+    def ranked(texts):
+        n = collections.Counter()
+        for t in texts:
+            for run in regex.findall(r"\p{L}+", t.lower()):
+                w = f"_{run}_"
+                n.update(g for k in (1, 2, 3) for i in range(len(w) - k + 1) if (g := w[i : i + k]) != "_")
+
+        def tie(g):
+            return int(common.mixed(np.array([sum(ord(c) * 2 ** (21 * i) for i, c in enumerate(g))], np.uint64))[0])
+
+        return sorted(n, key=lambda g: (-n[g], tie(g)))[: language.GRAMS]
+
+    learned = language.profiles(docs)
+    want = {lang: ranked(t for _, t, x, *_ in raw if x == lang and t) for lang in {x for _, t, x, *_ in raw if x and t is not None}}
+    assert learned == {k: v for k, v in want.items() if v}
+    got = by_id(language.predict(docs, learned))
+    for i, t, *_ in raw:
+        own = ranked([t or ""])
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(k - p.index(g)) if g in p else language.GRAMS for k, g in enumerate(own)) for lang, p in learned.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i].lang_pred == best and abs(got[i].score - (1 - far[best] / (language.GRAMS * len(own)))) < 1e-9, i
+
+
 # --- 2
 
 

@@ -58,6 +58,21 @@ def test_run(spark, docs, raw, benchmark, tmp_path):
     assert public_tokenizers.PATTERN
 
 
+def test_repeated_ids_and_empty_tables(spark, docs, benchmark, tmp_path):
+    x, y = " ".join(f"x{c}" for c in "abcdefghijklmnop"), " ".join(f"y{c}" for c in "abcdefghijklmnop")
+    rows = [(5, x, "en", "a", 0), (5, y, None, "a", 0), (1, x, "en", "a", 0), (5, y, None, "a", 0), (9, "½ ②", "en", "a", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    benchmark.write.parquet(str(tmp_path / "a" / "benchmark.parquet"))
+    _, enc = encoding()
+    want = sorted((i, hashlib.sha256(" ".join(map(str, enc.encode_ordinary(t))).encode()).hexdigest()) for i, t in ((1, x), (5, y)))
+    assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path / "a")).collect()) == want
+    assert {r.lang for r in corpus_pipeline.languages(spark, d, "").collect()} == {"en"}
+    d.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    benchmark.limit(0).write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near copies", "benchmark", "secrets", "byte-level BPE"]
 
