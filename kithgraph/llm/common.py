@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -35,10 +36,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession):
+    """Queries run in here delete their shuffle files when they end: what they wrote is read again, they are not."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there and no executor's loss costs it."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with freeing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -187,5 +201,47 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
 def bucketed(df: DataFrame, name: str, n: int, column: str) -> DataFrame:
     """df as a table of the warehouse, which all share, bucketed by a column: a later join on it moves only the other side."""
     name = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, column).format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+    with freeing(df.sparkSession):
+        df.write.bucketBy(n, column).format("parquet").saveAsTable(name)
+    made = df.sparkSession.table(name)
+    made.kithgraph_table = name
+    return made
+
+
+def dropped(made: DataFrame) -> None:
+    """Delete a table of bucketed() that nothing reads any more."""
+    made.sparkSession.sql(f"DROP TABLE IF EXISTS {made.kithgraph_table}")
+
+
+def aimed(spark: SparkSession, n: int) -> list[int]:
+    """n keys, the t-th of which Spark's hash deals to partition t of n: tables bucketed by such keys hold one key a bucket."""
+    place = F.pmod(F.hash("id"), F.lit(n))
+    found = {r.place: r.key for r in spark.range(40 * n + 1000).groupBy(place.alias("place")).agg(F.min("id").alias("key")).collect()}
+    if len(found) < n:
+        raise RuntimeError("no key found for a partition")
+    return [found[t] for t in range(n)]
+
+
+def pack_planes(*arrays: np.ndarray) -> bytes:
+    """Integer or float arrays as one blob, byte plane by byte plane: high bytes are mostly alike and shrink."""
+    import zstandard
+
+    head = np.array([len(arrays), *[x for a in arrays for x in (len(a), ord(a.dtype.kind), a.dtype.itemsize)]], "<i8").tobytes()
+    body = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays)
+    return zstandard.compress(head + body, 1)
+
+
+def unpack_planes(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    at, out = 8 + 24 * n, []
+    for size, kind, width in np.frombuffer(raw, "<i8", 3 * n, 8).reshape(-1, 3).tolist():
+        if not size:
+            out.append(np.zeros(0, f"<{chr(kind)}{width}"))
+            continue
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(f"<{chr(kind)}{width}").reshape(-1))
+        at += size * width
+    return out

@@ -1,15 +1,20 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Tokens are words and one end a text. A context restaurant is a class of previous words (their hash modulo CONTEXTS); all
-context restaurants share one parent, the empty context's restaurant, whose base is half for an unknown word and half even
-over the known ones. Seating is sampled by Gibbs: for each dish (word) of a restaurant the number of tables is drawn given
-all others, by the Chinese-restaurant probabilities with generalised Stirling numbers; dishes of more than EXACT customers
-are reseated one group of customers after the other. A draw of a child's tables gives the parent's customers. The
-predictive probabilities of the kept samples are averaged.
-
-The data are dealt by dish, so a word's seating in all contexts and in the parent is local to one task, and only totals of
-restaurants (CONTEXTS numbers) cross between sweeps. Texts are written once as codes in slices; each slice asks every
-bucket of dishes for its (context, word) pairs, which also carry the training counts, and gets their log probabilities back.
+Tokens are words and one end a text. Every previous word has a restaurant of its own, keyed by its 64-bit hash; all of them
+share one parent, the empty context's restaurant, whose base is half for an unknown word and half even over the known ones.
+Seating is sampled by Gibbs: for each dish (word) of a restaurant the number of tables is drawn given all others, by the
+Chinese-restaurant probabilities with generalised Stirling numbers. A draw of a child's tables gives the parent's customers.
+Within a sweep all dishes are drawn at once, given the tables of the sweep before. Dishes of more than EXACT customers are
+reseated in groups of an eighth of those seated, one group after the other. The predictive probabilities of the kept samples
+are averaged.
+
+The data are dealt by dish to buckets, so a word's seating in all contexts and in the parent is local to one task. A word
+that is a large share of a bounded sample of tokens is dealt to several buckets by context; its seating in the parent is the
+driver's, who holds at most HOT such words. The totals of a context's restaurant are spread over buckets: after each sweep
+each bucket sends the tables of its contexts, in a fixed order, to the parts of the hash range, where they are added up and
+sent back. Texts are written once as codes in slices; each slice asks every bucket of dishes for its (context, word) pairs,
+which also carry the training counts, and gets their log probabilities back. Draws are keyed by word, context and sweep, so
+they depend on neither tasks nor partitions.
 """
 
 from __future__ import annotations
@@ -23,31 +28,34 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CONTEXTS, EXACT, UNKNOWN = 8192, 24, 0.5
+EXACT, UNKNOWN = 256, 0.5
 BURN_IN, SAMPLES = 1, 2
-#: Log10 probabilities travel as multiples of this; a token's is at most half of it off.
-STEP = 1e-4
 SLICE_TOKENS = 1_000_000
 #: A token that no text can hold (words have no white space).
 END = b" end"
 DISCOUNTS, STRENGTHS = (0.05, 0.2, 0.4, 0.6, 0.8, 0.9), (1.0, 30.0, 300.0, 3000.0, 30000.0)
+#: Words dealt to several buckets, at most, and the texts of the sample that finds them. They decide the layout, not the result.
+HOT, HOT_TEXTS = 4096, 2000
 
-SLICED = "slice long, bucket int, doc_ids array<long>, sizes array<int>, packed binary"
-STATE = "bucket int, packed binary, tables binary, totals array<double>"
+SLICED = "to int, slice long, bucket int, doc_ids array<long>, sizes array<int>, packed binary"
+TABLE = "kind int, key long, slice long, bucket int, doc_ids array<long>, sizes array<int>, packed binary, tables binary, pieces array<struct<key: long, part: int, blob: binary>>, totals array<double>"
+ROUTES = "key long, route binary, totals array<struct<key: long, part: int, blob: binary>>"
+CODES, ASKS, STATE = 0, 1, 2
 
 
 @dataclass
 class Model:
     """What every task knows in a sweep."""
 
-    customers: np.ndarray  # of each context restaurant
     n: int = 0
     v: int = 0
     d1: float = 0.5
     s1: float = 100.0
     d0: float = 0.5
     s0: float = 100.0
-    samples: list = field(default_factory=list)  # (tables of each context, parent's customers, parent's tables)
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes, sorted
+    hot_c: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # their training counts
+    samples: list = field(default_factory=list)  # after each sweep: the parent's customers and tables, then those of the hot words
 
 
 def stirling(d: float, most: int = EXACT) -> np.ndarray:
@@ -61,63 +69,115 @@ def stirling(d: float, most: int = EXACT) -> np.ndarray:
     return s
 
 
-def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish, given its customers c, its restaurant's other tables and the parent's probability p of the dish."""
+class Keyed:
+    """Uniform draws by key: equal keys draw alike in every task."""
+
+    def __init__(self, keys: np.ndarray, sweep: int):
+        with np.errstate(over="ignore"):
+            self.keys = common.mixed(keys + np.uint64(0x9E3779B97F4A7C15) * np.uint64(sweep + 1))
+
+    def random(self, _: int) -> np.ndarray:
+        return (self.keys >> np.uint64(11)) * 2.0**-53
+
+    def of(self, i: int) -> np.random.Generator:
+        return np.random.default_rng(int(self.keys[i]))
+
+
+def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, rng) -> np.ndarray:
+    """Tables of each dish, given its customers c, its restaurant's other tables and the parent's probability p of the dish. rng: Keyed or a generator."""
     t = np.minimum(c, 1).astype(np.int64)
-    logs, log_p = stirling(d), np.log(np.maximum(p, 1e-300))
+    log_p, u = np.log(np.maximum(p, 1e-300)), rng.random(len(c))
+    logs = stirling(d, max(2, min(EXACT, int(c.max())))) if len(c) else None
     for n in np.unique(c[(c > 1) & (c <= EXACT)]).tolist():
         rows = np.flatnonzero(c == n)
-        for a in range(0, len(rows), 200_000):
-            r = rows[a : a + 200_000]
+        step = max(1, 2_000_000 // n)
+        for a in range(0, len(rows), step):
+            r = rows[a : a + step]
             k = np.arange(1, n + 1)
             w = logs[n, 1 : n + 1] + np.cumsum(np.log(strength + d * (others[r][:, None] + k - 1)), axis=1) + k * log_p[r][:, None]
             w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
-            t[r] = 1 + (w < rng.random((len(r), 1)) * w[:, -1:]).sum(axis=1)
-    r = np.flatnonzero(c > EXACT)
-    if len(r):
-        goal, at, tables, o, q = c[r].astype(np.int64), np.ones(len(r), np.int64), np.ones(len(r), np.int64), others[r], p[r]
-        while (at < goal).any():
-            m = np.minimum(np.maximum(1, at // 8), goal - at)
+            t[r] = np.minimum(1 + (w < u[r][:, None] * w[:, -1:]).sum(axis=1), n)
+    for i in np.flatnonzero(c > EXACT).tolist():
+        own, goal, at, tables, o, q = rng.of(i) if hasattr(rng, "of") else rng, int(c[i]), 1, 1, float(others[i]), float(p[i])
+        while at < goal:
+            m = min(max(1, at // 8), goal - at)
             new = (strength + d * (o + tables)) * q
-            tables += rng.binomial(m, np.clip(new / (np.maximum(at - d * tables, 1e-9) + new), 0, 1))
+            tables += int(own.binomial(m, min(1.0, new / (max(at - d * tables, 1e-9) + new))))
             at += m
-        t[r] = np.minimum(tables, goal)
+        t[i] = min(tables, goal)
     return t
 
 
-def _slicer(buckets: int):
+def hot_words(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words with a large share of the tokens of a hash sample of about HOT_TEXTS texts, and how many buckets each is dealt to."""
+    total = rows.count()
+    least = max(1 / HOT, 1 / (4 * buckets))
+
+    def run(batches):
+        for batch in common.slices(batches, "text"):
+            words, n = common.flat_words(batch.column(0), common.LOWER)
+            values, codes = common.coded([*words, *[END] * len(n)])
+            count = np.bincount(codes, minlength=len(values))
+            use = np.flatnonzero(count >= max(1, least / 8 * count.sum())).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([*common.hashes([values[i] for i in use]).view(np.int64).tolist(), None], pa.int64()), pa.array([*count[use].tolist(), int(count.sum())], pa.int64())], ["h", "n"])
+
+    share = int(min(1.0, HOT_TEXTS / max(1, total)) * (1 << 30))
+    sample = rows.where(F.col("train") & (F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) <= share)).select("text")
+    found = sample.mapInArrow(common.lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "h").limit(HOT + 1).collect()
+    whole = sum(r.n for r in top if r.h is None)
+    hot = [r for r in top if r.h is not None and r.n >= least * whole]
+    h = np.array([r.h for r in hot], np.int64).view(np.uint64)
+    ways = np.minimum(buckets, np.ceil(2 * buckets * np.array([r.n for r in hot], float) / max(1, whole))).astype(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.maximum(ways[order], 1)
+
+
+def _hot_place(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Each hash's place among the hot ones, -1 for others."""
+    if not len(hot):
+        return np.full(len(h), -1, np.int64)
+    i = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+    return np.where(hot[i] == h, i, -1)
+
+
+def _slicer(buckets: int, hot: np.ndarray, ways: np.ndarray):
     def run(batches):
         from pyspark import TaskContext
 
-        mark, known = TaskContext.get().partitionId() << 32, {}
+        mark = TaskContext.get().partitionId() << 32
 
         def emit(ids, train, counts, words, prev, tok):
             h = common.hashes(words)
-            context = (h % np.uint64(CONTEXTS)).astype(np.int32)
             key = np.concatenate(tok).astype(np.int64)
-            key *= CONTEXTS
-            key += context[np.concatenate(prev)]
+            key *= len(words)
+            key += np.concatenate(prev)
             tok.clear()
             prev.clear()
             types, codes = np.unique(key, return_inverse=True)
             del key
-            learned = np.bincount(codes[np.repeat(train, counts)], minlength=len(types))
-            word, k = types // CONTEXTS, types % CONTEXTS
-            bucket = (common.mixed(h) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((k, h[word], bucket[word]))
-            place = np.empty(len(types), np.int64)
-            place[order] = np.arange(len(types))
-            word, k, learned = word[order], k[order], learned[order]
-            cut = np.searchsorted(bucket[word], np.arange(buckets + 1))
-            rows = [(-1, ids, counts.tolist(), common.pack_arrays(place[codes].astype(np.uint32)))]
+            learned = np.bincount(codes[np.repeat(train, counts)], minlength=len(types)).astype(np.uint32)
+            word, context = types // len(words), h[types % len(words)]
+            del types
+            own = h[word]
+            place = _hot_place(hot, own)
+            turn = np.where(place >= 0, common.mixed(context) % ways[np.maximum(place, 0)], 0) if len(hot) else np.zeros(len(own), np.uint64)
+            with np.errstate(over="ignore"):
+                bucket = ((common.mixed(own) + turn) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((context, own, bucket))
+            at = np.empty(len(order), np.uint32)
+            at[order] = np.arange(len(order), dtype=np.uint32)
+            own, context, learned, bucket = own[order], context[order], learned[order], bucket[order]
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            rows = [(mark // (1 << 32) % buckets, -1, ids, counts.tolist(), common.pack_planes(at[codes]))]
             for b in range(buckets):
                 x, y = int(cut[b]), int(cut[b + 1])
                 if x < y:
-                    first = np.flatnonzero(np.diff(word[x:y], prepend=-1))
-                    hs = h[word[x:y][first]]
-                    rows.append((b, None, None, common.pack_arrays(hs, np.diff(first, append=y - x).astype(np.uint16), k[x:y].astype(np.uint16), learned[x:y].astype(np.uint32))))
+                    first = np.flatnonzero(np.concatenate([[True], own[x + 1 : y] != own[x : y - 1]]))
+                    seen, k = np.unique(context[x:y], return_inverse=True)
+                    rows.append((b, b, None, None, common.pack_planes(np.diff(own[x:y][first], prepend=np.uint64(0)), np.diff(first, append=y - x).astype(np.uint32), np.diff(seen, prepend=np.uint64(0)), k.astype(np.uint32), learned[x:y])))
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([mark] * len(rows), pa.int64()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.binary())], ["slice", "bucket", "doc_ids", "sizes", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([mark] * len(rows), pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.binary())], ["to", "slice", "bucket", "doc_ids", "sizes", "packed"])
 
         def empty():
             return [], [], [], {END: 0}, [], []
@@ -128,7 +188,7 @@ def _slicer(buckets: int):
             words, n = common.flat_words(batch.column(1), common.LOWER)
             values, codes = common.coded(words)
             del words
-            own = np.fromiter((known.setdefault(w, len(known)) for w in values), np.int64, len(values))
+            own = np.fromiter((known.setdefault(w, len(known)) for w in values), np.int32, len(values))
             at = np.cumsum(n + 1)
             stream = np.zeros(int(at[-1]), np.int32)  # the end token has code 0
             inside = np.ones(len(stream), bool)
@@ -148,168 +208,286 @@ def _slicer(buckets: int):
                 common.release()
         if ids:
             yield emit(ids, np.array(train, bool), np.concatenate(counts), list(known), prev, tok)
-        common.release()
 
     return run
 
 
-def _by_bucket(batches, columns: int):
-    """Rows of sorted batches, bucket by bucket."""
-    now, rows = None, []
-    for batch in batches:
-        for row in zip(*[batch.column(i) for i in range(columns)], strict=True):
-            b = row[0].as_py()
-            if b != now and rows:
-                yield now, rows
-                rows = []
-            now = b
-            rows.append(row)
-    if rows:
-        yield now, rows
-
-
-def _state(bucket: int, packed: bytes, tables: bytes, totals) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed], pa.binary()), pa.array([tables], pa.binary()), pa.array([np.asarray(totals, float)], pa.list_(pa.float64()))], ["bucket", "packed", "tables", "totals"])
-
-
-def _gather(batches):
-    """The dishes of a bucket with their training counts. totals: tokens, dishes, then the customers of each context."""
-    for bucket, rows in _by_bucket(batches, 2):
-        keys, counts = [], []
-        parts = [common.unpack_arrays(r[1].as_py()) for r in rows]
-        words = np.unique(np.concatenate([p[0] for p in parts]))
-        for h, types, k, c in parts:
-            own = np.repeat(np.searchsorted(words, h), types)
-            got = c > 0
-            keys.append((own * CONTEXTS + k)[got])
-            counts.append(c[got].astype(np.int64))
-        key, count = np.concatenate(keys), np.concatenate(counts)
-        types, code = np.unique(key, return_inverse=True)
-        c = np.bincount(code, weights=count, minlength=len(types)).astype(np.int64) if len(types) else np.zeros(0, np.int64)
-        dish, k = types // CONTEXTS, types % CONTEXTS
-        kept, dish = np.unique(dish, return_inverse=True)
-        words = words[kept]
-        totals = np.concatenate([[c.sum(), len(words)], np.bincount(k, weights=c, minlength=CONTEXTS)])
-        first = np.searchsorted(dish, np.arange(len(words) + 1))
-        yield _state(bucket, common.pack_arrays(words, np.diff(first).astype(np.uint16), k.astype(np.uint16), c.astype(np.uint32)), common.pack_arrays(), totals)
-
-
-def _dishes(packed: bytes):
-    words, types, k, c = common.unpack_arrays(packed)
-    return words, np.repeat(np.arange(len(words)), types), k.astype(np.int64), c.astype(np.int64)
+def _asked(blob: bytes):
+    """An ask's words, the types of each, its contexts, each type's place among them and training count."""
+    words, types, contexts, k, learned = common.unpack_planes(blob)
+    return np.cumsum(words, dtype=np.uint64), types, np.cumsum(contexts, dtype=np.uint64), k, learned
+
+
+def _table_row(**cols) -> pa.RecordBatch:
+    piece = pa.list_(pa.struct([("key", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())]))
+    kinds = [("kind", pa.int32()), ("key", pa.int64()), ("slice", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary()), ("tables", pa.binary()), ("pieces", piece), ("totals", pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays([pa.array([cols.get(name)], kind) for name, kind in kinds], [name for name, _ in kinds])
+
+
+def _pieces(keys: list[int], contexts: np.ndarray, *arrays: np.ndarray, named: bool = False) -> list[dict]:
+    """The arrays, cut where the sorted contexts pass from one part of the hash range to the next; `named`: after the contexts' own differences."""
+    part = ((contexts >> np.uint64(32)) * np.uint64(len(keys)) >> np.uint64(32)).astype(np.int64)
+    cut = np.searchsorted(part, np.arange(len(keys) + 1)).tolist()
+    first = lambda x, y: [np.diff(contexts[x:y], prepend=np.uint64(0))] if named else []
+    return [{"key": keys[p], "part": p, "blob": common.pack_planes(*first(x, y), *[a[x:y] for a in arrays])} for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
+
+
+def _gather(keys: list[int], hot: np.ndarray):
+    """Codes and asks as they are; after a bucket's asks its dishes, with all contexts that it was asked for.
+
+    totals: tokens, dishes that are not hot, then the tokens of each hot word.
+    """
+
+    def dishes(bucket: int, asks: list[bytes]) -> pa.RecordBatch:
+        parts = [_asked(a) for a in asks]
+        contexts = np.unique(np.concatenate([p[2] for p in parts]))
+        own, place, count = [], [], []
+        for words, types, some, k, learned in parts:
+            got = learned > 0
+            own.append(np.repeat(words, types)[got])
+            place.append(np.searchsorted(contexts, some).astype(np.uint32)[k][got])
+            count.append(learned[got])
+        parts.clear()
+        own, place, count = np.concatenate(own), np.concatenate(place), np.concatenate(count)
+        order = np.lexsort((place, own))
+        own, place, count = own[order], place[order], count[order]
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (place[1:] != place[:-1])]) if len(own) else np.zeros(0, bool)
+        c = np.add.reduceat(count.astype(np.int64), np.flatnonzero(new)) if len(own) else np.zeros(0, np.int64)
+        own, place = own[new], place[new]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        words, types = own[first], np.diff(first, append=len(own))
+        at = _hot_place(hot, words)
+        dish = np.repeat(np.arange(len(words)), types)
+        per = np.bincount(dish, weights=c, minlength=len(words)).astype(np.int64)
+        some = np.bincount(at[at >= 0], weights=per[at >= 0], minlength=len(hot))
+        customers = np.bincount(place, weights=c, minlength=len(contexts)).astype(np.int64)
+        kinds = np.bincount(place, minlength=len(contexts)).astype(np.uint32)
+        packed = common.pack_planes(np.diff(words, prepend=np.uint64(0)), types.astype(np.uint32), place, c, np.diff(contexts, prepend=np.uint64(0)))
+        return _table_row(kind=STATE, key=keys[bucket], bucket=bucket, packed=packed, pieces=_pieces(keys, contexts, customers, kinds, named=True), totals=[float(c.sum()), float((at < 0).sum()), *some.tolist()])
+
+    def run(batches):
+        now, asks = -1, []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bucket, mark, blob = batch.column(2)[row].as_py(), batch.column(1)[row].as_py(), batch.column(5)[row].as_py()
+                if bucket != now and asks:
+                    yield dishes(now, asks)
+                    asks = []
+                now = bucket
+                if bucket < 0:
+                    yield _table_row(kind=CODES, key=mark, slice=mark, doc_ids=batch.column(3)[row].as_py(), sizes=batch.column(4)[row].as_py(), packed=blob)
+                else:
+                    asks.append(blob)
+                    yield _table_row(kind=ASKS, key=keys[bucket], slice=mark, bucket=bucket, packed=blob)
+        if asks:
+            yield dishes(now, asks)
+
+    return run
+
+
+def _route(keys: list[int]):
+    """A part of the hash range: where each bucket's contexts lie in it, and for each bucket its contexts' customers and tables in all buckets."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key, part = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                buckets, got = [], []
+                for x in batch.column(2)[row].as_py():
+                    buckets.append(x["bucket"])
+                    got.append(common.unpack_planes(x["blob"]))
+                    got[-1][0] = np.cumsum(got[-1][0], dtype=np.uint64)
+                contexts = np.unique(np.concatenate([g[0] for g in got]))
+                places = [np.searchsorted(contexts, g[0]).astype(np.uint32) for g in got]
+                everywhere = np.concatenate(places)
+                customers = np.bincount(everywhere, weights=np.concatenate([g[1] for g in got]), minlength=len(contexts)).astype(np.int64)
+                tables = np.bincount(everywhere, weights=np.concatenate([g[2] for g in got]), minlength=len(contexts)).astype(np.int64)
+                back = [{"key": keys[b], "part": part, "blob": common.pack_planes(tables[at], customers[at])} for b, at in zip(buckets, places, strict=True)]
+                yield _routed(key, common.pack_planes(np.array([len(contexts)]), np.array(buckets), np.array([len(p) for p in places]), everywhere), back)
+
+    return run
+
+
+def _routed(key: int, route: bytes | None, back: list[dict]) -> pa.RecordBatch:
+    piece = pa.list_(pa.struct([("key", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())]))
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([route], pa.binary()), pa.array([back], piece)], ["key", "route", "totals"])
+
+
+def _add_up(keys: list[int]):
+    """Each bucket's tables of a part, added up over all buckets, back to each bucket."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (size,), buckets, sizes, everywhere = common.unpack_planes(batch.column(1)[row].as_py())
+                part, got = batch.column(2)[row].as_py(), {x["bucket"]: x["blob"] for x in batch.column(3)[row].as_py()}
+                tables = np.bincount(everywhere, weights=np.concatenate([common.unpack_planes(got[b])[0] for b in buckets.tolist()]), minlength=int(size)).astype(np.int64)
+                ends = np.cumsum(sizes).tolist()
+                yield _routed(batch.column(0)[row].as_py(), None, [{"key": keys[b], "part": part, "blob": common.pack_planes(tables[everywhere[x:y]])} for b, x, y in zip(buckets.tolist(), [0, *ends], ends, strict=False)])
+
+    return run
+
+
+class Bucket:
+    """A bucket's dishes. tables: its contexts' customers, then the last seating, then each kept sample's seating and its contexts' tables."""
+
+    def __init__(self, packed: bytes, tables: bytes | None, totals: list[dict]):
+        words, types, self.k, self.c, contexts = common.unpack_planes(packed)
+        self.words, self.contexts = np.cumsum(words, dtype=np.uint64), np.cumsum(contexts, dtype=np.uint64)
+        self.dish = np.repeat(np.arange(len(self.words)), types)
+        back = [common.unpack_planes(x["blob"]) for x in totals]
+        self.total = np.concatenate([b[0] for b in back])
+        held = common.unpack_planes(tables) if tables else []
+        self.customers = held[0] if held else np.concatenate([b[1] for b in back])
+        self.seating = [x.astype(np.int64) for x in held[1:3]]
+        self.kept = held[3:]
+
+    def sent(self, t: np.ndarray) -> np.ndarray:
+        return np.bincount(self.dish, weights=t, minlength=len(self.words)).astype(np.int64)
+
+
+def _adopt(hot: np.ndarray):
+    """Dishes with their contexts' customers; the first seating is a table for each dish of a context and one in the parent.
+
+    totals: types and words that are not hot, then each hot word's types.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                b = Bucket(batch.column(2)[row].as_py(), None, batch.column(4)[row].as_py())
+                t, above = np.ones(len(b.c), np.uint32), np.ones(len(b.words), np.uint32)
+                at, kinds = _hot_place(hot, b.words), b.sent(t)
+                of_hot = np.bincount(at[at >= 0], weights=kinds[at >= 0], minlength=len(hot))
+                yield _table_row(kind=STATE, key=batch.column(0)[row].as_py(), bucket=batch.column(1)[row].as_py(), packed=batch.column(2)[row].as_py(), tables=common.pack_planes(b.customers, t, above), totals=[float(kinds[at < 0].sum()), float((at < 0).sum()), *of_hot.tolist()])
+
+    return run
 
 
 def _probe(model_b):
-    """Left-out log likelihoods: of each token given all others, by discount and strength, for the parent and the contexts.
+    """Left-out log likelihoods: of each token given all others, by discount and strength, for the parent, then the contexts.
 
-    Each type counts as one table here. totals: the parent's grid, then the contexts' grid for each of the parent's choice
-    made first (two passes), so the same function serves both: `choose` says which.
+    Each type counts as one table here; a hot word's share in the parent is counted in proportion to its tokens here.
     """
 
     def run(batches):
         choose, model = model_b.value
         for batch in batches:
             for row in range(batch.num_rows):
-                bucket, packed = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                words, dish, k, c = _dishes(packed)
-                out = []
-                cw = np.bincount(dish, weights=c, minlength=len(words))
+                b = Bucket(batch.column(2)[row].as_py(), batch.column(3)[row].as_py(), batch.column(4)[row].as_py())
+                c, out = b.c, []
+                here = b.sent(c)
+                hot = _hot_place(model.hot, b.words)
+                cw = np.where(hot >= 0, model.hot_c[np.maximum(hot, 0)], here) if len(model.hot) else here
                 if choose == 0:
+                    left = cw - 1
+                    base = np.where(left > 0, (1 - UNKNOWN) / model.v, UNKNOWN)
                     for d in DISCOUNTS:
                         for s in STRENGTHS:
-                            left = cw - 1
-                            base = np.where(left > 0, (1 - UNKNOWN) / model.v, UNKNOWN)
                             p = (np.maximum(left - d * (left > 0), 0) + (s + d * model.v) * base) / (s + model.n - 1)
-                            out.append(float((cw * np.log(p)).sum()))
+                            out.append(float((here * np.log(p)).sum()))
                 else:
-                    left_w = cw[dish] - 1
+                    left_w = cw[b.dish] - 1
                     base = np.where(left_w > 0, (1 - UNKNOWN) / model.v, UNKNOWN)
                     parent = (np.maximum(left_w - model.d0 * (left_w > 0), 0) + (model.s0 + model.d0 * model.v) * base) / (model.s0 + model.n - 1)
-                    tables, total, left = model.samples[0][0][k], model.customers[k], c - 1
+                    tables, total, left = b.total[b.k], b.customers[b.k], c - 1
                     for d in DISCOUNTS:
                         for s in STRENGTHS:
                             p = (np.maximum(left - d * (left > 0), 0) + (s + d * tables) * parent) / (s + np.maximum(total - 1, 0))
                             out.append(float((c * np.log(p)).sum()))
-                yield _state(bucket, b"", b"", out)
+                yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["totals"])
 
     return run
 
 
-def _types_of(batches):
-    """How many dishes each context has."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            _, _, k, _ = _dishes(batch.column(1)[row].as_py())
-            yield _state(batch.column(0)[row].as_py(), b"", b"", np.bincount(k, minlength=CONTEXTS))
-
-
 def parent_p(model: Model, sample, customers: np.ndarray, tables: np.ndarray, base: np.ndarray | float) -> np.ndarray:
-    return (np.maximum(customers - model.d0 * tables, 0) + (model.s0 + model.d0 * sample[2]) * base) / (model.s0 + sample[1])
+    """The parent's probability. sample: its customers and tables in all."""
+    return (np.maximum(customers - model.d0 * tables, 0) + (model.s0 + model.d0 * sample[1]) * base) / (model.s0 + sample[0])
 
 
-def _sweep(model_b, number: int, keep: bool):
-    """One Gibbs sweep over a bucket's dishes. tables: the last state, then the kept samples. totals: each context's tables, the parent's customers and tables."""
+def _sweep(model_b, keys: list[int], number: int, keep: bool, kept_before: bool):
+    """One Gibbs sweep over a bucket's dishes. totals: the parent's customers and tables of words that are not hot, then each hot word's customers."""
 
     def run(batches):
         model = model_b.value
-        sample = model.samples[-1]
+        customers0, tables0, hot_sent, hot_above = model.samples[-1]
+        base = (1 - UNKNOWN) / max(1, model.v)
         for batch in batches:
             for row in range(batch.num_rows):
-                bucket, packed = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                words, dish, k, c = _dishes(packed)
-                held = common.unpack_arrays(batch.column(2)[row].as_py())
-                rng = np.random.default_rng([17, number, bucket])
-                base = (1 - UNKNOWN) / max(1, model.v)
-                t = held[0].astype(np.int64) if held else np.ones(len(c), np.int64)
-                above = held[1].astype(np.int64) if held else np.ones(len(words), np.int64)
-                sent = np.bincount(dish, weights=t, minlength=len(words))
-                p = parent_p(model, sample, np.maximum(sent[dish] - t, 0), np.minimum(above[dish], np.maximum(sent[dish] - t, 0)), base)
-                t = seat(c, np.maximum(sample[0][k] - t, 0), p, model.d1, model.s1, rng)
-                sent = np.bincount(dish, weights=t, minlength=len(words)).astype(np.int64)
-                above = seat(sent, np.maximum(sample[2] - above, 0.0), np.full(len(words), base), model.d0, model.s0, rng)
+                packed = batch.column(2)[row].as_py()
+                b = Bucket(packed, batch.column(3)[row].as_py(), batch.column(4)[row].as_py())
+                held = [*b.kept, b.total] if kept_before else b.kept
+                t, above = b.seating
+                hot = _hot_place(model.hot, b.words)
+                at = np.maximum(hot, 0)
+                sent = b.sent(t)
+                if len(model.hot):
+                    sent, above = np.where(hot >= 0, hot_sent[at], sent), np.where(hot >= 0, hot_above[at], above)
+                rest = np.maximum(sent[b.dish] - t, 0)
+                p = parent_p(model, (customers0, tables0), rest, np.minimum(above[b.dish], rest), base)
+                with np.errstate(over="ignore"):
+                    rng = Keyed(b.words[b.dish] * np.uint64(3) + common.mixed(b.contexts[b.k]), number)
+                t = seat(b.c, np.maximum(b.total[b.k] - t, 0), p, model.d1, model.s1, rng)
+                sent = b.sent(t)
+                own = np.flatnonzero(hot < 0)
+                above = np.array(above, np.int64)
+                above[own] = seat(sent[own], np.maximum(tables0 - above[own], 0.0), np.full(len(own), base), model.d0, model.s0, Keyed(b.words[own], number))
                 state = [t.astype(np.uint32), above.astype(np.uint32)]
-                totals = np.concatenate([np.bincount(k, weights=t, minlength=CONTEXTS), [sent.sum(), above.sum()]])
-                yield _state(bucket, packed, common.pack_arrays(*state, *held[2:], *(state if keep else [])), totals)
+                tables = np.bincount(b.k, weights=t, minlength=len(b.contexts)).astype(np.uint32)
+                of_hot = np.bincount(hot[hot >= 0], weights=sent[hot >= 0], minlength=len(model.hot))
+                yield _table_row(kind=STATE, key=batch.column(0)[row].as_py(), bucket=batch.column(1)[row].as_py(), packed=packed, tables=common.pack_planes(b.customers, *state, *held, *(state if keep else [])), pieces=_pieces(keys, b.contexts, tables), totals=[float(sent[own].sum()), float(above[own].sum()), *of_hot.tolist()])
 
     return run
 
 
-def _reply(model_b):
+def _reply(model_b, samples: int):
     """For each slice that asks a bucket: the averaged log10 probability of its types, and each word's training count."""
 
     def run(batches):
         model = model_b.value
-        kept = model.samples[-SAMPLES:]
-        now, words, state = None, np.zeros(0, np.uint64), None
+        kept = model.samples[-samples:]
         for batch in batches:
-            for bucket, mark, packed, tables in zip(*[batch.column(i) for i in range(4)], strict=True):
-                if mark.as_py() == -1:
-                    now, (words, dish, k, c) = bucket.as_py(), _dishes(packed.as_py())
-                    held = common.unpack_arrays(tables.as_py())[2:]
-                    cw = np.bincount(dish, weights=c, minlength=len(words)).astype(np.int64)
-                    state = (dish * CONTEXTS + k, c, [(held[2 * i].astype(np.int64), np.bincount(dish, weights=held[2 * i], minlength=len(words)), held[2 * i + 1].astype(np.int64)) for i in range(len(kept))], cw)
-                    continue
-                if bucket.as_py() != now:
-                    raise RuntimeError("a bucket's dishes must come before its questions")
-                h, types, k, _ = common.unpack_arrays(packed.as_py())
-                k = k.astype(np.int64)
-                keys, c, seating, cw = state
-                i = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-                known_w = words[i] == h if len(words) else np.zeros(len(h), bool)
-                i, known = np.repeat(i, types), np.repeat(known_w, types)
-                want = i * CONTEXTS + k
-                j = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
-                seen = known & (keys[j] == want) if len(keys) else np.zeros(len(want), bool)
-                p = np.zeros(len(want))
-                for (t, sent, above), sample in zip(seating, kept, strict=True):
-                    base = np.where(known, (1 - UNKNOWN) / max(1, model.v), UNKNOWN)
-                    up = parent_p(model, sample, np.where(known, sent[i], 0) if len(sent) else 0, np.where(known, above[i], 0) if len(above) else 0, base)
-                    own = np.where(seen, np.maximum(c[j] - model.d1 * t[j], 0), 0) if len(c) else 0
-                    p += (own + (model.s1 + model.d1 * sample[0][k]) * up) / (model.s1 + model.customers[k])
-                logs = np.rint(-np.log10(p / len(kept)) / STEP).astype(np.uint32)
-                count = np.where(known, cw[i] if len(cw) else 0, 0).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([mark.as_py()], pa.int64()), pa.array([now], pa.int32()), pa.array([common.pack_arrays(logs, count)], pa.binary())], ["slice", "bucket", "logs"])
-        common.release()
+            for row in range(batch.num_rows):
+                b = Bucket(batch.column(2)[row].as_py(), batch.column(3)[row].as_py(), batch.column(4)[row].as_py())
+                held = [*b.kept, b.total]
+                hot = _hot_place(model.hot, b.words)
+                at = np.maximum(hot, 0)
+                cw = b.sent(b.c)
+                if len(model.hot):
+                    cw = np.where(hot >= 0, model.hot_c[at], cw)
+                keys = b.dish * len(b.contexts) + b.k.astype(np.int64)
+                seating = []
+                for i, sample in enumerate(kept):
+                    t, above, total = (x.astype(np.int64) for x in held[3 * i : 3 * i + 3])
+                    sent = b.sent(t)
+                    if len(model.hot):
+                        sent, above = np.where(hot >= 0, sample[2][at], sent), np.where(hot >= 0, sample[3][at], above)
+                    seating.append((t, sent, above, total))
+                for x in batch.column(5)[row].as_py():
+                    h, types, contexts, k, _ = _asked(x["packed"])
+                    k = np.searchsorted(b.contexts, contexts)[k]
+                    i = np.minimum(np.searchsorted(b.words, h), max(0, len(b.words) - 1))
+                    is_known = b.words[i] == h if len(b.words) else np.zeros(len(h), bool)
+                    j_hot = _hot_place(model.hot, h)  # a hot word may have no dish in this bucket
+                    count = np.where(is_known, cw[i], 0) if len(b.words) else np.zeros(len(h), np.int64)
+                    if len(model.hot):
+                        count = np.where(j_hot >= 0, model.hot_c[np.maximum(j_hot, 0)], count)
+                    known = np.repeat(count > 0, types)
+                    own, at_hot = np.repeat(np.where(is_known, i, 0), types), np.repeat(j_hot, types)
+                    want = own * len(b.contexts) + k
+                    j = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
+                    seen = np.repeat(is_known, types) & (keys[j] == want) if len(keys) else np.zeros(len(want), bool)
+                    p = np.zeros(len(want))
+                    for (t, sent, above, total), sample in zip(seating, kept, strict=True):
+                        base = np.where(known, (1 - UNKNOWN) / max(1, model.v), UNKNOWN)
+                        has = np.repeat(is_known, types)
+                        s, a = (np.where(has, x[own], 0) if len(x) else np.zeros(len(own)) for x in (sent, above))
+                        if len(model.hot):
+                            s, a = (np.where(at_hot >= 0, y[np.maximum(at_hot, 0)], x) for x, y in ((s, sample[2]), (a, sample[3])))
+                        up = parent_p(model, sample, s, a, base)
+                        mine = np.where(seen, np.maximum(b.c[j] - model.d1 * t[j], 0), 0) if len(keys) else 0
+                        p += (mine + (model.s1 + model.d1 * total[k]) * up) / (model.s1 + b.customers[k])
+                    yield pa.RecordBatch.from_arrays([pa.array([x["slice"]], pa.int64()), pa.array([batch.column(1)[row].as_py()], pa.int32()), pa.array([common.pack_planes(np.log10(p / len(kept)).astype(np.float32), count.astype(np.int64), types)], pa.binary())], ["key", "bucket", "logs"])
 
     return run
 
@@ -318,22 +496,24 @@ def _assemble(n: int, v: int):
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                parts = [common.unpack_arrays(x["logs"]) for x in batch.column(3)[row].as_py()]
-                logs, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
-                (codes,) = common.unpack_arrays(batch.column(2)[row].as_py())
+                logs, counts = [], []
+                for x in batch.column(3)[row].as_py():
+                    log, count, types = common.unpack_planes(x["logs"])
+                    logs.append(log)
+                    counts.append(np.repeat(count, types))
+                logs, counts = np.concatenate(logs).astype(np.float64), np.concatenate(counts)
+                (codes,) = common.unpack_planes(batch.column(2)[row].as_py())
                 sizes = np.array(batch.column(1)[row].values.to_pylist(), np.int64)
                 at = np.cumsum(sizes) - sizes
                 per = lambda x: np.add.reduceat(x[codes], at)
-                score = -STEP * per(logs.astype(np.float64))
-                base = per(np.log10((counts + 0.5) / (n + 0.5 * (v + 1))))
+                score, base = per(logs), per(np.log10((counts + 0.5) / (n + 0.5 * (v + 1))))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row].values, pa.array(sizes), pa.array(per((counts > 0).astype(np.int64))), pa.array(np.full(len(sizes), n, np.int64)), pa.array(base), pa.array(score), pa.array(10 ** (-score / sizes))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
-                common.release()
 
     return run
 
 
 def _summed(df: DataFrame) -> np.ndarray:
-    """The sum of all rows' totals (as many numbers as there are contexts, at most a few more), added up by 16 tasks."""
+    """The sum of all rows' totals (at most HOT numbers and a few more), added up by 16 tasks."""
 
     def run(batches):
         total = None
@@ -348,49 +528,77 @@ def _summed(df: DataFrame) -> np.ndarray:
     return np.sum(parts, axis=0) if parts else np.zeros(0)
 
 
+OUT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of docs.
 
     train: a boolean column; the rows to learn from. A null or empty text is its end alone. Rows that repeat learn and
-    score each time. Without training rows every token is unknown: its base is (0.5)/(0.5), its probability the base
-    measure's. Sweeps are seeded by bucket, so a task run again draws the same. Old states are deleted as they are replaced.
+    score each time; other columns are not read; an empty table gives none. Without training rows every token is unknown:
+    its base is (0.5)/(0.5), its probability the base measure's. Draws are keyed, so a task run again draws the same. Old
+    states are deleted as they are replaced.
     """
     spark = docs.sparkSession
-    n_buckets = common.partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"))
-    sliced = common.bucketed(rows.mapInArrow(common.lean(_slicer(n_buckets)), SLICED), "lm_slices", n_buckets, "slice")
-    asked = sliced.where("bucket >= 0")
-    path = common.scratch(spark, "lm-dishes")
-    asked.select("bucket", "packed").repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(_gather), STATE).write.parquet(path)
-    read = lambda p: spark.read.schema(STATE).parquet(p)
-    got = _summed(read(path))
+    n = common.partitions(spark)
+    common.shared_dir(spark)
+    keys = common.aimed(spark, n)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    hot, ways = hot_words(rows, n)
+    sent = rows.mapInArrow(common.lean(_slicer(n, hot, ways)), SLICED).repartitionById(n, "to").sortWithinPartitions("bucket", "slice")
+    whole = common.bucketed(sent.mapInArrow(common.lean(_gather(keys, hot)), TABLE), "lm_slices", n, "key")
+    state = whole.where(F.col("kind") == STATE)
+    got = _summed(state)
     if not len(got):
-        return spark.createDataFrame([], "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
-    model = Model(got[2:], int(got[0]), int(got[1]))
-    types = _summed(read(path).select("bucket", "packed").mapInArrow(common.lean(_types_of), STATE))
-    model.samples.append((types, float(model.v), float(model.v)))
+        return spark.createDataFrame([], OUT)
+    model = Model(int(got[0]), int(got[1] + (got[2:] > 0).sum()), hot=hot, hot_c=got[2:].astype(np.int64))
+    tell = lambda: spark.sparkContext.broadcast(model)
+
+    def shared(state: DataFrame) -> DataFrame:
+        """The pieces that the buckets sent, by part of the hash range."""
+        x = state.select(F.col("bucket"), F.explode("pieces").alias("x"))
+        return x.select(F.col("x.key").alias("key"), F.col("x.part").alias("part"), "bucket", F.col("x.blob").alias("blob")).groupBy("key").agg(F.min("part").alias("part"), F.array_sort(F.collect_list(F.struct("bucket", "blob"))).alias("got"))
+
+    def returned(routed: DataFrame) -> DataFrame:
+        """What the parts sent back, by bucket."""
+        x = routed.select(F.explode("totals").alias("x"))
+        return x.select(F.col("x.key").alias("key"), F.struct("x.part", F.col("x.key"), "x.blob").alias("x")).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("back"))
+
+    def joined(state: DataFrame, back: DataFrame) -> DataFrame:
+        return state.select("key", "bucket", "packed", "tables").join(back, "key").select("key", "bucket", "packed", "tables", "back")
+
+    routes = common.bucketed(shared(state).mapInArrow(common.lean(_route(keys)), ROUTES), "lm_routes", n, "key")
+    first = returned(routes)
+    state = common.bucketed(joined(state, first).mapInArrow(common.lean(_adopt(hot)), TABLE), "lm_state", n, "key")
     if model.n:
-        for choose in (0, 1):
-            grid = _summed(read(path).select("bucket", "packed").mapInArrow(common.lean(_probe(spark.sparkContext.broadcast((choose, model)))), STATE))
-            d, s = divmod(int(grid.argmax()), len(STRENGTHS))
-            if choose:
-                model.d1, model.s1 = DISCOUNTS[d], STRENGTHS[s]
-            else:
-                model.d0, model.s0 = DISCOUNTS[d], STRENGTHS[s]
+        with common.freeing(spark):
+            for choose in (0, 1):
+                grid = _summed(joined(state, first).mapInArrow(common.lean(_probe(spark.sparkContext.broadcast((choose, model)))), "totals array<double>"))
+                d, s = divmod(int(grid.argmax()), len(STRENGTHS))
+                if choose:
+                    model.d1, model.s1 = DISCOUNTS[d], STRENGTHS[s]
+                else:
+                    model.d0, model.s0 = DISCOUNTS[d], STRENGTHS[s]
+    t = _summed(state)
+    kinds = t[2:].astype(np.int64)
+    model.samples.append((float(t[0] + kinds.sum()), float(model.v), kinds, np.minimum(kinds, 1)))
+    back = first
     for number in range(burn_in + samples):
-        new = common.scratch(spark, "lm-dishes")
-        read(path).select("bucket", "packed", "tables").mapInArrow(common.lean(_sweep(spark.sparkContext.broadcast(model), number, number >= burn_in)), STATE).write.parquet(new)
-        common.drop(path, spark)
-        path = new
-        t = _summed(read(path))
-        model.samples.append((t[:CONTEXTS], float(t[CONTEXTS]), float(t[CONTEXTS + 1])))
-    dishes = read(path).select("bucket", F.lit(-1).cast("long").alias("slice"), "packed", "tables")
-    both = dishes.unionByName(asked.select("bucket", "slice", "packed", F.lit(None).cast("binary").alias("tables"))).repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket", "slice")
-    replies = both.mapInArrow(common.lean(_reply(spark.sparkContext.broadcast(model))), "slice long, bucket int, logs binary").groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "logs"))).alias("replies"))
-    joined = sliced.where("bucket = -1").select("slice", "doc_ids", "sizes", "packed").join(replies, "slice")
-    out = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return joined.select("doc_ids", "sizes", "packed", "replies").mapInArrow(common.lean(_assemble(model.n, model.v)), out)
-
+        step = _sweep(tell(), keys, number, number >= burn_in, number > burn_in)
+        new = common.bucketed(joined(state, back).mapInArrow(common.lean(step), TABLE), "lm_state", n, "key")
+        common.dropped(state)
+        state = new
+        t = _summed(state)
+        last = model.samples[-1]
+        hot_sent = t[2:].astype(np.int64)
+        above = seat(hot_sent, np.maximum(last[1] - last[3], 0.0), np.full(len(hot), (1 - UNKNOWN) / max(1, model.v)), model.d0, model.s0, Keyed(hot, number))
+        model.samples.append((float(t[0] + hot_sent.sum()), float(t[1] + above.sum()), hot_sent, above))
+        sums = shared(state).join(routes.select("key", "route"), "key").select("key", "route", "part", "got")
+        back = returned(sums.mapInArrow(common.lean(_add_up(keys)), ROUTES))
+    asks = whole.where(F.col("kind") == ASKS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("slice", "packed"))).alias("asks"))
+    replies = joined(state, back).join(asks, "key").select("key", "bucket", "packed", "tables", "back", "asks").mapInArrow(common.lean(_reply(tell(), samples)), "key long, bucket int, logs binary").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("bucket", "logs"))).alias("replies"))
+    codes = whole.where(F.col("kind") == CODES).select("key", "doc_ids", "sizes", "packed").join(replies, "key")
+    return codes.select("doc_ids", "sizes", "packed", "replies").mapInArrow(common.lean(_assemble(model.n, model.v)), OUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -429,6 +429,70 @@ def test_pitman_yor(spark, docs, raw, nothing):
     assert untrained[0].train_tokens == 0 and untrained[0].n_known == 0
 
 
+def test_predictive_probabilities(spark, raw, monkeypatch):
+    """Seating and scores against plain dictionaries, with words hot enough to be dealt to several buckets and counts past EXACT."""
+    monkeypatch.setattr(pitman_yor, "DISCOUNTS", (0.4,))
+    monkeypatch.setattr(pitman_yor, "STRENGTHS", (30.0,))
+    texts = [(i, t) for i, t, *_ in raw if i != 85] + [(1000 + i, "the cat the dog the " + ("end cat " * (i % 3))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = by_id(pitman_yor.score(docs, common.remainder("doc_id", 5) != 1))
+    hot, ways = pitman_yor.hot_words(docs.withColumn("train", F.lit(True)), 8)
+    assert len(hot) and ways.max() > 1
+    end = pitman_yor.END
+    tokens = {i: [*(t or "").encode().translate(common.LOWER).split(), end] for i, t in texts}
+    c = collections.Counter((u, w) for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for u, w in zip([end, *ws], ws, strict=False))
+    words, d, s, base = {w for _, w in c}, 0.4, 30.0, 0.5
+    h = {w: int(common.hashes([w])[0]) for w in {x for p in c for x in p} | {w for ws in tokens.values() for w in ws}}
+    t, above = dict.fromkeys(c, 1), dict.fromkeys(words, 1)
+
+    def of(x, k):
+        out = collections.Counter()
+        for p, n in x.items():
+            out[p[k]] += n
+        return out
+
+    customers, kept = of(c, 0), []
+    assert max(c.values()) > pitman_yor.EXACT
+
+    def draw(n, others, p, key, sweep):
+        rng = pitman_yor.Keyed(np.array([key], np.uint64), sweep)
+        return int(pitman_yor.seat(np.array([n]), np.array([others]), np.array([p]), d, s, rng)[0])
+
+    for sweep in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES):
+        sent, total, tables = of(t, 1), of(t, 0), sum(above.values())
+        up = lambda n, a: (max(n - d * a, 0) + (s + d * tables) * base / len(words)) / (s + sum(t.values()))  # noqa: E731, B023
+        new = {}
+        for (u, w), n in c.items():
+            rest = max(sent[w] - t[u, w], 0)
+            key = (h[w] * 3 + int(common.mixed(np.array([h[u]], np.uint64))[0])) % 2**64
+            new[u, w] = draw(n, max(total[u] - t[u, w], 0), up(rest, min(above[w], rest)), key, sweep)
+        t = new
+        above = {w: draw(n, max(tables - above[w], 0), base / len(words), h[w], sweep) for w, n in of(t, 1).items()}
+        if sweep >= pitman_yor.BURN_IN:
+            kept.append((t, above, of(t, 0), of(t, 1)))
+    for i, ws in tokens.items():
+        want = 0.0
+        for u, w in zip([end, *ws], ws, strict=False):
+            p = 0.0
+            for t, above, total, sent in kept:
+                b = base / len(words) if w in words else base
+                up = (max(sent.get(w, 0) - d * above.get(w, 0), 0) + (s + d * sum(above.values())) * b) / (s + sum(t.values()))
+                p += (max(c.get((u, w), 0) - d * t.get((u, w), 0), 0) + (s + d * total.get(u, 0)) * up) / (s + customers.get(u, 0))
+            want += math.log10(p / len(kept))
+        assert got[i].score == pytest.approx(want, abs=1e-5 * len(ws)), i
+
+
+def test_partitions_do_not_matter(spark, docs):
+    train, before = common.remainder("doc_id", 5) != 1, spark.conf.get("spark.sql.shuffle.partitions")
+    a = {r.doc_id: r.score for r in pitman_yor.score(docs, train).collect()}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        b = {r.doc_id: r.score for r in pitman_yor.score(docs, train).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert a == pytest.approx(b, abs=1e-4)
+
+
 def test_seating():
     """Exact draws against the enumerated probabilities of table counts."""
     d, strength, p, c = 0.4, 3.0, 0.2, 5
