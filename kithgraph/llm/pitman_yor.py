@@ -1,20 +1,20 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Tokens are words and one end a text. Every previous word has a restaurant of its own, keyed by its 64-bit hash; all of them
-share one parent, the empty context's restaurant, whose base is half for an unknown word and half even over the known ones.
+Tokens are words and one end a text. Every previous word has a restaurant of its own; all of them share one parent, the empty context's restaurant, whose base is half for an unknown word and half even over the known ones.
 Seating is sampled by Gibbs: for each dish (word) of a restaurant the number of tables is drawn given all others, by the
 Chinese-restaurant probabilities with generalised Stirling numbers. A draw of a child's tables gives the parent's customers.
 Within a sweep all dishes are drawn at once, given the tables of the sweep before. Dishes of more than EXACT customers are
 reseated in groups of an eighth of those seated, one group after the other. The predictive probabilities of the kept samples
 are averaged.
 
-The data are dealt by dish to buckets, so a word's seating in all contexts and in the parent is local to one task. A word
-that is a large share of a bounded sample of tokens is dealt to several buckets by context; its seating in the parent is the
-driver's, who holds at most HOT such words. The totals of a context's restaurant are spread over buckets: after each sweep
-each bucket sends the tables of its contexts, in a fixed order, to the parts of the hash range, where they are added up and
-sent back. Texts are written once as codes in slices; each slice asks every bucket of dishes for its (context, word) pairs,
-which also carry the training counts, and gets their log probabilities back. Draws are keyed by word, context and sweep, so
-they depend on neither tasks nor partitions.
+Texts are written once as slices of token streams. A first exchange by hash range counts all words and numbers them by the
+rank of their 64-bit hash, so later lists of words are dense. The data are then dealt by dish to buckets, so a word's seating
+in all contexts and in the parent is local to one task. A word that is a large share of all tokens is dealt to several
+buckets by context; its seating in the parent is the driver's, who holds at most HOT such words. The totals of a context's
+restaurant are spread over buckets: after each sweep each bucket sends the tables of its contexts, in a fixed order, to the
+parts of the number range, where they are added up and sent back. Each slice asks every bucket of dishes for its (context,
+word) pairs, which also carry the training counts, and gets their log probabilities back. Draws are keyed by word, context
+and sweep, so they depend on neither tasks nor partitions.
 """
 
 from __future__ import annotations
@@ -34,13 +34,28 @@ SLICE_TOKENS = 1_000_000
 #: A token that no text can hold (words have no white space).
 END = b" end"
 DISCOUNTS, STRENGTHS = (0.05, 0.2, 0.4, 0.6, 0.8, 0.9), (1.0, 30.0, 300.0, 3000.0, 30000.0)
-#: Words dealt to several buckets, at most, and the texts of the sample that finds them. They decide the layout, not the result.
-HOT, HOT_TEXTS = 4096, 2000
+#: Words dealt to several buckets, at most, and candidates for them from each part. They decide the layout, not the result.
+HOT, CANDIDATES = 4096, 64
 
+PIECE = "struct<key: long, part: int, blob: binary>"
+STREAMS = "to int, slice long, part int, doc_ids array<long>, sizes array<int>, packed binary"
+COUNTED = f"kind int, key long, doc_ids array<long>, sizes array<int>, packed binary, back array<{PIECE}>, part int, size long, top array<struct<rank: long, n: long>>, totals array<double>"
 SLICED = "to int, slice long, bucket int, doc_ids array<long>, sizes array<int>, packed binary"
-TABLE = "kind int, key long, slice long, bucket int, doc_ids array<long>, sizes array<int>, packed binary, tables binary, pieces array<struct<key: long, part: int, blob: binary>>, totals array<double>"
-ROUTES = "key long, route binary, totals array<struct<key: long, part: int, blob: binary>>"
-CODES, ASKS, STATE = 0, 1, 2
+TABLE = "kind int, key long, slice long, bucket int, doc_ids array<long>, sizes array<int>, packed binary, tables binary, totals array<double>"
+PIECES = "key long, bucket int, blob binary, part int"
+ROUTES = f"key long, route binary, back array<{PIECE}>"
+CODES, ASKS, STATE, PART = 0, 1, 2, 3
+
+
+def _row(schema: dict[str, pa.DataType], **cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([cols.get(name)], kind) for name, kind in schema.items()], list(schema))
+
+
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_PIECE = pa.list_(pa.struct([("key", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())]))
+_COUNTED = {"kind": pa.int32(), "key": pa.int64(), "doc_ids": _LONGS, "sizes": _INTS, "packed": pa.binary(), "back": _PIECE, "part": pa.int32(), "size": pa.int64(), "top": pa.list_(pa.struct([("rank", pa.int64()), ("n", pa.int64())])), "totals": pa.list_(pa.float64())}
+_TABLE = {"kind": pa.int32(), "key": pa.int64(), "slice": pa.int64(), "bucket": pa.int32(), "doc_ids": _LONGS, "sizes": _INTS, "packed": pa.binary(), "tables": pa.binary(), "totals": pa.list_(pa.float64())}
+_ROUTES = {"key": pa.int64(), "route": pa.binary(), "back": _PIECE}
 
 
 @dataclass
@@ -53,7 +68,7 @@ class Model:
     s1: float = 100.0
     d0: float = 0.5
     s0: float = 100.0
-    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes, sorted
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # numbers, sorted
     hot_c: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # their training counts
     samples: list = field(default_factory=list)  # after each sweep: the parent's customers and tables, then those of the hot words
 
@@ -72,8 +87,12 @@ def stirling(d: float, most: int = EXACT) -> np.ndarray:
 class Keyed:
     """Uniform draws by key: equal keys draw alike in every task."""
 
-    def __init__(self, keys: np.ndarray, sweep: int):
+    def __init__(self, words: np.ndarray, contexts: np.ndarray | None, sweep: int):
+        """Of a word in a context, or in the parent."""
         with np.errstate(over="ignore"):
+            keys = common.mixed(words.astype(np.uint64))
+            if contexts is not None:
+                keys = common.mixed(keys * np.uint64(3) + contexts.astype(np.uint64))
             self.keys = common.mixed(keys + np.uint64(0x9E3779B97F4A7C15) * np.uint64(sweep + 1))
 
     def random(self, _: int) -> np.ndarray:
@@ -108,82 +127,44 @@ def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: f
     return t
 
 
-def hot_words(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words with a large share of the tokens of a hash sample of about HOT_TEXTS texts, and how many buckets each is dealt to."""
-    total = rows.count()
-    least = max(1 / HOT, 1 / (4 * buckets))
+def hot_ways(n: np.ndarray, total: int, buckets: int) -> np.ndarray:
+    """How many buckets words of n tokens are dealt to: two for each bucket's share, one where that is less than an eighth."""
+    ways = np.minimum(buckets, np.ceil(2 * buckets * n / max(1, total))).astype(np.int64)
+    return np.where(4 * buckets * n >= total, np.maximum(ways, 1), 0)
 
-    def run(batches):
-        for batch in common.slices(batches, "text"):
-            words, n = common.flat_words(batch.column(0), common.LOWER)
-            values, codes = common.coded([*words, *[END] * len(n)])
-            count = np.bincount(codes, minlength=len(values))
-            use = np.flatnonzero(count >= max(1, least / 8 * count.sum())).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([*common.hashes([values[i] for i in use]).view(np.int64).tolist(), None], pa.int64()), pa.array([*count[use].tolist(), int(count.sum())], pa.int64())], ["h", "n"])
-
-    share = int(min(1.0, HOT_TEXTS / max(1, total)) * (1 << 30))
-    sample = rows.where(F.col("train") & (F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) <= share)).select("text")
-    found = sample.mapInArrow(common.lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "h").limit(HOT + 1).collect()
-    whole = sum(r.n for r in top if r.h is None)
-    hot = [r for r in top if r.h is not None and r.n >= least * whole]
-    h = np.array([r.h for r in hot], np.int64).view(np.uint64)
-    ways = np.minimum(buckets, np.ceil(2 * buckets * np.array([r.n for r in hot], float) / max(1, whole))).astype(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.maximum(ways[order], 1)
-
-
-def _hot_place(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Each hash's place among the hot ones, -1 for others."""
+
+def _hot_place(hot: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Each word's place among the hot ones, -1 for others."""
     if not len(hot):
-        return np.full(len(h), -1, np.int64)
-    i = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-    return np.where(hot[i] == h, i, -1)
+        return np.full(len(words), -1, np.int64)
+    i = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+    return np.where(hot[i] == words, i, -1)
 
 
-def _slicer(buckets: int, hot: np.ndarray, ways: np.ndarray):
+def _deltas(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _streams(parts: int):
+    """Slices of texts as streams of word codes (by first appearance), and each slice's words, sorted by hash, for the parts of the hash range."""
+
     def run(batches):
         from pyspark import TaskContext
 
         mark = TaskContext.get().partitionId() << 32
 
-        def emit(ids, train, counts, words, prev, tok):
-            h = common.hashes(words)
-            key = np.concatenate(tok).astype(np.int64)
-            key *= len(words)
-            key += np.concatenate(prev)
-            tok.clear()
-            prev.clear()
-            types, codes = np.unique(key, return_inverse=True)
-            del key
-            learned = np.bincount(codes[np.repeat(train, counts)], minlength=len(types)).astype(np.uint32)
-            word, context = types // len(words), h[types % len(words)]
-            del types
-            own = h[word]
-            place = _hot_place(hot, own)
-            turn = np.where(place >= 0, common.mixed(context) % ways[np.maximum(place, 0)], 0) if len(hot) else np.zeros(len(own), np.uint64)
-            with np.errstate(over="ignore"):
-                bucket = ((common.mixed(own) + turn) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((context, own, bucket))
-            at = np.empty(len(order), np.uint32)
-            at[order] = np.arange(len(order), dtype=np.uint32)
-            own, context, learned, bucket = own[order], context[order], learned[order], bucket[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = [(mark // (1 << 32) % buckets, -1, ids, counts.tolist(), common.pack_planes(at[codes]))]
-            for b in range(buckets):
-                x, y = int(cut[b]), int(cut[b + 1])
-                if x < y:
-                    first = np.flatnonzero(np.concatenate([[True], own[x + 1 : y] != own[x : y - 1]]))
-                    seen, k = np.unique(context[x:y], return_inverse=True)
-                    rows.append((b, b, None, None, common.pack_planes(np.diff(own[x:y][first], prepend=np.uint64(0)), np.diff(first, append=y - x).astype(np.uint32), np.diff(seen, prepend=np.uint64(0)), k.astype(np.uint32), learned[x:y])))
+        def emit(ids, train, counts, words, stream):
+            stream, counts, train = np.concatenate(stream), np.concatenate(counts), np.array(train, bool)
+            hashes, place = np.unique(common.hashes(words), return_inverse=True)
+            learned = np.bincount(place[stream[np.repeat(train, counts)]], minlength=len(hashes))
+            part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            cut = np.searchsorted(part, np.arange(parts + 1)).tolist()
+            rows = [((mark >> 32) % parts, -1, ids, counts.tolist(), common.pack_planes(stream.astype(np.uint32), place.astype(np.uint32), train))]
+            rows += [(p, p, None, None, common.pack_planes(_deltas(hashes[x:y]), learned[x:y])) for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([mark] * len(rows), pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.binary())], ["to", "slice", "bucket", "doc_ids", "sizes", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([mark] * len(rows), pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], _LONGS), pa.array(cols[3], _INTS), pa.array(cols[4], pa.binary())], ["to", "slice", "part", "doc_ids", "sizes", "packed"])
 
-        def empty():
-            return [], [], [], {END: 0}, [], []
-
-        ids, train, counts, known, prev, tok = empty()
-        held = 0
+        ids, train, counts, known, streams, held = [], [], [], {END: 0}, [], 0
         for batch in common.slices(batches, "text", 2 << 20):
             words, n = common.flat_words(batch.column(1), common.LOWER)
             values, codes = common.coded(words)
@@ -194,49 +175,115 @@ def _slicer(buckets: int, hot: np.ndarray, ways: np.ndarray):
             inside = np.ones(len(stream), bool)
             inside[at - 1] = False
             stream[inside] = own[codes] if len(values) else 0
-            before = np.roll(stream, 1)  # an end stands before each text, and is the last token
             ids += batch.column(0).to_pylist()
             train += batch.column(2).to_pylist()
             counts.append(n + 1)
-            prev.append(before)
-            tok.append(stream)
+            streams.append(stream)
             held += len(stream)
             if held >= SLICE_TOKENS:
-                yield emit(ids, np.array(train, bool), np.concatenate(counts), list(known), prev, tok)
-                ids, train, counts, known, prev, tok = empty()
-                held, mark = 0, mark + 1
+                yield emit(ids, train, counts, list(known), streams)
+                ids, train, counts, known, streams, held = [], [], [], {END: 0}, [], 0
+                mark += 1
                 common.release()
         if ids:
-            yield emit(ids, np.array(train, bool), np.concatenate(counts), list(known), prev, tok)
+            yield emit(ids, train, counts, list(known), streams)
 
     return run
 
 
-def _asked(blob: bytes):
-    """An ask's words, the types of each, its contexts, each type's place among them and training count."""
-    words, types, contexts, k, learned = common.unpack_planes(blob)
-    return np.cumsum(words, dtype=np.uint64), types, np.cumsum(contexts, dtype=np.uint64), k, learned
+def _count(batches):
+    """Streams as they are; for a part of the hash range its words in order, sent to each slice as rank and training count.
 
+    totals: training tokens, words that have any. top: the part's most frequent words, as far as they may be hot.
+    """
 
-def _table_row(**cols) -> pa.RecordBatch:
-    piece = pa.list_(pa.struct([("key", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())]))
-    kinds = [("kind", pa.int32()), ("key", pa.int64()), ("slice", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary()), ("tables", pa.binary()), ("pieces", piece), ("totals", pa.list_(pa.float64()))]
-    return pa.RecordBatch.from_arrays([pa.array([cols.get(name)], kind) for name, kind in kinds], [name for name, _ in kinds])
+    def counted(part: int, slices: list[int], got: list[list[np.ndarray]]) -> pa.RecordBatch:
+        hashes = [np.cumsum(g[0], dtype=np.uint64) for g in got]
+        words = np.unique(np.concatenate(hashes))
+        places = [np.searchsorted(words, h) for h in hashes]
+        n = np.zeros(len(words), np.int64)
+        for at, g in zip(places, got, strict=True):
+            n[at] += g[1]
+        top = np.lexsort((words, -n))[:CANDIDATES]
+        back = [{"key": s, "part": part, "blob": common.pack_planes(_deltas(at), n[at])} for s, at in zip(slices, places, strict=True)]
+        return _row(_COUNTED, kind=PART, key=-1 - part, part=part, size=len(words), back=back, top=[{"rank": int(i), "n": int(n[i])} for i in top.tolist() if n[i]], totals=[float(n.sum()), float((n > 0).sum())])
+
+    now, slices, got = -1, [], []
+    for batch in batches:
+        for row in range(batch.num_rows):
+            part, mark, blob = batch.column(2)[row].as_py(), batch.column(1)[row].as_py(), batch.column(5)[row].as_py()
+            if part != now and got:
+                yield counted(now, slices, got)
+                slices, got = [], []
+            now = part
+            if part < 0:
+                yield _row(_COUNTED, kind=CODES, key=mark, doc_ids=batch.column(3)[row].as_py(), sizes=batch.column(4)[row].as_py(), packed=blob)
+            else:
+                slices.append(mark)
+                got.append(common.unpack_planes(blob))
+    if got:
+        yield counted(now, slices, got)
+
+
+def _types(buckets: int, offsets: np.ndarray, hot: np.ndarray, ways: np.ndarray, n: int, v: int):
+    """A slice's (context, word) pairs for the buckets of dishes, its codes of them, and its documents' base scores."""
 
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                mark, ids = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                counts = np.array(batch.column(2)[row].as_py(), np.int64)
+                tok, place, train = common.unpack_planes(batch.column(3)[row].as_py())
+                number, count = [], []
+                for x in batch.column(4)[row].as_py():
+                    rank, c = common.unpack_planes(x["blob"])
+                    number.append(np.cumsum(rank) + offsets[x["part"]])
+                    count.append(c)
+                number, count = np.concatenate(number)[place], np.concatenate(count)[place]
+                ends = np.cumsum(counts)
+                base = np.add.reduceat(np.log10((count + 0.5) / (n + 0.5 * (v + 1)))[tok], ends - counts)
+                known = np.add.reduceat((count > 0).astype(np.int64)[tok], ends - counts)
+                key = tok.astype(np.int64) * len(number)
+                key += np.roll(tok, 1)  # an end stands before each text, and is the last token
+                types, codes = np.unique(key, return_inverse=True)
+                del key, tok
+                learned = np.bincount(codes[np.repeat(train, counts)], minlength=len(types)).astype(np.uint32)
+                own, context = number[types // len(number)], number[types % len(number)]
+                del types
+                bucket = common.mixed(own.astype(np.uint64))
+                if len(hot):
+                    at = _hot_place(hot, own)
+                    split = np.flatnonzero(at >= 0)
+                    with np.errstate(over="ignore"):
+                        bucket[split] += common.mixed(context[split].astype(np.uint64)) % ways[at[split]].astype(np.uint64)
+                bucket = (bucket % np.uint64(buckets)).astype(np.int32)
+                order = np.lexsort((context, own, bucket))
+                at = np.empty(len(order), np.uint32)
+                at[order] = np.arange(len(order), dtype=np.uint32)
+                own, context, learned, bucket = own[order], context[order], learned[order], bucket[order]
+                del order
+                cut = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+                rows = [((mark >> 32) % buckets, -1, ids, counts.tolist(), common.pack_planes(at[codes], base, known))]
+                del at, codes
+                for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
+                    if x < y:
+                        first = np.flatnonzero(np.concatenate([[True], own[x + 1 : y] != own[x : y - 1]]))
+                        seen, k = np.unique(context[x:y], return_inverse=True)
+                        rows.append((b, b, None, None, common.pack_planes(_deltas(own[x:y][first]), np.diff(first, append=y - x).astype(np.uint32), _deltas(seen), k.astype(np.uint32), learned[x:y])))
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([mark] * len(rows), pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], _LONGS), pa.array(cols[3], _INTS), pa.array(cols[4], pa.binary())], ["to", "slice", "bucket", "doc_ids", "sizes", "packed"])
 
-def _pieces(keys: list[int], contexts: np.ndarray, *arrays: np.ndarray, named: bool = False) -> list[dict]:
-    """The arrays, cut where the sorted contexts pass from one part of the hash range to the next; `named`: after the contexts' own differences."""
-    part = ((contexts >> np.uint64(32)) * np.uint64(len(keys)) >> np.uint64(32)).astype(np.int64)
-    cut = np.searchsorted(part, np.arange(len(keys) + 1)).tolist()
-    first = lambda x, y: [np.diff(contexts[x:y], prepend=np.uint64(0))] if named else []
-    return [{"key": keys[p], "part": p, "blob": common.pack_planes(*first(x, y), *[a[x:y] for a in arrays])} for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
+    return run
 
 
-def _gather(keys: list[int], hot: np.ndarray):
-    """Codes and asks as they are; after a bucket's asks its dishes, with all contexts that it was asked for.
+def _asked(blob: bytes):
+    """An ask's words, the types of each, its contexts, each type's place among them and training count."""
+    words, types, contexts, k, learned = common.unpack_planes(blob)
+    return np.cumsum(words), types, np.cumsum(contexts), k, learned
 
-    totals: tokens, dishes that are not hot, then the tokens of each hot word.
-    """
+
+def _gather(keys: list[int], hot: np.ndarray):
+    """Codes and asks as they are; after a bucket's asks its dishes, with all contexts that it was asked for."""
 
     def dishes(bucket: int, asks: list[bytes]) -> pa.RecordBatch:
         parts = [_asked(a) for a in asks]
@@ -245,25 +292,21 @@ def _gather(keys: list[int], hot: np.ndarray):
         for words, types, some, k, learned in parts:
             got = learned > 0
             own.append(np.repeat(words, types)[got])
-            place.append(np.searchsorted(contexts, some).astype(np.uint32)[k][got])
+            place.append(np.searchsorted(contexts, some)[k][got])
             count.append(learned[got])
         parts.clear()
+        # one number for a type: its word's place among the bucket's words and its context's
         own, place, count = np.concatenate(own), np.concatenate(place), np.concatenate(count)
-        order = np.lexsort((place, own))
-        own, place, count = own[order], place[order], count[order]
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (place[1:] != place[:-1])]) if len(own) else np.zeros(0, bool)
-        c = np.add.reduceat(count.astype(np.int64), np.flatnonzero(new)) if len(own) else np.zeros(0, np.int64)
-        own, place = own[new], place[new]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-        words, types = own[first], np.diff(first, append=len(own))
-        at = _hot_place(hot, words)
-        dish = np.repeat(np.arange(len(words)), types)
-        per = np.bincount(dish, weights=c, minlength=len(words)).astype(np.int64)
-        some = np.bincount(at[at >= 0], weights=per[at >= 0], minlength=len(hot))
-        customers = np.bincount(place, weights=c, minlength=len(contexts)).astype(np.int64)
-        kinds = np.bincount(place, minlength=len(contexts)).astype(np.uint32)
-        packed = common.pack_planes(np.diff(words, prepend=np.uint64(0)), types.astype(np.uint32), place, c, np.diff(contexts, prepend=np.uint64(0)))
-        return _table_row(kind=STATE, key=keys[bucket], bucket=bucket, packed=packed, pieces=_pieces(keys, contexts, customers, kinds, named=True), totals=[float(c.sum()), float((at < 0).sum()), *some.tolist()])
+        words, dish = np.unique(own, return_inverse=True)
+        del own
+        key = dish * len(contexts) + place
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        c = np.add.reduceat(count.astype(np.int64), first) if len(key) else np.zeros(0, np.int64)
+        types = np.bincount(key[first] // len(contexts), minlength=len(words)).astype(np.uint32)
+        packed = common.pack_planes(_deltas(words), types, (key[first] % len(contexts)).astype(np.uint32), c, _deltas(contexts))
+        return _row(_TABLE, kind=STATE, key=keys[bucket], bucket=bucket, packed=packed)
 
     def run(batches):
         now, asks = -1, []
@@ -275,18 +318,38 @@ def _gather(keys: list[int], hot: np.ndarray):
                     asks = []
                 now = bucket
                 if bucket < 0:
-                    yield _table_row(kind=CODES, key=mark, slice=mark, doc_ids=batch.column(3)[row].as_py(), sizes=batch.column(4)[row].as_py(), packed=blob)
+                    yield _row(_TABLE, kind=CODES, key=mark, slice=mark, doc_ids=batch.column(3)[row].as_py(), sizes=batch.column(4)[row].as_py(), packed=blob)
                 else:
                     asks.append(blob)
-                    yield _table_row(kind=ASKS, key=keys[bucket], slice=mark, bucket=bucket, packed=blob)
+                    yield _row(_TABLE, kind=ASKS, key=keys[bucket], slice=mark, bucket=bucket, packed=blob)
         if asks:
             yield dishes(now, asks)
 
     return run
 
 
+def _send(keys: list[int], words: int, first: bool):
+    """The tables of a bucket's contexts, cut where the contexts pass from one part of the number range to the next; first: with the contexts and their customers."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                b = Bucket(batch.column(1)[row].as_py(), batch.column(2)[row].as_py(), None)
+                t = np.ones(len(b.c), np.int64) if first else b.seating[0]
+                arrays = [np.bincount(b.k, weights=t, minlength=len(b.contexts)).astype(np.uint32)]
+                if first:
+                    arrays.append(np.bincount(b.k, weights=b.c, minlength=len(b.contexts)).astype(np.int64))
+                bounds = (np.arange(len(keys) + 1) * words + len(keys) - 1) // len(keys)
+                cut = np.searchsorted(b.contexts, bounds).tolist()
+                of = [(p, x, y) for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
+                blobs = [common.pack_planes(*[a[x:y] for a in arrays], *([_deltas(b.contexts[x:y])] if first else [])) for _, x, y in of]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[p] for p, _, _ in of], pa.int64()), pa.array([batch.column(0)[row].as_py()] * len(of), pa.int32()), pa.array(blobs, pa.binary()), pa.array([p for p, _, _ in of], pa.int32())], ["key", "bucket", "blob", "part"])
+
+    return run
+
+
 def _route(keys: list[int]):
-    """A part of the hash range: where each bucket's contexts lie in it, and for each bucket its contexts' customers and tables in all buckets."""
+    """A part of the number range: where each bucket's contexts lie in it, and for each bucket its contexts' tables and customers in all buckets."""
 
     def run(batches):
         for batch in batches:
@@ -296,23 +359,17 @@ def _route(keys: list[int]):
                 for x in batch.column(2)[row].as_py():
                     buckets.append(x["bucket"])
                     got.append(common.unpack_planes(x["blob"]))
-                    got[-1][0] = np.cumsum(got[-1][0], dtype=np.uint64)
-                contexts = np.unique(np.concatenate([g[0] for g in got]))
-                places = [np.searchsorted(contexts, g[0]).astype(np.uint32) for g in got]
+                    got[-1][2] = np.cumsum(got[-1][2])
+                contexts = np.unique(np.concatenate([g[2] for g in got]))
+                places = [np.searchsorted(contexts, g[2]).astype(np.uint32) for g in got]
                 everywhere = np.concatenate(places)
-                customers = np.bincount(everywhere, weights=np.concatenate([g[1] for g in got]), minlength=len(contexts)).astype(np.int64)
-                tables = np.bincount(everywhere, weights=np.concatenate([g[2] for g in got]), minlength=len(contexts)).astype(np.int64)
+                tables, customers = (np.bincount(everywhere, weights=np.concatenate([g[i] for g in got]), minlength=len(contexts)).astype(np.int64) for i in (0, 1))
                 back = [{"key": keys[b], "part": part, "blob": common.pack_planes(tables[at], customers[at])} for b, at in zip(buckets, places, strict=True)]
-                yield _routed(key, common.pack_planes(np.array([len(contexts)]), np.array(buckets), np.array([len(p) for p in places]), everywhere), back)
+                yield _row(_ROUTES, key=key, route=common.pack_planes(np.array([len(contexts)]), np.array(buckets), np.array([len(p) for p in places]), everywhere), back=back)
 
     return run
 
 
-def _routed(key: int, route: bytes | None, back: list[dict]) -> pa.RecordBatch:
-    piece = pa.list_(pa.struct([("key", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())]))
-    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([route], pa.binary()), pa.array([back], piece)], ["key", "route", "totals"])
-
-
 def _add_up(keys: list[int]):
     """Each bucket's tables of a part, added up over all buckets, back to each bucket."""
 
@@ -323,7 +380,7 @@ def _add_up(keys: list[int]):
                 part, got = batch.column(2)[row].as_py(), {x["bucket"]: x["blob"] for x in batch.column(3)[row].as_py()}
                 tables = np.bincount(everywhere, weights=np.concatenate([common.unpack_planes(got[b])[0] for b in buckets.tolist()]), minlength=int(size)).astype(np.int64)
                 ends = np.cumsum(sizes).tolist()
-                yield _routed(batch.column(0)[row].as_py(), None, [{"key": keys[b], "part": part, "blob": common.pack_planes(tables[everywhere[x:y]])} for b, x, y in zip(buckets.tolist(), [0, *ends], ends, strict=False)])
+                yield _row(_ROUTES, key=batch.column(0)[row].as_py(), back=[{"key": keys[b], "part": part, "blob": common.pack_planes(tables[everywhere[x:y]])} for b, x, y in zip(buckets.tolist(), [0, *ends], ends, strict=False)])
 
     return run
 
@@ -331,14 +388,14 @@ def _add_up(keys: list[int]):
 class Bucket:
     """A bucket's dishes. tables: its contexts' customers, then the last seating, then each kept sample's seating and its contexts' tables."""
 
-    def __init__(self, packed: bytes, tables: bytes | None, totals: list[dict]):
+    def __init__(self, packed: bytes, tables: bytes | None, totals: list[dict] | None):
         words, types, self.k, self.c, contexts = common.unpack_planes(packed)
-        self.words, self.contexts = np.cumsum(words, dtype=np.uint64), np.cumsum(contexts, dtype=np.uint64)
+        self.words, self.contexts = np.cumsum(words), np.cumsum(contexts)
         self.dish = np.repeat(np.arange(len(self.words)), types)
-        back = [common.unpack_planes(x["blob"]) for x in totals]
-        self.total = np.concatenate([b[0] for b in back])
+        back = [common.unpack_planes(x["blob"]) for x in totals or ()]
+        self.total = np.concatenate([b[0] for b in back]) if back else None
         held = common.unpack_planes(tables) if tables else []
-        self.customers = held[0] if held else np.concatenate([b[1] for b in back])
+        self.customers = held[0] if held else np.concatenate([b[1] for b in back]) if back else None
         self.seating = [x.astype(np.int64) for x in held[1:3]]
         self.kept = held[3:]
 
@@ -359,7 +416,7 @@ def _adopt(hot: np.ndarray):
                 t, above = np.ones(len(b.c), np.uint32), np.ones(len(b.words), np.uint32)
                 at, kinds = _hot_place(hot, b.words), b.sent(t)
                 of_hot = np.bincount(at[at >= 0], weights=kinds[at >= 0], minlength=len(hot))
-                yield _table_row(kind=STATE, key=batch.column(0)[row].as_py(), bucket=batch.column(1)[row].as_py(), packed=batch.column(2)[row].as_py(), tables=common.pack_planes(b.customers, t, above), totals=[float(kinds[at < 0].sum()), float((at < 0).sum()), *of_hot.tolist()])
+                yield _row(_TABLE, kind=STATE, key=batch.column(0)[row].as_py(), bucket=batch.column(1)[row].as_py(), packed=batch.column(2)[row].as_py(), tables=common.pack_planes(b.customers, t, above), totals=[float(kinds[at < 0].sum()), float((at < 0).sum()), *of_hot.tolist()])
 
     return run
 
@@ -405,7 +462,7 @@ def parent_p(model: Model, sample, customers: np.ndarray, tables: np.ndarray, ba
     return (np.maximum(customers - model.d0 * tables, 0) + (model.s0 + model.d0 * sample[1]) * base) / (model.s0 + sample[0])
 
 
-def _sweep(model_b, keys: list[int], number: int, keep: bool, kept_before: bool):
+def _sweep(model_b, number: int, keep: bool, kept_before: bool):
     """One Gibbs sweep over a bucket's dishes. totals: the parent's customers and tables of words that are not hot, then each hot word's customers."""
 
     def run(batches):
@@ -425,23 +482,21 @@ def _sweep(model_b, keys: list[int], number: int, keep: bool, kept_before: bool)
                     sent, above = np.where(hot >= 0, hot_sent[at], sent), np.where(hot >= 0, hot_above[at], above)
                 rest = np.maximum(sent[b.dish] - t, 0)
                 p = parent_p(model, (customers0, tables0), rest, np.minimum(above[b.dish], rest), base)
-                with np.errstate(over="ignore"):
-                    rng = Keyed(b.words[b.dish] * np.uint64(3) + common.mixed(b.contexts[b.k]), number)
+                rng = Keyed(b.words[b.dish], b.contexts[b.k], number)
                 t = seat(b.c, np.maximum(b.total[b.k] - t, 0), p, model.d1, model.s1, rng)
                 sent = b.sent(t)
                 own = np.flatnonzero(hot < 0)
                 above = np.array(above, np.int64)
-                above[own] = seat(sent[own], np.maximum(tables0 - above[own], 0.0), np.full(len(own), base), model.d0, model.s0, Keyed(b.words[own], number))
+                above[own] = seat(sent[own], np.maximum(tables0 - above[own], 0.0), np.full(len(own), base), model.d0, model.s0, Keyed(b.words[own], None, number))
                 state = [t.astype(np.uint32), above.astype(np.uint32)]
-                tables = np.bincount(b.k, weights=t, minlength=len(b.contexts)).astype(np.uint32)
                 of_hot = np.bincount(hot[hot >= 0], weights=sent[hot >= 0], minlength=len(model.hot))
-                yield _table_row(kind=STATE, key=batch.column(0)[row].as_py(), bucket=batch.column(1)[row].as_py(), packed=packed, tables=common.pack_planes(b.customers, *state, *held, *(state if keep else [])), pieces=_pieces(keys, b.contexts, tables), totals=[float(sent[own].sum()), float(above[own].sum()), *of_hot.tolist()])
+                yield _row(_TABLE, kind=STATE, key=batch.column(0)[row].as_py(), bucket=batch.column(1)[row].as_py(), packed=packed, tables=common.pack_planes(b.customers, *state, *held, *(state if keep else [])), totals=[float(sent[own].sum()), float(above[own].sum()), *of_hot.tolist()])
 
     return run
 
 
 def _reply(model_b, samples: int):
-    """For each slice that asks a bucket: the averaged log10 probability of its types, and each word's training count."""
+    """For each slice that asks a bucket: the averaged log10 probability of its types."""
 
     def run(batches):
         model = model_b.value
@@ -452,9 +507,6 @@ def _reply(model_b, samples: int):
                 held = [*b.kept, b.total]
                 hot = _hot_place(model.hot, b.words)
                 at = np.maximum(hot, 0)
-                cw = b.sent(b.c)
-                if len(model.hot):
-                    cw = np.where(hot >= 0, model.hot_c[at], cw)
                 keys = b.dish * len(b.contexts) + b.k.astype(np.int64)
                 seating = []
                 for i, sample in enumerate(kept):
@@ -469,10 +521,7 @@ def _reply(model_b, samples: int):
                     i = np.minimum(np.searchsorted(b.words, h), max(0, len(b.words) - 1))
                     is_known = b.words[i] == h if len(b.words) else np.zeros(len(h), bool)
                     j_hot = _hot_place(model.hot, h)  # a hot word may have no dish in this bucket
-                    count = np.where(is_known, cw[i], 0) if len(b.words) else np.zeros(len(h), np.int64)
-                    if len(model.hot):
-                        count = np.where(j_hot >= 0, model.hot_c[np.maximum(j_hot, 0)], count)
-                    known = np.repeat(count > 0, types)
+                    known = np.repeat(is_known | (j_hot >= 0), types)  # hot words were trained on
                     own, at_hot = np.repeat(np.where(is_known, i, 0), types), np.repeat(j_hot, types)
                     want = own * len(b.contexts) + k
                     j = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
@@ -487,27 +536,20 @@ def _reply(model_b, samples: int):
                         up = parent_p(model, sample, s, a, base)
                         mine = np.where(seen, np.maximum(b.c[j] - model.d1 * t[j], 0), 0) if len(keys) else 0
                         p += (mine + (model.s1 + model.d1 * total[k]) * up) / (model.s1 + b.customers[k])
-                    yield pa.RecordBatch.from_arrays([pa.array([x["slice"]], pa.int64()), pa.array([batch.column(1)[row].as_py()], pa.int32()), pa.array([common.pack_planes(np.log10(p / len(kept)).astype(np.float32), count.astype(np.int64), types)], pa.binary())], ["key", "bucket", "logs"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x["slice"]], pa.int64()), pa.array([batch.column(1)[row].as_py()], pa.int32()), pa.array([common.pack_planes(np.log10(p / len(kept)).astype(np.float32))], pa.binary())], ["key", "bucket", "logs"])
 
     return run
 
 
-def _assemble(n: int, v: int):
+def _assemble(n: int):
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                logs, counts = [], []
-                for x in batch.column(3)[row].as_py():
-                    log, count, types = common.unpack_planes(x["logs"])
-                    logs.append(log)
-                    counts.append(np.repeat(count, types))
-                logs, counts = np.concatenate(logs).astype(np.float64), np.concatenate(counts)
-                (codes,) = common.unpack_planes(batch.column(2)[row].as_py())
-                sizes = np.array(batch.column(1)[row].values.to_pylist(), np.int64)
-                at = np.cumsum(sizes) - sizes
-                per = lambda x: np.add.reduceat(x[codes], at)
-                score, base = per(logs), per(np.log10((counts + 0.5) / (n + 0.5 * (v + 1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[row].values, pa.array(sizes), pa.array(per((counts > 0).astype(np.int64))), pa.array(np.full(len(sizes), n, np.int64)), pa.array(base), pa.array(score), pa.array(10 ** (-score / sizes))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+                logs = np.concatenate([common.unpack_planes(x["logs"])[0] for x in batch.column(3)[row].as_py()]).astype(np.float64)
+                codes, base, known = common.unpack_planes(batch.column(2)[row].as_py())
+                sizes = np.array(batch.column(1)[row].as_py(), np.int64)
+                score = np.add.reduceat(logs[codes], np.cumsum(sizes) - sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row].values, pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n, np.int64)), pa.array(base), pa.array(score), pa.array(10 ** (-score / sizes))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return run
 
@@ -544,31 +586,45 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     common.shared_dir(spark)
     keys = common.aimed(spark, n)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    hot, ways = hot_words(rows, n)
-    sent = rows.mapInArrow(common.lean(_slicer(n, hot, ways)), SLICED).repartitionById(n, "to").sortWithinPartitions("bucket", "slice")
-    whole = common.bucketed(sent.mapInArrow(common.lean(_gather(keys, hot)), TABLE), "lm_slices", n, "key")
-    state = whole.where(F.col("kind") == STATE)
-    got = _summed(state)
-    if not len(got):
+    streams = rows.mapInArrow(common.lean(_streams(n)), STREAMS).repartitionById(n, "to").sortWithinPartitions("part", "slice")
+    counted = common.bucketed(streams.mapInArrow(common.lean(_count), COUNTED), "lm_streams", n, "key")
+    parts = counted.where(F.col("kind") == PART).select("part", "size", "top", "totals").collect()
+    if not parts:
         return spark.createDataFrame([], OUT)
-    model = Model(int(got[0]), int(got[1] + (got[2:] > 0).sum()), hot=hot, hot_c=got[2:].astype(np.int64))
+    total, known = (int(sum(r.totals[i] for r in parts)) for i in (0, 1))
+    offsets = np.zeros(n + 1, np.int64)
+    for r in parts:
+        offsets[r.part + 1] = r.size
+    offsets = np.cumsum(offsets)
+    top = sorted(((x.n, int(offsets[r.part]) + x.rank) for r in parts for x in r.top), key=lambda x: (-x[0], x[1]))[:HOT]
+    hot_c, hot = np.array([c for c, _ in top], np.int64), np.array([w for _, w in top], np.int64)
+    ways = hot_ways(hot_c, total, n)
+    order = np.argsort(hot)
+    order = order[ways[order] > 0]
+    hot, hot_c, ways = hot[order], hot_c[order], ways[order]
+    model, words = Model(total, known, hot=hot, hot_c=hot_c), int(offsets[-1])
     tell = lambda: spark.sparkContext.broadcast(model)
 
-    def shared(state: DataFrame) -> DataFrame:
-        """The pieces that the buckets sent, by part of the hash range."""
-        x = state.select(F.col("bucket"), F.explode("pieces").alias("x"))
-        return x.select(F.col("x.key").alias("key"), F.col("x.part").alias("part"), "bucket", F.col("x.blob").alias("blob")).groupBy("key").agg(F.min("part").alias("part"), F.array_sort(F.collect_list(F.struct("bucket", "blob"))).alias("got"))
-
-    def returned(routed: DataFrame) -> DataFrame:
-        """What the parts sent back, by bucket."""
-        x = routed.select(F.explode("totals").alias("x"))
-        return x.select(F.col("x.key").alias("key"), F.struct("x.part", F.col("x.key"), "x.blob").alias("x")).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("back"))
+    def back_to(routed: DataFrame) -> DataFrame:
+        """What the parts sent back, by slice or bucket."""
+        x = routed.select(F.explode("back").alias("x"))
+        return x.select(F.col("x.key").alias("key"), F.struct("x.part", "x.blob").alias("x")).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("back"))
 
     def joined(state: DataFrame, back: DataFrame) -> DataFrame:
         return state.select("key", "bucket", "packed", "tables").join(back, "key").select("key", "bucket", "packed", "tables", "back")
 
-    routes = common.bucketed(shared(state).mapInArrow(common.lean(_route(keys)), ROUTES), "lm_routes", n, "key")
-    first = returned(routes)
+    def sent(state: DataFrame, first: bool) -> DataFrame:
+        """What the buckets know of their contexts, by part of the number range."""
+        x = state.select("bucket", "packed", "tables").mapInArrow(common.lean(_send(keys, words, first)), PIECES)
+        return x.groupBy("key").agg(F.min("part").alias("part"), F.array_sort(F.collect_list(F.struct("bucket", "blob"))).alias("got"))
+
+    slices = counted.where(F.col("kind") == CODES).select("key", "doc_ids", "sizes", "packed").join(back_to(counted.where(F.col("kind") == PART)), "key").select("key", "doc_ids", "sizes", "packed", "back")
+    typed = slices.mapInArrow(common.lean(_types(n, offsets, hot, ways, model.n, model.v)), SLICED).repartitionById(n, "to").sortWithinPartitions("bucket", "slice")
+    whole = common.bucketed(typed.mapInArrow(common.lean(_gather(keys, hot)), TABLE), "lm_slices", n, "key")
+    common.dropped(counted)
+    state = whole.where(F.col("kind") == STATE)
+    routes = common.bucketed(sent(state, True).mapInArrow(common.lean(_route(keys)), ROUTES), "lm_routes", n, "key")
+    first = back_to(routes)
     state = common.bucketed(joined(state, first).mapInArrow(common.lean(_adopt(hot)), TABLE), "lm_state", n, "key")
     if model.n:
         with common.freeing(spark):
@@ -584,21 +640,20 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     model.samples.append((float(t[0] + kinds.sum()), float(model.v), kinds, np.minimum(kinds, 1)))
     back = first
     for number in range(burn_in + samples):
-        step = _sweep(tell(), keys, number, number >= burn_in, number > burn_in)
+        step = _sweep(tell(), number, number >= burn_in, number > burn_in)
         new = common.bucketed(joined(state, back).mapInArrow(common.lean(step), TABLE), "lm_state", n, "key")
         common.dropped(state)
         state = new
         t = _summed(state)
         last = model.samples[-1]
         hot_sent = t[2:].astype(np.int64)
-        above = seat(hot_sent, np.maximum(last[1] - last[3], 0.0), np.full(len(hot), (1 - UNKNOWN) / max(1, model.v)), model.d0, model.s0, Keyed(hot, number))
+        above = seat(hot_sent, np.maximum(last[1] - last[3], 0.0), np.full(len(hot), (1 - UNKNOWN) / max(1, model.v)), model.d0, model.s0, Keyed(hot, None, number))
         model.samples.append((float(t[0] + hot_sent.sum()), float(t[1] + above.sum()), hot_sent, above))
-        sums = shared(state).join(routes.select("key", "route"), "key").select("key", "route", "part", "got")
-        back = returned(sums.mapInArrow(common.lean(_add_up(keys)), ROUTES))
+        back = back_to(sent(state, False).join(routes.select("key", "route"), "key").select("key", "route", "part", "got").mapInArrow(common.lean(_add_up(keys)), ROUTES))
     asks = whole.where(F.col("kind") == ASKS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("slice", "packed"))).alias("asks"))
     replies = joined(state, back).join(asks, "key").select("key", "bucket", "packed", "tables", "back", "asks").mapInArrow(common.lean(_reply(tell(), samples)), "key long, bucket int, logs binary").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("bucket", "logs"))).alias("replies"))
     codes = whole.where(F.col("kind") == CODES).select("key", "doc_ids", "sizes", "packed").join(replies, "key")
-    return codes.select("doc_ids", "sizes", "packed", "replies").mapInArrow(common.lean(_assemble(model.n, model.v)), OUT)
+    return codes.select("doc_ids", "sizes", "packed", "replies").mapInArrow(common.lean(_assemble(model.n)), OUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -433,16 +433,14 @@ def test_predictive_probabilities(spark, raw, monkeypatch):
     """Seating and scores against plain dictionaries, with words hot enough to be dealt to several buckets and counts past EXACT."""
     monkeypatch.setattr(pitman_yor, "DISCOUNTS", (0.4,))
     monkeypatch.setattr(pitman_yor, "STRENGTHS", (30.0,))
-    texts = [(i, t) for i, t, *_ in raw if i != 85] + [(1000 + i, "the cat the dog the " + ("end cat " * (i % 3))) for i in range(400)]
+    texts = [(i, t) for i, t, *_ in raw if i != 85] + [(1000 + i, "the cat the dog " + "the " * 12 + ("end cat " * (i % 3))) for i in range(400)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     got = by_id(pitman_yor.score(docs, common.remainder("doc_id", 5) != 1))
-    hot, ways = pitman_yor.hot_words(docs.withColumn("train", F.lit(True)), 8)
-    assert len(hot) and ways.max() > 1
     end = pitman_yor.END
     tokens = {i: [*(t or "").encode().translate(common.LOWER).split(), end] for i, t in texts}
     c = collections.Counter((u, w) for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for u, w in zip([end, *ws], ws, strict=False))
     words, d, s, base = {w for _, w in c}, 0.4, 30.0, 0.5
-    h = {w: int(common.hashes([w])[0]) for w in {x for p in c for x in p} | {w for ws in tokens.values() for w in ws}}
+    number = {w: i for i, w in enumerate(sorted({w for ws in tokens.values() for w in ws}, key=lambda w: int(common.hashes([w])[0])))}
     t, above = dict.fromkeys(c, 1), dict.fromkeys(words, 1)
 
     def of(x, k):
@@ -453,9 +451,10 @@ def test_predictive_probabilities(spark, raw, monkeypatch):
 
     customers, kept = of(c, 0), []
     assert max(c.values()) > pitman_yor.EXACT
+    assert pitman_yor.hot_ways(np.array([sum(n for (_, w), n in c.items() if w == b"the")]), sum(c.values()), common.partitions(spark))[0] > 1
 
-    def draw(n, others, p, key, sweep):
-        rng = pitman_yor.Keyed(np.array([key], np.uint64), sweep)
+    def draw(n, others, p, word, context, sweep):
+        rng = pitman_yor.Keyed(np.array([number[word]]), None if context is None else np.array([number[context]]), sweep)
         return int(pitman_yor.seat(np.array([n]), np.array([others]), np.array([p]), d, s, rng)[0])
 
     for sweep in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES):
@@ -464,10 +463,9 @@ def test_predictive_probabilities(spark, raw, monkeypatch):
         new = {}
         for (u, w), n in c.items():
             rest = max(sent[w] - t[u, w], 0)
-            key = (h[w] * 3 + int(common.mixed(np.array([h[u]], np.uint64))[0])) % 2**64
-            new[u, w] = draw(n, max(total[u] - t[u, w], 0), up(rest, min(above[w], rest)), key, sweep)
+            new[u, w] = draw(n, max(total[u] - t[u, w], 0), up(rest, min(above[w], rest)), w, u, sweep)
         t = new
-        above = {w: draw(n, max(tables - above[w], 0), base / len(words), h[w], sweep) for w, n in of(t, 1).items()}
+        above = {w: draw(n, max(tables - above[w], 0), base / len(words), w, None, sweep) for w, n in of(t, 1).items()}
         if sweep >= pitman_yor.BURN_IN:
             kept.append((t, above, of(t, 0), of(t, 1)))
     for i, ws in tokens.items():
