@@ -213,13 +213,14 @@ def dropped(made: DataFrame) -> None:
     made.sparkSession.sql(f"DROP TABLE IF EXISTS {made.kithgraph_table}")
 
 
-def aimed(spark: SparkSession, n: int) -> list[int]:
-    """n keys, the t-th of which Spark's hash deals to partition t of n: tables bucketed by such keys hold one key a bucket."""
+def aimed(spark: SparkSession, n: int, each: int = 1) -> list[int]:
+    """n * each keys; Spark's hash deals the t-th to partition t mod n of n, so tables bucketed by them are dealt evenly."""
     place = F.pmod(F.hash("id"), F.lit(n))
-    found = {r.place: r.key for r in spark.range(40 * n + 1000).groupBy(place.alias("place")).agg(F.min("id").alias("key")).collect()}
-    if len(found) < n:
+    ids = spark.range(40 * each * n + 1000).groupBy(place.alias("place")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, each).alias("ids"))
+    found = {r.place: r.ids for r in ids.collect()}
+    if len(found) < n or min(map(len, found.values())) < each:
         raise RuntimeError("no key found for a partition")
-    return [found[t] for t in range(n)]
+    return [found[t][k] for k in range(each) for t in range(n)]
 
 
 def pack_planes(*arrays: np.ndarray) -> bytes:

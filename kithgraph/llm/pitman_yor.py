@@ -30,7 +30,11 @@ from . import common
 
 EXACT, UNKNOWN = 256, 0.5
 BURN_IN, SAMPLES = 1, 2
-SLICE_TOKENS = 1_000_000
+SLICE_TOKENS = 600_000
+#: Buckets of dishes for each shuffle partition: their rows hold all that a bucket knows, and two are in an executor at once.
+BUCKETS = 3
+#: Shuffle partitions for each part of the number range, in which the totals of contexts are added up.
+PARTS = 4
 #: A token that no text can hold (words have no white space).
 END = b" end"
 DISCOUNTS, STRENGTHS = (0.05, 0.2, 0.4, 0.6, 0.8, 0.9), (1.0, 30.0, 300.0, 3000.0, 30000.0)
@@ -225,7 +229,7 @@ def _count(batches):
         yield counted(now, slices, got)
 
 
-def _types(buckets: int, offsets: np.ndarray, hot: np.ndarray, ways: np.ndarray, n: int, v: int):
+def _types(parts: int, buckets: int, offsets: np.ndarray, hot: np.ndarray, ways: np.ndarray, n: int, v: int):
     """A slice's (context, word) pairs for the buckets of dishes, its codes of them, and its documents' base scores."""
 
     def run(batches):
@@ -263,13 +267,13 @@ def _types(buckets: int, offsets: np.ndarray, hot: np.ndarray, ways: np.ndarray,
                 own, context, learned, bucket = own[order], context[order], learned[order], bucket[order]
                 del order
                 cut = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
-                rows = [((mark >> 32) % buckets, -1, ids, counts.tolist(), common.pack_planes(at[codes], base, known))]
+                rows = [((mark >> 32) % parts, -1, ids, counts.tolist(), common.pack_planes(at[codes], base, known))]
                 del at, codes
                 for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
                     if x < y:
                         first = np.flatnonzero(np.concatenate([[True], own[x + 1 : y] != own[x : y - 1]]))
                         seen, k = np.unique(context[x:y], return_inverse=True)
-                        rows.append((b, b, None, None, common.pack_planes(_deltas(own[x:y][first]), np.diff(first, append=y - x).astype(np.uint32), _deltas(seen), k.astype(np.uint32), learned[x:y])))
+                        rows.append((b % parts, b, None, None, common.pack_planes(_deltas(own[x:y][first]), np.diff(first, append=y - x).astype(np.uint32), _deltas(seen), k.astype(np.uint32), learned[x:y])))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([mark] * len(rows), pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], _LONGS), pa.array(cols[3], _INTS), pa.array(cols[4], pa.binary())], ["to", "slice", "bucket", "doc_ids", "sizes", "packed"])
 
@@ -584,7 +588,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     n = common.partitions(spark)
     common.shared_dir(spark)
-    keys = common.aimed(spark, n)
+    keys = common.aimed(spark, n, BUCKETS)  # of the buckets, and the first of them of the parts
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     streams = rows.mapInArrow(common.lean(_streams(n)), STREAMS).repartitionById(n, "to").sortWithinPartitions("part", "slice")
     counted = common.bucketed(streams.mapInArrow(common.lean(_count), COUNTED), "lm_streams", n, "key")
@@ -598,7 +602,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     offsets = np.cumsum(offsets)
     top = sorted(((x.n, int(offsets[r.part]) + x.rank) for r in parts for x in r.top), key=lambda x: (-x[0], x[1]))[:HOT]
     hot_c, hot = np.array([c for c, _ in top], np.int64), np.array([w for _, w in top], np.int64)
-    ways = hot_ways(hot_c, total, n)
+    ways = hot_ways(hot_c, total, n * BUCKETS)
     order = np.argsort(hot)
     order = order[ways[order] > 0]
     hot, hot_c, ways = hot[order], hot_c[order], ways[order]
@@ -615,11 +619,11 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
     def sent(state: DataFrame, first: bool) -> DataFrame:
         """What the buckets know of their contexts, by part of the number range."""
-        x = state.select("bucket", "packed", "tables").mapInArrow(common.lean(_send(keys, words, first)), PIECES)
+        x = state.select("bucket", "packed", "tables").mapInArrow(common.lean(_send(keys[: max(1, n // PARTS)], words, first)), PIECES)
         return x.groupBy("key").agg(F.min("part").alias("part"), F.array_sort(F.collect_list(F.struct("bucket", "blob"))).alias("got"))
 
     slices = counted.where(F.col("kind") == CODES).select("key", "doc_ids", "sizes", "packed").join(back_to(counted.where(F.col("kind") == PART)), "key").select("key", "doc_ids", "sizes", "packed", "back")
-    typed = slices.mapInArrow(common.lean(_types(n, offsets, hot, ways, model.n, model.v)), SLICED).repartitionById(n, "to").sortWithinPartitions("bucket", "slice")
+    typed = slices.mapInArrow(common.lean(_types(n, n * BUCKETS, offsets, hot, ways, model.n, model.v)), SLICED).repartitionById(n, "to").sortWithinPartitions("bucket", "slice")
     whole = common.bucketed(typed.mapInArrow(common.lean(_gather(keys, hot)), TABLE), "lm_slices", n, "key")
     common.dropped(counted)
     state = whole.where(F.col("kind") == STATE)

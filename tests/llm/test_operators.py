@@ -451,7 +451,7 @@ def test_predictive_probabilities(spark, raw, monkeypatch):
 
     customers, kept = of(c, 0), []
     assert max(c.values()) > pitman_yor.EXACT
-    assert pitman_yor.hot_ways(np.array([sum(n for (_, w), n in c.items() if w == b"the")]), sum(c.values()), common.partitions(spark))[0] > 1
+    assert pitman_yor.hot_ways(np.array([sum(n for (_, w), n in c.items() if w == b"the")]), sum(c.values()), common.partitions(spark) * pitman_yor.BUCKETS)[0] > 1
 
     def draw(n, others, p, word, context, sweep):
         rng = pitman_yor.Keyed(np.array([number[word]]), None if context is None else np.array([number[context]]), sweep)
