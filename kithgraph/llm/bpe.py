@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from . import common
 
 LONG = 256
-BUCKETS = 1 << 15
+BITS = 15
+BUCKETS = 1 << BITS
 NEVER = 2**31 - 1
-KEY = 1 << 40  # keeps keys apart from ids within a bucket
 SPREAD = 50021
 #: Text bytes, and distinct words, of one slice of texts.
 SLICE_BYTES, SLICE_WORDS = 12 << 20, 200_000
@@ -48,10 +48,16 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 def rank_literal(pairs: dict[tuple[int, int], int]) -> Column:
-    """The rank map as a literal: an array of buckets, each key followed by its rank."""
+    """The rank map as a literal: an array of buckets, each key followed by its rank.
+
+    A bucket and the left id leave one right id of each BUCKETS, so a key is the left id and the right one's high bit; keys
+    are negative, which keeps them apart from ranks. Ids must be below 2 * BUCKETS.
+    """
     buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
     for (a, b), rank in pairs.items():
-        buckets[(a * SPREAD + b) % BUCKETS] += [KEY + a * 65536 + b, rank]
+        if max(a, b) >= 2 * BUCKETS:
+            raise ValueError("the rank literal holds ids below 65,536")
+        buckets[(a * SPREAD + b) % BUCKETS] += [-1 - 2 * a - (b >> BITS), rank]
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
 
 
@@ -65,7 +71,7 @@ def fold(units: Column, ranks: Column) -> Column:
 
     def rank(a: Column, b: Column) -> Column:
         a, b = a.cast("bigint"), b.cast("bigint")
-        return _let(F.get(ranks, ((a * SPREAD + b) % BUCKETS).cast("int")), lambda x: _let(F.array_position(x, a * 65536 + b + KEY), lambda i: F.when(i > 0, F.get(x, i.cast("int")).cast("int")).otherwise(F.lit(NEVER))))
+        return _let(F.get(ranks, ((a * SPREAD + b) % BUCKETS).cast("int")), lambda x: _let(F.array_position(x, F.lit(-1) - a * 2 - F.shiftright(b, BITS)), lambda i: F.when(i > 0, F.get(x, i.cast("int")).cast("int")).otherwise(F.lit(NEVER))))
 
     def step(s: Column, _: Column) -> Column:
         def merged(m: Column) -> Column:
@@ -395,7 +401,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     sliced = common.bucketed(rows.mapInArrow(common.lean(_slicer(pattern, n)), SLICED), "bpe_slices", n, "slice")
     asked = sliced.where("bucket >= 0").select("bucket", "slice", "packed").repartitionById(n, "bucket").sortWithinPartitions("bucket")
     folded = asked.mapInArrow(common.lean(_gatherer(ranks_b)), GATHERED).withColumn("units", fold_all(F.col("units"), literal))
-    replies = folded.mapInArrow(common.lean(_replier(ranks_b, pairs_b)), REPLIES).groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("replies"))
+    # the literal is part of one static plan, whose text the driver makes once
+    with common.static(spark):
+        answers = common.kept(folded.mapInArrow(common.lean(_replier(ranks_b, pairs_b)), REPLIES), "bpe-replies")
+    replies = answers.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("replies"))
     joined = sliced.where("bucket = -1").select("slice", "doc_ids", "sizes", "packed").join(replies, "slice", "left")
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return joined.select("doc_ids", "sizes", "packed", "replies").mapInArrow(common.lean(_assembler(ranks_b, with_ids)), out)

@@ -48,6 +48,18 @@ def freeing(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def static(spark: SparkSession):
+    """Plans made in here are not changed while they run: for one that holds a large literal, each change is a large text."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there and no executor's loss costs it."""
     path = scratch(df.sparkSession, name)
@@ -120,7 +132,7 @@ def local_path(path: str) -> str:
     return path.removeprefix("file://") if path.startswith("file://") else os.path.abspath(path)
 
 
-def slices(batches, text_col: str, limit: int = 4 << 20):
+def slices(batches, text_col: str, limit: int = 1 << 20):
     """Record batches cut so that each holds about `limit` text bytes at most, or one row; nothing larger is held at once."""
     for batch in batches:
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0))

@@ -96,7 +96,7 @@ def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang"
     chosen = rows.join(sent, "lang").where(F.col("__bucket") <= (F.least(F.lit(1.0), sample / F.col("__size")) * (1 << 20)).cast("long"))
 
     def run(batches):
-        for batch in common.slices(batches, "text", 1 << 20):
+        for batch in common.slices(batches, "text", 1 << 18):
             every, ends = grams(batch.column(0).to_pylist())
             of: dict = {}
             for lang, a, b in zip(batch.column(1).to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
@@ -131,7 +131,7 @@ def predict(docs: DataFrame, profile: dict[str, list[str]], id_col: str = "doc_i
         for a, lang in enumerate(langs):
             ranks[a, np.searchsorted(known, np.array([number(g) for g in profile[lang]], np.uint64))] = np.arange(len(profile[lang]))
         places = np.arange(GRAMS)
-        for batch in common.slices(batches, "text", 1 << 20):
+        for batch in common.slices(batches, "text", 1 << 18):
             names, scores = [], []
             every, ends = grams(batch.column(1).to_pylist())
             for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
