@@ -206,4 +206,4 @@ def _key(s: np.ndarray) -> tuple[int | None, int | None]:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents"))
+    return join(common.table(spark, sf_dir, "documents")).select("doc_id", "set_id", "group_id", "n_links", "n_texts")

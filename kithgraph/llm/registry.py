@@ -15,5 +15,62 @@ def queries():
     return {"op1_pitman_yor": pitman_yor.query, "op2_toxicity": toxicity.query, "op3_shards": op3_shards, "op4_chroma": chroma.query, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query, "op8_jaccard": jaccard.query, "op9_language": language.query, "op10_bpe": bpe.query}
 
 
+#: Lower-cases A-Z and cuts words, as common.WORDS does.
+WORDS_SQL = r"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Every window of an item against every window of its length in the documents.
+DECONTAMINATE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format(text='text')} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL.format(text='text')} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(10, len(w)) AS n, list_slice(w, i, i + least(10, len(w)) - 1) AS win
+       FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, n, i, list_slice(w, i, i + n - 1) AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
+hits AS (SELECT dw.r, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
+def _secrets_sql() -> str:
+    """Each rule's matches by the pieces between them, whose lengths add up to places."""
+    of_rule = "SELECT r, {rank} AS rank, '{kind}' AS kind, {base} AS base, {least} AS least, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', {group}) AS told FROM d"
+    rules = [of_rule.format(rank=i, kind=r.kind, base=str(r in secrets.BASE).lower(), least=r.least, pattern=r.pattern.replace("'", "''"), group=r.group) for i, r in enumerate(secrets.RULES)]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(rules)}),
+one AS (SELECT r, rank, kind, base, least, unnest(hits) AS hit, unnest(list_slice(gaps, 1, len(hits))) AS gap, unnest(told) AS told, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+spots AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY r, rank ORDER BY i) AS BIGINT) AS stop FROM one),
+found AS (SELECT r, rank, kind, base, stop - length(hit) AS start, stop FROM spots WHERE length(told) >= least),
+told AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (base) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM found GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (r)
+"""
+
+
+#: All pairs that share a shingle, their Jaccard similarity on whole sets, and the least id that links reach.
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format(text='text')} AS w FROM documents),
+sh AS (SELECT DISTINCT r, list_slice(w, i, i + least(5, len(w)) - 1) AS s FROM (SELECT r, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+size AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+few AS (SELECT s, md5(string_agg(CAST(r AS VARCHAR), ',' ORDER BY r)) AS k, list(r) AS rows FROM sh GROUP BY s HAVING count(*) > 1),
+groups AS (SELECT k, any_value(rows) AS rows, count(*) AS n FROM few GROUP BY k),
+shared AS (SELECT a, b, sum(n) AS n FROM (SELECT a, unnest(rows) AS b, n FROM (SELECT unnest(rows) AS a, rows, n FROM groups)) WHERE a <> b GROUP BY a, b),
+links AS (SELECT a, b, shared.n = x.n AND shared.n = y.n AS same FROM shared JOIN size x ON x.r = a JOIN size y ON y.r = b WHERE shared.n >= 0.8 * (x.n + y.n - shared.n) - 1e-6),
+reach AS (SELECT r AS a, r AS b FROM size UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+root AS (SELECT a AS r, min(doc_id) AS group_id FROM reach JOIN d ON d.r = b GROUP BY a),
+sets AS (SELECT a AS r, min(doc_id) AS other FROM links JOIN d ON d.r = b WHERE same GROUP BY a),
+n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a),
+unlike AS (SELECT a AS r, count(DISTINCT least(o.doc_id, coalesce(sets.other, o.doc_id))) AS n_texts FROM links JOIN d o ON o.r = b LEFT JOIN sets ON sets.r = b WHERE NOT same GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(other, d.doc_id)) AS set_id, coalesce(group_id, d.doc_id) AS group_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_texts, 0) AS BIGINT) AS n_texts
+FROM d LEFT JOIN root USING (r) LEFT JOIN sets USING (r) LEFT JOIN n USING (r) LEFT JOIN unlike USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": DECONTAMINATE_SQL, "op6_secrets": _secrets_sql(), "op8_jaccard": JACCARD_SQL}
