@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIR = ["user_id", "item_id"]
@@ -82,3 +82,34 @@ def true_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def top(df: DataFrame, key: str, n: int, count: Column | None = None) -> DataFrame:
     """The n keys of most rows; ties by key."""
     return df.groupBy(key).agg((F.count("*") if count is None else count).alias("n")).orderBy(F.desc("n"), key).limit(n)
+
+
+def by_group_pooled(pairs: DataFrame, members: DataFrame, likes: DataFrame, pool: DataFrame, key: str) -> DataFrame:
+    """(user, item, group_id, n_likers): other likers in the user's group of any item that shares the item's key. pool: item_id, key."""
+    pooled = likes.join(pool, "item_id").select("user_id", F.col(key).alias("item_id")).distinct()
+    at = pairs.select(*PAIR).distinct().join(pool, "item_id")
+    found = by_group(at.select("user_id", F.col(key).alias("item_id")), members, pooled, counts=True)
+    return at.join(found.withColumnRenamed("item_id", key), ["user_id", key]).select(*PAIR, "group_id", "n_likers")
+
+
+def fold_weights(rows: DataFrame, n: int) -> DataFrame:
+    """feature, fold, weight: the log odds of label 1 with the feature over those of all rows, learned without the fold. rows: feature, label, fold."""
+    whole = rows.groupBy("feature", "fold").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    # each fold's counts are in the pools of all others
+    pools = whole.withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k != F.col("fold")))).groupBy("feature", "k").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    totals = pools.groupBy("k").agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
+    return pools.join(totals, "k").select("feature", F.col("k").alias("fold"), (F.log((F.col("p") + 1.0) / (F.col("n") + 1.0)) - F.log((F.col("tp") + 1.0) / (F.col("tn") + 1.0))).alias("weight"))
+
+
+def weight_report(weights: DataFrame, rows: DataFrame, most: int = 10) -> DataFrame:
+    """The `most` features of greatest weight of each sign: mean and error over folds, rows that have it, users that have it."""
+    mean = weights.groupBy("feature").agg(F.avg("weight").alias("mean"), (F.stddev_pop("weight") / F.sqrt(F.count("*"))).alias("se"))
+    seen = rows.groupBy("feature").agg(F.count("*").alias("n_yes"), F.countDistinct("user_id").alias("n_users"))
+    signed = mean.join(seen, "feature").withColumn("sign", F.when(F.col("mean") >= 0, 1).otherwise(-1))
+    place = F.row_number().over(Window.partitionBy("sign").orderBy(F.desc(F.round(F.abs("mean"), 9)), "feature"))
+    return signed.withColumn("place", place).where(F.col("place") <= most).select("feature", "sign", "place", "mean", "se", "n_yes", "n_users")
+
+
+def size_matrix(rows: DataFrame, by: str, size: str, bounds: list[int]) -> DataFrame:
+    """One row for each value of `by`, a count for each bound of the rows whose size is at most that."""
+    return rows.groupBy(by).agg(*[F.count(F.when(F.col(size) <= b, 1)).alias(f"upto_{b}") for b in bounds])

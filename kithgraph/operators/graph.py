@@ -72,8 +72,8 @@ def strength(friends: DataFrame, contacts: DataFrame, together: DataFrame) -> Da
     return counted.crossJoin(mean).select("a", "b", "strength", r.alias("relative"), F.ln(r).alias("log"), F.log1p(r).alias("log1p"))
 
 
-def degrees(e: DataFrame, most: int | None = None) -> DataFrame:
-    """Each ego's number of alters and the sorted list of them (of the least `most` ids, if given)."""
+def degrees(e: DataFrame) -> DataFrame:
+    """Each ego's number of alters, the least and the greatest of them."""
     return e.groupBy("ego").agg(F.countDistinct("alter").alias("degree"), F.min("alter").alias("least"), F.max("alter").alias("greatest"))
 
 

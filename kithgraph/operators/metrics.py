@@ -22,6 +22,18 @@ def std_error95(x: Column) -> Column:
     return t95(F.count(x)) * F.stddev_samp(x) / F.sqrt(F.count(x))
 
 
+def exact_mean(x: Column) -> Column:
+    """A mean that does not depend on the order of addition: values are summed to 18 places."""
+    return F.sum(x.cast("decimal(28,18)")).cast("double") / F.count(x)
+
+
+def exact_error95(x: Column) -> Column:
+    """std_error95 with a deviation that does not depend on the order of addition."""
+    n, square = F.count(x), F.sum((x * x).cast("decimal(28,18)")).cast("double")
+    mean = exact_mean(x)
+    return F.when(n > 1, t95(n) * F.sqrt(F.greatest(square - n * mean * mean, F.lit(0.0)) / (n - 1)) / F.sqrt(n))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """0 where the denominator is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -72,12 +84,27 @@ def best_threshold(df: DataFrame) -> DataFrame:
     return sweep(df).withColumn("f1", f1).agg(F.max(F.struct(F.col("f1"), (-F.col("k")).alias("nk"))).alias("b")).select((-F.col("b.nk") / 10.0).alias("threshold"), F.col("b.f1").alias("f1"))
 
 
+def best_macro_threshold(df: DataFrame) -> DataFrame:
+    """The first threshold k/10 of -10..9.9 with the greatest mean of both classes' F1."""
+    tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "p", "n"))
+    f1 = (ratio(2 * tp, tp + fp + p) + ratio(2 * (n - fp), 2 * n - fp + p - tp)) / 2
+    return sweep(df).withColumn("f1", f1).agg(F.max(F.struct(F.round("f1", 12).alias("f1"), (-F.col("k")).alias("nk"))).alias("b")).select((-F.col("b.nk") / 10.0).alias("threshold"), F.col("b.f1").alias("f1"))
+
+
 def roc(df: DataFrame, points: int = 20) -> DataFrame:
-    """False and true positive rates at equal-width thresholds from the greatest score down to the least."""
+    """False and true positive rates at equal-width thresholds from the greatest score down to the least.
+
+    A row is counted at the first threshold that it reaches; running sums over the points do the rest.
+    """
     bounds = df.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
-    grid = df.sparkSession.range(0, points + 1).select(F.col("id").alias("step")).crossJoin(bounds).withColumn("t", F.col("hi") - (F.col("hi") - F.col("lo")) * F.col("step") / points)
-    # df meets a grid of points + 1 rows
-    return df.select("score", "label").crossJoin(F.broadcast(grid)).groupBy("step", "t", "p", "n").agg(F.sum(((F.col("score") >= F.col("t")) & (F.col("label") == 1)).cast("int")).alias("tp"), F.sum(((F.col("score") >= F.col("t")) & (F.col("label") == 0)).cast("int")).alias("fp")).select("step", ratio(F.col("fp"), F.col("n")).alias("fpr"), ratio(F.col("tp"), F.col("p")).alias("tpr"))
+    limits = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: F.col("hi") - (F.col("hi") - F.col("lo")) * i / points)
+    grid = bounds.withColumn("limits", limits)  # one row
+    step = F.size(F.filter("limits", lambda t: t > F.col("score"))).cast("long")
+    counted = df.select("score", "label").crossJoin(F.broadcast(grid)).groupBy(step.alias("step")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    steps = grid.select("p", "n", F.posexplode("limits").alias("at", "t")).withColumn("step", F.col("at").cast("long"))
+    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    run = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).over(w)
+    return steps.join(F.broadcast(counted), "step", "left").select("step", ratio(run("neg"), F.col("n")).alias("fpr"), ratio(run("pos"), F.col("p")).alias("tpr"))
 
 
 def auc(points: DataFrame) -> DataFrame:

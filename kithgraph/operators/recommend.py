@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import md5_bucket, neighbour_distance
+from ..functions.scalars import connection, md5_bucket, neighbour_distance
 from .metrics import ratio
 
 PAIR = ["user_id", "item_id"]
@@ -128,3 +128,21 @@ def nb_predict(long: DataFrame, key: list[str], smoothing: float = 1.0) -> DataF
     w = n.join(t, "feature").select("feature", "value", (F.ln((F.col("n1") + smoothing) / (F.col("t1") + 2 * smoothing)) - F.ln((F.col("n0") + smoothing) / (F.col("t0") + 2 * smoothing))).alias("w"))
     odds = long.join(w, ["feature", "value"]).groupBy(*key).agg(F.sum("w").alias("w")).crossJoin(prior)
     return odds.select(*key, (1 / (1 + F.exp(-(F.col("w") + F.ln(F.col("prior") / (1 - F.col("prior"))))))).alias("score"))
+
+
+def foreign(posts: DataFrame, column: str, own) -> DataFrame:
+    """Posts that are not the app's own; those without a poster go too."""
+    return posts.where(F.col(column) != own)
+
+
+def connected(traits: DataFrame, least: float, spectral: bool = False, blocks: int = 16) -> DataFrame:
+    """u1 < u2, connection of all pairs of users whose predicted connection is `least` or more (spectral: at most). traits: user_id, traits.
+
+    Users are dealt to blocks; every two blocks meet in one key, so a pair is made in one place and only kept if it is near.
+    """
+    own = F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int")
+    dealt = traits.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "user_id", "traits")
+    one, two = (dealt.select("x", "y", F.col("own").alias(f"o{i}"), F.col("user_id").alias(f"u{i}"), F.col("traits").alias(f"t{i}")) for i in (1, 2))
+    met = one.join(two, ["x", "y"]).where("u1 < u2 and (x = y or o1 <> o2)")
+    value = connection(F.col("t1"), F.col("t2"), spectral)
+    return met.select("u1", "u2", value.alias("connection")).where(F.col("connection") <= least if spectral else F.col("connection") >= least)

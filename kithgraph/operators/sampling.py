@@ -32,9 +32,41 @@ def train_pool(folded: DataFrame, fold: int) -> DataFrame:
 
 
 def contiguous_folds(df: DataFrame, n: int, order: str) -> DataFrame:
-    """fold = n * rank div total over the order; no row is in two folds. The ranks come from counts of order keys, which are distinct."""
-    ranked = df.withColumn("r", F.row_number().over(Window.orderBy(order)) - 1)
-    return ranked.crossJoin(df.agg(F.count("*").alias("total"))).withColumn("fold", F.floor(F.col("r") * n / F.col("total")).cast("int")).drop("r", "total")
+    """fold = n * rank div total over the order, whose keys are distinct; no row is in two folds.
+
+    Rows are sorted by ranges; a row's rank is its place in its range, after the rows of the ranges before it.
+    """
+    place = F.monotonically_increasing_id()
+    ranked = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__place", place)
+    part = F.shiftright("__place", 33)
+    sizes = ranked.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))  # a row a range
+    ahead = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__ahead"), F.sum("__size").over(Window.partitionBy()).alias("__total"))
+    rank = F.col("__ahead") + F.col("__place").bitwiseAND((1 << 33) - 1)
+    at = ranked.withColumn("__part", part).join(F.broadcast(ahead), "__part")
+    return at.withColumn("fold", F.floor(rank * n / F.col("__total")).cast("int")).select(*df.columns, "fold")
+
+
+def split_at(df: DataFrame, share: float, seed: int = 1) -> DataFrame:
+    """df with part: 'train' for about a share of the rows, else 'test'."""
+    return df.withColumn("part", F.when(md5_bucket(seed, *PAIR) < int(share * 2**32), "train").otherwise("test"))
+
+
+def shuffle_splits(df: DataFrame, n: int, share: float, seed: int = 100) -> DataFrame:
+    """n independent splits, one below the other: split, test (0/1) for about a share of the rows."""
+    splits = F.explode(F.array(*[F.struct(F.lit(k).alias("split"), (md5_bucket(seed + k, *PAIR) < int(share * 2**32)).cast("int").alias("test")) for k in range(n)]))
+    return df.withColumn("__split", splits).select(*df.columns, "__split.split", "__split.test")
+
+
+def rating_holdout(ratings: DataFrame, share: float = 0.1, seed: int = 1) -> DataFrame:
+    """ratings with test (0/1): of each item the first floor(share n) users by hash, at least one; items of one rating hold out none."""
+    per = Window.partitionBy("item_id")
+    n, rank = F.count("*").over(per), F.row_number().over(per.orderBy(md5_bucket(seed, "item_id", "user_id"), "user_id"))
+    return ratings.withColumn("test", F.when((n > 1) & (rank <= F.greatest(F.lit(1), F.floor(n * share))), 1).otherwise(0))
+
+
+def train_pools(folded: DataFrame, n: int) -> DataFrame:
+    """folded with k: each row once for every fold that it trains."""
+    return folded.withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k != F.col("fold"))))
 
 
 def cold_start(samples: DataFrame, users: float = 0.1, rows: float = 0.3, seed: int = 1) -> DataFrame:

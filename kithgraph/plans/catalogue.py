@@ -258,11 +258,6 @@ def likes_with_info(t):
     return t.likes.join(t.items, "item_id").groupBy("item_id").agg(F.count("*").alias("n_likes"), F.max("kind").alias("kind"))
 
 
-@q("SELECT DISTINCT b.user_id FROM grp a JOIN grp b USING (group_id) WHERE a.user_id < 3", "grp")
-def two_hop_members(t):
-    return t.groups.join(t.groups.where("user_id < 3").select("group_id"), "group_id", "left_semi").select("user_id").distinct()
-
-
 @q("SELECT group_id, user_id FROM grp WHERE group_id IN (SELECT group_id FROM grp WHERE user_id IN (SELECT user_id FROM ratings))", "grp", "ratings")
 def rater_group_members(t):
     seeds = t.groups.join(t.ratings.select("user_id"), "user_id", "left_semi").select("group_id")
@@ -368,11 +363,6 @@ def cleaned_messages(t):
     return t.messages.select("conv_id", "turn", F.size(fn.cleaned_words(F.col("text"))).cast("bigint").alias("n_words"))
 
 
-@q("SELECT 'conversation' AS kind, conv_id AS id, text FROM conversations WHERE turn = 0 UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
-def message_dump(t):
-    return t.messages.where("turn = 0").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "text").unionByName(t.raw("benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), "text"))
-
-
 @q("SELECT 'conversation' AS kind, conv_id AS id, turn, text FROM conversations UNION ALL SELECT 'benchmark', item_id, NULL, text FROM benchmark")
 def message_dump_turns(t):
     return t.messages.select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "turn", "text").unionByName(t.raw("benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), F.lit(None).cast("long").alias("turn"), "text"))
@@ -486,12 +476,12 @@ def copreference_pairs(t):
 
 
 def queries():
-    from . import evaluation, fitted  # noqa: F401  evaluation registers its queries
+    from . import evaluation, fitted, more  # noqa: F401  evaluation and more register their queries
 
     return QUERIES | fitted.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import evaluation  # noqa: F401
+    from . import evaluation, more  # noqa: F401
 
     return dict(ORACLES)
