@@ -206,12 +206,11 @@ def unpack_words(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
-def pack_ids(ids: list[bytes]) -> bytes:
-    """Each word's ids are little-endian u32 bytes."""
+def pack_ids(sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    """How many ids each word has, and all ids."""
     import zstandard
 
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    return zstandard.compress(np.array([len(ids), *[len(i) // 4 for i in ids]], "<u4").tobytes() + flat.astype("<u4").tobytes(), 1)
+    return zstandard.compress(np.concatenate([[len(sizes)], sizes, ids]).astype("<u4").tobytes(), 1)
 
 
 def unpack_ids(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -293,16 +292,22 @@ def _slicer(pattern: str, buckets: int):
 
 
 def _gatherer(ranks_b):
-    """The rows of a bucket become one: who asked what, and the distinct words as arrays of byte ids, ready for the fold."""
+    """The rows of a bucket become one: who asked for which of its distinct words, and those as arrays of byte ids, ready for the fold; the long words apart, behind them."""
 
     def run(batches):
         ranks = ranks_b.value
-        single = [ranks[bytes([i])] for i in range(256)]
+        single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
         def emit(bucket, slices, asked):
-            words = list(dict.fromkeys(w for blob in asked for w in unpack_words(blob)))
-            units = [[single[c] for c in w] for w in words if len(w) <= LONG]
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([slices], pa.list_(pa.int64())), pa.array([asked], pa.list_(pa.binary())), pa.array([pack_words(words)], pa.binary()), pa.array([units], pa.list_(pa.list_(pa.int32())))], ["bucket", "slices", "asked", "words", "units"])
+            lists = [unpack_words(blob) for blob in asked]
+            words = list(dict.fromkeys(w for x in lists for w in x))
+            short, long = [w for w in words if len(w) <= LONG], [w for w in words if len(w) > LONG]
+            place = {w: i for i, w in enumerate([*short, *long])}
+            places = [_planes(np.fromiter(map(place.__getitem__, x), np.uint32, len(x))) for x in lists]
+            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, short), np.int64, len(short)))]).astype(np.int32)
+            units = pa.ListArray.from_arrays(pa.array(ends), pa.array(single[np.frombuffer(b"".join(short), np.uint8)]))
+            outer = pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), units)
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([slices], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())), pa.array([pack_words(long)], pa.binary()), outer], ["bucket", "slices", "asked", "words", "units"])
 
         now, slices, asked = None, [], []
         for batch in batches:
@@ -326,22 +331,28 @@ def _replier(ranks_b, pairs_b):
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 folded = one.column(4)[0].values
-                ends = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(folded)), dtype=np.int64)]).tolist()
-                flat = np.asarray(folded.flatten()).astype("<u4").tobytes()
-                known, k = {}, 0
-                for w in unpack_words(one.column(3)[0].as_py()):
-                    if len(w) > LONG:
-                        known[w] = np.array(merge_long([ranks[bytes([c])] for c in w], pairs_b.value), "<u4").tobytes()
-                    else:
-                        known[w] = flat[4 * ends[k] : 4 * ends[k + 1]]
-                        k += 1
+                sizes, ids = np.asarray(pa.compute.list_value_length(folded)).astype(np.int64), np.asarray(folded.flatten()).astype("<u4")
+                merged = [merge_long([ranks[bytes([c])] for c in w], pairs_b.value) for w in unpack_words(one.column(3)[0].as_py())]
+                if merged:
+                    sizes, ids = np.concatenate([sizes, [len(x) for x in merged]]), np.concatenate([ids, *[np.array(x, "<u4") for x in merged]])
+                starts = np.cumsum(sizes) - sizes
                 bucket, slices = one.column(0)[0].as_py(), one.column(1)[0].values.to_pylist()
                 for s, blob in zip(slices, one.column(2)[0].values, strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([bucket], pa.int32()), pa.array([pack_ids([known[w] for w in unpack_words(blob.as_py())])], pa.binary())], ["slice", "bucket", "ids"])
+                    at = _unplanes(blob.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([bucket], pa.int32()), pa.array([pack_ids(sizes[at], ids[common.ranges(starts[at], sizes[at])])], pa.binary())], ["slice", "bucket", "ids"])
 
     return run
 
 
+def _joined(pieces: pa.Array, ids: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The pieces of each word's ids joined, word by word in the order of codes: all bytes, and where each word begins and the last ends."""
+    of_ids = pieces.take(pa.array(ids))
+    begins = np.frombuffer(of_ids.buffers()[1], np.int64, len(ids) + 1)[ends]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(begins), of_ids.buffers()[2]])
+    text = words.take(pa.array(codes))
+    return memoryview(text.buffers()[2]), np.frombuffer(text.buffers()[1], np.int64, len(codes) + 1)
+
+
 def _assembler(ranks_b, with_ids: bool):
     def run(batches):
         ranks = ranks_b.value
@@ -349,37 +360,35 @@ def _assembler(ranks_b, with_ids: bool):
         bytes_of = [b""] * size
         for token, rank in ranks.items():
             bytes_of[rank] = token
-        told = [b"%d" % i for i in range(size)]
+        raw, told = pa.array(bytes_of, pa.large_binary()), pa.array([b"%d " % i for i in range(size)], pa.large_binary())
+        del bytes_of
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                counts, texts, raws, lists = [np.zeros(0, np.int64)], [], [], []
-                for reply in one.column(3)[0].as_py() or []:
-                    own, ids = unpack_ids(reply["ids"])
-                    ends, ids = np.cumsum(own).tolist(), ids.tolist()
-                    counts.append(own)
-                    new = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                    texts += [b" ".join([told[i] for i in x]) for x in new]
-                    raws += [b"".join([bytes_of[i] for i in x]) for x in new]
-                    if with_ids:
-                        lists += new
-                counts = np.concatenate(counts)
-                codes = unpack_codes(one.column(2)[0].as_py())
-                out, at = [[], [], [], []], 0
-                sizes = one.column(1)[0].values.to_pylist()
-                for n in sizes:
-                    c = codes[at : at + n]
-                    at += n
-                    out[0].append(int(counts[c].sum()) if n else 0)
-                    c = c.tolist()
-                    out[1].append(hashlib.sha256(b" ".join([texts[i] for i in c])).hexdigest())
-                    out[2].append(hashlib.sha256(b"".join([raws[i] for i in c])).hexdigest())
+                n = np.array(one.column(1)[0].values, np.int64)
+                at = np.concatenate([[0], np.cumsum(n)])
+                codes = unpack_codes(one.column(2)[0].as_py()).astype(np.int64)
+                tokens, digests, lists = np.zeros(len(n), np.int64), [[hashlib.sha256(b"").hexdigest()] * len(n)] * 2, [[]] * len(n)
+                if len(codes):
+                    parts = [unpack_ids(x["ids"]) for x in one.column(3)[0].as_py()]
+                    sizes, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    del parts
+                    ends = np.concatenate([[0], np.cumsum(sizes)])
+                    tokens = np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[at])
+                    digests = []
+                    for pieces, less in ((told, 1), (raw, 0)):  # no space behind the last id
+                        data, place = _joined(pieces, ids, ends, codes)
+                        cut = place[at].tolist()
+                        digests.append([hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(cut, cut[1:], strict=False)])
+                        del data, place
                     if with_ids:
-                        out[3].append([x for i in c for x in lists[i]])
-                cols = [one.column(0)[0].values, pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])]
+                        every = ids[common.ranges(ends[codes], sizes[codes])].astype(np.int32)
+                        cut = np.concatenate([[0], np.cumsum(tokens)]).tolist()
+                        lists = [every[a:b].tolist() for a, b in zip(cut, cut[1:], strict=False)]
+                cols = [one.column(0)[0].values, pa.array(tokens), pa.array(digests[0]), pa.array(digests[1])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    cols.append(pa.array(out[3], pa.list_(pa.int32())))
+                    cols.append(pa.array(lists, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
