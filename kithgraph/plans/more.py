@@ -171,7 +171,7 @@ def vector_operations(t):
 BAGS = "m AS (SELECT o_custkey AS user_id, p_size % 8 AS k, SUM(l_quantity)::DOUBLE AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2), two AS (SELECT COALESCE(a.user_id, b.user_id - 1) AS id, COALESCE(a.k, b.k) AS k, a.v AS x, b.v AS y FROM m a FULL JOIN m b ON b.user_id = a.user_id + 1 AND a.k = b.k)"
 
 
-@q(f"{BAGS}, h AS (SELECT DISTINCT a.user_id AS id FROM m a JOIN m b ON b.user_id = a.user_id + 1) SELECT id, {R('SUM(COALESCE(x, 0) + COALESCE(y, 0))')} AS summed, {R('SUM(COALESCE(0.5 * x, 0))')} AS scaled, {R('SUM(CASE WHEN x <> 0 THEN 1.0 ELSE 0 END)')} AS present, {R('SUM(COALESCE(x * y * CASE WHEN k = 0 THEN 2.0 WHEN k = 1 THEN 0.5 ELSE 1 END, 0))')} AS weighted FROM two JOIN h USING (id) GROUP BY 1")
+@q(f"{BAGS}, h AS (SELECT DISTINCT a.user_id AS id FROM m a JOIN m b ON b.user_id = a.user_id + 1) SELECT id, {R('SUM(COALESCE(x, 0) + COALESCE(y, 0))')} AS summed, {R('SUM(COALESCE(0.5 * x, 0))')} AS scaled, {R('SUM(CASE WHEN x <> 0 THEN 1.0 ELSE 0 END::DOUBLE)')} AS present, {R('SUM(COALESCE(x * y * CASE WHEN k = 0 THEN 2.0 WHEN k = 1 THEN 0.5 ELSE 1 END, 0))')} AS weighted FROM two JOIN h USING (id) GROUP BY 1")
 def sparse_operations(t):
     lines = t.raw("lineitem").join(t.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.raw("part"), F.col("p_partkey") == F.col("l_partkey"))
     bag = lines.groupBy(F.col("o_custkey").alias("id"), (F.col("p_size") % 8).cast("int").alias("k")).agg(F.sum("l_quantity").cast("double").alias("v"))
@@ -182,7 +182,7 @@ def sparse_operations(t):
     return rounded(both.select("id", fn.map_total(fn.map_sum(x, y)).alias("summed"), fn.map_total(fn.map_scale(x, 0.5)).alias("scaled"), fn.map_total(fn.map_boolean(x)).alias("present"), fn.map_weighted_dot(x, y, weights).alias("weighted")))
 
 
-@q(f"SELECT user_id, gender AS code, {R('CASE WHEN gender = 1 THEN 1.0 ELSE 0 END')} AS male, {R('CASE WHEN gender = 0 THEN 1.0 ELSE 0 END')} AS female, {R('(1950 + user_id % 60) / 2012.0')} AS year, CASE WHEN locale % 3 = 0 THEN 1 WHEN locale % 3 = 1 THEN 0 END AS flag FROM users", "users")
+@q(f"SELECT user_id, gender AS code, {R('CASE WHEN gender = 1 THEN 1.0 ELSE 0 END::DOUBLE')} AS male, {R('CASE WHEN gender = 0 THEN 1.0 ELSE 0 END::DOUBLE')} AS female, {R('(1950 + user_id % 60)::DOUBLE / 2012')} AS year, CASE WHEN locale % 3 = 0 THEN 1 WHEN locale % 3 = 1 THEN 0 END AS flag FROM users", "users")
 def user_codes(t):
     gender = F.when(F.col("gender") == 1, "male").otherwise("female")
     x = fn.user_features(gender, F.concat(F.lit("01/02/"), (1950 + F.col("user_id") % 60).cast("string")))
@@ -190,7 +190,7 @@ def user_codes(t):
     return rounded(t.users.select("user_id", fn.gender_code(gender).alias("code"), F.get(x, F.lit(0)).alias("male"), F.get(x, F.lit(1)).alias("female"), F.get(x, F.lit(2)).alias("year"), fn.yes_no(flag).alias("flag")))
 
 
-@q(f"SELECT item_id, {R('COUNT(*) * 1000 / 1e7')} AS shares, {R('SUM(liked) * 1000 / 1e7')} AS likes, {R('COUNT(DISTINCT user_id) * 1000 / 1e7')} AS comments FROM purchases GROUP BY 1", "purchases")
+@q(f"SELECT item_id, {R('COUNT(*)::DOUBLE * 1000 / 1e7')} AS shares, {R('SUM(liked)::DOUBLE * 1000 / 1e7')} AS likes, {R('COUNT(DISTINCT user_id)::DOUBLE * 1000 / 1e7')} AS comments FROM purchases GROUP BY 1", "purchases")
 def link_scales(t):
     x = fn.link_features(F.count("*") * 1000, F.sum("liked") * 1000, F.countDistinct("user_id") * 1000)
     n = t.purchases.groupBy("item_id").agg(x.alias("x"))
