@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chroma, common, decontaminate, jaccard, language, packing, pitman_yor, secrets, shards, toxicity
+from . import bpe, chroma, common, decontaminate, jaccard, language, licenses, packing, pitman_yor, secrets, shards, toxicity
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,7 +12,7 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_pitman_yor": pitman_yor.query, "op2_toxicity": toxicity.query, "op3_shards": op3_shards, "op4_chroma": chroma.query, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query, "op8_jaccard": jaccard.query, "op9_language": language.query, "op10_bpe": bpe.query}
+    return {"op1_pitman_yor": pitman_yor.query, "op2_toxicity": toxicity.query, "op3_shards": op3_shards, "op4_chroma": chroma.query, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query, "op8_jaccard": jaccard.query, "op9_language": language.query, "op10_bpe": bpe.query, "op13_licenses": licenses.query}
 
 
 #: Lower-cases A-Z and cuts words, as common.WORDS does.
@@ -72,5 +72,31 @@ FROM d LEFT JOIN root USING (r) LEFT JOIN sets USING (r) LEFT JOIN n USING (r) L
 """
 
 
+def _licenses_sql() -> str:
+    """Base phrases by comparing word lists; other labels from the grams of each template that stand on a diagonal or its neighbours."""
+    base = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
+    notices = ", ".join(f"({i}, '{t.label}', '{' '.join(t.words)}')" for i, t in enumerate(licenses.NOTICES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format(text='text')} AS w FROM documents),
+phrases AS (SELECT label, string_split(p, ' ') AS p FROM (VALUES {', '.join(map(str, base))}) AS x(label, p)),
+spots AS (SELECT r, label, i - 1 AS spot FROM (SELECT r, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, phrases WHERE len(w) >= len(p)) WHERE list_slice(w, i, i + len(p) - 1) = p),
+places AS (SELECT r, count(*) AS n, min(spot) AS a, max(spot) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM spots GROUP BY r),
+n AS (SELECT t, label, string_split(p, ' ') AS p FROM (VALUES {notices}) AS x(t, label, p)),
+tg AS (SELECT t, label, len(p) AS m, i - 1 AS tp, list_slice(p, i, i + 2) AS g FROM (SELECT *, unnest(range(1, len(p) - 1)) AS i FROM n)),
+dg AS (SELECT r, i - 1 AS dp, list_slice(w, i, i + 2) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+v AS (SELECT r, t, label, m, m // 8 AS near, dp - tp AS diag, tp, dp FROM dg JOIN tg USING (g)),
+strong AS (SELECT *, count(*) OVER (PARTITION BY r, t, diag) AS n FROM v QUALIFY n > 1 OR m < 8),
+marked AS (SELECT *, CASE WHEN coalesce(diag - lag(diag) OVER (PARTITION BY r, t ORDER BY diag, tp), 9) > least(3, near) THEN 1 ELSE 0 END AS new FROM strong),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY r, t ORDER BY diag, tp ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+alone AS (SELECT r, label, count(DISTINCT tp) / (m - 2) AS share FROM runs GROUP BY r, t, label, m, diag),
+merged AS (SELECT r, label, count(DISTINCT tp) / (m - 2) AS share FROM runs GROUP BY r, t, label, m, run HAVING count(DISTINCT diag) > 1 AND 2 * count(*) >= max(dp) + 3 - min(dp)),
+shares AS (SELECT * FROM alone UNION ALL SELECT * FROM merged UNION ALL SELECT r, label, 1.0 FROM spots),
+best AS (SELECT r, max(share) AS score, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= 0.5) AS labels FROM shares GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(places.n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
+       coalesce(places.labels, '') AS base_labels, coalesce(best.labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN places USING (r) LEFT JOIN best USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": DECONTAMINATE_SQL, "op6_secrets": _secrets_sql(), "op8_jaccard": JACCARD_SQL}
+    return {"op5_decontaminate": DECONTAMINATE_SQL, "op6_secrets": _secrets_sql(), "op8_jaccard": JACCARD_SQL, "op13_licenses": _licenses_sql()}
