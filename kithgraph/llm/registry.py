@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chroma, common, decontaminate, jaccard, language, licenses, packing, pitman_yor, secrets, shards, toxicity
+from . import bpe, chroma, common, decontaminate, jaccard, language, licenses, negatives, packing, pitman_yor, secrets, shards, toxicity
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,7 +12,7 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_pitman_yor": pitman_yor.query, "op2_toxicity": toxicity.query, "op3_shards": op3_shards, "op4_chroma": chroma.query, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query, "op8_jaccard": jaccard.query, "op9_language": language.query, "op10_bpe": bpe.query, "op13_licenses": licenses.query}
+    return {"op1_pitman_yor": pitman_yor.query, "op2_toxicity": toxicity.query, "op3_shards": op3_shards, "op4_chroma": chroma.query, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query, "op8_jaccard": jaccard.query, "op9_language": language.query, "op10_bpe": bpe.query, "op12_negatives": negatives.query, "op13_licenses": licenses.query}
 
 
 #: Lower-cases A-Z and cuts words, as common.WORDS does.
@@ -98,5 +98,20 @@ FROM d LEFT JOIN places USING (r) LEFT JOIN best USING (r)
 """
 
 
+#: Every anchor against every row, exactly.
+NEGATIVES_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND (a.vec_id <> b.vec_id OR a.label <> b.label OR a.v <> b.v)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank, id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": DECONTAMINATE_SQL, "op6_secrets": _secrets_sql(), "op8_jaccard": JACCARD_SQL, "op13_licenses": _licenses_sql()}
+    return {"op5_decontaminate": DECONTAMINATE_SQL, "op6_secrets": _secrets_sql(), "op8_jaccard": JACCARD_SQL, "op12_negatives": NEGATIVES_SQL, "op13_licenses": _licenses_sql()}
