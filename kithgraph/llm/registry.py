@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chroma, common, decontaminate, jaccard, language, licenses, negatives, packing, pitman_yor, secrets, shards, toxicity
+from . import bpe, chroma, common, decontaminate, jaccard, language, licenses, negatives, packing, phrases, pitman_yor, secrets, shards, toxicity
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,7 +12,7 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_pitman_yor": pitman_yor.query, "op2_toxicity": toxicity.query, "op3_shards": op3_shards, "op4_chroma": chroma.query, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query, "op8_jaccard": jaccard.query, "op9_language": language.query, "op10_bpe": bpe.query, "op12_negatives": negatives.query, "op13_licenses": licenses.query}
+    return {"op1_pitman_yor": pitman_yor.query, "op2_toxicity": toxicity.query, "op3_shards": op3_shards, "op4_chroma": chroma.query, "op5_decontaminate": decontaminate.query, "op6_secrets": secrets.query, "op7_token_ids": packing.query, "op8_jaccard": jaccard.query, "op9_language": language.query, "op10_bpe": bpe.query, "op11_phrases": phrases.query, "op12_negatives": negatives.query, "op13_licenses": licenses.query}
 
 
 #: Lower-cases A-Z and cuts words, as common.WORDS does.
@@ -98,6 +98,23 @@ FROM d LEFT JOIN places USING (r) LEFT JOIN best USING (r)
 """
 
 
+#: Every n-gram of 1 to 4 words by its words.
+PHRASES_SQL = r"""
+WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+             unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, list_slice(w, i, i + k - 1) AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) AS x(k) WHERE len(w) >= k)) GROUP BY lang, p HAVING count(*) >= 30),
+c AS (SELECT lang, p, f, unnest(range(1, len(p))) AS k FROM g WHERE len(p) > 1),
+s AS (SELECT c.lang, c.p, c.f, k, x.f AS l, y.f AS r, 2000000 * CAST(c.f AS HUGEINT) // (x.f + y.f) AS score
+      FROM c JOIN g x ON x.lang = c.lang AND x.p = list_slice(c.p, 1, k) JOIN g y ON y.lang = c.lang AND y.p = list_slice(c.p, k + 1, len(c.p))),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (SELECT lang, list_slice(p, i, i + k - 1) AS p, max(f) AS longer FROM (SELECT lang, p, f, k, unnest(range(1, len(p) - k + 2)) AS i FROM c WHERE k > 1) GROUP BY ALL),
+kept AS (SELECT low.lang, array_to_string(low.p, ' ') AS phrase, f AS a, l, r, score FROM low LEFT JOIN inside ON inside.lang = low.lang AND inside.p = low.p WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(f AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 #: Every anchor against every row, exactly.
 NEGATIVES_SQL = """
 WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -114,4 +131,4 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": DECONTAMINATE_SQL, "op6_secrets": _secrets_sql(), "op8_jaccard": JACCARD_SQL, "op12_negatives": NEGATIVES_SQL, "op13_licenses": _licenses_sql()}
+    return {"op5_decontaminate": DECONTAMINATE_SQL, "op6_secrets": _secrets_sql(), "op8_jaccard": JACCARD_SQL, "op11_phrases": PHRASES_SQL, "op12_negatives": NEGATIVES_SQL, "op13_licenses": _licenses_sql()}
