@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..functions.scalars import md5_bucket
 
 PAIR = ["user_id", "item_id"]
@@ -32,17 +33,17 @@ def train_pool(folded: DataFrame, fold: int) -> DataFrame:
 
 
 def contiguous_folds(df: DataFrame, n: int, order: str) -> DataFrame:
-    """fold = n * rank div total over the order, whose keys are distinct; no row is in two folds.
+    """fold = n * rank div total over the order, whose keys are distinct; folds are disjoint and cover all rows, at most one row apart in size.
 
-    Rows are sorted by ranges; a row's rank is its place in its range, after the rows of the ranges before it.
+    Rows are sorted by ranges and written once; a row's rank is its place in its range, after the rows of the ranges before
+    it. Sizes and places are both read from what was written, so they agree however the ranges fell.
     """
-    place = F.monotonically_increasing_id()
-    ranked = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__place", place)
+    ranked = written(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__place", F.monotonically_increasing_id()))
     part = F.shiftright("__place", 33)
     sizes = ranked.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))  # a row a range
     ahead = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__ahead"), F.sum("__size").over(Window.partitionBy()).alias("__total"))
     rank = F.col("__ahead") + F.col("__place").bitwiseAND((1 << 33) - 1)
-    at = ranked.withColumn("__part", part).join(F.broadcast(ahead), "__part")
+    at = ranked.withColumn("__part", part).join(F.broadcast(ahead), "__part")  # as many rows as ranges
     return at.withColumn("fold", F.floor(rank * n / F.col("__total")).cast("int")).select(*df.columns, "fold")
 
 
