@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import recommend
-from . import classifiers, factors
+from . import classifiers, factors, tables
 
 
 @dataclass
@@ -63,14 +63,33 @@ class Matrix(Recommender):
         return self.model.score(pairs)
 
 
+class Tables(Recommender):
+    """The kinds of Matrix and both hybrids with all parameters in tables; design: sparse features of the hybrids' pairs (see tables)."""
+
+    def __init__(self, users: DataFrame, items: DataFrame, kind: str = "hybrid", ties: DataFrame | None = None, design: DataFrame | None = None, k: int = 5, ridge: float = 100.0, social: float = 1e-3, steps: int = 60, tolerance: float = 1e-2):
+        self.parts, self.steps, self.tolerance = {"users": users, "items": items, "kind": kind, "ties": ties, "design": design, "k": k, "ridge": ridge, "social": social}, steps, tolerance
+
+    def fit(self, samples: DataFrame) -> Tables:
+        self.model = tables.fit(tables.Problem(samples, **self.parts), steps=self.steps, tolerance=self.tolerance)
+        return self
+
+    def score(self, pairs: DataFrame, design: DataFrame | None = None) -> DataFrame:
+        return self.model.score(pairs, design)
+
+    def weights(self) -> DataFrame:
+        return self.model.weights()
+
+
 MATRIX = ("feature", "social", "spectral", "copreference", "spectral_copreference", "logistic")
 CLASSIFIERS = {c.name: c for c in (classifiers.LogisticModel, classifiers.LinearMachine, classifiers.BernoulliBayes, classifiers.SquaredHinge, classifiers.Constant, classifiers.FriendLiked)}
 
 
 def make(config: Config, **parts):
-    """The model a config names; an unknown name is an error."""
+    """The model a config names; an unknown name is an error. Kinds that end in _tables keep all parameters in tables, as both hybrids do."""
     if config.kind in MATRIX:
         return Matrix(kind=config.kind, k=config.k, ridge=config.ridge, social=config.social, **parts)
+    if config.kind.removesuffix("_tables") in tables.KINDS:
+        return Tables(kind=config.kind.removesuffix("_tables"), k=config.k, ridge=config.ridge, social=config.social, **parts)
     if config.kind in CLASSIFIERS:
         return CLASSIFIERS[config.kind](**parts)
-    raise ValueError(f"unknown model {config.kind!r}; known: {', '.join([*MATRIX, *CLASSIFIERS])}")
+    raise ValueError(f"unknown model {config.kind!r}; known: {', '.join([*MATRIX, 'hybrid', 'logistic_hybrid', *[f'{k}_tables' for k in MATRIX], *CLASSIFIERS])}")
