@@ -10,23 +10,44 @@ from pyspark.sql import functions as F
 PAIR = ["user_id", "item_id"]
 
 
-def interpolation_weights(pairs: DataFrame, ratings: DataFrame, similar: DataFrame, column: str, k: int = 30, ridge: float = 0.1) -> DataFrame:
-    """pairs with score from w = A^-1 b over the k most similar rated items, A and b being products of item columns.
+def item_products(ratings: DataFrame) -> DataFrame:
+    """i <= j, n, mean: how many users rated both items, and the mean product of their ratings."""
+    r = ratings.select(*PAIR, F.col("rating").cast("double").alias("rating"))
+    two = r.select("user_id", F.col("item_id").alias("i"), F.col("rating").alias("x")).join(r.select("user_id", F.col("item_id").alias("j"), F.col("rating").alias("y")), "user_id").where("i <= j")
+    return two.groupBy("i", "j").agg(F.count("*").alias("n"), F.avg(F.col("x") * F.col("y")).alias("mean"))
 
-    One group is one pair's at most k neighbours, so a group is small whatever the data.
+
+def interpolation_weights(pairs: DataFrame, ratings: DataFrame, similar: DataFrame, column: str, k: int = 30, ridge: float = 0.0) -> DataFrame:
+    """pairs with score = sum of w_j r_j over the user's k rated items most similar to the item, with w = A^-1 b.
+
+    A: mean products of the ratings of two neighbours by users who rated both, 0 without one; b: those of the item and a
+    neighbour. Both come from one table of item pairs. A singular A is solved by least squares; a ridge may be added. Null
+    without a neighbour. Ties of similarity go to the lesser item. A group is one pair's at most k + k (k + 1) / 2 products.
     """
     both = similar.select(F.col("i").alias("item_id"), F.col("j").alias("other"), F.col(column).alias("s")).unionByName(similar.select(F.col("j").alias("item_id"), F.col("i").alias("other"), F.col(column).alias("s"))).where("s > 0")
-    at = pairs.select(*PAIR).distinct().join(both, "item_id").join(ratings.select("user_id", F.col("item_id").alias("other"), F.col("rating").cast("double").alias("rating")), ["user_id", "other"])
+    asked = pairs.select(*PAIR).distinct()
+    at = asked.join(both, "item_id").join(ratings.select("user_id", F.col("item_id").alias("other"), F.col("rating").cast("double").alias("rating")), ["user_id", "other"])
     near = at.withColumn("r", F.row_number().over(Window.partitionBy(*PAIR).orderBy(F.desc("s"), "other"))).where(F.col("r") <= k)
+    products = item_products(ratings)
+    lists = near.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("r", "other", "rating"))).alias("near"))
+    # the item is place 0: its products with place r are b, those of two places A
+    places = F.concat(F.array(F.struct(F.lit(0).alias("r"), F.col("item_id").alias("other"), F.lit(0.0).alias("rating"))), "near")
+    pairs_of = F.flatten(F.transform(places, lambda a: F.transform(F.filter(places, lambda b: (b["r"] >= a["r"]) & (b["r"] > 0)), lambda b: F.struct(a["r"].alias("p"), b["r"].alias("q"), F.least(a["other"], b["other"]).alias("i"), F.greatest(a["other"], b["other"]).alias("j"), b["rating"].alias("rating")))))
+    wanted = lists.select(*PAIR, F.explode(pairs_of).alias("w")).select(*PAIR, "w.*").join(products.select("i", "j", "mean"), ["i", "j"], "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, r = pdf["s"].to_numpy(), pdf["rating"].to_numpy()
-        a = np.outer(np.sqrt(s), np.sqrt(s)) + ridge * np.eye(len(s))
-        w = np.linalg.solve(a, s)
-        total = w.sum()
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[:1], "item_id": pdf["item_id"].iloc[:1], "score": [float(w @ r / total) if abs(total) > 1e-9 else float(r.mean())]})
+        p, q, m = pdf["p"].to_numpy(), pdf["q"].to_numpy(), pdf["mean"].fillna(0.0).to_numpy()
+        n = int(q.max())
+        a, b, r = ridge * np.eye(n), np.zeros(n), np.zeros(n)
+        own = p == 0
+        b[q[own] - 1], r[q[own] - 1] = m[own], pdf["rating"].to_numpy()[own]
+        x, y, v = p[~own] - 1, q[~own] - 1, m[~own]
+        a[x, y] += v
+        a[y[x != y], x[x != y]] += v[x != y]
+        w = np.linalg.lstsq(a, b, rcond=None)[0]
+        return pd.DataFrame({"user_id": pdf["user_id"].iloc[:1], "item_id": pdf["item_id"].iloc[:1], "score": [float(w @ r)]})
 
-    return pairs.join(near.groupBy(*PAIR).applyInPandas(solve, "user_id long, item_id long, score double"), PAIR, "left")
+    return pairs.join(wanted.groupBy(*PAIR).applyInPandas(solve, "user_id long, item_id long, score double"), PAIR, "left")
 
 
 def mini_batches(u: np.ndarray, i: np.ndarray, r: np.ndarray, rank: int = 10, rate: float = 50.0, ridge: float = 0.01, keep: float = 0.8, epochs: int = 50, batches: int = 9, seed: int = 1):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..models import classifiers, registry
-from ..operators import features, metrics, sampling
+from ..models import classifiers, folded, ratings, registry
+from ..operators import features, metrics, recommend, sampling
 from ..sources.tables import Relations
 
 PAIR = ["user_id", "item_id"]
@@ -31,6 +31,54 @@ for _kind in registry.MATRIX:
     QUERIES[f"{_kind}_mf_fit"] = _matrix(_kind)
 
 
+def _hybrid(kind: str):
+    """The hybrid models over one-hot ids and friends' likes, all in tables: the loss of each of at most HYBRID_STEPS steps."""
+
+    def run(spark, root: str) -> DataFrame:
+        from .rounds import _design
+
+        t = Relations(spark, root)
+        users = t.users.select("user_id", F.array(F.col("gender").cast("double"), F.col("balance") / 10_000).alias("x"))
+        items = t.items.select("item_id", F.array(F.col("size") / 50.0, F.col("price") / 2000).alias("y"))
+        m = registry.make(registry.Config(kind=kind, k=5, ridge=1.0), users=users, items=items, design=_design(t)[0], steps=HYBRID_STEPS).fit(t.ratings)
+        return spark.createDataFrame([(i, float(x)) for i, x in enumerate(m.model.trace)], "step long, loss double")
+
+    return run
+
+
+HYBRID_STEPS = 6
+QUERIES["hybrid_mf_fit"] = _hybrid("hybrid")
+QUERIES["logistic_hybrid_mf_fit"] = _hybrid("logistic_hybrid")
+
+
+def _interpolated(spark, root: str) -> DataFrame:
+    """RMSE and MAE of interpolation weights on a tenth of each item's ratings."""
+    from .evaluation import _rated
+
+    held = sampling.rating_holdout(_rated(Relations(spark, root)))
+    train, test = held.where("test = 0").drop("test"), held.where("test = 1").drop("test")
+    scored = ratings.interpolation_weights(test, train, recommend.item_similarity(train), "bellkor")
+    return metrics.errors(scored.where("score is not null"))
+
+
+QUERIES["interpolation_errors"] = _interpolated
+COLUMNS = ["size", "gender", "friends"]
+
+
+def _features(t: Relations) -> DataFrame:
+    """The ratings with the columns of COLUMNS."""
+    return features.friend_likes(t.ratings.select(*PAIR, "label"), t.friends, t.likes).join(t.items.select("item_id", (F.col("size") / 50.0).alias("size")), "item_id").join(t.users.select("user_id", F.col("gender").cast("double").alias("gender")), "user_id").withColumn("friends", F.col("n_friends").cast("double"))
+
+
+def _ten_folds(t: Relations) -> DataFrame:
+    x = sampling.folds(_features(t), 10)
+    return folded.by_fold(folded.score(x, COLUMNS, folded.logistic(x, COLUMNS, 10)))
+
+
+QUERIES["lr_ten_folds"] = lambda spark, root: _ten_folds(Relations(spark, root))
+QUERIES["lr_ten_folds_summary"] = lambda spark, root: folded.summary(_ten_folds(Relations(spark, root)))
+
+
 def _held_out(make):
     def run(spark, root: str) -> DataFrame:
         t = Relations(spark, root)
