@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -285,7 +286,13 @@ def counted(docs: DataFrame, rule: Rule = Rule(), text_col: str = "text", lang_c
 
 
 def _phrases(shards: DataFrame, rule: Rule, filters: list) -> DataFrame:
-    """The last pass: phrases that passed, by themselves, from one suffix array a shard, and their sums."""
+    """The last pass: phrases that passed, by themselves, from one suffix array a shard, and their sums.
+
+    A shard hands on one row for each bucket of phrases, told apart by hash; a bucket's rows meet in one task, which adds them
+    up in columns. There are four buckets for each shuffle partition, so they stay small as both grow with the corpus; no
+    phrase makes one large, as it comes once from each shard.
+    """
+    buckets, least = 4 * common.partitions(shards.sparkSession), rule.least
 
     def run(batches):
         for batch in batches:
@@ -294,16 +301,31 @@ def _phrases(shards: DataFrame, rule: Rule, filters: list) -> DataFrame:
                 ok = _masked(codes, hashes[codes], filters, rule.words - 1)
                 last = ok[-1] & np.append(ok[-1][1:], False)
                 kept, where = _kept(codes, ok[0])
-                for n, (places, counts) in enumerate(intervals(kept, rule.words), 1):
+                at, spelled, counts = [], [], []
+                for n, (places, c) in enumerate(intervals(kept, rule.words), 1):
                     fine = (ok[n - 1] if n < rule.words else last)[where[places]]
-                    places, counts = places[fine], counts[fine]
-                    for i in range(0, len(places), 1 << 14):
-                        at = places[i : i + (1 << 14)]
-                        spelled = [b" ".join([words[c - 1] for c in row]) for row in kept[at[:, None] + np.arange(n)].tolist()]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(spelled, pa.binary()), pa.array(np.full(len(at), n, np.int32)), pa.array(counts[i : i + (1 << 14)].astype(np.int64))], names=["lang", "phrase", "n", "c"])
-
-    made = shards.mapInArrow(_few(run), "lang string, phrase binary, n int, c long")
-    return made.groupBy("lang", "phrase", "n").agg(F.sum("c").alias("f")).where(F.col("f") >= rule.least).select("lang", F.col("phrase").cast("string").alias("phrase"), "n", "f")
+                    places = places[fine]
+                    at.append((_grams(hashes[kept], places, n) % np.uint64(buckets)).astype(np.int64))
+                    counts.append(c[fine])
+                    spelled += [b" ".join([words[c - 1] for c in row]) for row in kept[places[:, None] + np.arange(n)].tolist()]
+                at, counts = np.concatenate(at), np.concatenate(counts)
+                order = np.argsort(at, kind="stable")
+                bucket, start = np.unique(at[order], return_index=True)
+                offsets = pa.array(np.append(start, len(at)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ([spelled[k] for k in order.tolist()], counts[order].astype(np.int64))] if len(bucket) else [pa.array([], pa.list_(pa.binary())), pa.array([], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array([lang] * len(bucket), pa.string()), *lists], names=["bucket", "lang", "phrases", "counts"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        lists = rows["phrases"].combine_chunks()
+        sizes = np.asarray(pa.compute.list_value_length(lists))
+        langs = rows["lang"].combine_chunks().take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        made = pa.table({"lang": langs, "phrase": lists.flatten(), "f": rows["counts"].combine_chunks().flatten()}).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        made = made.filter(pa.compute.greater_equal(made["f_sum"], least))
+        return made.select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
+
+    made = shards.mapInArrow(_few(run), "bucket int, lang string, phrases array<binary>, counts array<long>")
+    summed = made.groupBy("bucket").applyInArrow(merge, "lang string, phrase binary, f long").withColumn("phrase", F.col("phrase").cast("string"))
+    return summed.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n"), "f")
 
 
 # --- collocations
