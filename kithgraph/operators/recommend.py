@@ -42,10 +42,15 @@ def top_k(scored: DataFrame, caps: DataFrame | int) -> DataFrame:
     return scored.join(caps, "user_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("max_links")).drop("max_links")
 
 
-def interleaved(friend: DataFrame, other: DataFrame, seed: int = 1) -> DataFrame:
-    """Both lists in one hashed order by user: all rows of both, with place."""
+def interleaved(friend: DataFrame, other: DataFrame, seed: int = 1, stop: bool = False) -> DataFrame:
+    """Both lists in one hashed order by user, with place: all rows, or with `stop` as many as the user's longer list has."""
     both = friend.withColumn("friend", F.lit(1)).unionByName(other.withColumn("friend", F.lit(0)))
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(md5_bucket(seed, *PAIR), *PAIR)))
+    w = Window.partitionBy("user_id")
+    placed = both.withColumn("place", F.row_number().over(w.orderBy(md5_bucket(seed, *PAIR), *PAIR)))
+    if not stop:
+        return placed
+    n = placed.withColumn("__f", F.sum("friend").over(w)).withColumn("__n", F.count("*").over(w) - F.col("__f"))
+    return n.where(F.col("place") <= F.greatest("__f", "__n")).drop("__f", "__n")
 
 
 def friend_vote(pairs: DataFrame, weights: DataFrame, likes: DataFrame) -> DataFrame:

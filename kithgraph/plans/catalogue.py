@@ -476,12 +476,12 @@ def copreference_pairs(t):
 
 
 def queries():
-    from . import evaluation, fitted, more, rounds  # noqa: F401  all but fitted register their queries
+    from . import evaluation, fitted, more, reports, rounds  # noqa: F401  all but fitted register their queries
 
     return QUERIES | fitted.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import evaluation, more, rounds  # noqa: F401
+    from . import evaluation, more, reports, rounds  # noqa: F401
 
     return dict(ORACLES)

@@ -63,6 +63,13 @@ class Relations:
     def pages(self) -> DataFrame:
         return self.purchases.select("user_id", "item_id").join(self.items.select("item_id", "kind"), "item_id").select("user_id", F.col("kind").alias("group_id")).distinct()
 
+    @property
+    def interests(self) -> DataFrame:
+        """interest, user_id, group_id: what the items that a user bought have in common, by five attributes."""
+        at = self.purchases.select("user_id", "item_id", "poster").join(self.raw("part").select(F.col("p_partkey").alias("item_id"), "p_brand", "p_type", "p_size", "p_name"), "item_id")
+        held = F.array(*[F.struct(F.lit(i).alias("interest"), F.col(c).cast("string").alias("group_id")) for i, c in (("BRAND", "p_brand"), ("KIND", "p_type"), ("SIZE", "p_size"), ("NAME", "p_name"), ("POSTER", "poster"))])
+        return at.select("user_id", F.explode(held).alias("h")).select("h.interest", "user_id", "h.group_id").where("group_id is not null").distinct()
+
     @property
     def messages(self) -> DataFrame:
         return self.raw("conversations").select("conv_id", "turn", "role", "text")
@@ -79,9 +86,10 @@ SQL = {
     "ev": "ev AS (SELECT event_id, ts, user_id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, value FROM events)",
     "contacts": "contacts AS (SELECT f.target, e.user_id AS actor, e.kind, e.item_id FROM ev e JOIN (SELECT kind, item_id, arg_min(user_id, (ts, user_id)) AS target FROM ev GROUP BY 1, 2) f ON e.kind = f.kind AND e.item_id = f.item_id WHERE e.user_id <> f.target)",
     "grp": "grp AS (SELECT DISTINCT user_id, brand AS group_id FROM purchases JOIN items USING (item_id))",
+    "interests": "interests AS (SELECT DISTINCT interest, user_id, group_id FROM (SELECT user_id, UNNEST(['BRAND', 'KIND', 'SIZE', 'NAME', 'POSTER']) AS interest, UNNEST([p_brand, p_type, CAST(p_size AS VARCHAR), p_name, CAST(poster AS VARCHAR)]) AS group_id FROM purchases JOIN part ON item_id = p_partkey) x WHERE group_id IS NOT NULL)",
     "pg": "pg AS (SELECT DISTINCT user_id, items.kind AS group_id FROM purchases JOIN items USING (item_id))",
 }
-NEEDS = {"ratings": ["purchases"], "likes": ["purchases"], "friends": ["users"], "contacts": ["ev"], "grp": ["purchases", "items"], "pg": ["purchases", "items"]}
+NEEDS = {"ratings": ["purchases"], "likes": ["purchases"], "friends": ["users"], "contacts": ["ev"], "grp": ["purchases", "items"], "interests": ["purchases"], "pg": ["purchases", "items"]}
 
 
 def with_relations(sql: str, *names: str, recursive: bool = False) -> str:
