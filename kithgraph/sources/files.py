@@ -5,25 +5,77 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import quoted_split, unquoted
+#: A cell: in single or double quotes, where a backslash keeps the next character (\n and \r are line ends), or plain.
+#: Lines are matched after HIDDEN took the place of escaped backslashes and quotes, so the patterns need no loops of groups.
+QUOTED = r"""'[^']*'|"[^"]*\""""
+CELL = rf"\s*({QUOTED}|[^,]*?)\s*,"
+INDEXED = rf"\s*(\d+)\s+({QUOTED}|[^,]*?)\s*,"
+ESCAPED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+ATTRIBUTE = re.compile(rf"^@attribute\s+({ESCAPED}|\S+)\s+(.+)$", re.IGNORECASE)
+NOMINAL = rf"\s*({ESCAPED}|[^,]*?)\s*,"
+PLAIN = r"[\p{L}\p{N}_.+:/-]+"
+#: What stands for an escaped backslash and quotes within a task: noncharacters, which no text may interchange.
+HIDDEN = {"\\\\": "﷐", "\\'": "﷑", '\\"': "﷒"}
 
-ATTRIBUTE = re.compile(r"^@attribute\s+('[^']+'|\"[^\"]+\"|\S+)\s+(.+)$", re.IGNORECASE)
+
+def _hide(text: Column) -> Column:
+    clash = F.raise_error(F.concat(F.lit("a row has a noncharacter: "), text))
+    text = F.when(text.rlike("[﷐-﷒]"), clash).otherwise(text)
+    for pair, mark in HIDDEN.items():
+        text = F.replace(text, F.lit(pair), F.lit(mark))
+    return text
+
+
+def _opened(raw: str) -> str:
+    """A cell's value, as `_open` gives it."""
+    if len(raw) > 1 and raw[0] in "'\"" and raw[-1] == raw[0]:
+        return re.sub(r"\\(.)", lambda m: {"n": "\n", "r": "\r"}.get(m[1], m[1]), raw[1:-1], flags=re.DOTALL)
+    return raw
+
+
+def _closed(value: str) -> str:
+    """A value as a quoted cell."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r") + "'"
+
+
+def _open(raw: Column) -> Column:
+    """The value of a hidden cell: null for a plain `?` or nothing, else without its quotes and backslashes."""
+    inner, plain = F.substring(raw, F.lit(2), F.length(raw) - 2), raw
+    for was, now in (("\\n", "\n"), ("\\r", "\r"), ("\\", "")):
+        inner = F.replace(inner, F.lit(was), F.lit(now))
+    for pair, mark in HIDDEN.items():
+        inner, plain = F.replace(inner, F.lit(mark), F.lit(pair[1])), F.replace(plain, F.lit(mark), F.lit(pair))
+    return F.when(raw.rlike(f"^(?:{QUOTED})$"), inner).when(raw.isin("?", ""), None).otherwise(plain)
+
+
+def _close(value: Column) -> Column:
+    """A value as a cell: `?` for null, quoted where it holds more than letters, digits and _ . + : / -."""
+    text = F.replace(F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return F.when(value.isNull(), "?").when(value.rlike(f"^{PLAIN}$") & ~F.contains(value, F.lit("\n")), value).otherwise(F.concat(F.lit("'"), text, F.lit("'")))
+
+
+def _all(text: Column, pattern: str, *groups: int) -> list[Column]:
+    """The groups of all matches in text and a comma, which must leave nothing out."""
+    ended = F.concat(text, F.lit(","))
+    found = [F.regexp_extract_all(ended, F.lit(pattern), F.lit(i)) for i in (0, *groups)]
+    whole = F.aggregate(found[0], F.lit(0), lambda n, x: n + F.length(x)) == F.length(ended)
+    return [F.when(whole, x).otherwise(F.raise_error(F.concat(F.lit("not a row: "), text))) for x in found[1:]]
 
 
 def arff_schema(spark: SparkSession, path: str) -> list[tuple[str, str, list[str]]]:
-    """(name, type, nominal values) of each attribute, in order. The header ends at @data; an unknown type is an error."""
+    """(name, type, nominal values) of each attribute, in order. Names and values may be quoted; an unknown type is an error."""
     header = spark.read.text(path).select(F.trim("value").alias("value"), F.monotonically_increasing_id().alias("k")).where(F.lower("value").startswith("@attribute")).orderBy("k").collect()
     out = []
     for row in header:  # as many rows as there are columns
         m = ATTRIBUTE.match(row.value)
         if not m:
             raise ValueError(f"not an attribute line: {row.value!r}")
-        name, kind = m[1].strip("'\""), m[2].strip()
+        name, kind = _opened(m[1]), m[2].strip()
         if kind.startswith("{"):
-            out.append((name, "nominal", [v.strip().strip("'\"") for v in kind.strip("{}").split(",")]))
+            out.append((name, "nominal", [_opened(v) for v in re.findall(NOMINAL, kind[1:].removesuffix("}") + ",")]))
         elif kind.lower() in ("integer", "real", "numeric"):
             out.append((name, kind.lower(), []))
         else:
@@ -32,25 +84,31 @@ def arff_schema(spark: SparkSession, path: str) -> list[tuple[str, str, list[str
 
 
 def read_arff(spark: SparkSession, path: str, codes: bool = False) -> DataFrame:
-    """The rows of a dense or sparse file. Comments (%) and blank lines go; `?` and missing cells are null.
+    """The rows of a dense or sparse file. Comments (%) and blank lines go; plain `?` and missing cells are null.
 
     integer -> int, real and numeric -> double, nominal -> string, or with codes its place in the declaration. A sparse
-    row lists `index value` pairs; what it leaves out is 0, or the first nominal value. A dense row of another width fails.
+    row lists `index value` pairs; what it leaves out is 0, or the first nominal value. Cells may be quoted: commas,
+    braces and spaces in quotes belong to the value, and a quoted `?` or nothing is that text. A dense row of another
+    width, a sparse row that is not all pairs, and an index beyond the attributes fail.
     """
     schema = arff_schema(spark, path)
-    lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' and not startswith(v, '%') and not startswith(v, '@')")
+    n = len(schema)
+    row = (F.col("v") != "") & ~F.col("v").startswith("%") & ~F.col("v").startswith("@")
+    lines = spark.read.text(path).select(F.trim("value").alias("v")).where(row).select(_hide(F.col("v")).alias("v"))
     sparse = F.col("v").startswith("{")
-    pairs = F.transform(F.filter(F.split(F.regexp_replace("v", "[{}]", ""), ","), lambda p: F.trim(p) != ""), lambda p: F.split(F.trim(p), "\\s+", 2))
-    first = F.array(*[F.lit(v[0] if k == "nominal" else "0") for _, k, v in schema])
-    held = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).cast("int").alias("i"), F.get(p, F.lit(1)).alias("x"))))
-    from_sparse = F.transform(first, lambda x, i: F.coalesce(F.try_element_at(held, i), x))
-    dense = quoted_split(F.col("v"))
-    checked = F.when(F.size(dense) != len(schema), F.raise_error(F.concat(F.lit(f"a row has not {len(schema)} cells: "), F.col("v")))).otherwise(dense)
-    cells = lines.select(F.when(sparse, from_sparse).otherwise(checked).alias("c"))
+    inside = F.trim(F.regexp_replace("v", r"^\{|\}\s*$", ""))
+    places, values = _all(inside, INDEXED, 1, 2)
+    first = F.array(*[_hide(F.lit(_closed(v[0]))) if k == "nominal" else F.lit("0") for _, k, v in schema])
+    held = F.when(inside == "", F.create_map().cast("map<int,string>")).otherwise(F.map_from_arrays(F.transform(places, lambda p: p.cast("int")), values))
+    beyond = F.exists(F.map_keys(held), lambda i: i >= n)
+    from_sparse = F.when(beyond, F.raise_error(F.concat(F.lit(f"a row has an index beyond {n - 1}: "), F.col("v")))).otherwise(F.transform(first, lambda x, i: F.coalesce(F.try_element_at(held, i), x)))
+    dense = _all(F.col("v"), CELL, 1)[0]
+    checked = F.when(F.size(dense) != n, F.raise_error(F.concat(F.lit(f"a row has not {n} cells: "), F.col("v")))).otherwise(dense)
+    # other lines' cells are null: a caller's filter may be checked before the one on lines
+    cells = lines.select(F.when(row & sparse, from_sparse).when(row, checked).alias("c"))
     out = []
     for i, (name, kind, values) in enumerate(schema):
-        cell = unquoted(F.get("c", F.lit(i)))
-        cell = F.when(cell.isin("?", ""), None).otherwise(cell)
+        cell = _open(F.get("c", F.lit(i)))
         if kind == "nominal" and codes:
             cell = (F.array_position(F.array(*[F.lit(v) for v in values]), cell) - 1).cast("int")
         elif kind == "integer":
@@ -62,16 +120,22 @@ def read_arff(spark: SparkSession, path: str, codes: bool = False) -> DataFrame:
 
 
 def write_arff(df: DataFrame, path: str, relation: str, nominal: dict[str, list[str]] | None = None) -> None:
-    """Header lines, then the rows, as text in one folder; the header is in the first part. Numbers by type, others nominal."""
+    """Header lines, then the rows, as text in one folder; the header is in the first part. Numbers by type, others nominal.
+
+    nominal: the values of columns whose declaration shall not be gathered, numbers too. Names, values and cells are
+    quoted where they need it and null is `?`, so read_arff gives the same rows (of integers within 32 bits).
+    """
     nominal = nominal or {}
     kinds = {"int": "integer", "bigint": "integer", "smallint": "integer", "double": "real", "float": "real"}
-    head = [f"@relation {relation}"]
+    plain = lambda v: v if re.fullmatch(r"[\w.+:/-]+", v) else _closed(v)
+    head = [f"@relation {plain(relation)}"]
     for name, kind in df.dtypes:
-        values = nominal.get(name) or ([] if kind in kinds else sorted(str(r[0]) for r in df.select(name).distinct().limit(1001).collect() if r[0] is not None))
+        values = nominal.get(name) or ([] if kind in kinds else sorted(r[0] for r in df.select(F.col(f"`{name}`").cast("string")).distinct().limit(1001).collect() if r[0] is not None))
         if len(values) > 1000:
             raise ValueError(f"{name} has over 1000 values; it can't be nominal")
-        head.append(f"@attribute {name} " + (f"{{{','.join(values)}}}" if values else kinds[kind]))
-    lines = df.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in df.columns]).alias("value"))
+        numeric = not values and kind in kinds
+        head.append(f"@attribute {plain(name)} " + (kinds[kind] if numeric else f"{{{','.join(map(plain, values or ['?']))}}}"))
+    lines = df.select(F.concat_ws(",", *[_close(F.col(f"`{c}`").cast("string")) for c in df.columns]).alias("value"))
     top = df.sparkSession.createDataFrame([("\n".join([*head, "@data"]),)], "value string").coalesce(1)
     top.unionByName(lines).write.text(path)
 
@@ -95,11 +159,12 @@ def user_one_hot(people: DataFrame, occupations: list[str]) -> DataFrame:
 def item_flags(items: DataFrame, genres: list[str]) -> DataFrame:
     """item_id, y: a flag a genre. items: item_id, genres (split at pipes)."""
     held = F.split("genres", "\\|")
-    return items.select("item_id", F.array(*[F.array_contains(held, g).cast("double") for g in genres]).alias("y"))
+    return items.select("item_id", F.array(*[F.coalesce(F.array_contains(held, g), F.lit(False)).cast("double") for g in genres]).alias("y"))
 
 
 def item_sets(items: DataFrame) -> DataFrame:
-    return items.select("item_id", F.array_distinct(F.filter(F.split("genres", "\\|"), lambda g: g != "")).alias("genres"))
+    """item_id, genres (distinct, in order); null genres are none."""
+    return items.select("item_id", F.array_distinct(F.filter(F.split(F.coalesce("genres", F.lit("")), "\\|"), lambda g: g != "")).alias("genres"))
 
 
 def save_model(spark: SparkSession, path: str, model_type: str, users: DataFrame, items: DataFrame) -> None:
@@ -125,9 +190,10 @@ def refreshed(old: DataFrame, ids: DataFrame, column: str, vec: str, k: int, see
 
 
 def write_recommendations(friend: DataFrame, other: DataFrame, path: str, model_type: str, seed: int = 1) -> None:
+    """Append both lists interleaved, as many rows a user as the longer list has. friend, other: user_id, item_id, score."""
     from ..operators.recommend import interleaved
 
-    interleaved(friend, other, seed).select("user_id", "item_id", "score", F.lit(model_type).alias("type"), F.lit(0).alias("flag"), "place").write.mode("append").parquet(path)
+    interleaved(friend, other, seed, stop=True).select("user_id", "item_id", "score", F.lit(model_type).alias("type"), F.lit(0).alias("flag"), "place").write.mode("append").parquet(path)
 
 
 def write_dictionary(counts: DataFrame, path: str) -> None:
@@ -136,8 +202,9 @@ def write_dictionary(counts: DataFrame, path: str) -> None:
 
 
 def read_dictionary(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    parts = F.split("value", "<>")
-    d = spark.read.text(path).select(F.get(parts, F.lit(0)).alias("word"), F.get(parts, F.lit(1)).cast("long").alias("n"))
+    """word, n; the last <> of a line is the separator. With `most`, the most frequent words, ties by word."""
+    line = r"^(.*)<>(\d+)$"
+    d = spark.read.text(path).select(F.regexp_extract("value", line, 1).alias("word"), F.regexp_extract("value", line, 2).cast("long").alias("n"))
     return d.orderBy(F.desc("n"), "word").limit(most) if most else d
 
 
