@@ -1,4 +1,8 @@
-"""Recommenders and classifiers by name. A recommender has fit(samples), score(pairs) and top_k(pairs, caps)."""
+"""Recommenders and classifiers by name, and runs of them by mode.
+
+All have fit(samples), score(pairs) and evaluate(test); recommenders also recommend, recommend_for_user and, where they have
+trait vectors, save.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +12,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import recommend
+from ..operators import experiment, metrics, recommend
+from ..sources import files
 from . import classifiers, factors, tables
 
 
+PAIR = ["user_id", "item_id"]
+
+
 @dataclass
 class Config:
-    """What a run is given: the model, training and test modes, and whether to recommend or to test."""
+    """What a run is given: the model, training and test modes (see operators.experiment), and whether to `test` or to `recommend`."""
 
     kind: str = "feature"
     training: str = "UNION"
-    test: str = "ACTIVE"
+    test: str = "APP_USER_ACTIVE_ALL"
     deployment: str = "test"
     k: int = 5
     ridge: float = 100.0
@@ -35,6 +43,29 @@ class Recommender(ABC):
     def top_k(self, pairs: DataFrame, caps) -> DataFrame:
         return recommend.top_k(self.score(pairs), caps)
 
+    def recommend(self, candidates: DataFrame, caps, seen: DataFrame | None = None) -> DataFrame:
+        """user_id, item_id, score, rank of each user's best candidates, without pairs of `seen`. caps as in recommend.top_k."""
+        pairs = candidates.select(*PAIR).distinct()
+        if seen is not None:
+            pairs = pairs.join(seen.select(*PAIR), PAIR, "left_anti")
+        return self.top_k(pairs, caps).select(*PAIR, "score", "rank")
+
+    def recommend_for_user(self, user_id: int, candidates: DataFrame, n: int, seen: DataFrame | None = None) -> DataFrame:
+        """recommend() for one user: the filter comes first, so only their candidates are scored."""
+        return self.recommend(candidates.where(F.col("user_id") == user_id), n, seen)
+
+    def evaluate(self, test: DataFrame, threshold: float = 0.5) -> DataFrame:
+        return metrics.evaluated(self.score(test), threshold)
+
+    def vectors(self) -> tuple[DataFrame, DataFrame]:
+        """user_id, s and item_id, t of models that have them."""
+        raise NotImplementedError(f"{type(self).__name__} has no trait vectors to save")
+
+    def save(self, path: str, model_type: str) -> None:
+        """The trait vectors under a model type; other types at the path stay."""
+        users, items = self.vectors()
+        files.save_model(users.sparkSession, path, model_type, users, items)
+
 
 class Matrix(Recommender):
     """kind: feature, social, spectral, copreference, spectral_copreference or logistic."""
@@ -62,6 +93,9 @@ class Matrix(Recommender):
     def score(self, pairs: DataFrame) -> DataFrame:
         return self.model.score(pairs)
 
+    def vectors(self) -> tuple[DataFrame, DataFrame]:
+        return self.model.tables(self.users.sparkSession)
+
 
 class Tables(Recommender):
     """The kinds of Matrix and both hybrids with all parameters in tables; design: sparse features of the hybrids' pairs (see tables)."""
@@ -79,7 +113,54 @@ class Tables(Recommender):
     def weights(self) -> DataFrame:
         return self.model.weights()
 
+    def vectors(self) -> tuple[DataFrame, DataFrame]:
+        if self.model.problem.hybrid:
+            raise NotImplementedError("the vectors of a hybrid lack its weights")
+        side = lambda kind, name, key: self.model.problem.traits(self.model.p, kind, name).select(F.col("id").alias(key), F.array(*[F.col(f"{name}{j}") for j in range(self.model.problem.k)]).alias(name))
+        return side("u", "s", "user_id"), side("i", "t", "item_id")
+
+
+class Popular(Recommender):
+    """score: how many training rows like the item; 0 for unknown items."""
+
+    def fit(self, samples: DataFrame) -> Popular:
+        self.counts = samples.where("label = 1").groupBy("item_id").agg(F.count("*").cast("double").alias("score"))
+        return self
+
+    def score(self, pairs: DataFrame) -> DataFrame:
+        return pairs.join(self.counts, "item_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+class Neighbours(Recommender):
+    """score: inverse distances of the k nearest likers of the item. vectors: user_id, v."""
+
+    def __init__(self, vectors: DataFrame, k: int = 5):
+        self.people, self.k = vectors, k
+
+    def fit(self, samples: DataFrame) -> Neighbours:
+        self.likes = samples.where("label = 1").select(*PAIR).distinct()
+        return self
+
+    def score(self, pairs: DataFrame) -> DataFrame:
+        return recommend.knn_likers(pairs, self.likes, self.people, self.k)
+
+
+class FriendVote(Recommender):
+    """score: the weight of the friends who like the item over that of all. weights: ego, alter, weight; without a weight all count 1."""
+
+    def __init__(self, weights: DataFrame):
+        self.weights = weights if "weight" in weights.columns else weights.select("ego", "alter").distinct().withColumn("weight", F.lit(1.0))
+
+    def fit(self, samples: DataFrame) -> FriendVote:
+        self.likes = samples.where("label = 1").select(*PAIR).distinct()
+        return self
+
+    def score(self, pairs: DataFrame) -> DataFrame:
+        return recommend.friend_vote(pairs, self.weights, self.likes)
+
 
+#: Recommenders without parameters to fit; fuw takes unweighted friends, fiw weights by interactions.
+SIMPLE = {"global": Popular, "knn": Neighbours, "fuw": FriendVote, "fiw": FriendVote}
 MATRIX = ("feature", "social", "spectral", "copreference", "spectral_copreference", "logistic")
 CLASSIFIERS = {c.name: c for c in (classifiers.LogisticModel, classifiers.LinearMachine, classifiers.BernoulliBayes, classifiers.SquaredHinge, classifiers.Constant, classifiers.FriendLiked)}
 
@@ -90,6 +171,25 @@ def make(config: Config, **parts):
         return Matrix(kind=config.kind, k=config.k, ridge=config.ridge, social=config.social, **parts)
     if config.kind.removesuffix("_tables") in tables.KINDS:
         return Tables(kind=config.kind.removesuffix("_tables"), k=config.k, ridge=config.ridge, social=config.social, **parts)
+    if config.kind in SIMPLE:
+        return SIMPLE[config.kind](**parts)
     if config.kind in CLASSIFIERS:
         return CLASSIFIERS[config.kind](**parts)
-    raise ValueError(f"unknown model {config.kind!r}; known: {', '.join([*MATRIX, 'hybrid', 'logistic_hybrid', *[f'{k}_tables' for k in MATRIX], *CLASSIFIERS])}")
+    raise ValueError(f"unknown model {config.kind!r}; known: {', '.join([*MATRIX, 'hybrid', 'logistic_hybrid', *[f'{k}_tables' for k in MATRIX], *SIMPLE, *CLASSIFIERS])}")
+
+
+def run(config: Config, model, active: DataFrame, passive: DataFrame, friends: DataFrame, app_users: DataFrame, candidates: DataFrame | None = None, caps=10, threshold: float = 0.5) -> DataFrame:
+    """What a config asks for: with deployment `test` the model's evaluate() on its test mode's rows, with `recommend` its lists.
+
+    The tables are those of experiment.sets. Both train on the training mode's rows; `recommend` leaves none out for a test
+    and ranks `candidates`, without pairs that were rated. Unknown modes or deployments are errors.
+    """
+    if config.deployment not in ("test", "recommend"):
+        raise ValueError(f"unknown deployment {config.deployment!r}")
+    if config.deployment == "test":
+        made = experiment.sets(active, passive, friends, app_users, (config.training,), (config.test,))
+        rows = lambda role: made.where(F.col("role") == role).select(*PAIR, "label")
+        return model.fit(rows("train")).evaluate(rows("test"), threshold)
+    if candidates is None:
+        raise ValueError("recommend needs candidates")
+    return model.fit(experiment.whole(active, passive, config.training)).recommend(candidates, caps, active)

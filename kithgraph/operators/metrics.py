@@ -131,6 +131,13 @@ def map_summary(ap: DataFrame) -> DataFrame:
     return ap.agg(F.count("*").alias("n_users"), F.avg("ap").alias("map"), F.stddev_pop("ap").alias("sd"), (F.stddev_pop("ap") / F.sqrt(F.count("*"))).alias("se"))
 
 
+def evaluated(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row: tp, fp, tn, fn and their rates at the threshold, and the mean average precision over users with a liked row (0 without any)."""
+    ap = map_summary(average_precision(scored)).select(F.coalesce("map", F.lit(0.0)).alias("map"))
+    counts = confusion(scored, threshold).select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "tn", "fn")])
+    return rates(counts).crossJoin(F.broadcast(ap))  # one row each
+
+
 def precision_recall_at(df: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
     top = df.withColumn("rank", F.row_number().over(w)).groupBy("user_id").agg(F.sum(F.when(F.col("rank") <= n, F.col("label")).otherwise(0)).alias("hits"), F.sum("label").alias("pos"), F.sum((F.col("rank") <= n).cast("int")).alias("shown"))

@@ -46,7 +46,18 @@ def _hybrid(kind: str):
     return run
 
 
+def _set_features(spark, root: str) -> DataFrame:
+    """Factorisation with sets of tags as side features, in tables: the loss of each of at most HYBRID_STEPS steps."""
+    from .reports import set_sides
+
+    t = Relations(spark, root)
+    users, items = set_sides(t)
+    m = registry.make(registry.Config(kind="feature_tables", k=5, ridge=1.0), users=users, items=items, steps=HYBRID_STEPS).fit(t.ratings)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(m.model.trace)], "step long, loss double")
+
+
 HYBRID_STEPS = 6
+QUERIES["set_mf_fit"] = _set_features
 QUERIES["hybrid_mf_fit"] = _hybrid("hybrid")
 QUERIES["logistic_hybrid_mf_fit"] = _hybrid("logistic_hybrid")
 

@@ -1,7 +1,5 @@
 """Each file source and sink: round trips, quoting, nulls, empty tables and refused rows."""
 
-import sys
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +83,14 @@ def test_recommendation_sink(spark, tmp_path):
     got = spark.read.parquet(path)
     assert got.where("type = 'a' and user_id = 1").count() == 3 and got.where("type = 'a' and user_id = 2").count() == 1 and got.where("type = 'b'").count() == 2
     assert sorted(r.place for r in got.where("type = 'a' and user_id = 1").collect()) == [1, 2, 3] and got.select("flag").distinct().first()[0] == 0
+
+
+def test_database_table(spark):
+    url = "jdbc:derby:memory:kithgraph;create=true"
+    rows = spark.range(1_000).select(F.col("id").alias("user_id"), (F.col("id") % 7).alias("item_id"))
+    rows.write.format("jdbc").option("url", url).option("dbtable", "likes").mode("overwrite").save()
+    whole = files.read_jdbc(spark, url, "likes")
+    split = files.read_jdbc(spark, url, "likes", "user_id", 0, 1_000, 4)
+    assert split.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect())) == sorted(map(tuple, rows.collect()))
+    assert files.read_jdbc(spark, url, "likes", "user_id", 0, 1_000, 4, fetchsize=10).where("user_id < 5").count() == 5

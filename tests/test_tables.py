@@ -124,3 +124,47 @@ def test_design_rows(spark, data):
     own = [x for x in got if x[2] == "friend"]
     assert len([x for x in got if x[2].startswith("user ")]) == len([x for x in got if x[2].startswith("item ")]) == n
     assert own == ([(0, 1, "friend", 1.0)] if any((u, i) == (0, 1) for u, i, _ in data["rows"][0]) else []) and "zero" not in [x[2] for x in got]
+
+
+def test_set_features(spark, data):
+    """Tags are features of value 1: the loss and every gradient equal those of one-hot arrays and of finite differences."""
+    names = ["a", "b", "c, d", "é"]
+    tags = lambda i: [n for j, n in enumerate(names) if (i >> j) & 1]
+    users = [(r.user_id, tags(n)) for n, r in enumerate(data["users"].orderBy("user_id").collect())]
+    items = [(r.item_id, tags(n + 3)) for n, r in enumerate(data["items"].orderBy("item_id").collect())]
+    sets = lambda rows, key, x: spark.createDataFrame([(i, None if n == 2 else [*t, *t, None]) for n, (i, t) in enumerate(rows)], f"{key} long, {x} array<string>").withColumn("tag", F.lit("x"))
+    flat_x = lambda rows, key, x: spark.createDataFrame([(i, [float(n != 2 and v in t) for v in names]) for n, (i, t) in enumerate(rows)], f"{key} long, {x} array<double>")
+    one = tables.Problem(data["samples"], sets(users, "user_id", "x"), sets(items, "item_id", "y"), "feature", k=K, ridge=0.7)
+    two = tables.Problem(data["samples"], flat_x(users, "user_id", "x"), flat_x(items, "item_id", "y"), "feature", k=K, ridge=0.7)
+    number = {r.n: r.h for r in spark.createDataFrame([(v,) for v in names], "n string").select("n", F.xxhash64("n").alias("h")).collect()}
+    place = {number[v]: j for j, v in enumerate(names)}
+    p = one.start(3).withColumn("p", F.transform("p", lambda x: x * 4)).cache()
+    loss, got = one.evaluate(p)
+    key = lambda r: (r.kind, place[r.id] if r.kind in "UV" else r.id)
+    first = {key(r): (r.p, r.g) for r in got.collect()}
+    other, held = two.evaluate(spark.createDataFrame([(*k, v[0]) for k, v in first.items()], "kind string, id long, p array<double>"))
+    assert other == pytest.approx(loss, rel=1e-12)
+    for r in held.collect():
+        assert r.g == pytest.approx(first[r.kind, r.id][1], abs=1e-9)
+    moved = lambda e: one.evaluate(p.withColumn("p", F.when((F.col("kind") == "V") & (F.col("id") == number["a"]), F.transform("p", lambda x, i: x + F.when(i == 1, e).otherwise(0.0))).otherwise(F.col("p"))))[0]
+    assert (moved(1e-5) - moved(-1e-5)) / 2e-5 == pytest.approx(first["V", 0][1][1], abs=1e-6)
+
+
+def test_set_fit(spark):
+    """Likes that only tags explain: users of one tag like items of another; unseen pairs are ranked by it."""
+    users = spark.createDataFrame([(u, ["even" if u % 2 == 0 else "odd", f"x{u % 3}"]) for u in range(20)], "user_id long, x array<string>")
+    items = spark.createDataFrame([(i, ["war"] if i % 2 == 0 else ["drama", "war"]) for i in range(20)], "item_id long, y array<string>")
+    items = tables.first_tags(items, "item_id", "y", ["drama", "war"])
+    assert {r.item_id: r.y for r in items.collect()} == {i: ["war"] if i % 2 == 0 else ["drama"] for i in range(20)}
+    pairs = spark.range(20).select(F.col("id").alias("user_id")).crossJoin(spark.range(20).select(F.col("id").alias("item_id"))).withColumn("label", ((F.col("user_id") + F.col("item_id")) % 2 == 0).cast("double"))
+    hidden = F.pmod(F.col("user_id") * 7 + F.col("item_id") * 3, F.lit(5)) == 0
+    m = registry.Tables(users, items, "feature", k=2, ridge=0.05, steps=12).fit(pairs.where(~hidden))
+    assert m.model.trace[-1] < 0.3 * m.model.trace[0]
+    scored = m.score(pairs.where(hidden)).collect()
+    assert min(r.score for r in scored if r.label == 1) > max(r.score for r in scored if r.label == 0)
+
+
+def test_first_tags(spark):
+    rows = [(1, ["z", "M", "b", "a"]), (2, None), (3, []), (4, ["q"]), (5, ["b", None, "b"])]
+    got = {r.user_id: r.x for r in tables.first_tags(spark.createDataFrame(rows, "user_id long, x array<string>"), "user_id", "x", ["a", "b"], ["M"]).collect()}
+    assert got == {1: ["M", "a"], 2: [], 3: [], 4: [], 5: ["b"]}
