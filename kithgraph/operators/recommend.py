@@ -140,14 +140,21 @@ def foreign(posts: DataFrame, column: str, own) -> DataFrame:
     return posts.where(F.col(column) != own)
 
 
-def connected(traits: DataFrame, least: float, spectral: bool = False, blocks: int = 16) -> DataFrame:
+#: Users of a block when all pairs are made.
+BLOCK = 1024
+
+
+def connected(traits: DataFrame, least: float, spectral: bool = False, blocks: int | None = None) -> DataFrame:
     """u1 < u2, connection of all pairs of users whose predicted connection is `least` or more (spectral: at most). traits: user_id, traits.
 
-    Users are dealt to blocks; every two blocks meet in one key, so a pair is made in one place and only kept if it is near.
+    Users are dealt to blocks, as many as keep a block near BLOCK users unless given. Every two blocks meet in one key, the
+    first's users on one side and the second's on the other, so each pair is made once and only kept if it is near.
     """
-    own = F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int")
-    dealt = traits.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "user_id", "traits")
-    one, two = (dealt.select("x", "y", F.col("own").alias(f"o{i}"), F.col("user_id").alias(f"u{i}"), F.col("traits").alias(f"t{i}")) for i in (1, 2))
-    met = one.join(two, ["x", "y"]).where("u1 < u2 and (x = y or o1 <> o2)")
-    value = connection(F.col("t1"), F.col("t2"), spectral)
-    return met.select("u1", "u2", value.alias("connection")).where(F.col("connection") <= least if spectral else F.col("connection") >= least)
+    if blocks is None:
+        blocks = max(1, -(-traits.count() // BLOCK))
+    dealt = traits.select("user_id", "traits", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int").alias("own"))
+    one = dealt.select(F.col("own").alias("x"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("y"), F.col("user_id").alias("a"), F.col("traits").alias("ta"))
+    two = dealt.select(F.col("own").alias("y"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("user_id").alias("b"), F.col("traits").alias("tb"))
+    met = one.join(two, ["x", "y"]).where("x <> y or a < b")
+    value = connection(F.col("ta"), F.col("tb"), spectral)
+    return met.select(F.least("a", "b").alias("u1"), F.greatest("a", "b").alias("u2"), value.alias("connection")).where(F.col("connection") <= least if spectral else F.col("connection") >= least)
