@@ -35,10 +35,20 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+#: Fixed values, written apart from those of the operator: kind, base or not, characters that the group must have, group, pattern.
+SECRET_RULES = (
+    ("assign", True, 6, 2, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    ("access", True, 20, 0, "AKIA[A-Z0-9]+"),
+    ("hex", True, 24, 0, "[0-9a-f]+"),
+    ("pem", False, 20, 0, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("jwt", False, 30, 0, "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+"),
+)
+
+
 def _secrets_sql() -> str:
     """Each rule's matches by the pieces between them, whose lengths add up to places."""
     of_rule = "SELECT r, {rank} AS rank, '{kind}' AS kind, {base} AS base, {least} AS least, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', {group}) AS told FROM d"
-    rules = [of_rule.format(rank=i, kind=r.kind, base=str(r in secrets.BASE).lower(), least=r.least, pattern=r.pattern.replace("'", "''"), group=r.group) for i, r in enumerate(secrets.RULES)]
+    rules = [of_rule.format(rank=i, kind=kind, base=str(base).lower(), least=least, pattern=pattern.replace("'", "''"), group=group) for i, (kind, base, least, group, pattern) in enumerate(SECRET_RULES)]
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(rules)}),

@@ -41,6 +41,8 @@ MORE = (
 RULES = BASE + MORE
 #: Matches of a text that are walked at a time.
 STRIDE = 512
+#: Tasks that the paths of one blob are dealt to.
+SALTS = 16
 FOUND = "array<struct<kind:string,version:int,start:int,stop:int>>"
 
 
@@ -93,9 +95,9 @@ def ledger(spark: SparkSession, path: str) -> DataFrame | None:
 def scan(versions: DataFrame, path: str, content: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what the ledger at `path` lacks and append it. Returns the ledger's findings: blob, found (only blobs with any, for these rules).
 
-    Copies are merged before the shuffle, so a blob with very many paths moves once for each task that reads it. With a
-    ledger present, hashes alone say which blobs lack a rule, and only those blobs' contents are scanned. A pair that two
-    scans appended at once counts once.
+    Copies are merged before the shuffle, with a ledger and without, so a blob with very many paths moves once for each task
+    that reads it. With a ledger present, hashes alone say which blobs lack a rule, and only those blobs' contents are
+    scanned. A pair that two scans appended at once counts once.
     """
     spark = versions.sparkSession
     keys = F.array(*[F.lit(r.key) for r in rules])
@@ -107,7 +109,8 @@ def scan(versions: DataFrame, path: str, content: str = "text", rules: tuple[Rul
     else:
         known = old.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
         new = all_blobs.select("blob").distinct().join(known, "blob", "left").select("blob", F.array_except(keys, F.coalesce("known", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
-        pending = all_blobs.join(new, "blob").groupBy("blob").agg(F.first("content").alias("content"), F.first("rules").alias("rules"))
+        # copies are merged first: the join then meets one row a blob, at the place where the aggregate left it
+        pending = all_blobs.groupBy("blob").agg(F.first("content").alias("content")).join(new, "blob")
     none = F.array().cast(FOUND)
     found = F.concat(*[F.when(F.array_contains("rules", r.key), spans(F.col("content"), r)).otherwise(none) for r in rules])
     pending.select("blob", "rules", found.alias("found")).write.mode("append").parquet(path)
@@ -125,8 +128,12 @@ def findings(versions: DataFrame, path: str, content: str = "text", rules: tuple
     got = scan(versions, path, content, rules)
     order = F.lit(",".join(r.kind for r in rules))
     by_start = F.transform(F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.instr(F.concat(F.lit(","), order, F.lit(",")), F.concat(F.lit(","), x["kind"], F.lit(","))).alias("rank"), x["stop"].alias("stop"), x["kind"].alias("kind"), x["version"].alias("version")))), lambda x: F.struct(x["kind"].alias("kind"), x["version"].alias("version"), x["start"].alias("start"), x["stop"].alias("stop")))
-    got = got.select(F.col("blob").alias("__kithgraph_blob"), by_start.alias("__kithgraph_found"))
-    return versions.drop("found").withColumn("__kithgraph_blob", blob(F.col(content))).join(got, "__kithgraph_blob", "left").withColumn("found", F.coalesce("__kithgraph_found", F.array().cast(FOUND))).drop("__kithgraph_blob", "__kithgraph_found")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__kithgraph_salt")
+    got = got.select(F.col("blob").alias("__kithgraph_blob"), by_start.alias("__kithgraph_found"), salts)
+    # a blob's paths are dealt by the task that reads them, which a repeated task does alike
+    marked = versions.drop("found").withColumn("__kithgraph_blob", blob(F.col(content))).withColumn("__kithgraph_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    joined = marked.join(got, ["__kithgraph_blob", "__kithgraph_salt"], "left")
+    return joined.withColumn("found", F.coalesce("__kithgraph_found", F.array().cast(FOUND))).drop("__kithgraph_blob", "__kithgraph_salt", "__kithgraph_found")
 
 
 def redact(text: Column, found: Column) -> Column:

@@ -606,3 +606,36 @@ def test_links(spark):
     for i, want in {0: [], 10: [], 3: [0, 10], 13: [0, 10], 4: [], 14: [10], 5: []}.items():
         assert sorted(x.query for x in got[i].links) == want and got[i].n_queries == len(want)
         assert got[i].best_query == (min(got[i].links, key=lambda x: (x.bit_error, x.query)).query if want else None)
+
+
+def test_one_id_with_two_recordings(spark, monkeypatch):
+    """Classes are told apart by their prints, not by an id that several of them may share; so it is with one block a query."""
+    a, b = bytearray(_tone(21, 6400)), bytearray(_tone(22, 6400))
+    rows = spark.createDataFrame([(5, a), (5, b), (7, a), (9, b), (10, a), (10, b)], "doc_id long, pcm binary")
+    for size in (chroma.BLOCK_BYTES, 64):
+        monkeypatch.setattr(chroma, "BLOCK_BYTES", size)
+        got = sorted((r.doc_id, r.class_id, r.n_queries, r.best_query, r.bit_error) for r in chroma.search(rows, F.col("doc_id").isin(7, 9), "doc_id", "pcm").collect())
+        assert got == [(5, 5, 1, 7, 0.0), (5, 5, 1, 9, 0.0), (7, 5, 0, None, None), (9, 5, 0, None, None), (10, 5, 1, 7, 0.0), (10, 5, 1, 9, 0.0)]
+
+
+def test_hot_blob(spark, tmp_path):
+    """One blob of a million copies: merged before texts are exchanged or joined, and its paths dealt to many tasks."""
+    path = "file://" + str(tmp_path / "ledger")
+    secrets.scan(spark.createDataFrame([("token=firstone",)], "text string"), path)
+    docs = spark.range(0, 1_000_000, 1, 32).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 0, F.concat(F.lit("secret=number"), "id")).otherwise("password=abcdef123").alias("text"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = secrets.findings(docs, path)
+        most = out.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert most < 600_000 and out.count() == 1_000_000 and out.where("size(found) = 1").count() == 1_000_000
+    assert spark.read.parquet(path).count() == 1002
+
+
+def test_decode_unknown(spark):
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256}
+    got = bpe.decode(spark.createDataFrame([([97, 256, 98],), ([],), (None,), ([97, 300],)], "ids array<int>"), ranks).collect()
+    assert [None if r.decoded is None else bytes(r.decoded) for r in got] == [b"aabb", b"", None, None]
