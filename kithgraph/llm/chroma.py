@@ -223,7 +223,8 @@ LINKS = "array<struct<query: bigint, offset: bigint, votes: bigint, bit_error: d
 def search(recordings: DataFrame, is_query, id_col: str, pcm_col: str) -> DataFrame:
     """One row for each recording: doc_id, class_id, n_prints, n_queries, best_query, best_offset, votes, bit_error, links.
 
-    Recordings with equal fingerprints are one class (class_id: its least id) and are aligned once. n_queries counts the
+    Recordings with equal fingerprints are one class (class_id: its least id) and are aligned once; an id may hold several
+    recordings, each in a class of its own, and asks with each of them. n_queries counts the
     query classes aligned with the recording, its own copies' query included, itself not; best_query is the one of least
     bit error (ties: least id), null if none. links are all of them: (query, offset, votes, bit_error), the best first. Null and empty recordings have no prints and align with nothing. Queries go
     to the tasks in blocks of at most BLOCK_BYTES; every recording meets every block.
@@ -241,34 +242,37 @@ def search(recordings: DataFrame, is_query, id_col: str, pcm_col: str) -> DataFr
     rows = recordings.select(F.col(id_col).cast("long").alias("doc_id"), F.col(pcm_col).cast("binary").alias("pcm"), is_query.alias("q"))
     made = common.kept(rows.mapInArrow(common.lean(prints), "doc_id long, q boolean, n_prints int, k1 long, k2 long, prints binary"), "chroma")
     classes = made.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.min(F.when(F.col("q"), F.col("doc_id"))).alias("query_id"))
-    held = common.kept(made.select("doc_id", "prints").join(classes, F.col("doc_id") == F.col("class_id")).select("class_id", "query_id", "k1", "k2", "prints").dropDuplicates(["class_id"]), "chroma-classes")
+    held = common.kept(made.select("doc_id", F.col("k1").alias("p1"), F.col("k2").alias("p2"), "prints").join(classes, (F.col("doc_id") == F.col("class_id")) & (F.col("p1") == F.col("k1")) & (F.col("p2") == F.col("k2"))).select("class_id", "query_id", "k1", "k2", "prints").dropDuplicates(["k1", "k2"]), "chroma-classes")
     asked = held.where("query_id is not null")
     total = asked.agg(F.sum(F.length("prints"))).first()[0] or 0
     n_blocks = max(1, -(-2 * total // BLOCK_BYTES)) if total > BLOCK_BYTES else 1
     blocks = []
     for b in range(n_blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).orderBy("query_id").select("query_id", "prints").collect()
-        blocks.append(spark.sparkContext.broadcast(([r[0] for r in part], [bytes(r[1]) for r in part])))
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).orderBy("query_id", "k1", "k2").select("query_id", "prints", "k1", "k2").collect()
+        blocks.append(spark.sparkContext.broadcast(([r[0] for r in part], [bytes(r[1]) for r in part], [(r[2], r[3]) for r in part])))
 
     link = pa.list_(pa.struct([("query", pa.int64()), ("offset", pa.int64()), ("votes", pa.int64()), ("bit_error", pa.float64())]))
 
     def align(batches):
         made_of: dict = {}
-        for batch in batches:
-            out: list[list] = []
-            for own, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                p, found = np.frombuffer(raw, np.uint32), []
-                for b, block in enumerate(blocks):
-                    if b not in made_of:
-                        if len(made_of) >= 4:
-                            made_of.clear()
-                        made_of[b] = Queries(*block.value)
-                    found += [(e, made_of[b].ids[q], o, n) for q, o, n, e in made_of[b].align(p) if made_of[b].ids[q] != own]
-                out.append([{"query": q, "offset": o, "votes": n, "bit_error": e} for e, q, o, n in sorted(found)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, link)], ["class_id", "found"])
-
-    found = held.select("class_id", "query_id", "prints").repartition(common.partitions(spark)).mapInArrow(common.lean(align), f"class_id long, found {LINKS}")
-    known = held.select("class_id", "query_id", "k1", "k2").join(found, "class_id")
+        for batch in common.slices(batches, "prints", BLOCK_BYTES):
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            prints = [np.frombuffer(raw, np.uint32) for raw in batch.column(2).to_pylist()]
+            found: list[list] = [[] for _ in prints]
+            # all recordings of a slice meet one block before the next is made
+            for b, block in enumerate(blocks):
+                ids, raw, classes_of = block.value
+                if b not in made_of:
+                    if len(made_of) >= 4:
+                        made_of.clear()
+                    made_of[b] = Queries(ids, raw)
+                for own, p, out in zip(keys, prints, found, strict=True):
+                    out += [(e, ids[q], o, n) for q, o, n, e in made_of[b].align(p) if classes_of[q] != own]
+            links = [[{"query": q, "offset": o, "votes": n, "bit_error": e} for e, q, o, n in sorted(out)] for out in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(links, link)], ["k1", "k2", "found"])
+
+    found = held.select("k1", "k2", "prints").repartition(common.partitions(spark)).mapInArrow(common.lean(align), f"k1 long, k2 long, found {LINKS}")
+    known = held.select("class_id", "query_id", "k1", "k2").join(found, ["k1", "k2"])
     copy = F.col("query_id").isNotNull() & (F.col("query_id") != F.col("doc_id"))
     own = F.struct(F.col("query_id").alias("query"), F.lit(0).cast("long").alias("offset"), F.col("n_prints").cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
     links = F.coalesce("found", F.array().cast(LINKS))
