@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from . import common
 
 LONG = 256
-BITS = 15
-BUCKETS = 1 << BITS
+BUCKETS = 1 << 16
+EDGE = BUCKETS - 1
 NEVER = 2**31 - 1
-SPREAD = 50021
+SPREAD = 17253
 #: Text bytes, and distinct words, of one slice of texts.
 SLICE_BYTES, SLICE_WORDS = 12 << 20, 200_000
 
@@ -48,42 +48,57 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 def rank_literal(pairs: dict[tuple[int, int], int]) -> Column:
-    """The rank map as a literal: an array of buckets, each key followed by its rank.
+    """The rank map as a literal: an array of buckets; a bucket holds NEVER and then each key followed by its rank.
 
-    A bucket and the left id leave one right id of each BUCKETS, so a key is the left id and the right one's high bit; keys
-    are negative, which keeps them apart from ranks. Ids must be below 2 * BUCKETS.
+    A bucket and the left id leave one right id, so the left id is the key; keys are negative, which keeps them apart from
+    ranks. Ids must be below EDGE.
     """
-    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
+    buckets: list[list[int]] = [[NEVER] for _ in range(BUCKETS)]
     for (a, b), rank in pairs.items():
-        if max(a, b) >= 2 * BUCKETS:
-            raise ValueError("the rank literal holds ids below 65,536")
-        buckets[(a * SPREAD + b) % BUCKETS] += [-1 - 2 * a - (b >> BITS), rank]
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
+        if max(a, b, rank) >= EDGE:
+            raise ValueError(f"the rank literal holds ids below {EDGE}")
+        buckets[(a * SPREAD + b) % BUCKETS] += [-1 - a, rank]
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<int>>")
 
 
 def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value) with value computed once: an aggregate over nothing hands it on without a copy."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda s, _: s, body)
+
+
+def _chain(*arrays: Column) -> Column:
+    """The arrays one behind the other; flatten copies whole arrays, where concat walks a lazy list of them."""
+    return F.flatten(F.array(*arrays))
 
 
 def fold(units: Column, ranks: Column) -> Column:
-    """units: array<int>, the ids of a word's bytes. The ids after all merges, the lowest rank (of equal ones the left-most) first."""
+    """units: array<int>, the ids of a word's bytes. The ids after all merges, the lowest rank (of equal ones the left-most) first.
+
+    p holds the ids between two EDGEs, which merge with nothing, so that every merge has a neighbour on both sides; r holds the
+    ranks of p's pairs and is emptied when none is left to merge. Words have up to LONG bytes.
+    """
+    edge, all_that_follow = F.array(F.lit(EDGE)), F.lit(LONG + 2)
 
     def rank(a: Column, b: Column) -> Column:
-        a, b = a.cast("bigint"), b.cast("bigint")
-        return _let(F.get(ranks, ((a * SPREAD + b) % BUCKETS).cast("int")), lambda x: _let(F.array_position(x, F.lit(-1) - a * 2 - F.shiftright(b, BITS)), lambda i: F.when(i > 0, F.get(x, i.cast("int")).cast("int")).otherwise(F.lit(NEVER))))
+        # a missing key is at place 0, which holds NEVER; a key at the n-th place (from 1) has its rank behind it
+        return _let(F.get(ranks, (a * SPREAD + b).bitwiseAND(BUCKETS - 1)), lambda x: F.get(x, F.array_position(x, F.lit(-1) - a).cast("int")))
 
     def step(s: Column, _: Column) -> Column:
-        def merged(m: Column) -> Column:
-            p, r, k, joined = s["p"], s["r"], m["k"], m["v"]
-            left = F.when(k > 1, F.concat(F.slice(r, 1, k - 2), F.array(rank(F.element_at(p, k - 1), joined)))).otherwise(F.slice(r, 1, 0))
-            right = F.when(k < F.size(r), F.concat(F.array(rank(joined, F.element_at(p, k + 2))), F.slice(r, k + 2, F.size(r)))).otherwise(F.slice(r, 1, 0))
-            return F.when(joined < NEVER, F.struct(F.concat(F.slice(p, 1, k - 1), F.array(joined), F.slice(p, k + 2, F.size(p))).alias("p"), F.concat(left, right).alias("r"))).otherwise(s)
+        p, r = s["p"], s["r"]
+
+        def merged(joined: Column, k: Column) -> Column:
+            ids = _chain(F.slice(p, 1, k - 1), F.array(joined), F.slice(p, k + 2, all_that_follow))
+            beside = F.array(rank(F.get(p, k - 2), joined), rank(joined, F.get(p, k + 1)))
+            return F.struct(ids.alias("p"), _chain(F.slice(r, 1, k - 2), beside, F.slice(r, k + 2, all_that_follow)).alias("r"))
 
-        return F.when(F.size(s["r"]) == 0, s).otherwise(_let(F.array_min(s["r"]), lambda v: _let(F.struct(v.alias("v"), F.array_position(s["r"], v).cast("int").alias("k")), merged)))
+        done = F.struct(p.alias("p"), F.array().cast("array<int>").alias("r"))
+        least = lambda v: F.when(v < NEVER, _let(F.array_position(r, v).cast("int"), lambda k: merged(v, k))).otherwise(done)
+        return F.when(F.size(r) == 0, s).otherwise(_let(F.array_min(r), least))
 
-    first = F.zip_with(F.slice(units, 1, F.size(units) - 1), F.slice(units, 2, F.size(units)), rank)
-    return F.when(F.size(units) < 2, units).otherwise(F.aggregate(F.slice(units, 2, F.size(units)), F.struct(units.alias("p"), first.alias("r")), step, lambda s: s["p"]))
+    pairs = F.zip_with(F.slice(units, 1, F.size(units) - 1), F.slice(units, 2, all_that_follow), rank)
+    never = F.array(F.lit(NEVER))
+    start = F.struct(_chain(edge, units, edge).alias("p"), _chain(never, pairs, never).alias("r"))
+    return F.when(F.size(units) < 2, units).otherwise(F.aggregate(F.slice(units, 2, all_that_follow), start, step, lambda s: F.slice(s["p"], 2, F.size(s["p"]) - 2)))
 
 
 def fold_all(words: Column, ranks: Column) -> Column:
@@ -426,7 +441,9 @@ def decode(ids: DataFrame, ranks: dict[bytes, int], col: str = "ids") -> DataFra
     for token, rank in ranks.items():
         held[rank] = token.hex()
     table = F.from_json(F.lit(json.dumps(held)), "array<string>")
-    return ids.withColumn("decoded", F.unhex(F.aggregate(F.col(col), F.lit(""), lambda s, i: F.concat(s, F.get(table, i)))))
+    # pieces are joined at once, as a string that grows by a piece a step is copied as often as there are ids
+    pieces = F.transform(F.col(col), lambda i: F.get(table, i))
+    return ids.withColumn("decoded", F.when(F.forall(pieces, lambda x: x.isNotNull()), F.unhex(F.array_join(pieces, ""))))
 
 
 def encode_public(docs: DataFrame) -> DataFrame:
