@@ -7,13 +7,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import co_rated, recommend
+
 PAIR = ["user_id", "item_id"]
 
 
 def item_products(ratings: DataFrame) -> DataFrame:
     """i <= j, n, mean: how many users rated both items, and the mean product of their ratings."""
+    two = co_rated.sums(ratings, same=True, terms=["xy"])
+    return two.select("i", "j", "n", (F.col("xy") / F.col("n")).alias("mean"))
+
+
+def wanted_products(ratings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """item_products() of the pairs i <= j in wanted alone: they meet the raters of i and then those who rated j too."""
     r = ratings.select(*PAIR, F.col("rating").cast("double").alias("rating"))
-    two = r.select("user_id", F.col("item_id").alias("i"), F.col("rating").alias("x")).join(r.select("user_id", F.col("item_id").alias("j"), F.col("rating").alias("y")), "user_id").where("i <= j")
+    one = wanted.select("i", "j").distinct().join(r.select("user_id", F.col("item_id").alias("i"), F.col("rating").alias("x")), "i")
+    two = one.join(r.select("user_id", F.col("item_id").alias("j"), F.col("rating").alias("y")), ["user_id", "j"])
     return two.groupBy("i", "j").agg(F.count("*").alias("n"), F.avg(F.col("x") * F.col("y")).alias("mean"))
 
 
@@ -21,19 +30,17 @@ def interpolation_weights(pairs: DataFrame, ratings: DataFrame, similar: DataFra
     """pairs with score = sum of w_j r_j over the user's k rated items most similar to the item, with w = A^-1 b.
 
     A: mean products of the ratings of two neighbours by users who rated both, 0 without one; b: those of the item and a
-    neighbour. Both come from one table of item pairs. A singular A is solved by least squares; a ridge may be added. Null
+    neighbour. Both come from one table of the item pairs that neighbours ask for. A singular A is solved by least squares; a ridge may be added. Null
     without a neighbour. Ties of similarity go to the lesser item. A group is one pair's at most k + k (k + 1) / 2 products.
     """
-    both = similar.select(F.col("i").alias("item_id"), F.col("j").alias("other"), F.col(column).alias("s")).unionByName(similar.select(F.col("j").alias("item_id"), F.col("i").alias("other"), F.col(column).alias("s"))).where("s > 0")
-    asked = pairs.select(*PAIR).distinct()
-    at = asked.join(both, "item_id").join(ratings.select("user_id", F.col("item_id").alias("other"), F.col("rating").cast("double").alias("rating")), ["user_id", "other"])
+    at = recommend.rated_neighbours(pairs, ratings.select(*PAIR, F.col("rating").cast("double").alias("rating")), similar, column)
     near = at.withColumn("r", F.row_number().over(Window.partitionBy(*PAIR).orderBy(F.desc("s"), "other"))).where(F.col("r") <= k)
-    products = item_products(ratings)
     lists = near.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("r", "other", "rating"))).alias("near"))
     # the item is place 0: its products with place r are b, those of two places A
     places = F.concat(F.array(F.struct(F.lit(0).alias("r"), F.col("item_id").alias("other"), F.lit(0.0).alias("rating"))), "near")
     pairs_of = F.flatten(F.transform(places, lambda a: F.transform(F.filter(places, lambda b: (b["r"] >= a["r"]) & (b["r"] > 0)), lambda b: F.struct(a["r"].alias("p"), b["r"].alias("q"), F.least(a["other"], b["other"]).alias("i"), F.greatest(a["other"], b["other"]).alias("j"), b["rating"].alias("rating")))))
-    wanted = lists.select(*PAIR, F.explode(pairs_of).alias("w")).select(*PAIR, "w.*").join(products.select("i", "j", "mean"), ["i", "j"], "left")
+    wanted = lists.select(*PAIR, F.explode(pairs_of).alias("w")).select(*PAIR, "w.*")
+    wanted = wanted.join(wanted_products(ratings, wanted).select("i", "j", "mean"), ["i", "j"], "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         p, q, m = pdf["p"].to_numpy(), pdf["q"].to_numpy(), pdf["mean"].fillna(0.0).to_numpy()
