@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
+
 PAIR = ["user_id", "item_id"]
 
 
@@ -14,15 +16,56 @@ def by_contact(pairs: DataFrame, edges: DataFrame, likes: DataFrame, *by: str) -
     return reach.join(pairs.select(*PAIR).distinct(), PAIR, "left_semi")
 
 
+#: Groups that are numbered in one task, and groups of a word (bits of a long).
+NUMBERED, BITS = 1 << 16, 64
+
+
+def numbered(groups: DataFrame) -> DataFrame:
+    """group_id, word, bit: numbers of the distinct groups, 64 to a word, written once. Null groups go."""
+    ids = groups.where("group_id is not null").select("group_id").distinct()
+    parts = ids.agg(F.greatest(F.ceil(F.count("*") / NUMBERED), F.lit(1)).alias("parts"))  # one row
+    dealt = ids.crossJoin(F.broadcast(parts)).withColumn("part", F.pmod(F.xxhash64("group_id"), F.col("parts")))
+    n = dealt.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("group_id")) - 1)
+    return written(n.select("group_id", (F.floor(F.col("n") / BITS) * F.col("parts") + F.col("part")).alias("word"), (F.col("n") % BITS).cast("int").alias("bit")))
+
+
+def packed(members: DataFrame, codes: DataFrame, key: str = "user_id") -> DataFrame:
+    """key, word, bits: the groups of each key, 64 in a row. codes: numbered()."""
+    return members.join(codes, "group_id").groupBy(key, "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
 def by_group(pairs: DataFrame, members: DataFrame, likes: DataFrame, counts: bool = False) -> DataFrame:
     """(user, item, group_id): the user and another liker of the item are both in the group; counts adds n_likers.
 
-    Likers are counted for each (item, group) once, so a popular item costs its likers' groups, not its pairs of users.
+    Likers are counted for each (item, group) once, so a popular item costs its likers' groups, not its pairs of users. A
+    pair's groups are exchanged as bits, a row for 64 of them, and become rows where they are returned.
     """
-    likers = likes.join(members, "user_id").groupBy("item_id", "group_id").agg(F.countDistinct("user_id").alias("n"))
-    own = likes.select(*PAIR).distinct().withColumn("own", F.lit(1))
-    at = pairs.select(*PAIR).distinct().join(members, "user_id").join(likers, ["item_id", "group_id"]).join(own, PAIR, "left")
-    out = at.withColumn("n_likers", F.col("n") - F.coalesce("own", F.lit(0))).where("n_likers > 0")
+    members = written(members.select("user_id", "group_id"))
+    codes = numbered(members)
+    asked = pairs.select(*PAIR, F.lit(1).alias("asked"), F.lit(0).alias("own"))
+    rows = asked.unionByName(likes.select(*PAIR, F.lit(0).alias("asked"), F.lit(1).alias("own"))).groupBy(*PAIR).agg(F.max("asked").alias("asked"), F.max("own").alias("own"))
+    return by_packed(rows, packed(members, codes), codes, counts)
+
+
+def rated_by_group(rated: DataFrame, groups: DataFrame, counts: bool = False) -> DataFrame:
+    """by_group() where who rated an item of a group is its member, and label 1 is a like: from one table of ratings.
+
+    rated: user_id, item_id, label, a pair once. groups: item_id, group_id.
+    """
+    rated, codes = written(rated.select(*PAIR, "label")), numbered(groups)
+    rows = rated.select(*PAIR, F.lit(1).alias("asked"), F.coalesce((F.col("label") == 1).cast("int"), F.lit(0)).alias("own"))
+    return by_packed(rows, packed(rated.select(*PAIR).join(groups, "item_id"), codes), codes, counts)
+
+
+def by_packed(rows: DataFrame, bits: DataFrame, codes: DataFrame, counts: bool = False) -> DataFrame:
+    """by_group() of packed members. rows: user_id, item_id, asked and own (1: likes it), a pair once; bits: packed()."""
+    at = rows.join(bits, "user_id")
+    held = F.expr("(shiftright(bits, bit) & 1) = 1")
+    # likers meet by item before their bits become rows, which are counted where they are
+    likers = at.where("own = 1").select("item_id", "word", "bits").repartition("item_id", "word")
+    n = likers.join(codes.select("word", "bit"), "word").where(held).groupBy("item_id", "word", "bit").agg(F.count("*").alias("n"))
+    out = at.where("asked = 1").select(*PAIR, "own", "word", "bits").join(n, ["item_id", "word"]).where(held & (F.col("n") > F.col("own")))
+    out = out.select(*PAIR, "word", "bit", (F.col("n") - F.col("own")).alias("n_likers")).join(codes, ["word", "bit"])
     return out.select(*PAIR, "group_id", "n_likers") if counts else out.select(*PAIR, "group_id")
 
 
@@ -56,8 +99,13 @@ def circle_likes(pairs: DataFrame, circles: DataFrame, likes: DataFrame) -> Data
 
 
 def both_members(pairs: DataFrame, members: DataFrame, a: str = "user_id", b: str = "poster") -> DataFrame:
-    """pairs with the groups that hold both a and b."""
-    return pairs.join(members.select(F.col("user_id").alias(a), "group_id"), a).join(members.select(F.col("user_id").alias(b), "group_id"), [b, "group_id"])
+    """pairs with the groups that hold both a and b: their bits meet, and common ones become rows."""
+    members = written(members.select("user_id", "group_id"))
+    codes = numbered(members)
+    bits = packed(members, codes)
+    x = pairs.join(bits.withColumnRenamed("user_id", a), a).join(bits.select(F.col("user_id").alias(b), "word", F.col("bits").alias("other")), [b, "word"])
+    x = x.withColumn("bits", F.col("bits").bitwiseAND(F.col("other"))).where("bits <> 0").join(codes, "word").where(F.expr("(shiftright(bits, bit) & 1) = 1"))
+    return x.select(*pairs.columns, "group_id")
 
 
 def merged(left: DataFrame, right: DataFrame) -> DataFrame:
