@@ -20,6 +20,7 @@ and sweep, so they depend on neither tasks nor partitions.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,7 @@ class Model:
     samples: list = field(default_factory=list)  # after each sweep: the parent's customers and tables, then those of the hot words
 
 
+@lru_cache(16)
 def stirling(d: float, most: int = EXACT) -> np.ndarray:
     """Logs of the generalised Stirling numbers S_d(c, t) for c, t <= most."""
     s = np.full((most + 1, most + 1), -np.inf)
@@ -444,18 +446,22 @@ def _probe(model_b):
                     left = cw - 1
                     base = np.where(left > 0, (1 - UNKNOWN) / model.v, UNKNOWN)
                     for d in DISCOUNTS:
+                        own = np.maximum(left - d * (left > 0), 0)
                         for s in STRENGTHS:
-                            p = (np.maximum(left - d * (left > 0), 0) + (s + d * model.v) * base) / (s + model.n - 1)
+                            p = (own + (s + d * model.v) * base) / (s + model.n - 1)
                             out.append(float((here * np.log(p)).sum()))
                 else:
                     left_w = cw[b.dish] - 1
                     base = np.where(left_w > 0, (1 - UNKNOWN) / model.v, UNKNOWN)
                     parent = (np.maximum(left_w - model.d0 * (left_w > 0), 0) + (model.s0 + model.d0 * model.v) * base) / (model.s0 + model.n - 1)
-                    tables, total, left = b.total[b.k], b.customers[b.k], c - 1
+                    tables, others, left = b.total[b.k], np.maximum(b.customers[b.k] - 1, 0), c - 1
                     for d in DISCOUNTS:
+                        own, new = np.maximum(left - d * (left > 0), 0), d * tables
                         for s in STRENGTHS:
-                            p = (np.maximum(left - d * (left > 0), 0) + (s + d * tables) * parent) / (s + np.maximum(total - 1, 0))
-                            out.append(float((c * np.log(p)).sum()))
+                            p = (s + new) * parent
+                            p += own
+                            p /= s + others
+                            out.append(float((c * np.log(p, out=p)).sum()))
                 yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["totals"])
 
     return run
