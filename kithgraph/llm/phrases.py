@@ -26,6 +26,8 @@ from . import common
 SHARD_BYTES = 24 << 20
 #: Bits of the filter of each length, a power of two: 16 MB in each task, whatever the corpus.
 FILTER_BITS = 1 << 27
+#: Places that are looked up in a filter at once.
+STRETCH = 1 << 18
 #: Lower-cases A-Z and maps every mark that ends a piece to a new line.
 MARKS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -108,20 +110,21 @@ def shards_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Places of codes in the order of the next `depth` codes (0 beyond the end), by prefix doubling: ranks of 2k codes come from pairs of ranks of k."""
     # the zeros beyond the end are suffixes too, so that ranks there are right
-    rank, k = np.concatenate([codes.astype(np.int64), np.zeros(depth, np.int64)]), 1
+    rank, k = np.concatenate([codes, np.zeros(depth, codes.dtype)]).astype(np.int32), 1
     order = None
     while k < depth or order is None:
         step = min(k, depth - k) if k < depth else 0
-        key = rank
+        key = rank.astype(np.int64)
         if step:
-            ahead = np.zeros_like(rank)
-            ahead[: len(rank) - step] = rank[step:]
-            key = rank * (int(rank.max(initial=0)) + 1) + ahead
+            key *= int(rank.max(initial=0)) + 1
+            key[: len(rank) - step] += rank[step:]
+        order = None  # the last one's room is free before the next is made
         order = np.argsort(key)
-        new = np.ones(len(key), bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(new) - 1
+        key = key[order]
+        new = np.zeros(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        del key
+        rank[order] = np.cumsum(new, dtype=np.int32)
         k += step or 1
     return order[order < len(codes)]
 
@@ -196,8 +199,10 @@ def _masked(codes: np.ndarray, h: np.ndarray, filters: list, upto: int) -> list[
     ok = [codes != 0]
     for n in range(1, upto + 1):
         fine = ok[-1].copy() if n == 1 else ok[-1] & np.append(ok[-1][1:], False)
-        at = np.flatnonzero(fine)
-        fine[at] = filters[n - 1].value.has(_grams(h, at, n))
+        # a stretch at a time, as hashes take many times the room of codes
+        for a in range(0, len(fine), STRETCH):
+            at = a + np.flatnonzero(fine[a : a + STRETCH])
+            fine[at] = filters[n - 1].value.has(_grams(h, at, n))
         ok.append(fine)
     return ok[1:]
 
